@@ -26,9 +26,9 @@ SPECIAL_TOKENS = ["<s>", "<pad>", "</s>", "<unk>", "[MASK]"]
 VOCAB_SIZE = 5000
 MIN_FREQUENCY = 2
 
-#: Pairs looked at per training round, and rounds between rewrites of the words.
+#: Pairs looked at per training round, and merges between rewrites of the words.
 CANDIDATES = 128
-REWRITE_EVERY = 8
+REWRITE_AFTER = 64
 
 
 @dataclass(frozen=True)
@@ -80,11 +80,18 @@ def _as_symbols(word: Column, first_id: int) -> Column:
 
 
 def _merge(symbols: Column, merges: list[tuple[int, int, int]]) -> Column:
-    for left, right, merged in merges:
-        symbols = F.replace(
-            symbols, F.lit(f",{left},,{right},"), F.lit(f",{merged},")
-        )
-    return symbols
+    """Apply merges in order.  The steps are data, so the plan keeps its shape."""
+    if not merges:
+        return symbols
+    steps = F.array(
+        *[
+            F.struct(F.lit(f",{a},,{b},").alias("pair"), F.lit(f",{c},").alias("merged"))
+            for a, b, c in merges
+        ]
+    )
+    return F.aggregate(
+        steps, symbols, lambda text, step: F.replace(text, step["pair"], step["merged"])
+    )
 
 
 def _ids(words: DataFrame) -> DataFrame:
@@ -212,13 +219,11 @@ def bpe_train(
         "words",
     )
     pending: list[tuple[int, int, int]] = []
-    rounds = 0
     while len(tokens) < vocab_size:
         current = words.select(_merge(F.col("symbols"), pending).alias("symbols"), "n")
-        if pending and rounds % REWRITE_EVERY == 0:
+        if len(pending) >= REWRITE_AFTER:
             words, pending = materialise(current, "words"), []
             current = words
-        rounds += 1
         top = (
             pair_counts(current)
             .where(F.col("n") >= min_frequency)
@@ -229,7 +234,9 @@ def bpe_train(
         if not top:
             break
         ranked = [(r["left"], r["right"], r["n"]) for r in top]
-        candidates = words.sparkSession.createDataFrame(ranked, "left int, right int, n bigint")
+        candidates = words.sparkSession.createDataFrame(
+            pd.DataFrame(ranked, columns=["left", "right", "n"]), "left int, right int, n bigint"
+        )
         contexts = {
             (r["left"], r["right"]): (
                 r["largest_new"],
