@@ -54,7 +54,7 @@ def oversample_minority(
     rarest.  Then the class grows to a ``ratio``-th of the largest one.  The
     missing rows are shared out evenly over the rows that have a variant; the
     remainder goes to those first in hash order.  A row with more copies than
-    variants repeats them in turn.
+    variants repeats them in turn.  Copies get ids above all existing ones.
     """
     plain = df.withColumn("is_augmented", F.lit(False))
     stats = materialise(class_stats(df, label, order), "classes").where(
@@ -83,7 +83,13 @@ def oversample_minority(
         .withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__quota") - 1)))
     )
     chosen = F.pmod(F.col("__hash") + F.col("__copy"), F.size("__variants")).cast("int")
-    reworded = copies.withColumn(text, F.get("__variants", chosen)).withColumn(
-        "is_augmented", F.lit(True)
+    last_id = df.agg(F.max(order)).scalar()
+    number = F.col("__copy") * F.col("sources") + F.col("__rank")
+    reworded = copies.withColumns(
+        {
+            text: F.get("__variants", chosen),
+            order: last_id + 1 + number,
+            "is_augmented": F.lit(True),
+        }
     )
     return plain.unionByName(reworded.select(plain.columns))

@@ -42,11 +42,17 @@ def with_fingerprint(df: DataFrame, text: str, name: str = "fp", **options) -> D
     return df.withColumn(name, fingerprint(F.col(text), **options))
 
 
-def build_index(df: DataFrame, text: str, **options) -> DataFrame:
-    """Rows that have a fingerprint, written once with it as BINARY ``packed``."""
-    with_bits = with_fingerprint(df, text, "__fp", **options).where(F.col("__fp").isNotNull())
-    packed = with_bits.withColumn("packed", pack_bits(F.col("__fp"))).drop("__fp")
-    return materialise(packed, "index")
+def build_index(df: DataFrame, text: str, keep_all: bool = False, **options) -> DataFrame:
+    """Rows that have a fingerprint, written once with it as BINARY ``packed``.
+
+    ``keep_all`` also keeps the rows without one; searches pass over them.
+    """
+    fp = F.col("__fp")
+    with_bits = with_fingerprint(df, text, "__fp", **options)
+    if not keep_all:
+        with_bits = with_bits.where(fp.isNotNull())
+    packed = F.when(fp.isNotNull(), pack_bits(F.coalesce(fp, F.array().cast("array<int>"))))
+    return materialise(with_bits.withColumn("packed", packed).drop("__fp"), "index")
 
 
 @dataclass(frozen=True)
@@ -273,8 +279,9 @@ def knn(
     neighbour, but its copies are.
     """
     wanted = k + 1 if exclude_self else k
-    asked = queries.select(F.col(query_id).alias("row_id"), "packed")
-    offered = index.select(F.col(index_id).alias("row_id"), "packed")
+    has_fp = F.col("packed").isNotNull()
+    asked = queries.where(has_fp).select(F.col(query_id).alias("row_id"), "packed")
+    offered = index.where(has_fp).select(F.col(index_id).alias("row_id"), "packed")
     distinct_queries = _distinct(asked, "row_id")
     same = queries is index and query_id == index_id
     distinct_index = distinct_queries if same else _distinct(offered, "row_id")
