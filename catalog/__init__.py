@@ -1,8 +1,8 @@
 """Registered queries with the SQL that checks them."""
 
-from catalog import cleaning
+from catalog import cleaning, similarity
 
-_SECTIONS = [cleaning]
+_SECTIONS = [cleaning, similarity]
 
 QUERIES = {name: query for s in _SECTIONS for name, query in s.QUERIES.items()}
 ORACLES = {name: sql for s in _SECTIONS for name, sql in s.ORACLES.items()}

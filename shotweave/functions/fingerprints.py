@@ -59,3 +59,15 @@ def pack_bits(bits, width: int = N_BITS) -> Column:
         return pd.Series([row.tobytes() for row in np.packbits(dense, axis=1)])
 
     return pack(as_column(bits))
+
+
+def packed_size(packed, width: int = N_BITS) -> Column:
+    """Number of set bits of a packed fingerprint."""
+    digits = F.hex(as_column(packed))
+    counts = F.transform(
+        F.sequence(F.lit(0), F.lit(width // 32 - 1)),
+        lambda i: F.bit_count(
+            F.conv(F.substring(digits, i * 8 + 1, F.lit(8)), 16, 10).cast("bigint")
+        ),
+    )
+    return F.aggregate(counts, F.lit(0), lambda total, n: total + n)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shotweave.functions.fingerprints import N_BITS, fingerprint, pack_bits
+from shotweave.functions.fingerprints import N_BITS, fingerprint, pack_bits, packed_size
 from shotweave.operators.joins import attach_by_key
 from shotweave.storage import materialise
 
@@ -88,18 +88,7 @@ def _distinct(df: DataFrame, row_id: str) -> DataFrame:
     counted = df.groupBy("packed").agg(
         F.count("*").alias("size"), F.min(row_id).alias("first_row")
     )
-    return materialise(counted.withColumn("bits", _popcount("packed")), "distinct")
-
-
-def _popcount(packed: str):
-    """Set bits of a BINARY."""
-    words = F.transform(
-        F.sequence(F.lit(0), F.lit(N_BITS // 32 - 1)),
-        lambda i: F.bit_count(
-            F.conv(F.substring(F.hex(packed), i * 8 + 1, F.lit(8)), 16, 10).cast("bigint")
-        ),
-    )
-    return F.aggregate(words, F.lit(0), lambda total, n: total + n)
+    return materialise(counted.withColumn("bits", packed_size(F.col("packed"))), "distinct")
 
 
 def _best_in_block(k: int):
