@@ -99,6 +99,11 @@ def _ids(words: DataFrame) -> DataFrame:
     return words.select(F.split(inner, ",,").cast("array<int>").alias("s"), "n")
 
 
+def initial_symbols(counts: DataFrame, first_id: int = len(SPECIAL_TOKENS)) -> DataFrame:
+    """(symbols, n): counted words as their bytes."""
+    return counts.select(_as_symbols(F.col("word"), first_id).alias("symbols"), "n")
+
+
 def pair_counts(words: DataFrame) -> DataFrame:
     """(left, right, n) over all neighbouring symbols of counted words."""
     ids = _ids(words).where(F.size("s") > 1)
@@ -214,10 +219,7 @@ def bpe_train(
     tokens = [*special, *sorted(BYTE_CHARS)]
     known = {token: i for i, token in enumerate(tokens)}
     merges: list[tuple[str, str]] = []
-    words = materialise(
-        counts.select(_as_symbols(F.col("word"), len(special)).alias("symbols"), "n"),
-        "words",
-    )
+    words = materialise(initial_symbols(counts, len(special)), "words")
     pending: list[tuple[int, int, int]] = []
     while len(tokens) < vocab_size:
         current = words.select(_merge(F.col("symbols"), pending).alias("symbols"), "n")
