@@ -28,7 +28,7 @@ MIN_FREQUENCY = 2
 
 #: Pairs looked at per training round, and merges between rewrites of the words.
 CANDIDATES = 128
-REWRITE_AFTER = 64
+REWRITE_AFTER = 24
 
 
 @dataclass(frozen=True)
@@ -94,9 +94,14 @@ def _merge(symbols: Column, merges: list[tuple[int, int, int]]) -> Column:
     )
 
 
+def _has_pairs() -> Column:
+    return F.col("symbols").contains(",,")
+
+
 def _ids(words: DataFrame) -> DataFrame:
-    inner = F.expr("substring(symbols, 2, length(symbols) - 2)")
-    return words.select(F.split(inner, ",,").cast("array<int>").alias("s"), "n")
+    # A split on one character needs no regular expression.
+    inner = F.expr("replace(substring(symbols, 2, length(symbols) - 2), ',,', ';')")
+    return words.where(_has_pairs()).select(F.split(inner, ";").alias("s"), "n")
 
 
 def initial_symbols(counts: DataFrame, first_id: int = len(SPECIAL_TOKENS)) -> DataFrame:
@@ -106,14 +111,15 @@ def initial_symbols(counts: DataFrame, first_id: int = len(SPECIAL_TOKENS)) -> D
 
 def pair_counts(words: DataFrame) -> DataFrame:
     """(left, right, n) over all neighbouring symbols of counted words."""
-    ids = _ids(words).where(F.size("s") > 1)
     pairs = F.expr(
         "transform(sequence(0, size(s) - 2), i -> named_struct('left', s[i], 'right', s[i + 1]))"
     )
     return (
-        ids.select(F.explode(pairs).alias("p"), "n")
+        _ids(words)
+        .select(F.explode(pairs).alias("p"), "n")
         .groupBy("p.left", "p.right")
         .agg(F.sum("n").alias("n"))
+        .select(F.col("left").cast("int"), F.col("right").cast("int"), "n")
     )
 
 
@@ -131,7 +137,7 @@ def _contexts(words: DataFrame, candidates: DataFrame) -> DataFrame:
         "'after', if(i < size(s) - 2, s[i + 2], null)))"
     )
     found = (
-        _ids(words).where(F.size("s") > 1)
+        _ids(words)
         .select(F.explode(spots).alias("p"), "n")
         .select("p.*", "n")
         .join(F.broadcast(candidates.select("left", "right")), ["left", "right"])
@@ -219,12 +225,18 @@ def bpe_train(
     tokens = [*special, *sorted(BYTE_CHARS)]
     known = {token: i for i, token in enumerate(tokens)}
     merges: list[tuple[str, str]] = []
-    words = materialise(initial_symbols(counts, len(special)), "words")
+    spark = counts.sparkSession
+    width = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    )
+    start = initial_symbols(counts, len(special)).repartition(width)
+    words = materialise(start, "words")
     pending: list[tuple[int, int, int]] = []
     while len(tokens) < vocab_size:
         current = words.select(_merge(F.col("symbols"), pending).alias("symbols"), "n")
         if len(pending) >= REWRITE_AFTER:
-            words, pending = materialise(current, "words"), []
+            # Words of one symbol have no pairs left.
+            words, pending = materialise(current.where(_has_pairs()), "words"), []
             current = words
         top = (
             pair_counts(current)
@@ -236,13 +248,13 @@ def bpe_train(
         if not top:
             break
         ranked = [(r["left"], r["right"], r["n"]) for r in top]
-        candidates = words.sparkSession.createDataFrame(
-            pd.DataFrame(ranked, columns=["left", "right", "n"]), "left int, right int, n bigint"
+        candidates = spark.createDataFrame(
+            pd.DataFrame([(str(a), str(b)) for a, b, _ in ranked], columns=["left", "right"])
         )
         contexts = {
-            (r["left"], r["right"]): (
+            (int(r["left"]), int(r["right"])): (
                 r["largest_new"],
-                {(o["l"], o["r"]): o["n"] for o in r["overlaps"]},
+                {(int(o["l"]), int(o["r"])): o["n"] for o in r["overlaps"]},
             )
             for r in _contexts(current, candidates).collect()
         }

@@ -33,22 +33,27 @@ def predict(df: DataFrame, model: Callable[[pd.Series], pd.DataFrame], prompt: s
 
     ``model`` maps a batch of prompts to a frame with ``model_output`` and,
     where known, the two probabilities.  When a batch fails its prompts are
-    tried one by one, and a prompt that fails gets an empty answer.
+    tried one by one, and a prompt that fails gets an empty answer.  Unknown
+    probabilities are NULL.
     """
     schema = T.StructType(df.schema.fields + PREDICTION_FIELDS)
 
+    numbers = {"p_yes": "float64", "p_no": "float64"}
+
     def ask(prompts: pd.Series) -> pd.DataFrame:
         answers = model(prompts).reset_index(drop=True)
         if len(answers) != len(prompts):
             raise ValueError("a model must answer every prompt")
-        return answers.reindex(columns=["model_output", "p_yes", "p_no"]).assign(failed=False)
+        known = answers.reindex(columns=["model_output", "p_yes", "p_no"])
+        return known.astype(numbers).assign(failed=False)
 
     def ask_one(prompt_text: str) -> pd.DataFrame:
         try:
             return ask(pd.Series([prompt_text]))
         except Exception:
+            nothing = float("nan")
             return pd.DataFrame(
-                {"model_output": [""], "p_yes": [None], "p_no": [None], "failed": [True]}
+                {"model_output": [""], "p_yes": [nothing], "p_no": [nothing], "failed": [True]}
             )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -60,7 +65,6 @@ def predict(df: DataFrame, model: Callable[[pd.Series], pd.DataFrame], prompt: s
                 answers = ask(prompts)
             except Exception:
                 answers = pd.concat([ask_one(p) for p in prompts], ignore_index=True)
-            answers = answers.astype({"p_yes": "float64", "p_no": "float64"})
             yield pd.concat([batch.reset_index(drop=True), answers], axis=1)
 
     return df.mapInPandas(run, schema)
