@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shotweave.functions.hashing import portable_hash
 from shotweave.functions.text import words
+from shotweave.storage import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 TASK_TEXT = "decide whether the quality is high"
@@ -22,18 +23,27 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").withColumnRenamed("doc_id", "row_id")
 
 
+def busy_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents for work that is heavy per row."""
+    return spread(documents(spark, sf), "row_id")
+
+
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
     """Classification task: text, source, label."""
     labels = table(spark, sf, "labels").select(F.col("doc_id").alias("row_id"), F.col("quality").alias("label"))
-    return documents(spark, sf).select("row_id", "text", "source").join(labels, "row_id")
+    texts = spread(documents(spark, sf).select("row_id", "text", "source"), "row_id")
+    return texts.join(labels, "row_id")
 
 
 def parts(spark: SparkSession, sf: str) -> DataFrame:
     """Regression task: text, label."""
-    return table(spark, sf, "part").select(
-        F.col("p_partkey").alias("row_id"),
-        F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"),
-        F.col("p_retailprice").alias("label"),
+    return spread(
+        table(spark, sf, "part").select(
+            F.col("p_partkey").alias("row_id"),
+            F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"),
+            F.col("p_retailprice").alias("label"),
+        ),
+        "row_id",
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.common import (
-    CONVERSATIONS, PARTS, Query, TASK_TEXT, conversation_records, documents, h, ids, labelled,
+    CONVERSATIONS, PARTS, Query, TASK_TEXT, busy_documents, conversation_records, documents, h, ids, labelled,
     parts, quote, strip, table, word_ids, word_mask,
 )
 from catalog.similarity import FP, PART_NEAR, neighbours
@@ -29,7 +29,7 @@ PRICE_TEXT = "predict the retail price"
 
 
 def masked_words(spark, sf):
-    d = documents(spark, sf).withColumn("tokens", words(F.col("text")))
+    d = busy_documents(spark, sf).withColumn("tokens", words(F.col("text")))
     return mask_token(d, "text", "tokens", "row_id").select("row_id", "masked", "mask_tag")
 
 

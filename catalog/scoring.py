@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from catalog.common import (
-    JUDGED, PREDICTIONS, Query, YES_NO, documents, h, predictions, strip,
+    JUDGED, PREDICTIONS, Query, YES_NO, busy_documents, h, predictions, strip,
 )
 from shotweave.functions.parsing import parse_number, parse_yes_no, true_label, true_value
 from shotweave.operators.metrics import (
@@ -27,7 +27,7 @@ BY = ("task", "strategy")
 def stub_model(prompts: pd.Series) -> pd.DataFrame:
     """Answers from a hash of the prompt; some prompts fail."""
     hashes = prompts.map(lambda p: int(hashlib.md5(p.encode()).hexdigest()[:8], 16))
-    if (hashes % 13 == 0).any():
+    if (hashes % 97 == 0).any():
         raise RuntimeError("this prompt cannot be answered")
     return pd.DataFrame(
         {
@@ -38,7 +38,7 @@ def stub_model(prompts: pd.Series) -> pd.DataFrame:
 
 
 def answered(spark, sf):
-    d = documents(spark, sf).select("row_id", F.col("text").alias("instruction"))
+    d = busy_documents(spark, sf).select("row_id", F.col("text").alias("instruction"))
     return predict(d, stub_model).drop("instruction")
 
 
@@ -172,9 +172,9 @@ _REGRESSION_SQL = f"""WITH {ERRORS} SELECT task, strategy, 'RMSE' AS metric, rou
 
 ORACLES: dict[str, str] = {
     "predict_stub": f"""WITH a AS (SELECT doc_id AS row_id, {h('text')} AS n FROM documents)
-      SELECT row_id, CASE WHEN n % 13 = 0 THEN '' ELSE ['Yes', 'no', 'hm'][1 + n % 3] END AS model_output,
-        CASE WHEN n % 13 <> 0 THEN (n % 101) / 100.0::DOUBLE END AS p_yes,
-        CASE WHEN n % 13 <> 0 THEN (n % 7) / 10.0::DOUBLE END AS p_no, n % 13 = 0 AS failed FROM a""",
+      SELECT row_id, CASE WHEN n % 97 = 0 THEN '' ELSE ['Yes', 'no', 'hm'][1 + n % 3] END AS model_output,
+        CASE WHEN n % 97 <> 0 THEN (n % 101) / 100.0::DOUBLE END AS p_yes,
+        CASE WHEN n % 97 <> 0 THEN (n % 7) / 10.0::DOUBLE END AS p_no, n % 97 = 0 AS failed FROM a""",
     "parse_yes_no": f"WITH {PREDICTIONS} SELECT row_id, {YES_NO} AS parsed FROM predictions",
     "resolve_label": _resolved_sql("p_yes::DOUBLE"),
     "resolve_label_ratio": _resolved_sql("(p_yes::DOUBLE + 1e-9) / (p_yes::DOUBLE + p_no::DOUBLE + 1e-9)"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.common import Query, documents
+from catalog.common import Query, busy_documents
 from shotweave.functions.bytelevel import BYTE_CHARS
 from shotweave.operators.bpe import (
     SPECIAL_TOKENS, bpe_decode, bpe_encode, bpe_train, initial_symbols, pair_counts, tokenizer_stats,
@@ -18,7 +18,7 @@ BASE = len(SPECIAL_TOKENS) + len(BYTE_CHARS)
 
 
 def counted(spark, sf):
-    return word_counts(documents(spark, sf), "text")
+    return word_counts(busy_documents(spark, sf), "text")
 
 
 def _trained(spark, sf, merges: int):
@@ -42,19 +42,19 @@ def vocabulary(spark, sf):
 
 
 def encoded(spark, sf):
-    rows = bpe_encode(documents(spark, sf), "text", _trained(spark, sf, 32))
+    rows = bpe_encode(busy_documents(spark, sf), "text", _trained(spark, sf, 32))
     return rows.select("row_id", F.array_join("ids", ",").alias("ids"))
 
 
 def round_trip(spark, sf):
     tokenizer = _trained(spark, sf, 32)
-    rows = bpe_encode(documents(spark, sf), "text", tokenizer).select("row_id", "ids")
+    rows = bpe_encode(busy_documents(spark, sf), "text", tokenizer).select("row_id", "ids")
     return bpe_decode(rows, "ids", tokenizer, "text").select("row_id", "text")
 
 
 def masked_tokens(spark, sf):
     masking = Masking.with_tokenizer(_trained(spark, sf, 32))
-    rows = documents(spark, sf).withColumn("tokens", masking.tokenise(F.col("text")))
+    rows = busy_documents(spark, sf).withColumn("tokens", masking.tokenise(F.col("text")))
     return rows.select("row_id", masking.apply(F.col("text"), F.col("row_id")).alias("masked"))
 
 

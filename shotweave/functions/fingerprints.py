@@ -36,7 +36,7 @@ def fingerprint(text, bits: int = N_BITS, size: int = 1, unit: str = "word") ->
         shingles(text, size, unit),
         lambda s: F.pmod(portable_hash(s), F.lit(bits)).cast("int"),
     )
-    return F.array_sort(F.array_distinct(hashed))
+    return F.sort_array(F.array_distinct(hashed))
 
 
 def tanimoto(a, b) -> Column:
@@ -51,12 +51,15 @@ def pack_bits(bits, width: int = N_BITS) -> Column:
 
     @pandas_udf("binary")
     def pack(column: pd.Series) -> pd.Series:
-        lengths = column.map(len).to_numpy()
-        dense = np.zeros((len(column), width), dtype=np.uint8)
-        if lengths.sum():
-            rows = np.repeat(np.arange(len(column)), lengths)
-            dense[rows, np.concatenate(column.to_list())] = 1
-        return pd.Series([row.tobytes() for row in np.packbits(dense, axis=1)])
+        present = column.notna()
+        arrays = column[present].to_list()
+        dense = np.zeros((len(arrays), width), dtype=np.uint8)
+        if arrays:
+            rows = np.repeat(np.arange(len(arrays)), [len(a) for a in arrays])
+            dense[rows, np.concatenate(arrays).astype(np.int64)] = 1
+        packed = pd.Series([None] * len(column), index=column.index, dtype=object)
+        packed[present] = [row.tobytes() for row in np.packbits(dense, axis=1)]
+        return packed
 
     return pack(as_column(bits))
 

@@ -32,8 +32,8 @@ def predict(df: DataFrame, model: Callable[[pd.Series], pd.DataFrame], prompt: s
     """Add a model's answers: ``model_output``, ``p_yes``, ``p_no``, ``failed``.
 
     ``model`` maps a batch of prompts to a frame with ``model_output`` and,
-    where known, the two probabilities.  When a batch fails its prompts are
-    tried one by one, and a prompt that fails gets an empty answer.  Unknown
+    where known, the two probabilities.  A batch that fails is halved until
+    the prompts that fail stand alone; those get an empty answer.  Unknown
     probabilities are NULL.
     """
     schema = T.StructType(df.schema.fields + PREDICTION_FIELDS)
@@ -47,24 +47,24 @@ def predict(df: DataFrame, model: Callable[[pd.Series], pd.DataFrame], prompt: s
         known = answers.reindex(columns=["model_output", "p_yes", "p_no"])
         return known.astype(numbers).assign(failed=False)
 
-    def ask_one(prompt_text: str) -> pd.DataFrame:
+    nothing = pd.DataFrame(
+        {"model_output": [""], "p_yes": [float("nan")], "p_no": [float("nan")], "failed": [True]}
+    )
+
+    def ask_all(prompts: pd.Series) -> list[pd.DataFrame]:
         try:
-            return ask(pd.Series([prompt_text]))
+            return [ask(prompts)]
         except Exception:
-            nothing = float("nan")
-            return pd.DataFrame(
-                {"model_output": [""], "p_yes": [nothing], "p_no": [nothing], "failed": [True]}
-            )
+            if len(prompts) == 1:
+                return [nothing]
+            half = len(prompts) // 2
+            return ask_all(prompts[:half]) + ask_all(prompts[half:])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if batch.empty:
                 continue
-            prompts = batch[prompt].reset_index(drop=True)
-            try:
-                answers = ask(prompts)
-            except Exception:
-                answers = pd.concat([ask_one(p) for p in prompts], ignore_index=True)
+            answers = pd.concat(ask_all(batch[prompt]), ignore_index=True)
             yield pd.concat([batch.reset_index(drop=True), answers], axis=1)
 
     return df.mapInPandas(run, schema)

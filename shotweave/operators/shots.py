@@ -117,7 +117,7 @@ def shots_array(chosen: DataFrame, index: DataFrame, text: Column | str, label:
     one = F.struct("rank", text.alias("text"), label.alias("label"))
     return examples.groupBy("query_id").agg(
         F.transform(
-            F.array_sort(F.collect_list(one)),
+            F.sort_array(F.collect_list(one)),
             lambda x: F.struct(x["text"].alias("text"), x["label"].alias("label")),
         ).cast(SHOTS_TYPE).alias("shots")
     )

@@ -47,12 +47,13 @@ def build_index(df: DataFrame, text: str, keep_all: bool = False, **options) ->
 
     ``keep_all`` also keeps the rows without one; searches pass over them.
     """
-    fp = F.col("__fp")
-    with_bits = with_fingerprint(df, text, "__fp", **options)
-    if not keep_all:
-        with_bits = with_bits.where(fp.isNotNull())
-    packed = F.when(fp.isNotNull(), pack_bits(F.coalesce(fp, F.array().cast("array<int>"))))
-    return materialise(with_bits.withColumn("packed", packed).drop("__fp"), "index")
+    # Filtered only after writing: before it, the optimizer would move the
+    # fingerprint into the filter and compute it twice.
+    packed = with_fingerprint(df, text, "__fp", **options).withColumn(
+        "packed", pack_bits(F.col("__fp"))
+    )
+    written = materialise(packed.drop("__fp"), "index")
+    return written if keep_all else written.where(F.col("packed").isNotNull())
 
 
 @dataclass(frozen=True)
@@ -282,7 +283,7 @@ def knn(
         offered.withColumn("n", F.row_number().over(by_row))
         .where(F.col("n") <= wanted)
         .groupBy("packed")
-        .agg(F.min("row_id").alias("candidate"), F.array_sort(F.collect_list("row_id")).alias("rows"))
+        .agg(F.min("row_id").alias("candidate"), F.sort_array(F.collect_list("row_id")).alias("rows"))
     )
     listed = (
         near.join(members.drop("packed"), "candidate")
@@ -293,7 +294,7 @@ def knn(
             F.col("query").alias("first_row"),
             F.slice(
                 F.transform(
-                    F.array_sort("all"),
+                    F.sort_array("all"),
                     lambda x: F.struct(x["row_id"].alias("row_id"), (-x["far"]).alias("similarity")),
                 ),
                 1, wanted,

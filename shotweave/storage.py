@@ -38,3 +38,21 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Below this many bytes per core a table may be spread out again.
+SPREAD_BELOW = 16 * 2**20
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Share the rows of a small table out over all cores.
+
+    A file with one row group is one task, which starves work that is heavy
+    per row.  Only tables under ``SPREAD_BELOW`` bytes per core are moved;
+    larger ones arrive in enough pieces and are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(size) >= SPREAD_BELOW * cores:
+        return df
+    return df.repartition(cores, key)
