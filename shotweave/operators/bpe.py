@@ -123,7 +123,7 @@ def pair_counts(words: DataFrame) -> DataFrame:
     )
 
 
-def _contexts(words: DataFrame, candidates: DataFrame) -> DataFrame:
+def _contexts(words: DataFrame, candidates: list[tuple[int, int]]) -> DataFrame:
     """What surrounds each candidate pair.
 
     Per pair: the largest count of a new pair its merge can create, and for
@@ -136,42 +136,33 @@ def _contexts(words: DataFrame, candidates: DataFrame) -> DataFrame:
         "'before', if(i > 0, s[i - 1], null), "
         "'after', if(i < size(s) - 2, s[i + 2], null)))"
     )
+    names = [f"{left} {right}" for left, right in candidates]
+
+    def is_candidate(left: str, right: str) -> Column:
+        return F.concat_ws(" ", left, right).isin(names)
+
     found = (
         _ids(words)
         .select(F.explode(spots).alias("p"), "n")
         .select("p.*", "n")
-        .join(F.broadcast(candidates.select("left", "right")), ["left", "right"])
+        .where(is_candidate("left", "right"))
     )
-    sides = F.explode(
-        F.array(
-            F.struct(F.lit(True).alias("is_before"), F.col("before").alias("symbol")),
-            F.struct(F.lit(False).alias("is_before"), F.col("after").alias("symbol")),
-        )
+    # The pair lost before and the one lost after; each makes way for a new one.
+    replaced = F.array(
+        F.struct(F.col("before").alias("l"), F.col("left").alias("r")),
+        F.struct(F.col("right").alias("l"), F.col("after").alias("r")),
     )
     neighbours = (
-        found.select("left", "right", "n", sides.alias("side"))
-        .where(F.col("side.symbol").isNotNull())
-        .groupBy("left", "right", "side")
+        found.select("left", "right", "n", F.posexplode(replaced).alias("side", "other"))
+        .where(F.col("other.l").isNotNull() & F.col("other.r").isNotNull())
+        .groupBy("left", "right", "side", "other")
         .agg(F.sum("n").alias("n"))
     )
-    other = F.when(
-        F.col("side.is_before"),
-        F.struct(F.col("side.symbol").alias("l"), F.col("left").alias("r")),
-    ).otherwise(F.struct(F.col("right").alias("l"), F.col("side.symbol").alias("r")))
-    known = candidates.select(
-        F.struct(F.col("left").alias("l"), F.col("right").alias("r")).alias("other"),
-        F.lit(True).alias("is_candidate"),
-    )
-    return (
-        neighbours.withColumn("other", other)
-        .join(F.broadcast(known), "other", "left")
-        .groupBy("left", "right")
-        .agg(
-            F.max("n").alias("largest_new"),
-            F.collect_list(
-                F.when(F.col("is_candidate"), F.struct("other.l", "other.r", "n"))
-            ).alias("overlaps"),
-        )
+    return neighbours.groupBy("left", "right").agg(
+        F.max("n").alias("largest_new"),
+        F.collect_list(
+            F.when(is_candidate("other.l", "other.r"), F.struct("other.l", "other.r", "n"))
+        ).alias("overlaps"),
     )
 
 
@@ -248,15 +239,12 @@ def bpe_train(
         if not top:
             break
         ranked = [(r["left"], r["right"], r["n"]) for r in top]
-        candidates = spark.createDataFrame(
-            pd.DataFrame([(str(a), str(b)) for a, b, _ in ranked], columns=["left", "right"])
-        )
         contexts = {
             (int(r["left"]), int(r["right"])): (
                 r["largest_new"],
                 {(int(o["l"]), int(o["r"])): o["n"] for o in r["overlaps"]},
             )
-            for r in _contexts(current, candidates).collect()
+            for r in _contexts(current, [(a, b) for a, b, _ in ranked]).collect()
         }
         for left, right in _accept(ranked, contexts):
             token = tokens[left] + tokens[right]

@@ -36,9 +36,14 @@ def coerce_label(df: DataFrame, label: str) -> DataFrame:
 def with_canonical_key(
     df: DataFrame, text: str, key: str = "canonical_key", expression: Column | None = None
 ) -> DataFrame:
-    """Add the identity of the text; rows without one are dropped."""
+    """Add the identity of the text; rows without one are dropped.
+
+    The default key is missing exactly where a text has nothing but blanks.
+    Asking the text is cheap; asking the key would compute it twice.
+    """
     if expression is None:
-        expression = canonical_key(F.col(text))
+        written = F.col(text).rlike(r"\S")
+        return df.where(written).withColumn(key, canonical_key(F.col(text)))
     return df.withColumn(key, expression).na.drop(subset=[key])
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shotweave.storage import fits_broadcast
+
 #: Keys above 1 / HOT_SHARE of all rows are hot, so there are fewer than that.
 HOT_SHARE = 1000
 
@@ -14,11 +16,15 @@ def attach_by_key(
 ) -> DataFrame:
     """Inner join of rows to one row per key, safe for hot keys.
 
-    ``size`` is the number of rows of a key.  Hot keys number less than
-    ``HOT_SHARE`` whatever the data, so they are broadcast and their rows stay
-    where they are; all other rows meet their key in an ordinary join, in
-    which no key holds more than a thousandth of the rows.
+    ``keyed`` is a written table, so its size is known; ``size`` names the
+    number of rows of a key.  A table small enough is broadcast whole.  Of a
+    larger one only the hot keys are: they number less than ``HOT_SHARE``
+    whatever the data, and their rows stay where they are.  All other rows
+    meet their key in an ordinary join, in which no key holds more than a
+    thousandth of the rows.
     """
+    if fits_broadcast(keyed):
+        return rows.join(F.broadcast(keyed.drop(size)), key)
     total = keyed.agg(F.sum(size)).scalar()
     hot_key = F.col(size) * HOT_SHARE > total
     hot = keyed.where(hot_key).drop(size)

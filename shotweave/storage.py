@@ -40,6 +40,20 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate; for a written table the size of its files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+#: Written tables up to this size may be broadcast.
+BROADCAST_BELOW = 16 * 2**20
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether a written table is small enough to send to every executor."""
+    return estimated_bytes(df) <= BROADCAST_BELOW
+
+
 #: Below this many bytes per core a table may be spread out again.
 SPREAD_BELOW = 16 * 2**20
 
@@ -52,7 +66,6 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     larger ones arrive in enough pieces and are left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(size) >= SPREAD_BELOW * cores:
+    if estimated_bytes(df) >= SPREAD_BELOW * cores:
         return df
     return df.repartition(cores, key)

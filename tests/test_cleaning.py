@@ -72,7 +72,9 @@ def test_split_equals_the_greedy_rule(spark, sizes):
     assert {r["group_key"]: r["split"] for r in rows} == greedy(groups)
 
 
-def test_hot_and_cold_groups_are_both_joined(spark):
+@pytest.mark.parametrize("broadcast_below", [0, 2**24])
+def test_hot_and_cold_groups_are_both_joined(spark, monkeypatch, broadcast_below):
+    monkeypatch.setattr("shotweave.storage.BROADCAST_BELOW", broadcast_below)
     # One group holds a third of the rows, the others one row each.
     df = spark.range(6000).select(
         F.col("id").alias("row_id"),
