@@ -63,14 +63,13 @@ def oversample_minority(
     missing = stats.select(
         F.floor(F.col("majority_rows") / ratio).cast("bigint") - F.col("minority_rows")
     ).scalar()
-    source = (
-        df.where(F.col(label) == stats.select("minority").scalar())
-        .withColumn("__variants", variants(F.col(text)))
-        .where(F.size("__variants") > 0)
-        .withColumn("__hash", portable_hash(seed, F.col(order)))
+    rare = df.where(F.col(label) == stats.select("minority").scalar())
+    # Only ids are ranked; texts are fetched for the rows that get copies.
+    ids = rare.where(F.size(variants(F.col(text))) > 0).select(
+        order, portable_hash(seed, F.col(order)).alias("__hash")
     )
     ranked = materialise(
-        global_ordinal(source, [F.col("__hash"), F.col(order)], "__rank"), "minority"
+        global_ordinal(ids, [F.col("__hash"), F.col(order)], "__rank"), "minority"
     )
     sources = ranked.agg(F.count("*")).scalar()
     quota = F.expr("missing div sources") + F.when(
@@ -80,6 +79,8 @@ def oversample_minority(
         ranked.withColumns({"missing": missing, "sources": sources})
         .withColumn("__quota", quota)
         .where(F.col("__quota") > 0)
+        .join(rare, order)
+        .withColumn("__variants", variants(F.col(text)))
         .withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__quota") - 1)))
     )
     chosen = F.pmod(F.col("__hash") + F.col("__copy"), F.size("__variants")).cast("int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotweave.storage import fits_broadcast
+from shotweave.storage import fits_broadcast, materialise
 
 #: Keys above 1 / HOT_SHARE of all rows are hot, so there are fewer than that.
 HOT_SHARE = 1000
@@ -32,3 +32,17 @@ def attach_by_key(
     in_place = rows.join(F.broadcast(hot), key)
     shuffled = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
     return in_place.unionByName(shuffled)
+
+
+def attach_counted(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
+    """The same where nobody has counted the rows of a key yet.
+
+    Neighbour lists need it: a few rows can be neighbours of very many
+    queries.  The rows are written and counted only if ``keyed`` is too large
+    to broadcast.
+    """
+    if fits_broadcast(keyed):
+        return rows.join(F.broadcast(keyed), key)
+    written = materialise(rows, "rows")
+    sizes = written.groupBy(key).agg(F.count("*").alias("__size"))
+    return attach_by_key(written, materialise(keyed.join(sizes, key), "keyed"), key, "__size")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shotweave.functions.hashing import draw, portable_hash
 from shotweave.functions.prompts import SHOTS_TYPE, no_shots
+from shotweave.operators.joins import attach_counted
 from shotweave.operators.prefix import global_ordinal
 from shotweave.operators.similarity import neighbour_rows
 from shotweave.storage import materialise
@@ -20,7 +21,7 @@ POLICIES = ("use_what_is_there", "drop_query", "keep_instruction", "zero_shot")
 def pool_rows(pool: DataFrame, index: DataFrame, label: str, row_id: str = "row_id") -> DataFrame:
     """(query_id, rank, neighbour_id, similarity, label) of a candidate pool."""
     labels = index.select(F.col(row_id).alias("neighbour_id"), F.col(label).alias("label"))
-    return neighbour_rows(pool).join(labels, "neighbour_id")
+    return attach_counted(neighbour_rows(pool), labels, "neighbour_id")
 
 
 def select_shots(pool: DataFrame, strategy: str, k: int, seed: int = 42) -> DataFrame:
@@ -113,7 +114,7 @@ def shots_array(chosen: DataFrame, index: DataFrame, text: Column | str, label:
     """
     text = F.col(text) if isinstance(text, str) else text
     label = F.col(label) if isinstance(label, str) else label
-    examples = chosen.join(index.withColumnRenamed(row_id, "neighbour_id"), "neighbour_id")
+    examples = attach_counted(chosen, index.withColumnRenamed(row_id, "neighbour_id"), "neighbour_id")
     one = F.struct("rank", text.alias("text"), label.alias("label"))
     return examples.groupBy("query_id").agg(
         F.transform(

@@ -19,12 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shotweave.functions.fingerprints import N_BITS, fingerprint, pack_bits, packed_size
-from shotweave.operators.joins import attach_by_key
+from shotweave.operators.joins import attach_by_key, attach_counted
 from shotweave.storage import materialise
 
 #: Index rows per block, and queries per copy of a block.
@@ -206,6 +206,11 @@ def _first_k(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
 
 
+def _literal(numbers: list[int]) -> Column:
+    """A long constant array; one string costs less than one call per element."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<int>")
+
+
 def _search(queries: DataFrame, index: DataFrame, k: int, block_rows: int) -> DataFrame:
     """(query, candidate, similarity): first k distinct fingerprints per query."""
     # At most one row per possible bit count.
@@ -216,8 +221,7 @@ def _search(queries: DataFrame, index: DataFrame, k: int, block_rows: int) -> Da
     layout = _lay_out(histogram, block_rows)
     copies = max(1, -(-queries.count() // QUERIES_PER_COPY))
 
-    first = F.array(*[F.lit(b) for b in layout.first])
-    last = F.array(*[F.lit(b) for b in layout.last])
+    first, last = _literal(layout.first), _literal(layout.last)
 
     def spread(bits):
         low, high = F.get(first, bits), F.get(last, bits)
@@ -279,25 +283,25 @@ def knn(
 
     # The first rows of every fingerprint; each task keeps only that many.
     by_row = Window.partitionBy("packed").orderBy("row_id")
-    members = (
+    members = materialise(
         offered.withColumn("n", F.row_number().over(by_row))
         .where(F.col("n") <= wanted)
         .groupBy("packed")
         .agg(F.min("row_id").alias("candidate"), F.sort_array(F.collect_list("row_id")).alias("rows"))
+        .drop("packed"),
+        "members",
     )
+    # At most k lists of k rows per query: nearest first, then in row order.
+    far_first = F.transform("rows", lambda r: F.struct((-F.col("similarity")).alias("far"), r.alias("row_id")))
     listed = (
-        near.join(members.drop("packed"), "candidate")
-        .select("query", "similarity", F.explode("rows").alias("row_id"))
+        attach_counted(near, members, "candidate")
         .groupBy("query")
-        .agg(F.collect_list(F.struct((-F.col("similarity")).alias("far"), "row_id")).alias("all"))
+        .agg(F.sort_array(F.flatten(F.collect_list(far_first))).alias("all"))
         .select(
             F.col("query").alias("first_row"),
-            F.slice(
-                F.transform(
-                    F.sort_array("all"),
-                    lambda x: F.struct(x["row_id"].alias("row_id"), (-x["far"]).alias("similarity")),
-                ),
-                1, wanted,
+            F.transform(
+                F.slice("all", 1, wanted),
+                lambda x: F.struct(x["row_id"].alias("row_id"), (-x["far"]).alias("similarity")),
             ).alias("neighbours"),
         )
     )

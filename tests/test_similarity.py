@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from shotweave.functions.fingerprints import fingerprint, pack_bits, packed_size, tanimoto
-from shotweave.operators.shots import apply_shortfall, random_shots, select_shots
-from shotweave.operators.similarity import build_index, knn, with_fingerprint
+from shotweave.operators.shots import apply_shortfall, random_shots, select_shots, shots_array
+from shotweave.operators.similarity import build_index, knn, neighbour_rows, with_fingerprint
 
 WORDS = [f"w{i}" for i in range(40)]
 
@@ -62,6 +62,20 @@ def test_leave_one_out_keeps_copies(spark, monkeypatch, copies):
     assert found == brute_force(bit_sets(rows), bit_sets(rows), 5, True)
 
 
+def test_large_indexes_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr("shotweave.storage.BROADCAST_BELOW", 0)
+    rows = texts(spark, 90, 4)
+    index = build_index(rows, "text")
+    found = knn(index, index, 3, exclude_self=True)
+    assert answers(found) == brute_force(bit_sets(rows), bit_sets(rows), 3, True)
+    listed = shots_array(neighbour_rows(found), index, "text", F.col("row_id").cast("string"))
+    texts_of = {r["row_id"]: r["text"] for r in rows.collect()}
+    for row in listed.collect():
+        expected = [c for c, _ in answers(found.where(F.col("row_id") == row["query_id"]))[row["query_id"]]]
+        assert [(s["text"], s["label"]) for s in row["shots"]] == [(texts_of[c], str(c)) for c in expected]
+        break
+
+
 def test_zero_similarity_fills_up_in_row_order(spark):
     c = spark.createDataFrame([(i, f"other{i}") for i in range(5)] + [(9, "mine")], "row_id long, text string")
     q = spark.createDataFrame([(100, "mine")], "row_id long, text string")
