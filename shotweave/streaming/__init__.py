@@ -1,0 +1,8 @@
+"""Streams.
+
+The work this library does is batch work: splits, neighbours, merges and areas
+under curves need the whole table.  What acts on single rows (cleaning without
+deduplication, parsing of answers, prompts without examples, masking, token
+arrays) is plain Column code and runs unchanged on a streaming DataFrame; no
+separate stream operators are needed.
+"""
