@@ -64,8 +64,14 @@ def group_split(
     valid: float = VALIDATION_SHARE,
     test: float = TEST_SHARE,
 ) -> DataFrame:
-    """Every row with its ``split``."""
+    """Every row with its ``split``.
+
+    Rows and groups meet on a digest, because a group key can be a whole text.
+    Rows without a group form one.
+    """
     if abs(train + valid + test - 1.0) >= 1e-9:
         raise ValueError("the three shares must add up to 1")
-    groups = materialise(split_groups(df, group, order, valid, test), "groups")
-    return attach_by_key(df, groups, group, "size")
+    digest = F.coalesce(F.sha2(F.col(group).cast("string"), 256), F.lit(""))
+    keyed = df.withColumn("__group", digest)
+    groups = materialise(split_groups(keyed, "__group", order, valid, test), "groups")
+    return attach_by_key(keyed, groups, "__group", "size").drop("__group")

@@ -88,6 +88,12 @@ def test_hot_and_cold_groups_are_both_joined(spark, monkeypatch, broadcast_below
     assert counts == {"validation": 2000, "test": 600, "train": 3400}
 
 
+def test_rows_without_a_group_are_kept(spark):
+    df = spark.createDataFrame([(1, None), (2, "a"), (3, None)], "row_id long, group_key string")
+    rows = {r["row_id"]: r["split"] for r in group_split(df).collect()}
+    assert rows == {1: "validation", 3: "validation", 2: "test"}
+
+
 def test_empty_group_falls_back_to_the_text(spark):
     df = spark.createDataFrame([(None, "t1"), ("", "t2"), ("g", "t3")], "g string, text string")
     assert [r["group_key"] for r in with_group_key(df, "g", "text").collect()] == ["t1", "t2", "g"]
