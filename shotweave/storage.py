@@ -8,6 +8,7 @@ files carry the sizes the optimizer needs to choose joins.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -23,8 +24,17 @@ def _own_dir(application_id: str) -> str:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder; one of our own only where none is configured."""
-    return spark.conf.get(SETTING, None) or _own_dir(spark.sparkContext.applicationId)
+    """The shared folder of the session, or of its context.
+
+    Only a session in one process (``local[...]``) gets a folder of its own
+    where none is set; on a cluster that would lose files, so it is an error.
+    """
+    configured = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
+    if configured:
+        return configured
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError(f"set {SETTING} to a folder that the driver and all executors share")
+    return _own_dir(spark.sparkContext.applicationId)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -37,9 +47,28 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders written so far, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this application; returns how many.
+
+    Results that still read them cannot be computed afterwards, so call it when
+    they are written or collected.
+    """
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm, configuration = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(configuration).delete(folder, True)
+    return len(paths)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate; for a written table the size of its files."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
