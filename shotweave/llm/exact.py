@@ -42,17 +42,16 @@ def exact_groups(
         .where("group_size > 1"),
         "groups",
     )
-    members = materialise(hashed.join(groups.drop("group_size"), "digest"), "members")
+    members = materialise(hashed.join(groups.drop("group_size").hint("merge"), "digest"), "members")
     stays = (
         members.where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
         .groupBy("digest")
         .agg(F.min("text").alias("keep_text"))
     )
     collided = materialise(
-        members.join(materialise(stays, "stays"), "digest")
+        members.join(materialise(stays, "stays").hint("merge"), "digest")
         .where(F.col("text") != F.col("keep_text"))
-        .select("digest")
-        .distinct(),
+        .select("digest"),
         "collided",
     )
     joined = digests.join(groups, "digest", "left")
