@@ -3,14 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shotweave.llm import byte_pairs, exact, packing, shards
+from shotweave.llm import byte_pairs, exact, packing, shards, suffix
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def op1_suffix_array(spark: SparkSession, sf: str) -> DataFrame:
+    cut = suffix.remove_repeats(_documents(spark, sf).select("doc_id", "text"), "doc_id", "text", length=100)
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
+    return cut.select(
+        "doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return byte_pairs.round_trip(_documents(spark, sf), "doc_id", "text")
 
@@ -28,6 +38,7 @@ def op8_best_fit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_array": op1_suffix_array,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_byte_shards": op7_byte_shards,
