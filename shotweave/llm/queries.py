@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotweave.llm import byte_pairs, exact, packing, shards, suffix
+from shotweave.llm import byte_pairs, exact, language, packing, shards, suffix
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -37,12 +37,18 @@ def op8_best_fit(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_documents(spark, sf), "doc_id", "text", capacity=1024)
 
 
+def op10_gated_lm(spark: SparkSession, sf: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return language.log_likelihoods(_documents(spark, sf), "doc_id", "text", held_out)
+
+
 QUERIES = {
     "op1_suffix_array": op1_suffix_array,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_byte_shards": op7_byte_shards,
     "op8_best_fit": op8_best_fit,
+    "op10_gated_lm": op10_gated_lm,
 }
 
 ORACLES = {
