@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotweave.llm import byte_pairs, exact, language, packing, shards, suffix
+from shotweave.llm import byte_pairs, chunks, exact, language, order_minhash, packing, quality, shards, suffix
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
-def op1_suffix_array(spark: SparkSession, sf: str) -> DataFrame:
-    cut = suffix.remove_repeats(_documents(spark, sf).select("doc_id", "text"), "doc_id", "text", length=100)
+def _digested(cut: DataFrame) -> DataFrame:
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
     return cut.select(
         "doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("kept")).alias("n_removed"),
@@ -21,6 +20,15 @@ def op1_suffix_array(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op1_suffix_array(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _documents(spark, sf).select("doc_id", "text")
+    return _digested(suffix.remove_repeats(docs, "doc_id", "text", length=100))
+
+
+def op2_order_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    return order_minhash.edit_fingerprints(_documents(spark, sf), "doc_id", "text")
+
+
 def op3_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return byte_pairs.round_trip(_documents(spark, sf), "doc_id", "text")
 
@@ -29,6 +37,16 @@ def op4_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact.exact_groups(_documents(spark, sf), "doc_id", "text", keep="max")
 
 
+def op5_gear_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _documents(spark, sf).select("doc_id", "text")
+    return _digested(chunks.remove_chunks(docs, "doc_id", "text"))
+
+
+def op6_site_quality(spark: SparkSession, sf: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    return quality.site_quality(_documents(spark, sf), labels, "doc_id", "text", "source", ["lang"])
+
+
 def op7_byte_shards(spark: SparkSession, sf: str) -> DataFrame:
     return shards.balanced_shards(_documents(spark, sf), "doc_id", "text", shards=8)
 
@@ -44,8 +62,11 @@ def op10_gated_lm(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_array": op1_suffix_array,
+    "op2_order_minhash": op2_order_minhash,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_gear_chunks": op5_gear_chunks,
+    "op6_site_quality": op6_site_quality,
     "op7_byte_shards": op7_byte_shards,
     "op8_best_fit": op8_best_fit,
     "op10_gated_lm": op10_gated_lm,

@@ -27,17 +27,15 @@ from pyspark.sql import types as T
 from shotweave.llm.arrays import (
     blocks, byte_values, columns, from_columns, mix, ragged, sliding_min, text_buffer, window_hashes,
 )
+from shotweave.llm.groups import BLOBS, blob_rows, group_count
 
 #: Bytes of the grams that route contexts.
 GRAM = 32
-#: UTF-8 bytes of text in one group of documents.
-GROUP_BYTES = 8 << 20
 #: Suffixes sorted at once; contexts of one gram stay together.
 SORTED = 1 << 19
 
 _POSITION = np.uint64((1 << 24) - 1)
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))
-_BLOB = "bucket int, blob binary"
 
 
 def contexts(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -151,13 +149,6 @@ def _by_bucket(bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, l
         yield int(bucket[a]), [array[order[a:b]] for array in arrays]
 
 
-def _rows(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([b for b, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())],
-        names=["bucket", "blob"],
-    )
-
-
 def _joined(blobs: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate(parts) for parts in zip(*map(from_columns, blobs))]
 
@@ -185,18 +176,15 @@ def remove_repeats(df: DataFrame, doc_id: str, text: str, length: int = 100) ->
     clash = [c for c in df.columns if c in ("kept", "spans") or c.startswith("__")]
     if clash:
         raise ValueError(f"columns {clash} are reserved")
-    spark = df.sparkSession
-    total = df.agg(F.sum(F.octet_length(df[text]))).first()[0] or 0
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = max(-(-int(total) // GROUP_BYTES), 2 * partitions)
+    groups = group_count(df, text)
     content, names = F.coalesce(df[text], F.lit("")), df.columns
     docs = df.select(
         *[df[c] for c in df.columns],
         F.coalesce(df[doc_id].cast("bigint"), F.lit(-(2**63))).alias("__id"),
         F.xxhash64(content).alias("__copy"),
-        F.pmod(F.xxhash64(df[doc_id]), F.lit(groups)).cast("int").alias("bucket"),
+        F.pmod(F.xxhash64(df[doc_id]), F.lit(groups)).cast("int").alias("__bucket"),
     )
-    brief = docs.select("__id", "__copy", "bucket", df[text].alias("__text"))
+    brief = docs.select("__id", "__copy", "__bucket", df[text].alias("__text"))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,7 +195,7 @@ def remove_repeats(df: DataFrame, doc_id: str, text: str, length: int = 100) ->
                 parts.append((key, ids[row], copies[row], bucket[row], (first - offsets[row]).astype(np.int32), count.astype(np.uint8)))
             if parts:
                 key, *rest = map(np.concatenate, zip(*parts))
-                yield _rows([(b, columns(*a)) for b, a in _by_bucket(key % np.uint64(groups), key, *rest)])
+                yield blob_rows([(b, columns(*a)) for b, a in _by_bucket(key % np.uint64(groups), key, *rest)])
 
     def met(table: pa.Table) -> pa.Table:
         key, ids, copies, bucket, first, count = _joined(table["blob"].to_pylist())
@@ -217,12 +205,12 @@ def remove_repeats(df: DataFrame, doc_id: str, text: str, length: int = 100) ->
         again = order[np.append(equal, False) | np.append(False, equal)]
         again.sort()
         return pa.Table.from_batches(
-            [_rows([(b, columns(*a)) for b, a in _by_bucket(bucket[again], key[again], ids[again], copies[again], first[again], count[again])])]
+            [blob_rows([(b, columns(*a)) for b, a in _by_bucket(bucket[again], key[again], ids[again], copies[again], first[again], count[again])])]
         )
 
     def send(docs_table: pa.Table, blobs: pa.Table) -> pa.Table:
         if not blobs.num_rows or not docs_table.num_rows:
-            return pa.Table.from_batches([_rows([])])
+            return pa.Table.from_batches([blob_rows([])])
         raw, offsets = text_buffer(docs_table["__text"].combine_chunks())
         key, ids, copies, first, count = _joined(blobs["blob"].to_pylist())
         begin = offsets[:-1][_row_of(docs_table, ids, copies)] + first
@@ -243,7 +231,7 @@ def remove_repeats(df: DataFrame, doc_id: str, text: str, length: int = 100) ->
                 following.append(i)
         found = []
         lead = np.array(leading, np.int64)
-        own = int(docs_table["bucket"][0].as_py())
+        own = int(docs_table["__bucket"][0].as_py())
         for b, (members,) in _by_bucket(key[lead] % np.uint64(groups), lead):
             sizes = count[members].astype(np.int64) + (length - 1)
             body = raw[ragged(begin[members], sizes)]
@@ -253,7 +241,7 @@ def remove_repeats(df: DataFrame, doc_id: str, text: str, length: int = 100) ->
             rest = np.array(following, np.int64)
             spans = columns(ids[rest], copies[rest], first[rest].astype(np.int64), first[rest] + count[rest].astype(np.int64))
             found.append((own, b"\1" + spans))
-        return pa.Table.from_batches([_rows(found)])
+        return pa.Table.from_batches([blob_rows(found)])
 
     def judge(table: pa.Table) -> pa.Table:
         own = int(table["bucket"][0].as_py())
@@ -287,7 +275,7 @@ def remove_repeats(df: DataFrame, doc_id: str, text: str, length: int = 100) ->
                 at = np.cumsum(sizes[part]) - sizes[part]
                 flags = repeats(data, at, count[part], length)
                 out += _runs(flags, part, ids, copies, bucket, first, count)
-        return pa.Table.from_batches([_rows(out)])
+        return pa.Table.from_batches([blob_rows(out)])
 
     def cut_out(docs_table: pa.Table, blobs: pa.Table) -> pa.Table:
         raw, offsets = text_buffer(docs_table[text].combine_chunks())
@@ -299,35 +287,43 @@ def remove_repeats(df: DataFrame, doc_id: str, text: str, length: int = 100) ->
                 begin = offsets[:-1][rows[hit]]
                 np.add.at(cover, begin + first[hit], 1)
                 np.add.at(cover, begin + stop[hit] + (length - 1), -1)
-        gone = np.cumsum(cover[:-1]) > 0
-        edge = np.zeros(len(raw) + 1, bool)
-        edge[offsets] = True
-        start = gone.copy()
-        start[1:] &= ~gone[:-1] | edge[1:-1]
-        end = gone.copy()
-        end[:-1] &= ~gone[1:] | edge[1:-1]
-        start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
-        owner = np.searchsorted(offsets, start, "right") - 1
-        spans = pa.ListArray.from_arrays(
-            pa.array(np.searchsorted(start, offsets), pa.int32()),
-            pa.StructArray.from_arrays(
-                [pa.array(start - offsets[owner], pa.int64()), pa.array(end - start, pa.int64())], names=["start", "length"]
-            ),
-        )
-        kept_before = np.zeros(len(raw) + 1, np.int64)
-        np.cumsum(~gone, out=kept_before[1:])
-        left, at = raw[~gone].tobytes(), kept_before[offsets].tolist()
-        kept = pa.array([left[a:b] for a, b in zip(at, at[1:])], pa.binary())
-        table = docs_table.select(names)
-        return table.append_column("kept", kept).append_column("spans", spans)
-
-    noted = brief.mapInArrow(grams, _BLOB).groupBy("bucket").applyInArrow(met, _BLOB)
+        return removed_columns(docs_table.select(names), raw, offsets, np.cumsum(cover[:-1]) > 0)
+
+    noted = brief.mapInArrow(grams, BLOBS).groupBy("bucket").applyInArrow(met, BLOBS)
     # Both cogroups read one exchange of the texts.
     named = docs.withColumn("__text", F.col(text))
-    sent = named.groupBy("bucket").cogroup(noted.groupBy("bucket")).applyInArrow(send, _BLOB)
-    judged = sent.groupBy("bucket").applyInArrow(judge, _BLOB)
+    sent = named.groupBy("__bucket").cogroup(noted.groupBy("bucket")).applyInArrow(send, BLOBS)
+    judged = sent.groupBy("bucket").applyInArrow(judge, BLOBS)
     schema = T.StructType([*df.schema.fields, T.StructField("kept", T.BinaryType()), T.StructField("spans", _SPANS)])
-    return named.groupBy("bucket").cogroup(judged.groupBy("bucket")).applyInArrow(cut_out, schema)
+    return named.groupBy("__bucket").cogroup(judged.groupBy("bucket")).applyInArrow(cut_out, schema)
+
+
+def removed_columns(
+    table: pa.Table, raw: np.ndarray, offsets: np.ndarray, gone: np.ndarray, least: int = 1
+) -> pa.Table:
+    """Add ``kept`` and ``spans`` for the bytes marked as gone, in runs of ``least`` or more."""
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[offsets] = True
+    start, end = gone.copy(), gone.copy()
+    start[1:] &= ~gone[:-1] | edge[1:-1]
+    end[:-1] &= ~gone[1:] | edge[1:-1]
+    start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
+    if least > 1:
+        short = end - start < least
+        gone[ragged(start[short], (end - start)[short])] = False
+        start, end = start[~short], end[~short]
+    owner = np.searchsorted(offsets, start, "right") - 1
+    spans = pa.ListArray.from_arrays(
+        pa.array(np.searchsorted(start, offsets), pa.int32()),
+        pa.StructArray.from_arrays(
+            [pa.array(start - offsets[owner], pa.int64()), pa.array(end - start, pa.int64())], names=["start", "length"]
+        ),
+    )
+    before = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum(~gone, out=before[1:])
+    left, at = raw[~gone].tobytes(), before[offsets].tolist()
+    kept = pa.array([left[a:b] for a, b in zip(at, at[1:])], pa.binary())
+    return table.append_column("kept", kept).append_column("spans", spans)
 
 
 def _identity(ids: np.ndarray, copies: np.ndarray) -> np.ndarray:
