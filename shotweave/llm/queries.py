@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotweave.llm import byte_pairs, chunks, exact, language, order_minhash, packing, quality, shards, suffix
+from shotweave.llm import byte_pairs, chunks, exact, language, near, order_minhash, packing, quality, shards, suffix
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op8_best_fit(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_documents(spark, sf), "doc_id", "text", capacity=1024)
 
 
+def op9_chosen_path(spark: SparkSession, sf: str) -> DataFrame:
+    return near.near_groups(_documents(spark, sf), "doc_id", "text")
+
+
 def op10_gated_lm(spark: SparkSession, sf: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     return language.log_likelihoods(_documents(spark, sf), "doc_id", "text", held_out)
@@ -69,6 +73,7 @@ QUERIES = {
     "op6_site_quality": op6_site_quality,
     "op7_byte_shards": op7_byte_shards,
     "op8_best_fit": op8_best_fit,
+    "op9_chosen_path": op9_chosen_path,
     "op10_gated_lm": op10_gated_lm,
 }
 
