@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shotweave.llm.filters import without
 from shotweave.storage import materialise
 
 
@@ -84,5 +85,4 @@ def _regrouped(digests, groups, members, collided, best) -> DataFrame:
 
 def drop_exact_copies(df: DataFrame, doc_id: str, text: str, keep: str = "min") -> DataFrame:
     """The rows of ``df`` that stay, with all their columns; ids must be unique."""
-    gone = exact_groups(df, doc_id, text, keep).where("NOT kept").select(F.col("doc_id").alias("__gone"))
-    return df.join(materialise(gone, "copies"), df[doc_id] == F.col("__gone"), "left_anti")
+    return without(df, doc_id, exact_groups(df, doc_id, text, keep).where("NOT kept"))
