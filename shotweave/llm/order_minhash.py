@@ -25,6 +25,8 @@ WIDTH, CHOSEN, FUNCTIONS = 8, 2, 32
 
 _FACTORS = mix(np.arange(1, FUNCTIONS + 1, dtype=np.uint64)) | np.uint64(1)
 _NEXT = np.uint64(0x9E3779B97F4A7C15)
+#: The low bits of a k-mer's hash, which make room for its place when sorted.
+_PLACE = np.uint64((1 << 24) - 1)
 
 
 def kmers(text: str) -> np.ndarray:
@@ -37,10 +39,12 @@ def _numbered(head: np.ndarray, tail: np.ndarray, other: np.ndarray) -> np.ndarr
     """Hashes with occurrence numbers of head + tail, then those of ``other`` as in head + other."""
     joined = np.concatenate([head, tail, other])
     n = len(joined)
-    place = np.uint64((1 << max(n, 2).bit_length()) - 1)
-    ordered = np.sort((joined & ~place) | np.arange(n, dtype=np.uint64))
-    at = (ordered & place).astype(np.int64)
-    value = ordered & ~place
+    if n <= int(_PLACE):
+        ordered = np.sort((joined & ~_PLACE) | np.arange(n, dtype=np.uint64))
+        at, value = (ordered & _PLACE).astype(np.int64), ordered & ~_PLACE
+    else:
+        at = np.argsort(joined & ~_PLACE, kind="stable")
+        value = joined[at] & ~_PLACE
     start = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
     first = np.repeat(start, np.diff(np.append(start, n)))
     number = np.arange(n) - first
