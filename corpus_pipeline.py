@@ -8,30 +8,29 @@ from pyspark.sql import functions as F
 
 from shotweave.llm import exact, near, packing, quality, suffix
 from shotweave.llm.filters import without
+from shotweave.llm.groups import fresh
 from shotweave.session import ship
 from shotweave.storage import materialise
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     judged = quality.site_quality(docs, labels, "doc_id", "text", "source", ["lang"])
-    return without(docs, "doc_id", judged.where("NOT kept")).select(COLUMNS)
+    return without(docs, "doc_id", judged.where("NOT kept"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the smallest id."""
     ship(spark)
-    return exact.drop_exact_copies(docs, "doc_id", "text", keep="min").select(COLUMNS)
+    return exact.drop_exact_copies(docs, "doc_id", "text", keep="min")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
     ship(spark)
-    return without(docs, "doc_id", near.near_groups(docs, "doc_id", "text").where("NOT kept")).select(COLUMNS)
+    return without(docs, "doc_id", near.near_groups(docs, "doc_id", "text").where("NOT kept"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,13 +41,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def whole_characters(kept: pd.Series) -> pd.Series:
         return kept.map(lambda data: data.decode("utf-8", "ignore"))
 
-    cut = suffix.remove_repeats(docs.select(COLUMNS), "doc_id", "text", length=100)
-    changed = F.size("spans") > 0
-    text = F.when(changed, whole_characters("kept")).otherwise(F.col("text"))
-    return cut.select("doc_id", text.alias("text"), "lang", "source", "n_chars", changed.alias("changed")).select(
-        "doc_id", "text", "lang", "source",
-        F.when(F.col("changed"), F.char_length("text").cast("bigint")).otherwise(F.col("n_chars")).alias("n_chars"),
-    )
+    kept, spans = fresh(docs, "kept", "spans")
+    cut = suffix.remove_repeats(docs, "doc_id", "text", length=100, kept=kept, spans=spans)
+    changed = F.size(spans) > 0
+    text = F.when(changed, whole_characters(kept)).otherwise(F.col("text"))
+    count = F.when(changed, F.char_length(text).cast("bigint")).otherwise(F.col("n_chars"))
+    return cut.withColumns({"text": text, "n_chars": count}).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -251,11 +251,10 @@ def _tools(key: str, shared) -> tuple[PieceEncoder, Decoder]:
 def encode(df: DataFrame, text: str, path: str | None = None, ids: str = "ids") -> DataFrame:
     """Add the token ids of a whole text as ARRAY<INT>; null and empty give [].
 
-    Needs no shuffle.  Other columns pass unchanged; one that is already called
-    ``ids`` is an error.
+    Needs no shuffle.  Other columns pass unchanged; one that already has the name
+    of the new one is replaced.
     """
-    if ids in df.columns:
-        raise ValueError(f"column {ids} exists already")
+    df = df.drop(ids) if ids in df.columns and ids != text else df
     shared, key = _shared(df, path)
     schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
@@ -273,9 +272,11 @@ def encode(df: DataFrame, text: str, path: str | None = None, ids: str = "ids")
 
 
 def decode(df: DataFrame, ids: str, path: str | None = None, data: str = "decoded") -> DataFrame:
-    """Add the bytes of ARRAY<INT> ids as BINARY; null and [] give no bytes."""
-    if data in df.columns:
-        raise ValueError(f"column {data} exists already")
+    """Add the bytes of ARRAY<INT> ids as BINARY; null and [] give no bytes.
+
+    A column that already has the name of the new one is replaced.
+    """
+    df = df.drop(data) if data in df.columns and data != ids else df
     shared, key = _shared(df, path)
     schema = T.StructType([*df.schema.fields, T.StructField(data, T.BinaryType())])
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shotweave.llm.arrays import blocks, columns, from_columns, mix, ragged, text_buffer
-from shotweave.llm.groups import BLOBS, blob_rows, group_count
-from shotweave.llm.suffix import _by_bucket, _joined, _rows_of, removed_columns
+from shotweave.llm.groups import BLOBS, blob_rows, fresh, group_count
+from shotweave.llm.suffix import SPANS, _by_bucket, _joined, _rows_of, removed_columns
 
 #: Shortest and longest chunk in bytes, and bits that are zero at its end.
 SHORTEST, LONGEST, BITS = 16, 128, 5
@@ -78,7 +78,7 @@ def chunk_ends(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.array(ends, np.int64), np.array(owner, np.int64)
 
 
-def remove_chunks(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+def remove_chunks(df: DataFrame, doc_id: str, text: str, kept: str = "kept", spans: str = "spans") -> DataFrame:
     """Cut chunks that an earlier text, or the same one, has had already.
 
     Returns the rows and columns of ``df`` with ``kept``, the bytes that stay,
@@ -92,19 +92,17 @@ def remove_chunks(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     Null text is empty; a null id comes first; rows of the same id are told
     apart by their text, equal ones get the same result; an empty table gives no
-    rows.  Columns called kept or spans, or beginning with two underscores, are
-    an error.
+    rows.  Columns of ``df`` with the names of the two new ones are replaced.
     """
-    clash = [c for c in df.columns if c in ("kept", "spans") or c.startswith("__")]
-    if clash:
-        raise ValueError(f"columns {clash} are reserved")
+    df = df.drop(*[c for c in (kept, spans) if c in df.columns and c not in (doc_id, text)])
+    own_id, own_copy, own_bucket = fresh(df, "id_of_text", "copy_of_text", "bucket_of_text")
     groups, names = group_count(df, text), df.columns
     content = F.coalesce(df[text], F.lit(""))
     docs = df.select(
         *[df[c] for c in names],
-        F.coalesce(df[doc_id].cast("bigint"), F.lit(-(2**63))).alias("__id"),
-        F.xxhash64(content).alias("__copy"),
-        F.pmod(F.xxhash64(df[doc_id]), F.lit(groups)).cast("int").alias("__bucket"),
+        F.coalesce(df[doc_id].cast("bigint"), F.lit(-(2**63))).alias(own_id),
+        F.hash(content).cast("bigint").alias(own_copy),
+        F.pmod(F.xxhash64(df[doc_id]), F.lit(groups)).cast("int").alias(own_bucket),
     )
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,16 +162,15 @@ def remove_chunks(df: DataFrame, doc_id: str, text: str) -> DataFrame:
         cover = np.zeros(len(raw) + 1, np.int32)
         if blobs.num_rows and docs_table.num_rows:
             name, copy, begin, size = _joined(blobs["blob"].to_pylist())
-            for rows in _rows_of(docs_table, name, copy):
+            for rows in _rows_of(docs_table[own_id], docs_table[own_copy], name, copy):
                 hit = rows >= 0
                 at = offsets[:-1][rows[hit]] + begin[hit]
                 np.add.at(cover, at, 1)
                 np.add.at(cover, at + size[hit], -1)
         gone = np.cumsum(cover[:-1]) > 0
-        return removed_columns(docs_table.select(names), raw, offsets, gone, LEAST_RUN)
+        return removed_columns(docs_table.select(names), raw, offsets, gone, (kept, spans), LEAST_RUN)
 
-    brief = docs.select("__id", "__copy", "__bucket", df[text].alias("__text"))
+    brief = docs.select(own_id, own_copy, own_bucket, df[text])
     judged = brief.mapInArrow(send, BLOBS).groupBy("bucket").applyInArrow(judge, BLOBS)
-    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])
-    schema = T.StructType([*df.schema.fields, T.StructField("kept", T.BinaryType()), T.StructField("spans", T.ArrayType(span))])
-    return docs.groupBy("__bucket").cogroup(judged.groupBy("bucket")).applyInArrow(cut_out, schema)
+    schema = T.StructType([*df.schema.fields, T.StructField(kept, T.BinaryType()), T.StructField(spans, SPANS)])
+    return docs.groupBy(own_bucket).cogroup(judged.groupBy("bucket")).applyInArrow(cut_out, schema)

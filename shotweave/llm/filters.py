@@ -13,5 +13,6 @@ def without(df: DataFrame, doc_id: str, gone: DataFrame, gone_id: str = "doc_id"
 
     The ids are written and merge-joined, which costs the same at every size.
     """
-    ids = materialise(gone.select(F.col(gone_id).alias("__gone")).distinct(), "gone")
-    return df.join(ids.hint("merge"), df[doc_id].eqNullSafe(F.col("__gone")), "left_anti")
+    ids = materialise(gone.select(F.col(gone_id).alias("gone")).distinct(), "gone")
+    ids = ids.hint("merge")
+    return df.join(ids, df[doc_id].eqNullSafe(ids["gone"]), "left_anti")

@@ -22,6 +22,18 @@ def group_count(df: DataFrame, text: str) -> int:
     return max(-(-int(total) // GROUP_BYTES), 2 * partitions)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores in front until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def blob_rows(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array([b for b, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())],

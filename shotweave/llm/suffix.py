@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from shotweave.llm.arrays import (
     blocks, byte_values, columns, from_columns, mix, ragged, sliding_min, text_buffer, window_hashes,
 )
-from shotweave.llm.groups import BLOBS, blob_rows, group_count
+from shotweave.llm.groups import BLOBS, blob_rows, fresh, group_count
 
 #: Bytes of the grams that route contexts.
 GRAM = 32
@@ -35,7 +35,7 @@ GRAM = 32
 SORTED = 1 << 19
 
 _POSITION = np.uint64((1 << 24) - 1)
-_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))
 
 
 def contexts(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -149,11 +149,37 @@ def _by_bucket(bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, l
         yield int(bucket[a]), [array[order[a:b]] for array in arrays]
 
 
+def _packed(arrays: list[np.ndarray]) -> bytes:
+    """Arrays as bytes; all but the hashes in front are compressed, the bytes of a
+    number's place together."""
+    key, *rest = arrays
+    rest = [a if a.itemsize == 1 else a.view(np.uint8).reshape(-1, a.itemsize).T.ravel() for a in map(np.ascontiguousarray, rest)]
+    kinds = "".join(a.dtype.char for a in arrays[1:]).encode()
+    plain = columns(*rest)
+    head = columns(key, np.frombuffer(kinds, np.uint8))
+    return len(head).to_bytes(8, "little") + len(plain).to_bytes(8, "little") + head + pa.compress(plain, "zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes) -> list[np.ndarray]:
+    head, plain = (int.from_bytes(blob[i : i + 8], "little") for i in (0, 8))
+    key, kinds = from_columns(blob[16 : 16 + head])
+    rest = from_columns(pa.decompress(blob[16 + head :], plain, "zstd", asbytes=True))
+    out = [key]
+    for array, kind in zip(rest, kinds.tobytes().decode()):
+        kind = np.dtype(kind)
+        if kind.itemsize > 1:
+            array = np.ascontiguousarray(array.reshape(kind.itemsize, -1).T).view(kind).ravel()
+        out.append(array)
+    return out
+
+
 def _joined(blobs: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate(parts) for parts in zip(*map(from_columns, blobs))]
 
 
-def remove_repeats(df: DataFrame, doc_id: str, text: str, length: int = 100) -> DataFrame:
+def remove_repeats(
+    df: DataFrame, doc_id: str, text: str, length: int = 100, kept: str = "kept", spans: str = "spans"
+) -> DataFrame:
     """Cut every ``length``-byte string that starts earlier as well out of the texts.
 
     Returns the rows and columns of ``df`` with two more: ``kept``, the bytes
@@ -165,26 +191,25 @@ def remove_repeats(df: DataFrame, doc_id: str, text: str, length: int = 100) ->
     Texts are UTF-8 bytes, null is empty, and what is shorter than ``length``
     is left alone.  A null id comes before all others.  Rows with the same id
     are told apart by their text; rows equal in both are one document, and each
-    gets its result.  An empty table gives no rows.  ``df`` must not have
-    columns called kept or spans, or names beginning with two underscores.
+    gets its result.  An empty table gives no rows.  Columns of ``df`` with the
+    names of the two new ones are replaced, all others pass unchanged.
 
     Four passes, each over groups of bounded size: grams (one blob per batch and
     bucket), the places of grams met twice, their contexts, and the flags.
     Equal contexts are combined in each group of documents before they are sent,
     so a passage in a third of all documents is one row per group.
     """
-    clash = [c for c in df.columns if c in ("kept", "spans") or c.startswith("__")]
-    if clash:
-        raise ValueError(f"columns {clash} are reserved")
+    df = df.drop(*[c for c in (kept, spans) if c in df.columns and c not in (doc_id, text)])
+    own_id, own_copy, own_bucket = fresh(df, "id_of_text", "copy_of_text", "bucket_of_text")
     groups = group_count(df, text)
     content, names = F.coalesce(df[text], F.lit("")), df.columns
     docs = df.select(
         *[df[c] for c in df.columns],
-        F.coalesce(df[doc_id].cast("bigint"), F.lit(-(2**63))).alias("__id"),
-        F.xxhash64(content).alias("__copy"),
-        F.pmod(F.xxhash64(df[doc_id]), F.lit(groups)).cast("int").alias("__bucket"),
+        F.coalesce(df[doc_id].cast("bigint"), F.lit(-(2**63))).alias(own_id),
+        F.hash(content).cast("bigint").alias(own_copy),
+        F.pmod(F.xxhash64(df[doc_id]), F.lit(groups)).cast("int").alias(own_bucket),
     )
-    brief = docs.select("__id", "__copy", "__bucket", df[text].alias("__text"))
+    brief = docs.select(own_id, own_copy, own_bucket, df[text])
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,25 +220,25 @@ def remove_repeats(df: DataFrame, doc_id: str, text: str, length: int = 100) ->
                 parts.append((key, ids[row], copies[row], bucket[row], (first - offsets[row]).astype(np.int32), count.astype(np.uint8)))
             if parts:
                 key, *rest = map(np.concatenate, zip(*parts))
-                yield blob_rows([(b, columns(*a)) for b, a in _by_bucket(key % np.uint64(groups), key, *rest)])
+                yield blob_rows([(b, _packed(a)) for b, a in _by_bucket(key % np.uint64(groups), key, *rest)])
 
     def met(table: pa.Table) -> pa.Table:
-        key, ids, copies, bucket, first, count = _joined(table["blob"].to_pylist())
+        key, ids, copies, bucket, first, count = map(np.concatenate, zip(*map(_unpacked, table["blob"].to_pylist())))
         order = np.argsort(key)
         ordered = key[order]
         equal = ordered[1:] == ordered[:-1]
         again = order[np.append(equal, False) | np.append(False, equal)]
         again.sort()
         return pa.Table.from_batches(
-            [blob_rows([(b, columns(*a)) for b, a in _by_bucket(bucket[again], key[again], ids[again], copies[again], first[again], count[again])])]
+            [blob_rows([(b, _packed(a)) for b, a in _by_bucket(bucket[again], key[again], ids[again], copies[again], first[again], count[again])])]
         )
 
     def send(docs_table: pa.Table, blobs: pa.Table) -> pa.Table:
         if not blobs.num_rows or not docs_table.num_rows:
             return pa.Table.from_batches([blob_rows([])])
-        raw, offsets = text_buffer(docs_table["__text"].combine_chunks())
-        key, ids, copies, first, count = _joined(blobs["blob"].to_pylist())
-        begin = offsets[:-1][_row_of(docs_table, ids, copies)] + first
+        raw, offsets = text_buffer(docs_table[text].combine_chunks())
+        key, ids, copies, first, count = map(np.concatenate, zip(*map(_unpacked, blobs["blob"].to_pylist())))
+        begin = offsets[:-1][_row_of(docs_table[own_id], docs_table[own_copy], ids, copies)] + first
         order = np.lexsort((first, copies, ids))
         data = raw.tobytes()
         seen: dict[bytes, int] = {}
@@ -231,12 +256,12 @@ def remove_repeats(df: DataFrame, doc_id: str, text: str, length: int = 100) ->
                 following.append(i)
         found = []
         lead = np.array(leading, np.int64)
-        own = int(docs_table["__bucket"][0].as_py())
+        own = int(docs_table[own_bucket][0].as_py())
         for b, (members,) in _by_bucket(key[lead] % np.uint64(groups), lead):
             sizes = count[members].astype(np.int64) + (length - 1)
             body = raw[ragged(begin[members], sizes)]
-            packed = columns(key[members], ids[members], copies[members], np.full(len(members), own, np.int32), first[members], count[members], body)
-            found.append((b, b"\0" + len(packed).to_bytes(8, "little") + pa.compress(packed, "zstd", asbytes=True)))
+            who = np.full(len(members), own, np.int32)
+            found.append((b, b"\0" + _packed([key[members], ids[members], copies[members], who, first[members], count[members], body])))
         if following:
             rest = np.array(following, np.int64)
             spans = columns(ids[rest], copies[rest], first[rest].astype(np.int64), first[rest] + count[rest].astype(np.int64))
@@ -250,10 +275,9 @@ def remove_repeats(df: DataFrame, doc_id: str, text: str, length: int = 100) ->
             if blob[0] == 1:
                 out.append((own, blob[1:]))
             else:
-                size = int.from_bytes(blob[1:9], "little")
-                sent.append(pa.decompress(blob[9:], size, "zstd", asbytes=True))
+                sent.append(_unpacked(blob[1:]))
         if sent:
-            key, ids, copies, bucket, first, count, body = _joined(sent)
+            key, ids, copies, bucket, first, count, body = map(np.concatenate, zip(*sent))
             count = count.astype(np.int64)
             sizes = count + (length - 1)
             begin = np.cumsum(sizes) - sizes
@@ -282,26 +306,26 @@ def remove_repeats(df: DataFrame, doc_id: str, text: str, length: int = 100) ->
         cover = np.zeros(len(raw) + 1, np.int32)
         if blobs.num_rows and docs_table.num_rows:
             ids, copies, first, stop = _joined(blobs["blob"].to_pylist())
-            for rows in _rows_of(docs_table, ids, copies):
+            for rows in _rows_of(docs_table[own_id], docs_table[own_copy], ids, copies):
                 hit = rows >= 0
                 begin = offsets[:-1][rows[hit]]
                 np.add.at(cover, begin + first[hit], 1)
                 np.add.at(cover, begin + stop[hit] + (length - 1), -1)
-        return removed_columns(docs_table.select(names), raw, offsets, np.cumsum(cover[:-1]) > 0)
+        return removed_columns(docs_table.select(names), raw, offsets, np.cumsum(cover[:-1]) > 0, (kept, spans))
 
     noted = brief.mapInArrow(grams, BLOBS).groupBy("bucket").applyInArrow(met, BLOBS)
     # Both cogroups read one exchange of the texts.
-    named = docs.withColumn("__text", F.col(text))
-    sent = named.groupBy("__bucket").cogroup(noted.groupBy("bucket")).applyInArrow(send, BLOBS)
+    sent = docs.groupBy(own_bucket).cogroup(noted.groupBy("bucket")).applyInArrow(send, BLOBS)
     judged = sent.groupBy("bucket").applyInArrow(judge, BLOBS)
-    schema = T.StructType([*df.schema.fields, T.StructField("kept", T.BinaryType()), T.StructField("spans", _SPANS)])
-    return named.groupBy("__bucket").cogroup(judged.groupBy("bucket")).applyInArrow(cut_out, schema)
+    schema = T.StructType([*df.schema.fields, T.StructField(kept, T.BinaryType()), T.StructField(spans, SPANS)])
+    return docs.groupBy(own_bucket).cogroup(judged.groupBy("bucket")).applyInArrow(cut_out, schema)
 
 
 def removed_columns(
-    table: pa.Table, raw: np.ndarray, offsets: np.ndarray, gone: np.ndarray, least: int = 1
+    table: pa.Table, raw: np.ndarray, offsets: np.ndarray, gone: np.ndarray, names: tuple[str, str],
+    least: int = 1,
 ) -> pa.Table:
-    """Add ``kept`` and ``spans`` for the bytes marked as gone, in runs of ``least`` or more."""
+    """Add the kept bytes and the spans of the bytes marked as gone, in runs of ``least`` or more."""
     edge = np.zeros(len(raw) + 1, bool)
     edge[offsets] = True
     start, end = gone.copy(), gone.copy()
@@ -323,7 +347,7 @@ def removed_columns(
     np.cumsum(~gone, out=before[1:])
     left, at = raw[~gone].tobytes(), before[offsets].tolist()
     kept = pa.array([left[a:b] for a, b in zip(at, at[1:])], pa.binary())
-    return table.append_column("kept", kept).append_column("spans", spans)
+    return table.append_column(names[0], kept).append_column(names[1], spans)
 
 
 def _identity(ids: np.ndarray, copies: np.ndarray) -> np.ndarray:
@@ -332,17 +356,17 @@ def _identity(ids: np.ndarray, copies: np.ndarray) -> np.ndarray:
     return both
 
 
-def _row_of(docs: pa.Table, ids: np.ndarray, copies: np.ndarray) -> np.ndarray:
+def _row_of(own_ids, own_copies, ids: np.ndarray, copies: np.ndarray) -> np.ndarray:
     """A row of each document named."""
-    there = _identity(np.asarray(docs["__id"]), np.asarray(docs["__copy"]))
+    there = _identity(np.asarray(own_ids), np.asarray(own_copies))
     order = np.lexsort((there["copy"], there["id"]))
     wanted, inverse = np.unique(_identity(ids, copies), return_inverse=True)
     return order[np.searchsorted(there[order], wanted)][inverse]
 
 
-def _rows_of(docs: pa.Table, ids: np.ndarray, copies: np.ndarray) -> Iterator[np.ndarray]:
+def _rows_of(own_ids, own_copies, ids: np.ndarray, copies: np.ndarray) -> Iterator[np.ndarray]:
     """Rows of each document named: first ones, then further equal rows, -1 for none."""
-    there = _identity(np.asarray(docs["__id"]), np.asarray(docs["__copy"]))
+    there = _identity(np.asarray(own_ids), np.asarray(own_copies))
     order = np.lexsort((there["copy"], there["id"]))
     ordered = there[order]
     wanted, inverse = np.unique(_identity(ids, copies), return_inverse=True)
