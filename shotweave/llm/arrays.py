@@ -57,16 +57,19 @@ def byte_values() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
+def _short_powers(base: int) -> np.ndarray:
+    return _powers(BLOCK, base)
+
+
 def _powers(length: int, base: int) -> np.ndarray:
     powers = np.full(length, base, np.uint64)
-    powers[0] = 1
+    powers[:1] = 1
     return np.multiply.accumulate(powers)
 
 
 def _powers_to(length: int, base: int) -> np.ndarray:
-    size = 1 << max(12, int(length).bit_length())
-    return _powers(size, base)[:length]
+    return _short_powers(base)[:length] if length <= BLOCK else _powers(length, base)
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -40,7 +40,7 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     start[1:] &= ~word[:-1] | cut[1:-1]
     stop[:-1] &= ~word[1:] | cut[1:-1]
     start, stop = np.flatnonzero(start), np.flatnonzero(stop) + 1
-    keys = span_hashes(byte_values()[lower], start, stop)
+    keys = _word_hashes(lower, start, stop)
     tail = lower[stop - 1].astype(np.uint64)
     for back in (2, 3):
         tail = tail << np.uint64(8) | np.where(stop - back >= start, lower[np.maximum(stop - back, 0)], 0).astype(np.uint64)
@@ -55,6 +55,17 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return out, cue, at
 
 
+def _word_hashes(lower: np.ndarray, start: np.ndarray, stop: np.ndarray, size: int = 1 << 20) -> np.ndarray:
+    """Hashes of words, a stretch of text at a time: they take 40 times its room."""
+    keys, i = np.zeros(len(start), np.uint64), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(stop, start[i] + size, "right")))
+        begin = start[i]
+        keys[i:j] = span_hashes(byte_values()[lower[begin : stop[j - 1]]], start[i:j] - begin, stop[i:j] - begin)
+        i = j
+    return keys
+
+
 def _by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of ascending keys by part, and where each part begins."""
     part = (keys % np.uint64(parts)).astype(np.int64)
