@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.common import (
-    CLEANED, LABELLED, PARTS, Query, SPLIT, busy_documents, documents, h, key, labelled, parts, split_of, table,
+    CLEANED, LABELLED, PARTS, Query, SPLIT, documents, h, key, labelled, parts, split_of, table,
 )
 from shotweave.functions.hashing import portable_hash
 from shotweave.functions.text import format_label, label_text, retrieval_text, rotations
@@ -60,7 +60,7 @@ def record_lists(spark, sf):
     lists = numbered.groupBy(F.expr("ordinal div 500")).agg(F.to_json(F.collect_list(one)).alias("value"))
     lists.select("value").write.option("maxRecordsPerFile", 1).text(path)
     records, _ = read_records(spark, [f"{path}/*.txt", f"{path}/part-*"])
-    return records
+    return records.drop("other", "row_id")
 
 
 def record_lines(spark, sf):
@@ -95,11 +95,11 @@ def whole_labels(spark, sf):
 
 
 def keys(spark, sf):
-    return with_canonical_key(busy_documents(spark, sf), "text").select("row_id", "canonical_key")
+    return with_canonical_key(documents(spark, sf), "text").select("row_id", "canonical_key")
 
 
 def first_rows(spark, sf):
-    d = busy_documents(spark, sf).select("row_id", "text", "source")
+    d = documents(spark, sf).select("row_id", "text", "source")
     return dedup_keep_first(with_canonical_key(d, "text"))
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from shotweave.functions.hashing import portable_hash
 from shotweave.functions.text import words
-from shotweave.storage import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 TASK_TEXT = "decide whether the quality is high"
@@ -23,31 +22,23 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").withColumnRenamed("doc_id", "row_id")
 
 
-def busy_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents for work that is heavy per row."""
-    return spread(documents(spark, sf), "row_id")
-
-
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
     """Classification task: text, source, label."""
     labels = table(spark, sf, "labels").select(F.col("doc_id").alias("row_id"), F.col("quality").alias("label"))
-    texts = spread(documents(spark, sf).select("row_id", "text", "source"), "row_id")
+    texts = documents(spark, sf).select("row_id", "text", "source")
     return texts.join(labels, "row_id")
 
 
 def parts(spark: SparkSession, sf: str) -> DataFrame:
     """Regression task: text, label."""
-    return spread(
-        table(spark, sf, "part").select(
-            F.col("p_partkey").alias("row_id"),
-            F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"),
-            F.col("p_retailprice").alias("label"),
-        ),
-        "row_id",
+    return table(spark, sf, "part").select(
+        F.col("p_partkey").alias("row_id"),
+        F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"),
+        F.col("p_retailprice").alias("label"),
     )
 
 
-ANSWERS = ["Yes", " no.", "YES indeed", "None", "maybe", "", None]
+ANSWERS = ["Yes", " no.", "YES indeed", "None", "maybe", "", None, "\n"]
 NUMBERS = ["12.5", "about -3", ".5e-3", "1e-5", "n/a", ""]
 
 
@@ -166,7 +157,7 @@ PREDICTIONS = f"""predictions AS (
     ['similarity', 'random'][1 + {h("'s:' || event_id")} % 2] AS strategy,
     CASE WHEN {h("'y:' || event_id")} % 3 = 0 THEN ' YES ' ELSE 'No' END AS output,
     value,
-    ['Yes', ' no.', 'YES indeed', 'None', 'maybe', '', NULL][1 + {h("'out:' || event_id")} % 7] AS model_output,
+    ['Yes', ' no.', 'YES indeed', 'None', 'maybe', '', NULL, chr(10)][1 + {h("'out:' || event_id")} % 8] AS model_output,
     ['12.5', 'about -3', '.5e-3', '1e-5', 'n/a', ''][1 + {h("'num:' || event_id")} % 6] AS number_output,
     ({h("'p:' || event_id")} % 101) / 100.0 AS p_yes,
     ({h("'n:' || event_id")} % 101) / 100.0 AS p_no,
@@ -197,13 +188,13 @@ PARTS = """parts AS (
 
 
 def word_mask(text: str, draw: str) -> tuple[str, str]:
-    """SQL of (masked, tag) with word tokens; ``draw`` is the text hashed."""
-    tokens = f"string_split({key(text)}, ' ')"
+    """SQL of (masked, tag) with words that carry the blanks before them."""
+    tokens = rf"regexp_extract_all({text}, '\s*\S+(\s+$)?')"
     at = f"({h(draw)} % len({tokens}))"
     short = f"coalesce(len({tokens}), 0) < 3"
     masked = (
         f"CASE WHEN {short} THEN {text} ELSE array_to_string(list_concat(list_concat("
-        f"{tokens}[1:{at}], ['[MASK]']), {tokens}[{at} + 2:]), ' ') END"
+        f"{tokens}[1:{at}], ['[MASK]']), {tokens}[{at} + 2:]), '') END"
     )
     tag = f"CASE WHEN {short} THEN 'Too_Short_To_Mask' ELSE 'BPE_Token:_' || {tokens}[{at} + 1] END"
     return masked, tag

@@ -5,31 +5,37 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.common import (
-    CONVERSATIONS, PARTS, Query, TASK_TEXT, busy_documents, conversation_records, documents, h, ids, labelled,
+    CONVERSATIONS, PARTS, Query, TASK_TEXT, conversation_records, documents, h, ids, labelled,
     parts, quote, strip, table, word_ids, word_mask,
 )
+from catalog.models import stub_model
 from catalog.similarity import FP, PART_NEAR, neighbours
 from shotweave.functions.prompts import (
     CLASSIFICATION, CLASSIFICATION_SCORING, CLASSIFICATION_TAGGED, REGRESSION,
     REGRESSION_SCORING, SHOTS_TYPE, Wording, classification_prompt, no_shots, regression_prompt,
 )
-from shotweave.functions.text import words
+from shotweave.functions.text import lossless_words
 from shotweave.operators.masking import mask_token
 from shotweave.operators.merge import merge_shuffle
 from shotweave.operators.sft import pad_batches, sft_concat, sft_padded
 from shotweave.plans.records import (
     RecordConfig, build_classification, build_regression, prepare_classification, value_range,
 )
+from shotweave.operators.prefix import global_ordinal
 from shotweave.plans.scoring import (
-    CLASSIFY, CLASSIFY_STRATEGIES, REGRESS, REGRESS_STRATEGIES, scoring_prompts,
+    CLASSIFY, CLASSIFY_STRATEGIES, REGRESS, REGRESS_STRATEGIES, score, scoring_prompts,
 )
-from shotweave.storage import materialise
+from shotweave.sources.records import read_records
+from shotweave.storage import materialise, scratch_path
+
+# Default lengths of the two forms of fine-tuning arrays.
+CONCAT_LENGTH, PADDED_LENGTH = 1024, 512
 
 PRICE_TEXT = "predict the retail price"
 
 
 def masked_words(spark, sf):
-    d = busy_documents(spark, sf).withColumn("tokens", words(F.col("text")))
+    d = documents(spark, sf).withColumn("tokens", lossless_words(F.col("text")))
     return mask_token(d, "text", "tokens", "row_id").select("row_id", "masked", "mask_tag")
 
 
@@ -112,6 +118,54 @@ def _scored_prices(style, shots: int, strategy: str = "similarity") -> Query:
     return run
 
 
+def _list_files(df, *columns: str) -> str:
+    """Write rows as JSON lists of at most 500, files in the order of row_id."""
+    path = scratch_path(df.sparkSession, "lists")
+    numbered = global_ordinal(df, [F.col("row_id")])
+    entry = F.struct("ordinal", F.struct(*columns).alias("record"))
+    lists = numbered.groupBy(F.expr("ordinal div 500").alias("number")).agg(
+        F.to_json(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["record"])).alias("value")
+    )
+    ordered = lists.repartitionByRange("number").sortWithinPartitions("number")
+    ordered.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return f"{path}/part-*"
+
+
+def merged_from_files(spark, sf):
+    """Two sets of record files, one with another name for the source text, merged."""
+    d = documents(spark, sf).select(
+        "row_id", F.lit("read").alias("instruction"), F.col("text").alias("input"), F.col("lang").alias("output"),
+        F.col("source").alias("original_text"), F.col("n_chars").alias("length"),
+    )
+    b = table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("row_id"), F.lit("test").alias("instruction"), F.col("text").alias("input"),
+        F.col("text").alias("original_smiles"),
+    )
+    fields = ("instruction", "input", "output", "original_text", "length")
+    files = [_list_files(d, *fields), _list_files(b, "instruction", "input", "original_smiles")]
+    rows = merge_shuffle([read_records(spark, [pattern])[0] for pattern in files])
+    return rows.select(
+        "row_id", "instruction", "input", "output", "original_text", F.element_at("other", "length").alias("length"), "source_no"
+    )
+
+
+def scored_from_files(spark, sf):
+    """Record files of two splits to prompts."""
+    records = materialise(_class_records(spark, sf, 0), "records")
+    fields = ("instruction", "input", "output", "original_text")
+    test, train = (
+        read_records(spark, [_list_files(records.where(F.col("split") == s), *fields)], on_bad="fail")[0]
+        for s in ("test", "train")
+    )
+    return scoring_prompts(test, train, TASK_TEXT, CLASSIFY, 3).select("instruction", "input", "output")
+
+
+def scored_end_to_end(spark, sf):
+    """Prompts, answers of a model, labels and metrics."""
+    prompts = _scored_classes(CLASSIFY, 3)(spark, sf)
+    return score(prompts, stub_model, CLASSIFY, "quality").metrics
+
+
 def merged(spark, sf):
     d = documents(spark, sf).select("row_id", F.col("text").alias("input"), F.col("lang").alias("output"))
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("row_id"), F.col("text").alias("input"))
@@ -123,18 +177,18 @@ def _joined(df, *columns):
 
 
 def concat_arrays(spark, sf):
-    return _joined(sft_concat(conversation_records(spark, sf), word_ids, 64), "input_ids", "labels")
+    return _joined(sft_concat(conversation_records(spark, sf), word_ids, CONCAT_LENGTH), "input_ids", "labels")
 
 
 def padded_arrays(spark, sf):
     rows = sft_padded(
-        conversation_records(spark, sf), word_ids, 1, F.array(F.lit(2)), 96
+        conversation_records(spark, sf), word_ids, 1, F.array(F.lit(2)), PADDED_LENGTH
     )
     return _joined(rows, "input_ids", "attention_mask", "labels")
 
 
 def padded_batches(spark, sf):
-    rows = sft_concat(conversation_records(spark, sf), word_ids, 64)
+    rows = sft_concat(conversation_records(spark, sf), word_ids, CONCAT_LENGTH)
     rows = pad_batches(rows, 8, 1)
     return rows.select(
         "row_id", "batch_id", F.array_join("input_ids", ",").alias("input_ids"),
@@ -152,9 +206,15 @@ QUERIES: dict[str, Query] = {
     "records_regression": regression_records,
     "scoring_prompts_tagged": _scored_classes(CLASSIFY, 3),
     "scoring_prompts_diversity": _scored_classes(CLASSIFY_STRATEGIES, 4, "diversity"),
+    "scoring_prompts_similarity": _scored_classes(CLASSIFY_STRATEGIES, 2),
+    "scoring_prompts_random_pool": _scored_classes(CLASSIFY_STRATEGIES, 2, "random"),
     "scoring_prompts_regression": _scored_prices(REGRESS, 2),
+    "scoring_prompts_regression_similarity": _scored_prices(REGRESS_STRATEGIES, 2),
     "scoring_prompts_regression_random": _scored_prices(REGRESS_STRATEGIES, 2, "random"),
     "merge_shuffle": merged,
+    "merge_from_files": merged_from_files,
+    "scoring_from_files": scored_from_files,
+    "score_classification": scored_end_to_end,
     "sft_concat": concat_arrays,
     "sft_padded": padded_arrays,
     "pad_batches": padded_batches,
@@ -261,20 +321,39 @@ _HELD_OUT_RANDOM = f"""WITH {_HELD_OUT},
     FROM drawn JOIN numbered USING (position) JOIN train t ON t.row_id = neighbour_id GROUP BY query_id)"""
 
 _SFT = f"""WITH {CONVERSATIONS},
-  coded AS (SELECT row_id, {ids(strip('instruction') + " || chr(10) || " + strip('input'))}[:64] AS p,
+  coded AS (SELECT row_id, {ids(strip('instruction') + " || chr(10) || " + strip('input'))}[:{CONCAT_LENGTH}] AS p,
     {ids(strip('output'))} AS t FROM turns),
-  cut AS (SELECT row_id, p, t[:greatest(64 - len(p) - 1, 0)] AS t FROM coded),
+  cut AS (SELECT row_id, p, t[:greatest({CONCAT_LENGTH} - len(p) - 1, 0)] AS t FROM coded),
   arrays AS (SELECT row_id, list_concat(p, t) AS input_ids,
     list_concat(list_transform(p, lambda x: -100), t) AS labels FROM cut)"""
 _PROMPT_TEXT = "'Instruction:' || chr(10) || instruction || chr(10) || chr(10) || 'Input:' || chr(10) || input || chr(10) || chr(10) || 'Output:' || chr(10)"
 
 
+_TAGGED_SHOTS = f"""WITH {_STORED}, {neighbours('asked', 'train', 3)},
+  shots AS (SELECT query_id, string_agg({example_sql(CLASSIFICATION_TAGGED, 't.input', 't.output')}, '' ORDER BY rank) AS examples
+    FROM near n JOIN train t ON t.row_id = n.neighbour_id GROUP BY query_id)"""
+_NEAREST_SHOTS = f"""WITH {_STORED}, {neighbours('asked', 'train', 2)},
+  shots AS (SELECT query_id, CASE WHEN count(*) >= 2 THEN
+      string_agg({example_sql(CLASSIFICATION_SCORING, 't.text', 't.output')}, '' ORDER BY rank) END AS examples
+    FROM near n JOIN train t ON t.row_id = n.neighbour_id GROUP BY query_id)"""
+_POOL_SHOTS = f"""{_DIVERSE.split('drawn AS (')[0]}
+  drawn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY chance, neighbour_id) AS n,
+    count(*) OVER (PARTITION BY query_id) AS size FROM pool),
+  shots AS (SELECT query_id, string_agg({example_sql(CLASSIFICATION_SCORING, 'shot_text', 'label')}, ''
+      ORDER BY shuffle, neighbour_id) AS examples
+    FROM drawn WHERE n <= 2 AND size >= 2 GROUP BY query_id)"""
+
+
 def _from_shots(with_ctes: str, source: str, prompt: str, output: str, columns: str = "") -> str:
     return f"""{with_ctes}
       SELECT s.row_id, {columns} {prompt} AS instruction, input, {output} AS output
       FROM {source} s LEFT JOIN shots ON shots.query_id = s.row_id"""
 
 
+_TAGGED_SQL = _from_shots(
+    _TAGGED_SHOTS, "asked", prompt_sql(CLASSIFICATION_TAGGED, "input", "examples", _TASK), "s.output"
+)
+
 ORACLES: dict[str, str] = {
     "mask_token": f"""SELECT row_id, {word_mask('text', "'42:' || row_id")[0]} AS masked,
       {word_mask('text', "'42:' || row_id")[1]} AS mask_tag FROM {_DOCS}""",
@@ -294,12 +373,31 @@ ORACLES: dict[str, str] = {
         _PRICE_SHOTS, "shown", prompt_sql(REGRESSION, "input", "examples", _PRICE_RANGE),
         "printf('%.4f', label)", "'price' AS task, text AS original_text,",
     ),
-    "scoring_prompts_tagged": _from_shots(
-        f"""WITH {_STORED}, {neighbours('asked', 'train', 3)},
-        shots AS (SELECT query_id, string_agg({example_sql(CLASSIFICATION_TAGGED, 't.input', 't.output')}, '' ORDER BY rank) AS examples
-          FROM near n JOIN train t ON t.row_id = n.neighbour_id GROUP BY query_id)""",
-        "asked", prompt_sql(CLASSIFICATION_TAGGED, "input", "examples", _TASK), "s.output",
+    "scoring_prompts_tagged": _TAGGED_SQL,
+    "scoring_from_files": f"SELECT instruction, input, output FROM ({_TAGGED_SQL})",
+    "score_classification": f"""WITH asked AS ({_TAGGED_SQL}),
+      hashed AS (SELECT *, {h('instruction')} AS n FROM asked),
+      parsed AS (SELECT (output = 'Yes')::INTEGER AS t, CASE WHEN n % 97 = 0 THEN NULL WHEN n % 3 = 0 THEN 1 WHEN n % 3 = 1 THEN 0 END AS y,
+        CASE WHEN n % 97 <> 0 THEN (n % 101) / 100.0::DOUBLE END AS u FROM hashed),
+      judged AS (SELECT t, coalesce(y, (u >= 0.5)::INTEGER, 0) AS p, coalesce(y::DOUBLE, u, 0.5) AS s FROM parsed),
+      points AS (SELECT s, sum(t) AS tp, sum(1 - t) AS fp FROM judged GROUP BY 1),
+      curve AS (SELECT *, sum(tp) OVER (ORDER BY s DESC) - tp AS tpb FROM points)
+      SELECT 'quality' AS task, 'similarity' AS strategy, 'AUC' AS metric,
+        round(sum(fp * (tpb + tp / 2)) / nullif(sum(tp) * sum(fp), 0), 4) AS value FROM curve
+      UNION ALL SELECT 'quality', 'similarity', 'ACC', round(avg((t = p)::INTEGER), 4) FROM judged""",
+    "scoring_prompts_similarity": _from_shots(
+        _NEAREST_SHOTS, "asked", prompt_sql(CLASSIFICATION_SCORING, "input", "examples", _TASK), "s.output"
+    ),
+    "scoring_prompts_random_pool": _from_shots(
+        _POOL_SHOTS, "asked", prompt_sql(CLASSIFICATION_SCORING, "input", "examples", _TASK), "s.output"
+    ),
+    "scoring_prompts_regression_similarity": _from_shots(
+        _HELD_OUT_NEAR.replace(quote(REGRESSION.text_tag), quote(REGRESSION_SCORING.text_tag)), "asked",
+        prompt_sql(REGRESSION_SCORING, "input", "examples", _TRAIN_RANGE), "s.output",
     ),
+    "merge_from_files": """SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_id, 'read' AS instruction, text AS input,
+        lang AS output, source AS original_text, n_chars::VARCHAR AS length, 0 AS source_no FROM documents
+      UNION ALL SELECT row_number() OVER (ORDER BY item_id) - 1, 'test', text, NULL, text, NULL, 1 FROM benchmark""",
     "scoring_prompts_diversity": _from_shots(
         _DIVERSE, "asked", prompt_sql(CLASSIFICATION_SCORING, "input", "examples", _TASK), "s.output"
     ),
@@ -315,12 +413,12 @@ ORACLES: dict[str, str] = {
     "sft_concat": f"""{_SFT} SELECT row_id, array_to_string(input_ids, ',') AS input_ids,
       array_to_string(labels, ',') AS labels FROM arrays""",
     "sft_padded": f"""WITH {CONVERSATIONS},
-      coded AS (SELECT row_id, least(len({ids(_PROMPT_TEXT)}), 96) AS hidden,
-        list_concat({ids(_PROMPT_TEXT + " || output")}, [2])[:96] AS f FROM turns),
-      wide AS (SELECT *, list_concat(f, list_transform(range(96 - len(f)), lambda x: 1)) AS w FROM coded)
+      coded AS (SELECT row_id, least(len({ids(_PROMPT_TEXT)}), {PADDED_LENGTH}) AS hidden,
+        list_concat({ids(_PROMPT_TEXT + " || output")}, [2])[:{PADDED_LENGTH}] AS f FROM turns),
+      wide AS (SELECT *, list_concat(f, list_transform(range({PADDED_LENGTH} - len(f)), lambda x: 1)) AS w FROM coded)
       SELECT row_id, array_to_string(w, ',') AS input_ids,
-        array_to_string(list_transform(range(1, 97), lambda i: CASE WHEN i <= len(f) THEN 1 ELSE 0 END), ',') AS attention_mask,
-        array_to_string(list_transform(range(1, 97), lambda i: CASE WHEN i <= hidden THEN -100 ELSE w[i] END), ',') AS labels
+        array_to_string(list_transform(range(1, {PADDED_LENGTH} + 1), lambda i: CASE WHEN i <= len(f) THEN 1 ELSE 0 END), ',') AS attention_mask,
+        array_to_string(list_transform(range(1, {PADDED_LENGTH} + 1), lambda i: CASE WHEN i <= hidden THEN -100 ELSE w[i] END), ',') AS labels
       FROM wide""",
     "pad_batches": f"""{_SFT},
       numbered AS (SELECT *, (row_number() OVER (ORDER BY row_id) - 1) // 8 AS batch_id FROM arrays),

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import pandas as pd
 from pyspark.sql import functions as F
 
 from catalog.common import (
-    JUDGED, PREDICTIONS, Query, YES_NO, busy_documents, h, predictions, strip,
+    JUDGED, PREDICTIONS, Query, YES_NO, documents, h, predictions, strip,
 )
+from catalog.models import stub_model
 from shotweave.functions.parsing import parse_number, parse_yes_no, true_label, true_value
 from shotweave.operators.metrics import (
     accuracy, evaluate_classification, evaluate_regression, metric_for_task, pr_auc, r2, rmse,
@@ -24,21 +22,8 @@ from shotweave.storage import scratch_path
 BY = ("task", "strategy")
 
 
-def stub_model(prompts: pd.Series) -> pd.DataFrame:
-    """Answers from a hash of the prompt; some prompts fail."""
-    hashes = prompts.map(lambda p: int(hashlib.md5(p.encode()).hexdigest()[:8], 16))
-    if (hashes % 97 == 0).any():
-        raise RuntimeError("this prompt cannot be answered")
-    return pd.DataFrame(
-        {
-            "model_output": hashes.map(lambda n: ["Yes", "no", "hm"][n % 3]),
-            "p_yes": (hashes % 101) / 100.0, "p_no": (hashes % 7) / 10.0,
-        }
-    )
-
-
 def answered(spark, sf):
-    d = busy_documents(spark, sf).select("row_id", F.col("text").alias("instruction"))
+    d = documents(spark, sf).select("row_id", F.col("text").alias("instruction"))
     return predict(d, stub_model).drop("instruction")
 
 
@@ -187,7 +172,7 @@ ORACLES: dict[str, str] = {
       CASE WHEN regexp_full_match({strip('number_output')}, '[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?')
         THEN try_cast({strip('number_output')} AS DOUBLE) END AS true_value FROM predictions""",
     "invalid_count": f"""WITH {PREDICTIONS} SELECT task,
-      count(*) FILTER (trim(coalesce(model_output, '')) = '' OR failed) AS invalid, count(*) AS total
+      count(*) FILTER (regexp_matches(coalesce(model_output, ''), '^\\s*$') OR failed) AS invalid, count(*) AS total
       FROM predictions GROUP BY task""",
     "finite_filter": f"""WITH {PREDICTIONS} SELECT row_id, p_yes::DOUBLE AS yes_prob FROM predictions
       WHERE p_yes >= 0.1 AND p_yes <= 0.9""",

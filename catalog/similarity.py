@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.common import (
-    PARTS, Query, SPLIT, busy_documents, fp, h, key, labelled, parts, word_mask,
+    PARTS, Query, SPLIT, documents, fp, h, key, labelled, parts, word_mask,
 )
 from shotweave.functions.fingerprints import fingerprint, packed_size, tanimoto
 from shotweave.functions.text import format_label, label_text
@@ -28,7 +28,7 @@ def _rounded(rows):
 
 
 def fingerprints(spark, sf):
-    found = busy_documents(spark, sf).select("row_id", fingerprint(F.col("text")).alias("fp"))
+    found = documents(spark, sf).select("row_id", fingerprint(F.col("text")).alias("fp"))
     return found.select(
         "row_id", F.size("fp").alias("n_bits"), F.array_join("fp", ",").alias("bits")
     )
@@ -42,14 +42,14 @@ def char_fingerprints(spark, sf):
 
 def similarity_pairs(spark, sf):
     """Every document with the one that follows it."""
-    d = busy_documents(spark, sf).select("row_id", fingerprint(F.col("text")).alias("fp"))
+    d = documents(spark, sf).select("row_id", fingerprint(F.col("text")).alias("fp"))
     after = d.select((F.col("row_id") - 1).alias("row_id"), F.col("fp").alias("next_fp"))
     pairs = d.join(after, "row_id")
     return pairs.select("row_id", F.round(tanimoto(F.col("fp"), F.col("next_fp")), 6).alias("similarity"))
 
 
 def index_rows(spark, sf):
-    d = busy_documents(spark, sf).select("row_id", "text")
+    d = documents(spark, sf).select("row_id", "text")
     return build_index(d, "text").select("row_id", packed_size(F.col("packed")).cast("bigint").alias("n_bits"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shotweave.functions.hashing import as_column
+from shotweave.functions.text import decimal_text
 
 
 @dataclass(frozen=True)
@@ -135,7 +136,7 @@ def regression_prompt(
     """Number prompt that also states the range of known labels."""
     values = {
         "task": as_column(task),
-        "low": F.format_string("%.2f", as_column(low)),
-        "high": F.format_string("%.2f", as_column(high)),
+        "low": decimal_text(low, 2),
+        "high": decimal_text(high, 2),
     }
     return _prompt(wording, text, shots, values)

@@ -31,6 +31,14 @@ def words(text) -> Column:
     return F.split(canonical_key(text), " ", -1)
 
 
+def lossless_words(text) -> Column:
+    """Words with the blanks before them; put together they are the text again.
+
+    Blanks at the end stay with the last word.  Text without words has none.
+    """
+    return F.regexp_extract_all(as_column(text), F.lit(r"\s*\S+(\s+$)?"), F.lit(0))
+
+
 def to_number(col) -> Column:
     """DOUBLE for plain decimal notation, else NULL.
 
@@ -47,9 +55,52 @@ def label_text(label) -> Column:
     return F.when(as_column(label) == 1, F.lit("Yes")).otherwise(F.lit("No"))
 
 
+def _scaled(value: Column, digits: int) -> Column:
+    """|value| times 10^digits as a whole number, ties of the exact value to even.
+
+    The value is cut in two halves whose products with the power of ten are
+    exact, so a tie is one in the binary value and not in its shortest decimal.
+    """
+    power = F.lit(float(10**digits))
+    size = F.abs(value)
+    spread = size * F.lit(134217729.0)
+    high = spread - (spread - size)
+    whole = F.floor(high * power)
+    one, two = high * power - whole, (size - high) * power
+    rest = one + two
+    part = rest - one
+    lost = (one - (rest - part)) + (two - part)  # what adding the two has rounded away
+    base, left = whole + F.floor(rest), rest - F.floor(rest)
+    up = (left > 0.5) | ((left == 0.5) & ((lost > 0) | ((lost == 0) & (base % 2 == 1))))
+    return base + up.cast("bigint")
+
+
+#: Beyond this a double has no decimals to round.
+_NO_DECIMALS = 1e11
+
+
+def decimal_text(value, digits: int) -> Column:
+    """A number with so many decimals, as ``%.nf`` of its exact binary value."""
+    value = as_column(value).cast("double")
+    scaled = _scaled(value, digits)
+    power = F.lit(10**digits)
+    text = F.concat(
+        F.when(value < 0, F.lit("-")).otherwise(F.lit("")), F.floor(scaled / power).cast("string"), F.lit("."),
+        F.lpad((scaled % power).cast("string"), digits, "0"),
+    )
+    return F.when(F.abs(value) < _NO_DECIMALS, text).otherwise(F.format_string(f"%.{digits}f", value))
+
+
+def rounded(value, digits: int) -> Column:
+    """A number rounded to so many decimals, ties of the exact value to even."""
+    value = as_column(value).cast("double")
+    size = _scaled(value, digits) / F.lit(float(10**digits))
+    return F.when(F.abs(value) < _NO_DECIMALS, F.when(value < 0, -size).otherwise(size)).otherwise(value)
+
+
 def format_label(value) -> Column:
     """A numeric label with four decimals and no thousands separator."""
-    return F.format_string("%.4f", as_column(value).cast("double"))
+    return decimal_text(value, 4)
 
 
 def retrieval_text(original, masked, rule: str = "or") -> Column:

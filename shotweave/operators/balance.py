@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shotweave.functions.hashing import portable_hash
 from shotweave.functions.text import rotations
 from shotweave.operators.prefix import global_ordinal
-from shotweave.storage import materialise
+from shotweave.storage import fits_broadcast, materialise
 
 # Fixed values.
 IMBALANCE_RATIO = 5
@@ -60,10 +60,11 @@ def oversample_minority(
     stats = materialise(class_stats(df, label, order), "classes").where(
         (F.col("classes") >= 2) & (F.col("majority_rows") > ratio * F.col("minority_rows"))
     )
-    missing = stats.select(
-        F.floor(F.col("majority_rows") / ratio).cast("bigint") - F.col("minority_rows")
-    ).scalar()
-    rare = df.where(F.col(label) == stats.select("minority").scalar())
+    found = stats.first()
+    if found is None:
+        return plain
+    missing = found["majority_rows"] // ratio - found["minority_rows"]
+    rare = df.where(F.col(label) == F.lit(found["minority"]))
     # Only ids are ranked; texts are fetched for the rows that get copies.
     ids = rare.where(F.size(variants(F.col(text))) > 0).select(
         order, portable_hash(seed, F.col(order)).alias("__hash")
@@ -71,25 +72,25 @@ def oversample_minority(
     ranked = materialise(
         global_ordinal(ids, [F.col("__hash"), F.col(order)], "__rank"), "minority"
     )
-    sources = ranked.agg(F.count("*")).scalar()
-    quota = F.expr("missing div sources") + F.when(
-        F.col("__rank") < F.expr("missing % sources"), 1
-    ).otherwise(0)
-    copies = (
-        ranked.withColumns({"missing": missing, "sources": sources})
-        .withColumn("__quota", quota)
-        .where(F.col("__quota") > 0)
-        .join(rare, order)
-        .withColumn("__variants", variants(F.col(text)))
-        .withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__quota") - 1)))
+    sources = ranked.count()
+    if missing <= 0 or not sources:
+        return plain
+    last_id = df.agg(F.max(order)).first()[0]
+    used = materialise(
+        ranked.where(F.col("__rank") < missing).join(rare, order).withColumn("__variants", variants(F.col(text))), "sources"
     )
+    # Copy number n is of the source n modulo their number, so no row grows an array.
+    numbers = df.sparkSession.range(missing).select(
+        F.col("id").alias("__number"), (F.col("id") % sources).alias("__rank"), F.expr(f"id div {sources}").alias("__copy")
+    )
+    # Sources have the same number of copies, give or take one: few are small
+    # enough to send everywhere, many make no hot key.
+    copies = numbers.join(F.broadcast(used) if fits_broadcast(used) else used, "__rank")
     chosen = F.pmod(F.col("__hash") + F.col("__copy"), F.size("__variants")).cast("int")
-    last_id = df.agg(F.max(order)).scalar()
-    number = F.col("__copy") * F.col("sources") + F.col("__rank")
     reworded = copies.withColumns(
         {
             text: F.get("__variants", chosen),
-            order: last_id + 1 + number,
+            order: F.lit(last_id) + 1 + F.col("__number"),
             "is_augmented": F.lit(True),
         }
     )

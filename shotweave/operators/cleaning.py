@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from shotweave.functions.hashing import uniform
 from shotweave.functions.text import canonical_key, to_number
+from shotweave.operators.joins import attach_by_key
 from shotweave.operators.prefix import global_ordinal
+from shotweave.storage import materialise
 
 # Fixed values.
 MIN_ROWS = 20
@@ -71,9 +73,13 @@ def has_min_rows(df: DataFrame, n: int = MIN_ROWS) -> bool:
 
 
 def keep_large_tasks(df: DataFrame, task: str, n: int = MIN_ROWS) -> DataFrame:
-    """Rows of the tasks with at least ``n`` rows, for many tasks at once."""
-    large = df.groupBy(task).count().where(F.col("count") >= n).select(task)
-    return df.join(large, task, "left_semi")
+    """Rows of the tasks with at least ``n`` rows, for many tasks at once.
+
+    Tasks with most rows are met where they are, not in one task of Spark.
+    """
+    counts = df.where(F.col(task).isNotNull()).groupBy(task).agg(F.count("*").alias("__rows"))
+    large = materialise(counts.where(F.col("__rows") >= n), "large-tasks")
+    return attach_by_key(df, large, task, "__rows").select(*df.columns)
 
 
 def sample_fraction(

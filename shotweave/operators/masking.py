@@ -22,12 +22,17 @@ def join_words(tokens) -> Column:
     return F.array_join(tokens, " ")
 
 
+def join_pieces(tokens) -> Column:
+    """Detokeniser of tokens that carry their own blanks."""
+    return F.array_join(tokens, "")
+
+
 def masked(
     text,
     tokens,
     *key,
     seed: int = 42,
-    detokenise: Callable[[Column], Column] = join_words,
+    detokenise: Callable[[Column], Column] = join_pieces,
     has_mask: bool = True,
 ) -> Column:
     """STRUCT(masked, tag): the text with one token replaced.

@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shotweave.functions.hashing import as_column
+from shotweave.functions.text import rounded
+from shotweave.operators.joins import attach_by_key
 from shotweave.operators.prefix import global_prefix_sum
+from shotweave.storage import materialise
 
 # Fixed values.
 PR_MARKER = "low"
@@ -23,6 +26,11 @@ def accuracy(df: DataFrame, *by: str, y: str = "true_label", p: str = "predicted
     return df.groupBy(*by).agg(F.avg((F.col(y) == F.col(p)).cast("double")).alias("accuracy"))
 
 
+def _digest(names: list[str]) -> Column:
+    shown = [F.coalesce(F.concat(F.lit("="), F.col(n).cast("string")), F.lit("-")) for n in names]
+    return F.sha2(F.to_json(F.array(*shown)), 256)
+
+
 def _curve(
     df: DataFrame, by: tuple[str, ...], y: str, score: str, right: Column | None = None
 ) -> DataFrame:
@@ -41,11 +49,15 @@ def _curve(
     running = global_prefix_sum(points, order, {"tp": "tp_all", "fp": "fp_all"})
     totals = running.groupBy(*[F.col(b).alias(f"__{b}") for b in by]).agg(
         F.min("tp_all").alias("tp_start"), F.min("fp_all").alias("fp_start"),
-        F.sum("tp").alias("positives"), F.sum("fp").alias("negatives"),
+        F.sum("tp").alias("positives"), F.sum("fp").alias("negatives"), F.count("*").alias("__points"),
     )
     if by:
-        same = [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by]
-        joined = running.join(totals, same).drop(*[f"__{b}" for b in by])
+        # A digest stands for the task, so that NULL is a task as well.
+        totals = materialise(
+            totals.withColumn("__key", _digest([f"__{b}" for b in by])).drop(*[f"__{b}" for b in by]), "totals"
+        )
+        joined = attach_by_key(running.withColumn("__key", _digest(list(by))), totals, "__key", "__points")
+        joined = joined.drop("__key")
     else:
         joined = running.withColumn("t", totals.select(F.struct("*")).scalar()).select("*", "t.*")
     return joined.withColumns(
@@ -109,13 +121,15 @@ def _r2(y: str, p: str) -> Column:
     spread = F.regr_syy(F.col(y), F.lit(1.0))
     constant = F.min(y) == F.max(y)
     perfect = F.when(residual == 0, F.lit(1.0)).otherwise(F.lit(0.0))
-    return F.when(constant, perfect).otherwise(1 - residual / spread)
+    known = F.when(constant, perfect).otherwise(1 - residual / spread)
+    return F.when(F.count(F.col(y)) >= 2, known)
 
 
 def r2(df: DataFrame, *by: str, y: str = "true_value", p: str = "predicted_value") -> DataFrame:
     """Share of variance explained; may be negative.
 
-    With constant truth it is 1 for exact predictions and 0 otherwise.
+    With constant truth it is 1 for exact predictions and 0 otherwise; of fewer
+    than two rows it is NULL.
     """
     return df.groupBy(*by).agg(_r2(y, p).alias("r2"))
 
@@ -124,7 +138,7 @@ def _long(wide: DataFrame, by: list[str], values: dict[str, Column]) -> DataFram
     """(by..., metric, value), rounded; metrics that do not apply are left out."""
     entries = F.array(
         *[
-            F.struct(F.lit(name).alias("metric"), F.round(value, DIGITS).alias("value"), keep.alias("keep"))
+            F.struct(F.lit(name).alias("metric"), rounded(value, DIGITS).alias("value"), keep.alias("keep"))
             for name, (value, keep) in values.items()
         ]
     )

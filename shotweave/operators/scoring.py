@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,7 @@ from shotweave.functions.parsing import (
     true_label,
     true_value,
 )
+from shotweave.functions.text import strip
 
 PREDICTION_FIELDS = [
     T.StructField("model_output", T.StringType()),
@@ -33,41 +35,45 @@ def predict(df: DataFrame, model: Callable[[pd.Series], pd.DataFrame], prompt: s
 
     ``model`` maps a batch of prompts to a frame with ``model_output`` and,
     where known, the two probabilities.  A batch that fails is halved until
-    the prompts that fail stand alone; those get an empty answer.  Unknown
-    probabilities are NULL.
+    the prompts that fail stand alone; those get an empty answer.  A probability
+    that is None, or whose column the model leaves out, is NULL; NaN stays NaN.
     """
     schema = T.StructType(df.schema.fields + PREDICTION_FIELDS)
+    place = df.columns.index(prompt)
 
-    numbers = {"p_yes": "float64", "p_no": "float64"}
+    def number(value) -> float | None:
+        return None if value is None or value is pd.NA else float(value)
 
-    def ask(prompts: pd.Series) -> pd.DataFrame:
-        answers = model(prompts).reset_index(drop=True)
+    def ask(prompts: pd.Series) -> list[tuple]:
+        answers = model(prompts)
         if len(answers) != len(prompts):
             raise ValueError("a model must answer every prompt")
-        known = answers.reindex(columns=["model_output", "p_yes", "p_no"])
-        return known.astype(numbers).assign(failed=False)
-
-    nothing = pd.DataFrame(
-        {"model_output": [""], "p_yes": [float("nan")], "p_no": [float("nan")], "failed": [True]}
-    )
-
-    def ask_all(prompts: pd.Series) -> list[pd.DataFrame]:
+        known = answers.reindex(columns=["model_output"]).astype(object)
+        texts = [None if t is None or t is pd.NA or t != t else str(t) for t in known["model_output"]]
+        numbers = [
+            [number(v) for v in answers[p]] if p in answers.columns else [None] * len(texts) for p in ("p_yes", "p_no")
+        ]
+        return list(zip(texts, *numbers, [False] * len(texts)))
+
+    def ask_all(prompts: pd.Series) -> list[tuple]:
         try:
-            return [ask(prompts)]
+            return ask(prompts)
         except Exception:
             if len(prompts) == 1:
-                return [nothing]
+                return [("", None, None, True)]
             half = len(prompts) // 2
             return ask_all(prompts[:half]) + ask_all(prompts[half:])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = [pa.string(), pa.float64(), pa.float64(), pa.bool_()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.empty:
-                continue
-            answers = pd.concat(ask_all(batch[prompt]), ignore_index=True)
-            yield pd.concat([batch.reset_index(drop=True), answers], axis=1)
+            if batch.num_rows:
+                answers = zip(*ask_all(batch.column(place).to_pandas()))
+                added = [pa.array(values, kind) for values, kind in zip(answers, kinds)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=schema.names)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def _flag(df: DataFrame, name: str) -> Column:
@@ -79,12 +85,14 @@ def resolve_label(df: DataFrame, rule: str = "p_yes") -> DataFrame:
 
     A readable answer is certain.  Otherwise the fallback probability of
     ``rule`` decides, and without one the row gets the default label and
-    probability.  A failed row always gets the default.
+    probability.  A probability that is not a number decides for no and stays
+    with the row.  A failed row always gets the default.
     """
     parsed = F.when(~_flag(df, "failed"), parse_yes_no(F.col("model_output")))
     usable = F.when(~_flag(df, "failed"), fallback_probability(F.col("p_yes"), F.col("p_no"), rule))
     probability = F.coalesce(parsed.cast("double"), usable, F.lit(DEFAULT_PROBABILITY))
-    guessed = F.when(usable.isNotNull(), (usable >= DECISION_THRESHOLD).cast("int"))
+    sure = ~F.isnan(usable) & (usable >= DECISION_THRESHOLD)
+    guessed = F.when(usable.isNotNull(), sure.cast("int"))
     return df.withColumns(
         {
             "predicted_label": F.coalesce(parsed, guessed, F.lit(DEFAULT_LABEL)),
@@ -110,7 +118,7 @@ def with_true_value(df: DataFrame, output: str = "output") -> DataFrame:
 
 def invalid_count(df: DataFrame, *by: str) -> DataFrame:
     """Empty or failed answers (``invalid``) and all rows (``total``)."""
-    empty = F.trim(F.coalesce(F.col("model_output"), F.lit(""))) == ""
+    empty = strip(F.coalesce(F.col("model_output"), F.lit(""))) == ""
     return df.groupBy(*by).agg(
         F.count_if(empty | _flag(df, "failed")).alias("invalid"), F.count("*").alias("total")
     )

@@ -63,13 +63,15 @@ def _distinct_positions(n: Column, k: int, seed: int, query: Column) -> Column:
     Step i draws from one more position than step i - 1; a position already
     taken is replaced by the newly added one.
     """
-    taken = F.array().cast("array<bigint>")
-    for i in range(k):
-        upper = n - (k - 1 - i)
+
+    def step(taken: Column, i: Column) -> Column:
+        upper = n - (k - 1) + i
         position = draw(upper, seed, "position", i, query)
         fresh = F.when(F.array_contains(taken, position), upper - 1).otherwise(position)
-        taken = F.concat(taken, F.array(fresh))
-    return taken
+        return F.concat(taken, F.array(fresh))
+
+    none = F.array().cast("array<bigint>")
+    return F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), none, step) if k > 0 else none
 
 
 def random_shots(

@@ -16,7 +16,7 @@ from shotweave.functions.prompts import (
     no_shots,
     regression_prompt,
 )
-from shotweave.functions.text import format_label, label_text, words
+from shotweave.functions.text import format_label, label_text, lossless_words
 from shotweave.operators.balance import IMBALANCE_RATIO, oversample_minority
 from shotweave.operators.bpe import Tokenizer, bpe_join, bpe_tokens
 from shotweave.operators.cleaning import (
@@ -27,7 +27,7 @@ from shotweave.operators.cleaning import (
     has_min_rows,
     with_canonical_key,
 )
-from shotweave.operators.masking import MASK, join_words, masked
+from shotweave.operators.masking import MASK, join_pieces, masked
 from shotweave.operators.shots import apply_shortfall, shots_array
 from shotweave.operators.similarity import build_index, knn, neighbour_rows
 from shotweave.operators.split import group_split, with_group_key
@@ -36,10 +36,14 @@ from shotweave.storage import materialise
 
 @dataclass(frozen=True)
 class Masking:
-    """How texts are cut into tokens and put together again."""
+    """How texts are cut into tokens and put together again.
 
-    tokenise: Callable[[Column], Column] = words
-    detokenise: Callable[[Column], Column] = join_words
+    The default loses nothing: the hidden token in place of the mask gives the
+    source text, blanks and case included.
+    """
+
+    tokenise: Callable[[Column], Column] = lossless_words
+    detokenise: Callable[[Column], Column] = join_pieces
     has_mask: bool = True
     seed: int = 42
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,14 +24,13 @@ def _csv_header(spark: SparkSession, path: str, multiline: bool) -> list[str]:
 
 def read_task(
     spark: SparkSession, path: str, key: str, label: str, row_id: str = "row_id",
-    multiline: bool = True,
+    multiline: bool = False,
 ) -> DataFrame:
     """A task table with missing words as NULL and the row's ordinal.
 
     All columns are read as text.  The ordinal counts rows in the order of
     file name and position: two narrow passes, no shuffle of the rows.  Fields
-    with line breaks need ``multiline``; without them ``multiline=False`` lets
-    Spark split large files.
+    with line breaks need ``multiline``, and then a file is one task's work.
     """
     columns = _csv_header(spark, path, multiline)
     for wanted in (key, label):
@@ -55,7 +55,7 @@ def read_task(
     earlier = Window.orderBy("__file", "__start").rowsBetween(Window.unboundedPreceding, -1)
     rows_before = F.coalesce(F.sum("__rows").over(earlier), F.lit(0))
     offsets = splits.select("__file", "__start", (rows_before - F.col("__first")).alias("__shift"))
-    numbered = cleaned.join(offsets, ["__file", "__start"])
+    numbered = cleaned.join(F.broadcast(offsets), ["__file", "__start"])
     return numbered.select(*columns, (F.col("__seen") + F.col("__shift")).alias(row_id))
 
 
@@ -63,7 +63,9 @@ def read_corpus(spark: SparkSession, path: str, column: str) -> DataFrame:
     """The named column of a Parquet file or directory, without missing rows."""
     try:
         table = spark.read.parquet(path)
-    except Exception as error:
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         raise ValueError(f"{path}: neither a Parquet file nor a directory of them") from error
     if column not in table.columns:
         raise ValueError(f"column {column!r} not found; available: {table.columns}")

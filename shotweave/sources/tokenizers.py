@@ -6,9 +6,9 @@ import json
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from shotweave.operators.bpe import Tokenizer
+from shotweave.storage import write_file
 
 # File names and format.
 VOCAB_FILE, MERGES_FILE = "vocab.json", "merges.txt"
@@ -23,12 +23,12 @@ def save_tokenizer(tokenizer: Tokenizer, spark: SparkSession, path: str) -> None
 
 
 def save_tokenizer_files(tokenizer: Tokenizer, spark: SparkSession, path: str) -> None:
-    """``vocab.json`` and ``merges.txt``, each a directory with one text file."""
+    """``vocab.json`` and ``merges.txt``, two plain files that other tools open."""
     base = path.rstrip("/")
     vocab = json.dumps(tokenizer.ids, ensure_ascii=False)
     merges = "\n".join([MERGES_HEADER, *[f"{a} {b}" for a, b in tokenizer.merges]])
     for name, text in ((VOCAB_FILE, vocab), (MERGES_FILE, merges)):
-        spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.text(f"{base}/{name}")
+        write_file(spark, f"{base}/{name}", text + ("\n" if name == MERGES_FILE else ""))
 
 
 def _missing(path: str) -> FileNotFoundError:
@@ -47,9 +47,16 @@ def load_tokenizer(spark: SparkSession, path: str) -> Tokenizer:
         merges = spark.read.parquet(f"{base}/merges")
     except AnalysisException:
         return _load_files(spark, base)
-    tokens = [r["token"] for r in vocab.orderBy("id").collect()]
+    ids = {r["token"]: r["id"] for r in vocab.collect()}
     pairs = [(r["left"], r["right"]) for r in merges.orderBy("rank").collect()]
-    return Tokenizer(tuple(tokens), tuple(pairs)).with_mask()
+    return Tokenizer(_in_order(ids, base), tuple(pairs)).with_mask()
+
+
+def _in_order(ids: dict[str, int], base: str) -> tuple[str, ...]:
+    """Tokens by id; ids that are not 0, 1, 2, ... would change silently."""
+    if sorted(ids.values()) != list(range(len(ids))):
+        raise ValueError(f"token ids below {base} are not 0 to {len(ids) - 1} without gaps")
+    return tuple(sorted(ids, key=ids.get))
 
 
 def _load_files(spark: SparkSession, base: str) -> Tokenizer:
@@ -63,4 +70,4 @@ def _load_files(spark: SparkSession, base: str) -> Tokenizer:
     ids = json.loads(texts[0])
     lines = [line for line in texts[1].split("\n") if line and not line.startswith("#version")]
     pairs = [tuple(line.split(" ")) for line in lines]
-    return Tokenizer(tuple(sorted(ids, key=ids.get)), tuple(pairs)).with_mask()
+    return Tokenizer(_in_order(ids, base), tuple(pairs)).with_mask()

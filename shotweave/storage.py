@@ -69,6 +69,16 @@ def cleanup(spark: SparkSession) -> int:
     return len(paths)
 
 
+def write_file(spark: SparkSession, path: str, text: str) -> None:
+    """Write one small file wherever Spark can write."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, False)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate; for a written table the size of its files."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
@@ -81,20 +91,3 @@ BROADCAST_BELOW = 16 * 2**20
 def fits_broadcast(df: DataFrame) -> bool:
     """Whether a written table is small enough to send to every executor."""
     return estimated_bytes(df) <= BROADCAST_BELOW
-
-
-#: Below this many bytes per core a table may be spread out again.
-SPREAD_BELOW = 16 * 2**20
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Share the rows of a small table out over all cores.
-
-    A file with one row group is one task, which starves work that is heavy
-    per row.  Only tables under ``SPREAD_BELOW`` bytes per core are moved;
-    larger ones arrive in enough pieces and are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if estimated_bytes(df) >= SPREAD_BELOW * cores:
-        return df
-    return df.repartition(cores, key)

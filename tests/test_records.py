@@ -37,9 +37,30 @@ def test_strict_reading_fails(spark, tmp_path):
     (tmp_path / "object.json").write_text(json.dumps(RECORD))
     with pytest.raises(FileNotFoundError):
         read_records(spark, [f"{tmp_path}/none.json"], on_bad="fail")
-    records, _ = read_records(spark, [f"{tmp_path}/object.json"], on_bad="fail")
     with pytest.raises(Exception, match="not a JSON list"):
-        records.collect()
+        read_records(spark, [f"{tmp_path}/object.json"], on_bad="fail")
+
+
+def test_bad_elements_cost_nothing_else(spark, tmp_path):
+    mixed = '[{"instruction": "a", "original_smiles": "C", "x": 1, "y": {"z": [2]}}, "str", {"instruction": "z", "output": NaN}, null]'
+    (tmp_path / "1.json").write_text(mixed)
+    (tmp_path / "2.json").write_text("[] trailing")
+    (tmp_path / "3.json").write_text(json.dumps([RECORD]))
+    (tmp_path / "4.json").write_text("[]")
+    records, skipped = read_records(spark, [f"{tmp_path}/*.json"])
+    rows = records.orderBy("row_id").collect()
+    assert [(r["row_id"], r["instruction"], r["original_text"]) for r in rows] == [(0, "a", "C"), (2, "z", None), (4, "i", "t")]
+    assert rows[0]["other"] == {"x": "1", "y": '{"z":[2]}'} and rows[1]["other"] is None
+    faults = sorted((r["path"].rsplit("/", 1)[1], r["position"], r["reason"]) for r in skipped.collect())
+    assert faults == [("1.json", 1, "not an object"), ("1.json", 3, "not an object"), ("2.json", -1, "malformed")]
+    merged = merge_shuffle([records, records]).collect()
+    assert len(merged) == 6 and {"position_hash", "other"} <= set(merged[0].asDict())
+
+
+def test_lines_keep_their_number_and_all_fields(spark, tmp_path):
+    (tmp_path / "l.json").write_text('{"row_id": 7, "instruction": "i", "more": 3}\n\n{"original_smiles": "C"}\n')
+    first, second = read_record_lines(spark, str(tmp_path)).orderBy("row_id").collect()
+    assert (first["row_id"], first["other"]) == (7, {"more": "3"}) and second["original_text"] == "C" and second["row_id"] > 7
 
 
 def test_records_are_written_per_task_and_split(spark, tmp_path):
