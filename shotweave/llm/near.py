@@ -6,10 +6,12 @@ branches on two more minwise tokens, again and again.  Two sets of similarity s
 take the same branch with probability s, so at 0.75 a pair parts ways in all of
 12 trees, however deep, with a probability below one in 500,000.
 
-Documents that meet in a small node are compared exhaustively by their sketches,
-and what may be similar is put in one candidate group.  Groups are then settled
-on the full shingle sets: pairs in falling order of estimated similarity, none
-that is connected already.
+Documents that meet in a small node are compared exhaustively by their sketches.
+A large node first compares all its members with a few pivots: where nearly all
+are like a pivot, as in a group of near copies, the few others are compared with
+all members, and the node is done; otherwise its members differ, and branching
+parts them.  What may be similar is put in one candidate group, and groups are
+settled on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shotweave.llm.arrays import UnionFind, blocks, mix, text_buffer, window_hashes
+from shotweave.llm.arrays import UnionFind, blocks, mix, ragged, text_buffer, window_hashes
 from shotweave.llm.components import components
 from shotweave.llm.groups import group_count
 from shotweave.llm.language import words
@@ -31,9 +34,12 @@ from shotweave.storage import materialise
 TREES, COORDINATES = 12, 96
 #: Documents compared exhaustively in one node, and levels below the first.
 SMALL, DEPTH = 192, 6
-#: Shingles in a candidate group that one task settles; a larger one is settled
-#: node by node.
-SETTLED = 2_000_000
+PIVOTS = 8
+#: Members of a large node that one task compares with those no pivot is like.
+PART = 2048
+#: Shingles in a candidate group that one task settles, a document counting as
+#: ``FEWEST`` at least; a larger group is settled node by node.
+SETTLED, FEWEST = 2_000_000, 512
 
 _FACTORS = (mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _OFFSETS = (mix(np.arange(1001, COORDINATES + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -49,7 +55,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[n
     return out
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
+def minwise(shingles: np.ndarray) -> np.ndarray:
     """The minwise value of each coordinate."""
     low = (shingles >> np.uint64(32)).astype(np.uint32)
     least = np.full(COORDINATES, 0xFFFFFFFF, np.uint32)
@@ -59,6 +65,19 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """The minwise values in short, to be compared."""
+    return _short(minwise(shingles))
+
+
+def _short(values: np.ndarray) -> np.ndarray:
+    return (mix(values) & np.uint64(0xFFFF)).astype(np.uint16)
+
+
+def _sketches(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, COORDINATES)
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether 100 |a & b| >= percent |a | b|, for sorted sets."""
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
@@ -76,18 +95,28 @@ def _estimates(sketches: np.ndarray) -> np.ndarray:
     return out
 
 
-def settle(names: list[int], sets: list[np.ndarray], percent: int, least: float) -> list[tuple[int, int]]:
-    """Links that connect what is connected, each confirmed on the full sets."""
+def settle(names: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that connect what is connected, from the full sets.
+
+    A list of the documents of each shingle gives the exact intersections of one
+    document with all others at once.
+    """
     if len(names) == 2:
         return [(names[0], names[1])] if linked(sets[0], sets[1], percent) else []
-    estimate = _estimates(np.stack([sketch(s) for s in sets]))
-    left, right = np.nonzero(estimate >= least)
-    order = np.argsort(-estimate[left, right], kind="stable")
+    sizes = np.array([len(s) for s in sets])
+    _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)[np.argsort(shingle, kind="stable")]
+    count = np.bincount(shingle)
+    begin = np.cumsum(count) - count
+    cut = np.append(0, np.cumsum(sizes))
     joined, found = UnionFind(len(names)), []
-    for i, j in zip(left[order].tolist(), right[order].tolist()):
-        if joined.find(i) != joined.find(j) and linked(sets[i], sets[j], percent):
-            joined.union(i, j)
-            found.append((names[i], names[j]))
+    for i in range(len(names)):
+        own = shingle[cut[i] : cut[i + 1]]
+        own = own[count[own] > 1]
+        both = np.bincount(owner[ragged(begin[own], count[own])], minlength=len(names))
+        for j in np.flatnonzero(100 * both >= percent * (sizes[i] + sizes - both)).tolist():
+            if j != i and both[j] and joined.union(i, j):
+                found.append((names[i], names[j]))
     return found
 
 
@@ -111,10 +140,11 @@ def near_groups(df: DataFrame, doc_id: str, text: str, percent: int = 75) -> Dat
 
     Equal sets are one set, found by a 128-bit digest that is aggregated before
     the shuffle, so a group of copies of any size is one row per task.  Nodes
-    with one member are dropped by a count, large ones branch on, and at the
-    last level a node that is still large is one candidate group; candidate
-    groups of more than ``SETTLED`` shingles are settled in the nodes instead,
-    by pairs of blocks where a node is large.  Pairs are never listed.
+    with one member are dropped by a count; large ones are looked at row by row,
+    beside a few pivots; and at the last level a node that is still large is one
+    candidate group.  Candidate groups of more than ``SETTLED`` shingles are
+    settled in the nodes instead, by pairs of blocks where a node is large.
+    Pairs are never listed.
 
     A null id is one document, below all others, and gets a null component.
     Rows that share an id share its component; an empty table gives no rows;
@@ -130,52 +160,81 @@ def near_groups(df: DataFrame, doc_id: str, text: str, percent: int = 75) -> Dat
             raw, offsets = text_buffer(batch.column(1))
             for a, b in blocks(offsets):
                 sets = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                values = [minwise(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                        pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+                        pa.array([v if v is None else v[:TREES].tobytes() for v in values], pa.binary()),
+                        pa.array([v if v is None else _short(v).tobytes() for v in values], pa.binary()),
                     ],
-                    names=["doc", "n_shingles", "digest", "sketch"],
+                    names=["doc", "n_shingles", "digest", "roots", "sketch"],
                 )
 
     profile = materialise(
-        docs.mapInArrow(describe, "doc bigint, n_shingles bigint, digest binary, sketch binary"), "profile"
+        docs.mapInArrow(describe, "doc bigint, n_shingles bigint, digest binary, roots binary, sketch binary"), "profile"
     )
     sets = materialise(
-        profile.where("n_shingles > 0").groupBy("digest")
-        .agg(F.min("doc").alias("rep"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles")),
+        profile.where("n_shingles > 0").groupBy("digest").agg(
+            F.min("doc").alias("rep"), F.first("roots").alias("roots"), F.first("sketch").alias("sketch"),
+            F.first("n_shingles").alias("n_shingles"),
+        ),
         "sets",
     )
     sketches = sets.select(F.col("rep").alias("doc"), "sketch")
 
-    def branch(level: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                doc = np.asarray(batch.column(0))
-                values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, COORDINATES)
-                if level == 0:
-                    parents = np.broadcast_to(np.arange(TREES, dtype=np.uint64) << np.uint64(48), (len(doc), TREES))
-                    chosen = np.broadcast_to(np.arange(TREES), (len(doc), TREES))
-                else:
-                    parents = mix(np.asarray(batch.column(2)).astype(np.uint64)[:, None] + np.array([[1, 2]], np.uint64))
-                    # Two coordinates that the node itself chooses.
-                    first = (parents[:, 0] % np.uint64(COORDINATES)).astype(np.int64)
-                    second = (first + 1 + (parents[:, 1] % np.uint64(COORDINATES - 1)).astype(np.int64)) % COORDINATES
-                    chosen = np.stack([first, second], axis=1)
-                taken = np.take_along_axis(values, chosen, axis=1).astype(np.uint64)
-                node = mix(parents ^ mix(taken + (chosen.astype(np.uint64) << np.uint64(33)))).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(node.ravel()), pa.array(np.repeat(doc, node.shape[1]))], names=["node", "doc"]
-                )
-
-        return run
+    def first_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            roots = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, TREES)
+            node = mix(roots.astype(np.uint64) + (np.arange(1, TREES + 1, dtype=np.uint64) << np.uint64(40)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(node.astype(np.int64).ravel()), pa.array(np.repeat(np.asarray(batch.column(0)), TREES))],
+                names=["node", "doc"],
+            )
+
+    def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Two children, on coordinates that the node itself chooses."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parents = mix(np.asarray(batch.column(0)).astype(np.uint64)[:, None] + np.array([[1, 2]], np.uint64))
+            one = (parents[:, 0] % np.uint64(COORDINATES)).astype(np.int64)
+            two = (one + 1 + (parents[:, 1] % np.uint64(COORDINATES - 1)).astype(np.int64)) % COORDINATES
+            taken = np.take_along_axis(_sketches(batch.column(2)), np.stack([one, two], axis=1), axis=1)
+            node = mix(parents ^ mix(taken.astype(np.uint64) + np.uint64(1 << 32))).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(node.ravel()), pa.array(np.repeat(np.asarray(batch.column(1)), 2))], names=["node", "doc"]
+            )
+
+    def beside_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Which pivots of its node each member may be similar to, as bits."""
+        for batch in batches:
+            own, masks = _sketches(batch.column(2)), np.zeros(batch.num_rows, np.int32)
+            for j in range(PIVOTS):
+                pivots = batch.column(3 + j)
+                there = np.flatnonzero(np.asarray(pivots.is_valid()))
+                if len(there):
+                    alike = (own[there] == _sketches(pivots.take(pa.array(there)))).mean(axis=1) >= least
+                    masks[there[alike]] |= 1 << j
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(masks)], names=["node", "doc", "mask"])
+
+    def beside_others(members: pa.Table, others: pa.Table) -> pa.Table:
+        """Members of a node that may be similar to those no pivot is like."""
+        if not members.num_rows or not others.num_rows:
+            return _pairs([])
+        own, values = _sketches(members["sketch"]), _sketches(others["sketch"])
+        names = np.concatenate([np.asarray(members["doc"]), np.asarray(others["doc"])]).tolist()
+        joined, found = UnionFind(len(names)), []
+        for j in range(len(values)):
+            for i in np.flatnonzero((own == values[j]).mean(axis=1) >= least).tolist():
+                if joined.union(i, len(own) + j):
+                    found.append((names[i], names[len(own) + j]))
+        return _pairs(found)
 
-    rows = sketches.mapInArrow(branch(0), "node bigint, doc bigint")
-    small, large = [], None
+    rows = sets.select(F.col("rep").alias("doc"), "roots").mapInArrow(first_nodes, "node bigint, doc bigint")
+    pairs = "a bigint, b bigint"
+    small, edges, done, large = [], [], [], None
     for level in range(DEPTH + 1):
         rows = materialise(rows, "nodes")
         sizes = materialise(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("doc").alias("low")).where("n > 1"), "sizes")
@@ -183,11 +242,61 @@ def near_groups(df: DataFrame, doc_id: str, text: str, percent: int = 75) -> Dat
         met = materialise(rows.join(sizes.hint("merge"), "node"), "met")
         small.append(met.where(F.col("n") <= SMALL).select("node", "doc"))
         large = met.where(F.col("n") > SMALL)
-        if level == DEPTH or large.isEmpty():
+        if large.isEmpty():
             break
-        rows = large.join(sketches.hint("merge"), "doc").select("doc", "sketch", "node").mapInArrow(
-            branch(level + 1), "node bigint, doc bigint"
+        shown = materialise(large.select("node", "doc", "n").join(sketches.hint("merge"), "doc").select("node", "doc", "sketch", "n"), "shown")
+        chance = F.xxhash64("node", "doc")
+        drawn = F.struct(chance.alias("chance"), "doc", "sketch")
+        pivots = materialise(
+            shown.groupBy("node").agg(*[
+                F.min(F.when(F.pmod(chance, F.lit(PIVOTS)) == j, drawn)).alias(f"p{j}") for j in range(PIVOTS)
+            ]).select(
+                "node", *[F.col(f"p{j}.doc").alias(f"d{j}") for j in range(PIVOTS)],
+                *[F.col(f"p{j}.sketch").alias(f"s{j}") for j in range(PIVOTS)],
+            ),
+            "pivots",
+        )
+        beside = shown.join(pivots, "node")
+        masks = materialise(
+            beside.select("node", "doc", "sketch", *[f"s{j}" for j in range(PIVOTS)]).mapInArrow(
+                beside_pivots, "node bigint, doc bigint, mask int"
+            ),
+            "masks",
+        )
+        named = pivots.select("node", F.array(*[f"d{j}" for j in range(PIVOTS)]).alias("pivot"))
+        # At most 2^PIVOTS different masks a node: they tell which pivots are connected.
+        judged = materialise(
+            masks.groupBy("node").agg(F.count_if(F.col("mask") == 0).alias("others"), F.collect_set("mask").alias("seen"))
+            .withColumn("joined", _connected(F.col("seen"))).join(named, "node"),
+            "judged",
+        )
+        first = F.array_position(F.transform(F.sequence(F.lit(0), F.lit(PIVOTS - 1)), lambda j: F.getbit("mask", j).cast("int")), 1)
+        edges.append(
+            masks.where("mask > 0").join(named, "node").select(F.element_at("pivot", first.cast("int")).alias("a"), F.col("doc").alias("b"))
         )
+        bits = F.explode(F.transform("seen", lambda m: F.filter(F.transform(F.sequence(F.lit(0), F.lit(PIVOTS - 1)), lambda j: F.when(F.getbit(m, j) == 1, j)), lambda j: j.isNotNull())))
+        edges.append(
+            judged.select("pivot", bits.alias("bits")).where(F.size("bits") > 1)
+            .select("pivot", F.col("bits")[0].alias("one"), F.explode("bits").alias("two")).where("one != two")
+            .select(F.element_at("pivot", F.col("one") + 1).alias("a"), F.element_at("pivot", F.col("two") + 1).alias("b"))
+        )
+        finished = judged.where((F.col("others") <= SMALL) & F.col("joined")).select("node", "others")
+        # A part of a node's members meets all the others of that node.
+        parts = F.ceil(F.col("n") / PART)
+        asked = materialise(
+            masks.where("mask = 0").join(finished, "node").join(shown, ["node", "doc"]).select("node", "doc", "sketch", "n"), "others"
+        )
+        everyone = asked.select("node", "doc", "sketch", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"))
+        members = shown.join(asked.select("node").distinct(), "node", "left_semi").select(
+            "node", "doc", "sketch", F.pmod(F.xxhash64("doc"), parts).alias("part")
+        )
+        edges.append(
+            members.groupBy("node", "part").cogroup(everyone.groupBy("node", "part")).applyInArrow(beside_others, pairs)
+        )
+        done.append(large.join(finished, "node", "left_semi"))
+        large = large.join(finished, "node", "left_anti")
+        if level < DEPTH:
+            rows = shown.join(finished, "node", "left_anti").select("node", "doc", "sketch").mapInArrow(branch, "node bigint, doc bigint")
     leaves = small[0]
     for part in small[1:]:
         leaves = leaves.unionByName(part)
@@ -196,7 +305,7 @@ def near_groups(df: DataFrame, doc_id: str, text: str, percent: int = 75) -> Dat
         node, doc = table["node"].to_numpy(), table["doc"].to_numpy()
         order = np.lexsort((doc, node))
         node, doc = node[order], doc[order]
-        values = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint32).reshape(-1, COORDINATES)[order]
+        values = _sketches(table["sketch"])[order]
         found = []
         for a, b in _slices(node):
             joined = UnionFind(b - a)
@@ -209,10 +318,11 @@ def near_groups(df: DataFrame, doc_id: str, text: str, percent: int = 75) -> Dat
     deal = F.pmod(F.col("node"), F.lit(groups))
     candidates = (
         leaves.join(sketches.hint("merge"), "doc").withColumn("deal", deal)
-        .groupBy("deal").applyInArrow(compare, "a bigint, b bigint")
+        .groupBy("deal").applyInArrow(compare, pairs)
         .unionByName(large.select(F.col("low").alias("a"), F.col("doc").alias("b")))
-        .distinct()
     )
+    for part in edges:
+        candidates = candidates.unionByName(part)
     grouped = components(candidates)
     # A root is a member as well.
     member = materialise(
@@ -222,13 +332,15 @@ def near_groups(df: DataFrame, doc_id: str, text: str, percent: int = 75) -> Dat
     )
     weight = (
         member.join(sets.select(F.col("rep").alias("doc"), "n_shingles"), "doc")
-        .groupBy("group").agg(F.sum("n_shingles").alias("shingles"))
+        .groupBy("group").agg(F.sum(F.greatest("n_shingles", F.lit(FEWEST))).alias("shingles"))
     )
     sized = materialise(member.join(materialise(weight, "weights"), "group"), "sized")
     units = sized.where(F.col("shingles") <= SETTLED).select(F.col("group").alias("unit"), "doc")
     heavy = sized.where(F.col("shingles") > SETTLED).select("doc")
     in_nodes = leaves.join(heavy, "doc", "left_semi").select(F.xxhash64("node").alias("unit"), "doc")
-    units = units.unionByName(in_nodes).unionByName(_block_pairs(large.join(heavy, "doc", "left_semi")))
+    units = units.unionByName(in_nodes)
+    for part in [large, *done]:
+        units = units.unionByName(_block_pairs(part.join(heavy, "doc", "left_semi")))
 
     def settled(table: pa.Table) -> pa.Table:
         unit, doc = table["unit"].to_numpy(), table["doc"].to_numpy()
@@ -237,12 +349,12 @@ def near_groups(df: DataFrame, doc_id: str, text: str, percent: int = 75) -> Dat
         found = []
         for a, b in _slices(unit[order]):
             names = doc[order[a:b]].tolist()
-            found += settle(names, shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), percent, least)
+            found += settle(names, shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), percent)
         return _pairs([(a, b) for a, b in found if a != b])
 
     placed = docs.join(materialise(units.distinct(), "units").hint("merge"), "doc")
     links = placed.withColumn("deal", F.pmod(F.xxhash64("unit"), F.lit(groups))).groupBy("deal").applyInArrow(
-        settled, "a bigint, b bigint"
+        settled, pairs
     )
     roots = components(links)
     classes = materialise(
@@ -261,6 +373,19 @@ def near_groups(df: DataFrame, doc_id: str, text: str, percent: int = 75) -> Dat
     )
 
 
+@F.udf(T.BooleanType())
+def _connected(seen):
+    """Whether shared members connect all pivots that have any."""
+    reached, rest = 0, [m for m in seen if m]
+    if rest:
+        reached = rest.pop()
+    while joined := [m for m in rest if m & reached]:
+        for m in joined:
+            reached |= m
+        rest = [m for m in rest if not m & reached]
+    return not rest
+
+
 def _block_pairs(large: DataFrame) -> DataFrame:
     """Units that hold two blocks each of a large node, so that all its pairs meet."""
     count = F.ceil(F.col("n") / SMALL)
