@@ -33,7 +33,7 @@ from shotweave.storage import materialise
 
 TREES, COORDINATES = 12, 96
 #: Documents compared exhaustively in one node, and levels below the first.
-SMALL, DEPTH = 192, 6
+SMALL, DEPTH = 192, 2
 PIVOTS = 8
 #: Members of a large node that one task compares with those no pivot is like.
 PART = 2048
