@@ -27,12 +27,14 @@ REMEMBERED = 300_000
 @lru_cache(maxsize=None)
 def _classes() -> np.ndarray:
     """The class of every code point."""
-    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    text, table = "".join(points), np.zeros(0x110000, np.uint8)
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
-        for match in regex.finditer(pattern, text):
-            table[ord(text[match.start()]) : ord(text[match.end() - 1]) + 1] = kind
-    table[0xD800:0xE000] = OTHER
+    table = np.zeros(0x110000, np.uint8)
+    for begin in range(0, 0x110000, 0x800):
+        if begin == 0xD800:  # surrogates
+            continue
+        text = "".join(map(chr, range(begin, begin + 0x800)))
+        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+            for match in regex.finditer(pattern, text):
+                table[begin + match.start() : begin + match.end()] = kind
     return table
 
 
