@@ -23,8 +23,8 @@ from shotweave.storage import materialise
 HEAD, CUES = 32, 96
 CLASSES = HEAD + CUES
 STATE = 16
-#: Steps that gradients go back; every ``STRIDE``-th window of a text is trained on.
-WINDOW, STRIDE = 24, 4
+#: Steps that gradients go back.
+WINDOW = 24
 ROUNDS = 2
 LANES, SCORED = 64, 512
 _END = np.uint64(0xE17D)
@@ -88,59 +88,74 @@ def new_weights(class_share: np.ndarray) -> list[np.ndarray]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return np.tanh(x * 0.5) * 0.5 + 0.5
 
 
-def _step(weights, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    table, recurrent = weights[:2]
-    given, inner = table[x], h @ recurrent
+def _cell(given: np.ndarray, recurrent: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """New state, both gates, fresh state and its recurrent part from what the inputs give."""
+    inner = h @ recurrent
     gates = _sigmoid(given[:, : 2 * STATE] + inner[:, : 2 * STATE])
-    keep, reset = gates[:, :STATE], gates[:, STATE:]
     old = inner[:, 2 * STATE :]
-    fresh = np.tanh(given[:, 2 * STATE :] + reset * old)
-    return fresh + keep * (h - fresh), keep, reset, fresh, old
+    fresh = np.tanh(given[:, 2 * STATE :] + gates[:, STATE:] * old)
+    return fresh + gates[:, :STATE] * (h - fresh), gates, fresh, old
+
+
+def _step(weights, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    return _cell(weights[0][x], weights[1], h)
 
 
 def window_loss(weights, x: np.ndarray, y: np.ndarray, mask: np.ndarray, h: np.ndarray):
     """Log-likelihood (nats), gradients and last state of one (steps, lanes) window."""
     table, recurrent, out, bias = weights
     steps, lanes = x.shape
+    given, full = table[x], mask.all(axis=1)
     states, saved = [h], []
     for t in range(steps):
-        new, *rest = _step(weights, x[t], h)
-        h = np.where(mask[t][:, None], new, h)
+        new, *rest = _cell(given[t], recurrent, h)
+        h = new if full[t] else np.where(mask[t][:, None], new, h)
         states.append(h)
         saved.append(rest)
-    hidden = np.concatenate(states[1:])
-    logits = hidden @ out + bias
-    logits -= logits.max(axis=1, keepdims=True)
-    share = np.exp(logits)
-    total = share.sum(axis=1, keepdims=True)
+    states = np.stack(states)
+    hidden = states[1:].reshape(steps * lanes, STATE)
+    error = hidden @ out
+    error += bias
+    error -= error.max(axis=1, keepdims=True)
     flat, at = mask.ravel(), np.arange(steps * lanes)
-    likely = float(((logits[at, y.ravel()] - np.log(total[:, 0])) * flat).sum())
-    error = share / total
-    error[at, y.ravel()] -= 1
-    error *= flat[:, None] / max(int(flat.sum()), 1)
-    grads = [np.zeros_like(table), np.zeros_like(recurrent), hidden.T @ error, error.sum(axis=0)]
+    likely = error[at, y.ravel()]
+    np.exp(error, out=error)
+    total = error.sum(axis=1)
+    likely = float(((likely - np.log(total)) * flat).sum())
+    of_each = flat / max(int(flat.sum()), 1)
+    error *= (of_each / total).astype(error.dtype)[:, None]
+    error[at, y.ravel()] -= of_each.astype(error.dtype)
     from_out = (error @ out.T).reshape(steps, lanes, STATE)
-    later, deltas = np.zeros((lanes, STATE), np.float32), []
+    # What does not depend on later steps is taken for all steps at once.
+    gates, fresh, old = (np.stack(v) for v in zip(*saved))
+    keep, reset = gates[:, :, :STATE], gates[:, :, STATE:]
+    to_fresh = (1 - keep) * (1 - fresh * fresh)
+    to_keep = (states[:-1] - fresh) * keep * (1 - keep)
+    to_reset = to_fresh * old * reset * (1 - reset)
+    # Per step: the parts for keep, reset and the recurrent part of fresh.
+    factors = np.stack([to_keep, to_reset, to_fresh * reset], axis=2)
+    heres, later = np.empty_like(from_out), np.zeros((lanes, STATE), from_out.dtype)
     for t in reversed(range(steps)):
-        keep, reset, fresh, old = saved[t]
         here = later + from_out[t]
-        passed = np.where(mask[t][:, None], 0, here)
-        here = np.where(mask[t][:, None], here, 0)
-        d_fresh = here * (1 - keep) * (1 - fresh * fresh)
-        d_keep = here * (states[t] - fresh) * keep * (1 - keep)
-        d_reset = d_fresh * old * reset * (1 - reset)
-        deltas.append(np.concatenate([d_keep, d_reset, d_fresh], axis=1))
-        inner = np.concatenate([d_keep, d_reset, d_fresh * reset], axis=1)
-        grads[1] += states[t].T @ inner
-        later = passed + here * keep + inner @ recurrent.T
-    delta = np.concatenate(deltas[::-1])
+        passed = None
+        if not full[t]:
+            passed = np.where(mask[t][:, None], 0, here)
+            here = np.where(mask[t][:, None], here, 0)
+        heres[t] = here
+        later = (factors[t] * here[:, None, :]).reshape(lanes, 3 * STATE) @ recurrent.T
+        later += here * keep[t]
+        if passed is not None:
+            later += passed
+    inner = (factors * heres[:, :, None, :]).reshape(steps * lanes, 3 * STATE)
+    delta = inner.copy()
+    delta[:, 2 * STATE :] = (heres * to_fresh).reshape(steps * lanes, STATE)
     one_hot = np.zeros((CLASSES, len(delta)), np.float32)
     one_hot[x.ravel(), at] = 1
-    grads[0] += one_hot @ delta
-    return likely, grads, h
+    before = states[:-1].reshape(steps * lanes, STATE)
+    return likely, [one_hot @ delta, before.T @ inner, hidden.T @ error, error.sum(axis=0)], h
 
 
 class Adam:
@@ -175,22 +190,19 @@ def _windows(texts: list[np.ndarray], begin: int, steps: int) -> tuple[np.ndarra
     return x, y, mask
 
 
-def train(weights: list[np.ndarray], texts: list[np.ndarray], phase: int, rate: float = 0.01) -> int:
+def train(weights: list[np.ndarray], texts: list[np.ndarray], order_seed: int, rate: float = 0.01) -> int:
     """Improve the weights in place by truncated backpropagation; tokens trained on.
 
-    Every ``STRIDE``-th window of a text counts, beginning with number ``phase``
-    or with the first where a text has no such window; the state goes on from
-    one to the next.
+    Every window of every text counts, in order; the state goes on from one to
+    the next.  Groups of texts come in an order drawn from ``order_seed``.
     """
     order = sorted(texts, key=len)
     adam, seen = Adam(weights, rate), 0
     lanes = [order[i : i + LANES] for i in range(0, len(order), LANES)]
-    for i in np.random.default_rng(phase).permutation(len(lanes)):
+    for i in np.random.default_rng(order_seed).permutation(len(lanes)):
         group = lanes[i]
         state = np.zeros((len(group), STATE), np.float32)
-        longest = -(-len(group[-1]) // WINDOW)
-        for number in range(phase if phase < longest else 0, longest, STRIDE):
-            begin = number * WINDOW
+        for begin in range(0, len(group[-1]), WINDOW):
             alive = next(j for j, text in enumerate(group) if len(text) > begin)
             group, state = group[alive:], state[alive:]
             x, y, mask = _windows(group, begin, min(WINDOW, len(group[-1]) - begin))
@@ -217,9 +229,11 @@ def score(weights: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
             for t in range(steps):
                 state = _step(weights, x[t], state)[0]
                 hidden.append(state)
-            logits = np.concatenate(hidden) @ out + bias
+            logits = np.concatenate(hidden) @ out
+            logits += bias
             logits -= logits.max(axis=1, keepdims=True)
-            likely = logits[np.arange(len(logits)), y.ravel()] - np.log(np.exp(logits).sum(axis=1))
+            likely = logits[np.arange(len(logits)), y.ravel()]
+            likely -= np.log(np.exp(logits, out=logits).sum(axis=1))
             scores[lanes] += np.where(mask, likely.reshape(mask.shape), 0).sum(axis=0, dtype=np.float64)
             begin += steps
     return scores / np.log(10)
@@ -263,7 +277,8 @@ def log_likelihoods(df: DataFrame, doc_id: str, text: str, held_out) -> DataFram
     order, so no word string and no row per token is shuffled.  A unigram key is
     a 64-bit hash.  Training: every group of training documents improves a copy
     of the weights; copies are averaged in a tree, and again from there,
-    ``ROUNDS`` times.  All training documents take part, whatever the size.
+    ``ROUNDS`` times.  Every token of all training documents takes part in every
+    round, whatever the size.
 
     Null text is empty: its only token is the end.  A null id counts as
     training.  Repeated rows count as often as they come.  Without training
@@ -377,7 +392,7 @@ def log_likelihoods(df: DataFrame, doc_id: str, text: str, held_out) -> DataFram
     )
     weights = new_weights(share / share.sum())
     part_id = F.spark_partition_id()
-    for phase in range(ROUNDS):
+    for number in range(ROUNDS):
         start = columns(np.zeros(1), *weights)
 
         def improve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,7 +400,7 @@ def log_likelihoods(df: DataFrame, doc_id: str, text: str, held_out) -> DataFram
             for batch in batches:
                 node = batch.column(1)[0].as_py() if batch.num_rows else node
                 texts = [np.frombuffer(c, np.uint8) for c in batch.column(0).to_pylist()]
-                seen += train(own, texts, phase)
+                seen += train(own, texts, number)
             if seen:
                 yield blob_rows([(node, columns(np.array([float(seen)]), *own))])
 

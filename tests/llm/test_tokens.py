@@ -202,6 +202,28 @@ def held_out():
     return F.crc32(F.col("doc_id").cast("string")) % 7 == 2
 
 
+@pytest.mark.parametrize("number", [0, 1])
+def test_every_window_is_trained_on_in_order_with_the_state_carried(monkeypatch, number):
+    rng = np.random.default_rng(6)
+    texts = [np.full(n, i, np.uint8) for i, n in enumerate((1, 24, 25, 70, 96, 300))]
+    taken, ends, plain = {i: 0 for i in range(len(texts))}, {}, language.window_loss
+
+    def recorded(weights, x, y, mask, h):
+        result = plain(weights, x, y, mask, h)
+        for lane in range(mask.shape[1]):
+            text = int(y[0, lane])
+            assert np.array_equal(h[lane], ends.get(text, np.zeros(language.STATE)))
+            taken[text] += int(mask[:, lane].sum())
+            ends[text] = result[2][lane]
+        return result
+
+    monkeypatch.setattr(language, "window_loss", recorded)
+    weights = language.new_weights(np.full(language.CLASSES, 1 / language.CLASSES))
+    seen = language.train(weights, [texts[i] for i in rng.permutation(len(texts))], number)
+    assert taken == {i: len(text) for i, text in enumerate(texts)}
+    assert seen == sum(len(text) for text in texts)
+
+
 def test_base_score(docs, empty, rows):
     found = sorted(tuple(r) for r in language.log_likelihoods(docs, "doc_id", "text", held_out()).collect())
     for got, expected in zip(found, unigram(rows), strict=True):
