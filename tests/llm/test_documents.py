@@ -97,6 +97,26 @@ def test_a_group_larger_than_a_shard_is_cut(spark):
     assert max(sizes) - min(sizes) <= 40
 
 
+@pytest.mark.parametrize("copies", [(80, 80), (60,) * 5, (250, 90, 70, 55)])
+def test_groups_of_half_a_shard_or_more_leave_shards_equal(spark, copies):
+    """A shard is 100 times 200 bytes."""
+    texts = [f"{k} ".ljust(199, "x") for k, n in enumerate(copies) for _ in range(n)]
+    texts += [f"single {i} ".ljust(199, "y") for i in range(800 - len(texts))]
+    rows = list(enumerate(texts))
+    found = shards.balanced_shards(table(spark, rows), "doc_id", "text").collect()
+    sizes = check_shards(found, rows)
+    assert max(sizes) - min(sizes) <= 2 * 200
+    for k, n in enumerate(copies):
+        held = {r["shard"] for r in found if texts[r["doc_id"]] == texts[sum(copies[:k])]}
+        assert n > 100 or len(held) == 1
+
+
+def test_parts_of_shards_fill_them_to_one_level():
+    assert shards._bounds([0, 0], 10) == [5, 10]
+    assert shards._bounds([8, 0, 2], 5) == [0, 3, 5]
+    assert shards._bounds([3, 3, 3], 0) == [0, 0, 0]
+
+
 # --- order MinHash --------------------------------------------------------------
 
 
