@@ -21,8 +21,19 @@ def counted(spark, sf):
     return word_counts(documents(spark, sf), "text")
 
 
-def _trained(spark, sf, merges: int):
-    return bpe_train(counted(spark, sf), BASE + merges)
+def _trained(spark, sf):
+    return bpe_train(counted(spark, sf))
+
+
+def _one_merge(spark, sf):
+    """As far as SQL can follow."""
+    return bpe_train(counted(spark, sf), BASE + 1)
+
+
+def _saved(spark, tokenizer):
+    path = scratch_path(spark, "tokenizer")
+    save_tokenizer(tokenizer, spark, path)
+    return load_tokenizer(spark, path).vocab_table(spark)
 
 
 def first_pairs(spark, sf):
@@ -30,36 +41,43 @@ def first_pairs(spark, sf):
 
 
 def learnt(spark, sf):
-    """The first 32 merges."""
-    return _trained(spark, sf, 32).merges_table(spark)
+    """All merges of the default vocabulary."""
+    return _trained(spark, sf).merges_table(spark)
 
 
 def vocabulary(spark, sf):
     """Specials, bytes and the first merge, saved and loaded again."""
-    path = scratch_path(spark, "tokenizer")
-    save_tokenizer(_trained(spark, sf, 1), spark, path)
-    return load_tokenizer(spark, path).vocab_table(spark)
+    return _saved(spark, _one_merge(spark, sf))
+
+
+def full_vocabulary(spark, sf):
+    """The default vocabulary, saved and loaded again."""
+    return _saved(spark, _trained(spark, sf))
 
 
 def encoded(spark, sf):
-    rows = bpe_encode(documents(spark, sf), "text", _trained(spark, sf, 32))
+    rows = bpe_encode(documents(spark, sf), "text", _trained(spark, sf))
     return rows.select("row_id", F.array_join("ids", ",").alias("ids"))
 
 
 def round_trip(spark, sf):
-    tokenizer = _trained(spark, sf, 32)
+    tokenizer = _trained(spark, sf)
     rows = bpe_encode(documents(spark, sf), "text", tokenizer).select("row_id", "ids")
     return bpe_decode(rows, "ids", tokenizer, "text").select("row_id", "text")
 
 
 def masked_tokens(spark, sf):
-    masking = Masking.with_tokenizer(_trained(spark, sf, 32))
+    masking = Masking.with_tokenizer(_trained(spark, sf))
     rows = documents(spark, sf).withColumn("tokens", masking.tokenise(F.col("text")))
     return rows.select("row_id", masking.apply(F.col("text"), F.col("row_id")).alias("masked"))
 
 
 def sizes(spark, sf):
-    return tokenizer_stats(_trained(spark, sf, 1), spark)
+    return tokenizer_stats(_one_merge(spark, sf), spark)
+
+
+def full_sizes(spark, sf):
+    return tokenizer_stats(_trained(spark, sf), spark)
 
 
 QUERIES: dict[str, Query] = {
@@ -67,10 +85,12 @@ QUERIES: dict[str, Query] = {
     "bpe_pair_counts": first_pairs,
     "bpe_merges": learnt,
     "tokenizer_vocab": vocabulary,
+    "tokenizer_vocab_full": full_vocabulary,
     "bpe_encode": encoded,
     "bpe_roundtrip": round_trip,
     "mask_token_bpe": masked_tokens,
     "tokenizer_stats": sizes,
+    "tokenizer_stats_full": full_sizes,
 }
 
 # RE2 has no lookahead: a break before the last blank of a run does the same.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from shotweave.functions.bytelevel import (
     to_byte_level,
 )
 from shotweave.functions.hashing import as_column
+from shotweave.operators.bpe_local import learn_merges
 from shotweave.operators.masking import MASK
 from shotweave.storage import materialise
 
@@ -30,6 +32,9 @@ MIN_FREQUENCY = 2
 CANDIDATES = 128
 REWRITE_AFTER = 24
 
+#: Bytes of distinct words up to which the driver learns the merges; it takes up to about 100 times that.
+LOCAL_BYTES = 6_000_000
+
 
 @dataclass(frozen=True)
 class Tokenizer:
@@ -198,6 +203,21 @@ def _accept(
     return accepted
 
 
+def _train_local(
+    counts: DataFrame, tokens: list[str], first_id: int, vocab_size: int, min_frequency: int
+) -> Tokenizer:
+    found = counts.where(F.length("word") > 0).select(F.encode("word", "UTF-8").alias("word"), "n").toArrow()
+    words = found["word"].to_pylist()
+    ranks = {c: first_id + i for i, c in enumerate(sorted(BYTE_CHARS))}
+    id_of_byte = np.array([ranks[c] for c in BYTE_CHARS])
+    lengths = np.array([len(word) for word in words], np.int64)
+    merges = learn_merges(
+        id_of_byte[np.frombuffer(b"".join(words), np.uint8)], np.cumsum(lengths) - lengths,
+        found["n"].to_numpy(), tokens, vocab_size, min_frequency,
+    )
+    return Tokenizer(tuple(tokens), tuple(merges))
+
+
 def bpe_train(
     counts: DataFrame,
     vocab_size: int = VOCAB_SIZE,
@@ -208,15 +228,19 @@ def bpe_train(
 
     The most frequent neighbouring pair is merged until the vocabulary is
     full or no pair reaches ``min_frequency``; ties go to the smaller ids.
-    Every round is two Spark jobs over the distinct words and settles all
+    Up to ``LOCAL_BYTES`` of distinct words come to the driver, which merges one
+    pair at a time.  Of more words, every round is two Spark jobs and settles all
     merges that are certain from their counts, so the result is the same as
-    with one merge per round.  Only the candidate pairs come to the driver.
+    with one merge per round.  Only the candidate pairs come to the driver then.
     """
     special = SPECIAL_TOKENS if special_tokens is None else special_tokens
     tokens = [*special, *sorted(BYTE_CHARS)]
     known = {token: i for i, token in enumerate(tokens)}
     merges: list[tuple[str, str]] = []
     spark = counts.sparkSession
+    counts = materialise(counts.select("word", "n"), "words")
+    if (counts.agg(F.sum(F.octet_length("word"))).first()[0] or 0) <= LOCAL_BYTES:
+        return _train_local(counts, tokens, len(special), vocab_size, min_frequency)
     width = max(
         int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
     )

@@ -3,7 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import tokenizer
 from shotweave.functions.bytelevel import BYTE_CHARS, from_byte_level, split_words, to_byte_level
+from shotweave.operators import bpe
 from shotweave.operators.bpe import (
     SPECIAL_TOKENS, Tokenizer, _accept, bpe_decode, bpe_encode, bpe_train, word_counts,
 )
@@ -62,6 +64,23 @@ def test_training_equals_one_merge_at_a_time(spark):
     assert list(trained.tokens[:5]) == SPECIAL_TOKENS and trained.has("[MASK]")
 
 
+@pytest.mark.parametrize("local", [True, False])
+def test_both_ways_of_training_equal_one_merge_at_a_time_to_the_end(spark, monkeypatch, local):
+    if not local:
+        monkeypatch.setattr(bpe, "LOCAL_BYTES", -1)
+    counts = word_counts(corpus(spark, 12), "text")
+    expected = plain_trainer({r["word"]: r["n"] for r in counts.collect()}, bpe.VOCAB_SIZE)
+    assert len(expected) > 40 and list(bpe_train(counts).merges) == expected
+
+
+def test_registered_queries_learn_the_default_vocabulary(spark):
+    merges = tokenizer.learnt(spark, "/root/testdata/sf0.001").orderBy("rank").collect()
+    assert tokenizer.full_sizes(spark, "/root/testdata/sf0.001").first()["vocab_size"] == bpe.VOCAB_SIZE
+    assert len(merges) >= bpe.VOCAB_SIZE - BASE
+    counts = {r["word"]: r["n"] for r in tokenizer.counted(spark, "/root/testdata/sf0.001").collect()}
+    assert [(r["left"], r["right"]) for r in merges[:40]] == plain_trainer(counts, 40)
+
+
 def test_training_and_encoding_equal_the_common_library(spark, tmp_path):
     library = pytest.importorskip("tokenizers")
     df = corpus(spark)
