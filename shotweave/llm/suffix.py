@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by sorted suffixes, refined by bucket pointers.
+"""Removal of repeated byte strings by suffixes grouped by hashes.
 
 Every string of ``length`` bytes is a suffix cut at that depth.  Two equal ones
 have to meet, so each goes where the smallest hash of the short grams inside it
@@ -6,12 +6,12 @@ sends it: neighbouring windows share that gram, so they travel together as one
 context, about one context for every 35 bytes.  Contexts whose gram is met
 nowhere else cannot repeat and are never sent.
 
-Where contexts meet, suffixes are sorted by bucket-pointer refinement: the first
-buckets come from q-grams, each position points to its bucket, and a bucket is
-refined by sorting its members on the pointers at a later offset.  Pointers of
-depth 2q are made from those of depth q and are what the next round reads.
-Members left alone leave the sort.  A last bucket holds equal strings, which is
-checked byte by byte; its earliest member stays, the others are repeats.
+Where contexts meet, suffixes are grouped by hash, which replaces refinement by
+bucket pointers: a rolling hash of half the length is made once for every
+position from two of a quarter; suffixes are sorted by it at offset 0 and, within
+a group, at the second half.  Members left alone leave the sort.  Groups are in
+the order of hashes, not of suffixes.  A last group is checked byte by byte; its
+earliest member stays, its equals are repeats.
 """
 
 from __future__ import annotations
