@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shotweave.operators.cleaning import drop_missing
+from shotweave.sources.quoted import logical_records, text_lines
+from shotweave.storage import fits_broadcast, materialise
 
 # Words read as a missing value.
 MISSING_WORDS = [
@@ -16,47 +17,65 @@ MISSING_WORDS = [
 ]
 
 
-def _csv_header(spark: SparkSession, path: str, multiline: bool) -> list[str]:
-    return spark.read.csv(
-        path, header=True, inferSchema=False, multiLine=multiline, escape='"'
-    ).columns
+_CSV = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
+def _csv_header(spark: SparkSession, path: str) -> list[str]:
+    return spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"').columns
 
 
 def read_task(
     spark: SparkSession, path: str, key: str, label: str, row_id: str = "row_id",
-    multiline: bool = False,
+    multiline: bool = True,
 ) -> DataFrame:
     """A task table with missing words as NULL and the row's ordinal.
 
     All columns are read as text.  The ordinal counts rows in the order of
-    file name and position: two narrow passes, no shuffle of the rows.  Fields
-    with line breaks need ``multiline``, and then a file is one task's work.
+    file name and position.  A quoted field may have line breaks, and a file is
+    still read in as many tasks as it has splits.  ``multiline=False`` says that
+    no field has one: the files are read with less work, and a line that
+    leaves a quote open is an error.  A line ends with a line feed, with or
+    without a carriage return.
     """
-    columns = _csv_header(spark, path, multiline)
+    columns = _csv_header(spark, path)
     for wanted in (key, label):
         if wanted not in columns:
             raise ValueError(f"column {wanted!r} not found; available: {columns}")
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    raw = spark.read.csv(
-        path, header=True, schema=schema, multiLine=multiline, escape='"',
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-    )
+    records = logical_records(spark, path) if multiline else _one_line_records(spark, path)
+    text = F.regexp_replace("text", r"\r\z", "")
+    fields = F.from_csv(text, _ddl(columns), {**_CSV, "multiLine": "true"})
     missing = F.lit(MISSING_WORDS)
-    cleaned = raw.select(
-        *[F.when(~F.array_contains(missing, F.col(f"`{c}`")), F.col(f"`{c}`")).alias(c) for c in columns],
-        F.col("_metadata.file_path").alias("__file"),
-        F.col("_metadata.file_block_start").alias("__start"),
-        F.monotonically_increasing_id().alias("__seen"),
+    parsed = records.select(F.col("row"), fields.alias("f"))
+    return parsed.select(
+        *[F.when(~F.array_contains(missing, F.col("f")[c]), F.col("f")[c]).alias(c) for c in columns],
+        F.col("row").alias(row_id),
+    )
+
+
+def _ddl(columns: list[str]) -> str:
+    return ", ".join("`" + c.replace("`", "``") + "` STRING" for c in columns)
+
+
+def _one_line_records(spark: SparkSession, path: str) -> DataFrame:
+    """(row, text) of files in which every record is one line."""
+    lines = text_lines(spark, path).where(~F.col("line").rlike(r"\A[ \t\r]*\z"))
+    broken = F.concat(F.lit("a quote is left open; read with multiline=True: "), F.substring("line", 1, 200))
+    checked = lines.select(
+        F.when(F.col("after_start"), F.raise_error(broken)).otherwise(F.col("line")).alias("text"),
+        "file", "start", F.monotonically_increasing_id().alias("seen"),
     )
     # One row per file split, so one task can hold them all.
-    splits = cleaned.groupBy("__file", "__start").agg(
-        F.min("__seen").alias("__first"), F.count("*").alias("__rows")
+    splits = checked.groupBy("file", "start").agg(F.min("seen").alias("first"), F.count("*").alias("n"))
+    before = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("header", (F.row_number().over(Window.partitionBy("file").orderBy("start")) == 1).cast("int"))
+    rows_before = F.coalesce(F.sum(F.col("n") - F.col("header")).over(before), F.lit(0))
+    placed = materialise(
+        splits.select("file", "start", "first", "header", (rows_before - F.col("header")).alias("shift")), "splits"
     )
-    earlier = Window.orderBy("__file", "__start").rowsBetween(Window.unboundedPreceding, -1)
-    rows_before = F.coalesce(F.sum("__rows").over(earlier), F.lit(0))
-    offsets = splits.select("__file", "__start", (rows_before - F.col("__first")).alias("__shift"))
-    numbered = cleaned.join(F.broadcast(offsets), ["__file", "__start"])
-    return numbered.select(*columns, (F.col("__seen") + F.col("__shift")).alias(row_id))
+    placed = F.broadcast(placed) if fits_broadcast(placed) else placed
+    numbered = checked.join(placed, ["file", "start"])
+    at = F.col("seen") - F.col("first")
+    return numbered.where((F.col("header") == 0) | (at > 0)).select((at + F.col("shift")).alias("row"), "text")
 
 
 def read_corpus(spark: SparkSession, path: str, column: str) -> DataFrame:
