@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotweave.llm import byte_pairs, chunks, exact, language, near, order_minhash, packing, quality, shards, suffix
+from shotweave.llm import (
+    byte_pairs, chunks, exact, language, near, order_minhash, packing, quality, runs, shards, suffix,
+)
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,6 +66,33 @@ def op10_gated_lm(spark: SparkSession, sf: str) -> DataFrame:
     return language.log_likelihoods(_documents(spark, sf), "doc_id", "text", held_out)
 
 
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """The contract's input: a tenth of the texts, chosen by the id's checksum, made periodic."""
+    checksum = F.crc32(F.col("doc_id").cast("string"))
+    looped = F.expr(r"""
+      transform(sequence(0L, n - 1), i -> words[int(if(i < a, i, a + (i - a) % (1 + (n - a) div (3 + g % 8))))])""")
+    found = docs.withColumn("h", checksum).withColumn("g", F.expr("h div 10")).withColumn(
+        "words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    )
+    found = found.withColumn("n", F.size("words").cast("bigint"))
+    found = found.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    text = F.when(F.col("n") > 0, F.array_join(looped, " ")).otherwise(F.col("text"))
+    return found.select("doc_id", text.alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    found = runs.collapse_runs(_with_periods(_documents(spark, sf).select("doc_id", "text")), "text", least=24, times=3)
+    # By start, then period: the first of equal exponents stays.
+    better = "r.length * best.period > best.length * r.period"
+    best = F.expr(f"aggregate(runs, cast(named_struct('start', NULL, 'length', NULL, 'period', NULL) AS struct<start:bigint,length:bigint,period:bigint>), (best, r) -> if(best.period IS NULL OR {better}, r, best))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_suffix_array": op1_suffix_array,
     "op2_order_minhash": op2_order_minhash,
@@ -75,6 +104,7 @@ QUERIES = {
     "op8_best_fit": op8_best_fit,
     "op9_chosen_path": op9_chosen_path,
     "op10_gated_lm": op10_gated_lm,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES = {
