@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotweave.llm import (
-    byte_pairs, chunks, exact, language, near, order_minhash, packing, quality, runs, shards, suffix,
+    byte_pairs, chunks, exact, language, lexicon, near, order_minhash, packing, quality, runs, shards,
+    suffix,
 )
 
 
@@ -66,6 +67,11 @@ def op10_gated_lm(spark: SparkSession, sf: str) -> DataFrame:
     return language.log_likelihoods(_documents(spark, sf), "doc_id", "text", held_out)
 
 
+def op11_word_lexicon(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _documents(spark, sf)
+    return lexicon.round_trip(docs, "doc_id", "text", lexicon.word_tokenizer(docs, "text"))
+
+
 def _with_periods(docs: DataFrame) -> DataFrame:
     """The contract's input: a tenth of the texts, chosen by the id's checksum, made periodic."""
     checksum = F.crc32(F.col("doc_id").cast("string"))
@@ -104,6 +110,7 @@ QUERIES = {
     "op8_best_fit": op8_best_fit,
     "op9_chosen_path": op9_chosen_path,
     "op10_gated_lm": op10_gated_lm,
+    "op11_word_lexicon": op11_word_lexicon,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
