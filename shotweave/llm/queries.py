@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotweave.llm import (
-    byte_pairs, chunks, exact, language, lexicon, near, order_minhash, packing, quality, runs, shards,
-    suffix,
+    byte_pairs, chunks, exact, language, lexicon, near, negatives, order_minhash, packing, quality,
+    runs, shards, suffix,
 )
 
 
@@ -72,6 +72,14 @@ def op11_word_lexicon(spark: SparkSession, sf: str) -> DataFrame:
     return lexicon.round_trip(docs, "doc_id", "text", lexicon.word_tokenizer(docs, "text"))
 
 
+def op12_four_russians(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
+    label = F.col("label").cast("bigint")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    rows = rows.select("vec_id", moved.alias("label"), "embedding")
+    return negatives.hard_negatives(rows, "vec_id", "label", "embedding", F.col("vec_id") % 50 == 0)
+
+
 def _with_periods(docs: DataFrame) -> DataFrame:
     """The contract's input: a tenth of the texts, chosen by the id's checksum, made periodic."""
     checksum = F.crc32(F.col("doc_id").cast("string"))
@@ -111,10 +119,29 @@ QUERIES = {
     "op9_chosen_path": op9_chosen_path,
     "op10_gated_lm": op10_gated_lm,
     "op11_word_lexicon": op11_word_lexicon,
+    "op12_four_russians": op12_four_russians,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES = {
+    "op12_four_russians": """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM rows a JOIN rows b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS n FROM scored WHERE same)
+  WHERE n <= 5)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM (
+  SELECT p.anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) AS rank
+  FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+    AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score)
+WHERE rank <= 3""",
     "op4_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
   doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
