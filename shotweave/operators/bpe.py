@@ -19,22 +19,14 @@ from shotweave.functions.bytelevel import (
     to_byte_level,
 )
 from shotweave.functions.hashing import as_column
-from shotweave.operators.bpe_local import learn_merges
+from shotweave.operators.bpe_rounds import learn_in_rounds
 from shotweave.operators.masking import MASK
-from shotweave.storage import materialise
 
 # Fixed values.
 SPECIAL_TOKENS = ["<s>", "<pad>", "</s>", "<unk>", "[MASK]"]
 VOCAB_SIZE = 5000
 MIN_FREQUENCY = 2
 
-#: Pairs looked at per training round, and merges between rewrites of the words.
-CANDIDATES = 128
-REWRITE_AFTER = 24
-
-#: Bytes of distinct words up to which the driver learns the merges; it takes up to about 100 times that.
-LOCAL_BYTES = 6_000_000
-
 
 @dataclass(frozen=True)
 class Tokenizer:
@@ -84,21 +76,6 @@ def _as_symbols(word: Column, first_id: int) -> Column:
     return F.concat(F.lit(","), F.array_join(F.transform(shown, lambda c: table[c]), ",,"), F.lit(","))
 
 
-def _merge(symbols: Column, merges: list[tuple[int, int, int]]) -> Column:
-    """Apply merges in order.  The steps are data, so the plan keeps its shape."""
-    if not merges:
-        return symbols
-    steps = F.array(
-        *[
-            F.struct(F.lit(f",{a},,{b},").alias("pair"), F.lit(f",{c},").alias("merged"))
-            for a, b, c in merges
-        ]
-    )
-    return F.aggregate(
-        steps, symbols, lambda text, step: F.replace(text, step["pair"], step["merged"])
-    )
-
-
 def _has_pairs() -> Column:
     return F.col("symbols").contains(",,")
 
@@ -128,96 +105,6 @@ def pair_counts(words: DataFrame) -> DataFrame:
     )
 
 
-def _contexts(words: DataFrame, candidates: list[tuple[int, int]]) -> DataFrame:
-    """What surrounds each candidate pair.
-
-    Per pair: the largest count of a new pair its merge can create, and for
-    every other candidate that shares a symbol with it in some word, how many
-    occurrences overlap.
-    """
-    spots = F.expr(
-        "transform(sequence(0, size(s) - 2), i -> named_struct("
-        "'left', s[i], 'right', s[i + 1], "
-        "'before', if(i > 0, s[i - 1], null), "
-        "'after', if(i < size(s) - 2, s[i + 2], null)))"
-    )
-    names = [f"{left} {right}" for left, right in candidates]
-
-    def is_candidate(left: str, right: str) -> Column:
-        return F.concat_ws(" ", left, right).isin(names)
-
-    found = (
-        _ids(words)
-        .select(F.explode(spots).alias("p"), "n")
-        .select("p.*", "n")
-        .where(is_candidate("left", "right"))
-    )
-    # The pair lost before and the one lost after; each makes way for a new one.
-    replaced = F.array(
-        F.struct(F.col("before").alias("l"), F.col("left").alias("r")),
-        F.struct(F.col("right").alias("l"), F.col("after").alias("r")),
-    )
-    neighbours = (
-        found.select("left", "right", "n", F.posexplode(replaced).alias("side", "other"))
-        .where(F.col("other.l").isNotNull() & F.col("other.r").isNotNull())
-        .groupBy("left", "right", "side", "other")
-        .agg(F.sum("n").alias("n"))
-    )
-    return neighbours.groupBy("left", "right").agg(
-        F.max("n").alias("largest_new"),
-        F.collect_list(
-            F.when(is_candidate("other.l", "other.r"), F.struct("other.l", "other.r", "n"))
-        ).alias("overlaps"),
-    )
-
-
-def _accept(
-    ranked: list[tuple[int, int, int]],
-    contexts: dict[tuple[int, int], tuple[int, dict[tuple[int, int], int]]],
-) -> list[tuple[int, int]]:
-    """The leading merges that are certain before any count is refreshed.
-
-    Walks the pairs in order of count.  A pair that overlaps an accepted one
-    waits, and so do the pairs the accepted merges create; ``ceiling`` is the
-    largest count any waiting pair can still have.  The walk ends where a pair
-    is not strictly above it.
-    """
-    accepted: list[tuple[int, int]] = []
-    ceiling = 0
-    reduced: dict[tuple[int, int], int] = {}
-    count = {(left, right): n for left, right, n in ranked}
-    for left, right, n in ranked:
-        pair = (left, right)
-        if n <= ceiling:
-            break
-        if pair in reduced:
-            ceiling = max(ceiling, reduced[pair])
-            continue
-        accepted.append(pair)
-        largest_new, overlaps = contexts.get(pair, (0, {}))
-        ceiling = max(ceiling, largest_new)
-        for other, shared in overlaps.items():
-            # In a run of one symbol the overlap need not cost an occurrence.
-            lost = 0 if left == right else shared
-            reduced[other] = min(reduced.get(other, count[other]), count[other] - lost)
-    return accepted
-
-
-def _train_local(
-    counts: DataFrame, tokens: list[str], first_id: int, vocab_size: int, min_frequency: int
-) -> Tokenizer:
-    found = counts.where(F.length("word") > 0).select(F.encode("word", "UTF-8").alias("word"), "n").toArrow()
-    words = found["word"].to_pylist()
-    ranks = {c: first_id + i for i, c in enumerate(sorted(BYTE_CHARS))}
-    id_of_byte = np.array([ranks[c] for c in BYTE_CHARS])
-    lengths = np.array([len(word) for word in words], np.int64)
-    merges = learn_merges(
-        id_of_byte[np.frombuffer(b"".join(words), np.uint8)], np.cumsum(lengths) - lengths,
-        found["n"].to_numpy(), tokens, vocab_size, min_frequency,
-    )
-    return Tokenizer(tuple(tokens), tuple(merges))
-
-
 def bpe_train(
     counts: DataFrame,
     vocab_size: int = VOCAB_SIZE,
@@ -227,60 +114,16 @@ def bpe_train(
     """Learn merges from (word, n).
 
     The most frequent neighbouring pair is merged until the vocabulary is
-    full or no pair reaches ``min_frequency``; ties go to the smaller ids.
-    Up to ``LOCAL_BYTES`` of distinct words come to the driver, which merges one
-    pair at a time.  Of more words, every round is two Spark jobs and settles all
-    merges that are certain from their counts, so the result is the same as
-    with one merge per round.  Only the candidate pairs come to the driver then.
+    full or no pair reaches ``min_frequency``; ties go to the smaller ids.  The
+    words stay on the cluster, see :mod:`shotweave.operators.bpe_rounds`; the
+    result is that of one merge at a time over all of them.
     """
     special = SPECIAL_TOKENS if special_tokens is None else special_tokens
     tokens = [*special, *sorted(BYTE_CHARS)]
-    known = {token: i for i, token in enumerate(tokens)}
-    merges: list[tuple[str, str]] = []
-    spark = counts.sparkSession
-    counts = materialise(counts.select("word", "n"), "words")
-    if (counts.agg(F.sum(F.octet_length("word"))).first()[0] or 0) <= LOCAL_BYTES:
-        return _train_local(counts, tokens, len(special), vocab_size, min_frequency)
-    width = max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    first = {c: len(special) + i for i, c in enumerate(sorted(BYTE_CHARS))}
+    merges = learn_in_rounds(
+        counts, np.array([first[c] for c in BYTE_CHARS], np.int32), tokens, vocab_size, min_frequency
     )
-    start = initial_symbols(counts, len(special)).repartition(width)
-    words = materialise(start, "words")
-    pending: list[tuple[int, int, int]] = []
-    while len(tokens) < vocab_size:
-        current = words.select(_merge(F.col("symbols"), pending).alias("symbols"), "n")
-        if len(pending) >= REWRITE_AFTER:
-            # Words of one symbol have no pairs left.
-            words, pending = materialise(current.where(_has_pairs()), "words"), []
-            current = words
-        top = (
-            pair_counts(current)
-            .where(F.col("n") >= min_frequency)
-            .orderBy(F.col("n").desc(), "left", "right")
-            .limit(CANDIDATES)
-            .collect()
-        )
-        if not top:
-            break
-        ranked = [(r["left"], r["right"], r["n"]) for r in top]
-        contexts = {
-            (int(r["left"]), int(r["right"])): (
-                r["largest_new"],
-                {(int(o["l"]), int(o["r"])): o["n"] for o in r["overlaps"]},
-            )
-            for r in _contexts(current, [(a, b) for a, b, _ in ranked]).collect()
-        }
-        for left, right in _accept(ranked, contexts):
-            token = tokens[left] + tokens[right]
-            is_new = token not in known
-            if is_new:
-                known[token] = len(tokens)
-                tokens.append(token)
-            merges.append((tokens[left], tokens[right]))
-            pending.append((left, right, known[token]))
-            # A spelling reached in two ways adds to counts already taken.
-            if not is_new or len(tokens) >= vocab_size:
-                break
     return Tokenizer(tuple(tokens), tuple(merges))
 
 

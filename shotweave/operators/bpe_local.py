@@ -1,4 +1,4 @@
-"""Byte-pair training over a word table that fits in memory, one merge at a time."""
+"""Byte-pair training over a table of bounded size, one merge at a time."""
 
 from __future__ import annotations
 
@@ -17,12 +17,16 @@ def _sums(keys: np.ndarray, weights: np.ndarray) -> tuple[list[int], list[int],
 
 
 def learn_merges(
-    symbols: np.ndarray, begins: np.ndarray, counts: np.ndarray, tokens: list[str], vocab_size: int, min_frequency: int
-) -> list[tuple[str, str]]:
+    symbols: np.ndarray, begins: np.ndarray, counts: np.ndarray, tokens: list[str], vocab_size: int, min_frequency: int,
+    beyond: tuple[int, int] | None = None,
+) -> tuple[list[tuple[str, str]], np.ndarray, np.ndarray]:
     """Merges of words given as ids side by side; ``tokens`` grows by what is learnt.
 
     Words are a linked line of symbols.  A merge looks at the places of its pair
-    only and corrects the counts of the pairs beside them.
+    only and corrects the counts of the pairs beside them.  Ends when the
+    vocabulary is full, when no pair reaches ``min_frequency`` or comes before
+    ``beyond`` (count and pair), or after a merge that spells a token known before.  Returns the merges, what is left of the
+    words and how many symbols each has left.
     """
     size = len(symbols)
     lengths = np.diff(np.append(begins, size))
@@ -59,7 +63,7 @@ def learn_merges(
             if 0 < n < -stale:
                 heapq.heappush(heap, (-n, key))
             continue
-        if n < min_frequency:
+        if n < min_frequency or (beyond and (-n, key) >= (-beyond[0], beyond[1])):
             break
         left, right = key >> 32, key & 0xFFFFFFFF
         at = np.unique(np.concatenate(where.pop(key)))
@@ -77,7 +81,8 @@ def learn_merges(
         for other, lost, _ in zip(*_sums(pairs(touched), weight[touched])):
             count[other] -= lost
         token = tokens[left] + tokens[right]
-        if token not in known:
+        is_new = token not in known
+        if is_new:
             known[token] = len(tokens)
             tokens.append(token)
         merges.append((tokens[left], tokens[right]))
@@ -89,4 +94,8 @@ def learn_merges(
         touched = touched[touched >= 0]
         touched = touched[after[touched] >= 0]
         add(touched)
-    return merges
+        if not is_new:
+            break
+    alive = sym >= 0
+    left_over = np.diff(np.append(0, np.cumsum(alive))[np.append(begins, size)])
+    return merges, sym[alive], left_over

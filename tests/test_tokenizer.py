@@ -1,14 +1,18 @@
 import random
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from catalog import tokenizer
 from shotweave.functions.bytelevel import BYTE_CHARS, from_byte_level, split_words, to_byte_level
-from shotweave.operators import bpe
+from shotweave.operators import bpe, bpe_rounds
 from shotweave.operators.bpe import (
-    SPECIAL_TOKENS, Tokenizer, _accept, bpe_decode, bpe_encode, bpe_train, word_counts,
+    SPECIAL_TOKENS, Tokenizer, bpe_decode, bpe_encode, bpe_train, word_counts,
 )
+from shotweave.operators.bpe_local import learn_merges
 from shotweave.operators.masking import masked
 from shotweave.plans.records import Masking
 from shotweave.sources.tokenizers import load_tokenizer, save_tokenizer, save_tokenizer_files
@@ -30,7 +34,7 @@ def corpus(spark, extra=60):
     return spark.createDataFrame(list(enumerate(LINES + made)), "row_id long, text string")
 
 
-def plain_trainer(counts, merges):
+def plain_trainer(counts, merges, least=2):
     """One merge at a time over word lists."""
     alphabet = sorted(BYTE_CHARS)
     ids = {c: len(SPECIAL_TOKENS) + i for i, c in enumerate(alphabet)}
@@ -43,7 +47,7 @@ def plain_trainer(counts, merges):
             for pair in zip(symbols, symbols[1:]):
                 pairs[pair] = pairs.get(pair, 0) + n
         best = min(pairs, key=lambda p: (-pairs[p], ids[p[0]], ids[p[1]]), default=None)
-        if best is None or pairs[best] < 2:
+        if best is None or pairs[best] < least:
             break
         learnt.append(best)
         ids.setdefault("".join(best), len(ids) + len(SPECIAL_TOKENS))
@@ -64,15 +68,62 @@ def test_training_equals_one_merge_at_a_time(spark):
     assert list(trained.tokens[:5]) == SPECIAL_TOKENS and trained.has("[MASK]")
 
 
-@pytest.mark.parametrize("local", [True, False])
-def test_both_ways_of_training_equal_one_merge_at_a_time_to_the_end(spark, monkeypatch, local):
-    if not local:
-        monkeypatch.setattr(bpe, "LOCAL_BYTES", -1)
-    counts = word_counts(corpus(spark, 12), "text")
+@pytest.mark.parametrize("pairs, size", [(1, 1 << 20), (7, 200), (1 << 14, 1 << 20)])
+def test_rounds_equal_one_merge_at_a_time_to_the_end(spark, monkeypatch, pairs, size):
+    monkeypatch.setattr(bpe_rounds, "FIRST_PAIRS", pairs)
+    monkeypatch.setattr(bpe_rounds, "MOST_PAIRS", max(pairs, 16))
+    monkeypatch.setattr(bpe_rounds, "FRAGMENT_BYTES", size)
+    monkeypatch.setattr(bpe_rounds, "BLOB_SYMBOLS", 500)
+    counts = word_counts(corpus(spark, 8), "text")
     expected = plain_trainer({r["word"]: r["n"] for r in counts.collect()}, bpe.VOCAB_SIZE)
     assert len(expected) > 40 and list(bpe_train(counts).merges) == expected
 
 
+@settings(max_examples=300, deadline=None)
+@given(
+    st.lists(st.tuples(st.text("abc", min_size=1, max_size=9), st.integers(1, 4)), min_size=1, max_size=15),
+    st.integers(1, 4), st.integers(1, 3),
+)
+def test_fragments_give_the_merges_of_the_words(words, pairs, least):
+    """The rounds without Spark, against one merge at a time over lists."""
+    counts = {}
+    for word, n in words:
+        counts[word] = counts.get(word, 0) + n
+    alphabet = sorted(BYTE_CHARS)
+    tokens = [*SPECIAL_TOKENS, *alphabet]
+    id_of = {c: len(SPECIAL_TOKENS) + i for i, c in enumerate(alphabet)}
+    long = {w: n for w, n in counts.items() if len(w) > 1}
+    state = bpe_rounds.Words(
+        np.array([id_of[c] for w in long for c in w], np.int32), np.array([len(w) for w in long], np.int64),
+        np.array(list(long.values()), np.int64),
+    )
+    merges = []
+    while len(state.counts):
+        row = state.row()
+        top = sorted(zip((-row["sums"]).tolist(), row["pairs"].tolist()))
+        top = [(n, p) for n, p in top if -n >= least]
+        if not top:
+            break
+        frequent = np.array(sorted(p for _, p in top[:pairs]), np.int64)
+        beyond = (-top[pairs][0], top[pairs][1]) if pairs < len(top) else None
+        table = {}
+        starts, lengths = state.segments(frequent)
+        weight = state.counts[np.searchsorted(np.cumsum(state.lengths), starts, "right")]
+        for some, rows, number in state.fragments(starts, lengths):
+            for segment, k in zip(some, number):
+                table[rows[k].tobytes()] = table.get(rows[k].tobytes(), 0) + int(weight[segment])
+        sizes = np.array([len(f) // 4 for f in table])
+        learnt, left, after = learn_merges(
+            np.frombuffer(b"".join(table), np.int32), np.cumsum(sizes) - sizes, np.array(list(table.values())), tokens, 5000,
+            least, beyond,
+        )
+        assert learnt
+        merges += learnt
+        cut = np.split(left.astype(np.int32), np.cumsum(after)[:-1])
+        state = state.replaced(frequent, {f: x.tobytes() for f, x in zip(table, cut)})
+    assert merges == plain_trainer(counts, 5000, least)
+
+
 def test_registered_queries_learn_the_default_vocabulary(spark):
     merges = tokenizer.learnt(spark, "/root/testdata/sf0.001").orderBy("rank").collect()
     assert tokenizer.full_sizes(spark, "/root/testdata/sf0.001").first()["vocab_size"] == bpe.VOCAB_SIZE
@@ -100,17 +151,6 @@ def test_rare_pairs_are_not_merged(spark):
     assert bpe_train(word_counts(df, "text"), BASE + 10).merges == ()
 
 
-def test_only_certain_merges_are_accepted():
-    ranked = [(1, 2, 10), (2, 3, 9), (4, 5, 8), (6, 7, 3)]
-    # (2, 3) overlaps (1, 2) four times, so it may have 5 left: (6, 7) must wait.
-    contexts = {(1, 2): (4, {(2, 3): 4}), (4, 5): (2, {})}
-    assert _accept(ranked, contexts) == [(1, 2), (4, 5)]
-    # A new pair as frequent as the next candidate ends the walk.
-    assert _accept([(1, 2, 10), (4, 5, 8)], {(1, 2): (8, {})}) == [(1, 2)]
-    # In a run the overlap may cost nothing.
-    assert _accept([(1, 1, 10), (1, 3, 9), (4, 5, 8)], {(1, 1): (2, {(1, 3): 9})}) == [(1, 1)]
-
-
 def test_round_trip(spark):
     df = corpus(spark)
     tokenizer = bpe_train(word_counts(df, "text"), BASE + 20)
