@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shotweave.functions.hashing import portable_hash
 from shotweave.functions.text import words
+from shotweave.sources.tables import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 TASK_TEXT = "decide whether the quality is high"
@@ -19,19 +20,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").withColumnRenamed("doc_id", "row_id")
+    return spread(table(spark, sf, "documents")).withColumnRenamed("doc_id", "row_id")
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
     """Classification task: text, source, label."""
     labels = table(spark, sf, "labels").select(F.col("doc_id").alias("row_id"), F.col("quality").alias("label"))
-    texts = documents(spark, sf).select("row_id", "text", "source")
+    texts = spread(table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "text", "source"))
     return texts.join(labels, "row_id")
 
 
 def parts(spark: SparkSession, sf: str) -> DataFrame:
     """Regression task: text, label."""
-    return table(spark, sf, "part").select(
+    return spread(table(spark, sf, "part")).select(
         F.col("p_partkey").alias("row_id"),
         F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"),
         F.col("p_retailprice").alias("label"),
@@ -44,7 +45,7 @@ NUMBERS = ["12.5", "about -3", ".5e-3", "1e-5", "n/a", ""]
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Answers to every event, chosen by hash."""
-    e = table(spark, sf, "events")
+    e = spread(table(spark, sf, "events"))
     i = F.col("event_id")
     low = F.when(F.col("user_id") % 2 == 0, F.lit("_low")).otherwise(F.lit(""))
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -127,72 +129,113 @@ def bpe_train(
     return Tokenizer(tuple(tokens), tuple(merges))
 
 
-def _word_encoder(merges: tuple[tuple[str, str], ...]):
-    """Apply merges to one word, best rank first, remembering frequent words."""
-    ranks = {pair: i for i, pair in enumerate(merges)}
-
-    @lru_cache(maxsize=200_000)
-    def encode(word: str) -> tuple[str, ...]:
-        symbols = list(word)
-        while len(symbols) > 1:
-            best = min(
-                zip(symbols, symbols[1:]), key=lambda p: ranks.get(p, len(ranks))
-            )
-            if best not in ranks:
-                break
-            merged, i = [], 0
-            while i < len(symbols):
-                if tuple(symbols[i : i + 2]) == best:
-                    merged.append(symbols[i] + symbols[i + 1])
-                    i += 2
-                else:
-                    merged.append(symbols[i])
-                    i += 1
-            symbols = merged
-        return tuple(symbols)
-
-    return encode
+#: Words whose ids a worker remembers; beyond that it starts again.
+REMEMBERED = 200_000
 
 
-def bpe_tokens(text, tokenizer: Tokenizer) -> Column:
-    """Tokens of a text.
+def merge_symbols(symbols: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+    """Merge the pair of lowest rank, the leftmost of equal ones, as long as there is one.
 
-    Splitting and byte mapping stay in the JVM; the merge loop runs per word
-    in Arrow batches.  No shuffle: words repeat so much that every worker's
-    cache soon knows most of them.
+    ``pairs`` has the rank and the result of each.  A linked line of symbols and a
+    heap of ranks: n log n, however long the word is.
     """
-    merges = tokenizer.merges
+    n = len(symbols)
+    ids, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
+    current: dict[int, tuple[int, int]] = {}
+    heap: list[tuple[int, int]] = []
+    for i in range(n - 1):
+        found = pairs.get((ids[i], ids[i + 1]))
+        if found:
+            current[i] = found
+            heap.append((found[0], i))
+    heapq.heapify(heap)
+    while heap:
+        rank, i = heapq.heappop(heap)
+        if i not in current or current[i][0] != rank:
+            continue
+        gone = after[i]
+        ids[i], ids[gone], after[i] = current[i][1], -1, after[gone]
+        current.pop(gone, None)
+        if after[i] < n:
+            before[after[i]] = i
+        for left in (i, before[i]):
+            current.pop(left, None)
+            if left >= 0 and after[left] < n:
+                found = pairs.get((ids[left], ids[after[left]]))
+                if found:
+                    current[left] = found
+                    heapq.heappush(heap, (found[0], left))
+    return [x for x in ids if x >= 0]
+
+
+class _WordEncoder:
+    """Ids of words shown as byte-level characters; each distinct word is merged once."""
+
+    def __init__(self, tokens: tuple[str, ...], merges: tuple[tuple[str, str], ...]) -> None:
+        self.ids = {token: i for i, token in enumerate(tokens)}
+        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        for rank, (left, right) in enumerate(merges):
+            self.pairs[self.ids[left], self.ids[right]] = rank, self.ids[left + right]
+        self.tokens = pa.array(tokens, pa.string())
+        self.known: dict[str, np.ndarray] = {}
+
+    def word(self, shown: str) -> np.ndarray:
+        found = self.known.get(shown)
+        if found is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            found = np.array(merge_symbols([self.ids[c] for c in shown], self.pairs), np.int32)
+            self.known[shown] = found
+        return found
+
+    def __call__(self, words: pa.ListArray) -> pa.StructArray:
+        flat = words.flatten().dictionary_encode()
+        parts = [self.word(shown) for shown in flat.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        starts = np.cumsum(sizes) - sizes
+        which = np.asarray(flat.indices).astype(np.int64)
+        lengths = sizes[which]
+        ends = np.cumsum(lengths)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[which] - (ends - lengths), lengths)
+        ids = pa.array(np.concatenate([*parts, np.zeros(0, np.int32)])[at], pa.int32())
+        rows = np.append(0, np.cumsum(np.asarray(words.value_lengths())))
+        offsets = pa.array(np.append(0, ends)[rows], pa.int32())
+        return pa.StructArray.from_arrays(
+            [pa.ListArray.from_arrays(offsets, self.tokens.take(ids)), pa.ListArray.from_arrays(offsets, ids)], ["tokens", "ids"]
+        )
 
-    @pandas_udf("array<string>")
-    def encode(batches: pd.Series) -> pd.Series:
-        one = _encoder(merges)
-        return batches.map(lambda words: [t for word in words for t in one(word)])
 
-    shown = F.transform(split_words(text), to_byte_level)
-    return F.when(as_column(text).isNotNull(), encode(F.coalesce(shown, F.array())))
+@lru_cache(maxsize=4)
+def _encoder(tokens: tuple[str, ...], merges: tuple[tuple[str, str], ...]) -> _WordEncoder:
+    return _WordEncoder(tokens, merges)
 
 
-@lru_cache(maxsize=4)
-def _encoder(merges: tuple[tuple[str, str], ...]):
-    return _word_encoder(merges)
+def bpe_encoded(text, tokenizer: Tokenizer) -> Column:
+    """Tokens and ids of a text, as a struct of two arrays; NULL of NULL.
 
+    Splitting and byte mapping stay in the JVM.  One pass through Arrow takes a batch
+    of words, merges those it has not met before and lays out both arrays from the
+    positions of distinct words.  No shuffle.
+    """
+    tokens, merges = tokenizer.tokens, tokenizer.merges
 
-def bpe_ids(tokens, tokenizer: Tokenizer) -> Column:
-    """Ids of tokens."""
-    ids = tokenizer.ids
+    @F.arrow_udf("struct<tokens:array<string>,ids:array<int>>")
+    def encode(words: pa.Array) -> pa.Array:
+        return _encoder(tokens, merges)(words)
 
-    @pandas_udf("array<int>")
-    def look_up(batches: pd.Series) -> pd.Series:
-        return batches.map(lambda row: None if row is None else [ids[t] for t in row])
+    shown = F.transform(split_words(text), to_byte_level)
+    return F.when(as_column(text).isNotNull(), encode(F.coalesce(shown, F.array().cast("array<string>"))))
 
-    return look_up(as_column(tokens))
+
+def bpe_tokens(text, tokenizer: Tokenizer) -> Column:
+    """Tokens of a text."""
+    return bpe_encoded(text, tokenizer)["tokens"]
 
 
 def bpe_encode(df: DataFrame, text: str, tokenizer: Tokenizer) -> DataFrame:
-    """Add ``tokens`` and ``ids`` of a text column."""
-    return df.withColumn("tokens", bpe_tokens(F.col(text), tokenizer)).withColumn(
-        "ids", bpe_ids(F.col("tokens"), tokenizer)
-    )
+    """Add ``tokens`` and ``ids`` of a text column, both from one pass."""
+    both = df.withColumn("__encoded", bpe_encoded(F.col(text), tokenizer))
+    return both.withColumns({"tokens": F.col("__encoded.tokens"), "ids": F.col("__encoded.ids")}).drop("__encoded")
 
 
 def bpe_join(tokens) -> Column:

@@ -89,3 +89,12 @@ def read_corpus(spark: SparkSession, path: str, column: str) -> DataFrame:
     if column not in table.columns:
         raise ValueError(f"column {column!r} not found; available: {table.columns}")
     return drop_missing(table.select(column), column)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A table just read, dealt out where its files make fewer tasks than there are cores.
+
+    A large table has more splits than that and is never shuffled for it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

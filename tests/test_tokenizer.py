@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -146,6 +147,47 @@ def test_training_and_encoding_equal_the_common_library(spark, tmp_path):
         assert row["tokens"] == other.encode(row["text"]).tokens
 
 
+def slow_merge(symbols, pairs):
+    symbols = list(symbols)
+    while True:
+        ranked = [(pairs[p][0], i) for i, p in enumerate(zip(symbols, symbols[1:])) if p in pairs]
+        if not ranked:
+            return symbols
+        _, i = min(ranked)
+        symbols[i : i + 2] = [pairs[symbols[i], symbols[i + 1]][1]]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 6), max_size=25), st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), unique=True, max_size=20))
+def test_merging_with_a_heap(symbols, ranked):
+    pairs = {pair: (rank, 7 + rank % 6) for rank, pair in enumerate(ranked)}
+    assert bpe.merge_symbols(symbols, pairs) == slow_merge(symbols, pairs)
+
+
+def test_all_documents_encode_as_in_the_common_library(spark):
+    """The whole default vocabulary, whole texts, and a word of 20,000 letters."""
+    library = pytest.importorskip("tokenizers")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rng = random.Random(3)
+    long = "".join(rng.choice("aeinorst") for _ in range(20000))
+    docs = docs.unionByName(spark.createDataFrame([(-1, long), (-2, None), (-3, "")], "doc_id bigint, text string"))
+    trained = bpe_train(word_counts(docs, "text"))
+    other = library.ByteLevelBPETokenizer(vocab=trained.ids, merges=list(trained.merges))
+    rows = bpe_encode(docs, "text", trained).collect()
+    assert len(trained.tokens) == bpe.VOCAB_SIZE
+    for row in rows:
+        if row["text"] is None:
+            assert row["ids"] is None and row["tokens"] is None
+            continue
+        expected = other.encode(row["text"])
+        assert row["ids"] == expected.ids and row["tokens"] == expected.tokens
+    encoder = bpe._encoder(trained.tokens, trained.merges)
+    encoder.known.clear()
+    start = time.perf_counter()
+    encoder.word(long)
+    assert time.perf_counter() - start < 0.2
+
+
 def test_rare_pairs_are_not_merged(spark):
     df = spark.createDataFrame([("abc",)], "text string")
     assert bpe_train(word_counts(df, "text"), BASE + 10).merges == ()
