@@ -279,8 +279,10 @@ def hard_negatives(
     finite = ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = numbers.where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("vector").isNotNull() & finite)
     one = rows.groupBy("id").agg(F.min(F.struct("label", "vector", "is_anchor")).alias("row")).select("id", "row.*")
-    share = df.count() // (2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cells = materialise(_cells(one, scale, min(max(share, LEAST_CELL), CELL)), "cells")
+    n = df.count()
+    share = min(max(n // (2 * int(spark.conf.get("spark.sql.shuffle.partitions"))), LEAST_CELL), CELL)
+    # Small partitions are taken together, so that a cell is full whatever their number.
+    cells = materialise(_cells(one.coalesce(max(1, -(-n // share))), scale, share), "cells")
     # One row per cell, so one task can hold them all.
     before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     numbered = materialise(
