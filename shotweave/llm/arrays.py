@@ -5,7 +5,8 @@ Everything here works on one Arrow batch, or on a block of it, inside a task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -145,6 +146,50 @@ def from_columns(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def give_back() -> None:
+    """Return freed memory to the machine: workers are used again, by other stages too."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(work: Callable) -> Callable:
+    """A function over the batches of a task that gives memory back at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def tidy_group(work: Callable) -> Callable:
+    """The same for a function over one group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return work(table)
+        finally:
+            give_back()
+
+    return run
+
+
+def tidy_pair(work: Callable) -> Callable:
+    """The same for a function over two groups of one key."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return work(left, right)
+        finally:
+            give_back()
+
+    return run
+
+
 class UnionFind:
     """Classes of small integers; the smaller root wins."""
 

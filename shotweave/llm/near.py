@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shotweave.llm.arrays import UnionFind, blocks, mix, ragged, text_buffer, window_hashes
+from shotweave.llm.arrays import blocks, mix, ragged, text_buffer, tidy, UnionFind, window_hashes
 from shotweave.llm.components import components
 from shotweave.llm.groups import group_count
 from shotweave.llm.language import words
@@ -175,7 +175,7 @@ def near_groups(df: DataFrame, doc_id: str, text: str, percent: int = 75) -> Dat
                 )
 
     profile = materialise(
-        docs.mapInArrow(describe, "doc bigint, n_shingles bigint, digest binary, roots binary, sketch binary"), "profile"
+        docs.mapInArrow(tidy(describe), "doc bigint, n_shingles bigint, digest binary, roots binary, sketch binary"), "profile"
     )
     sets = materialise(
         profile.where("n_shingles > 0").groupBy("digest").agg(

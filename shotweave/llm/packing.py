@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from shotweave.llm.arrays import blocks, text_buffer
+from shotweave.llm.arrays import blocks, text_buffer, tidy
 from shotweave.llm.pieces import PieceEncoder
 from shotweave.storage import fits_broadcast, materialise
 
@@ -139,7 +139,7 @@ def pack(
         if held:
             yield packed()
 
-    pieces = materialise(rows.mapInArrow(leaf, _PIECES), "pieces")
+    pieces = materialise(rows.mapInArrow(tidy(leaf), _PIECES), "pieces")
     node = F.shiftright("bin", 40)
     bins = (
         pieces.where(F.col("fill") <= most)

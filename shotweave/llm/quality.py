@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shotweave.llm.arrays import blocks, text_buffer
+from shotweave.llm.arrays import blocks, text_buffer, tidy
 from shotweave.llm.language import words
 from shotweave.storage import fits_broadcast, materialise
 
@@ -23,6 +23,9 @@ FEATURES = [
     "word_length", "long_words", "same_as_before", "same_as_two_before", "new_words", "few_words",
 ]
 
+#: Bytes of text that are described at once; some ten arrays of eight bytes a byte are made of them.
+SMALL_BLOCK = 1 << 19
+
 
 def _classes() -> np.ndarray:
     """Number of the counted class of each byte; 10 is a plain small letter."""
@@ -142,13 +145,13 @@ def site_quality(
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_buffer(batch.column(1))
-            for a, b in blocks(offsets):
+            for a, b in blocks(offsets, SMALL_BLOCK):
                 x = features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 part = batch.slice(a, b - a)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], flat], names=schema.names)
 
-    described = materialise(rows.mapInArrow(describe, schema), "features")
+    described = materialise(rows.mapInArrow(tidy(describe), schema), "features")
     known = (
         labels.select(labels[doc_id].alias("doc_id"), labels[label].cast("double").alias("y"))
         .dropna().groupBy("doc_id").agg(F.min("y").alias("y"))

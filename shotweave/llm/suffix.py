@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shotweave.llm.arrays import (
-    blocks, byte_values, columns, from_columns, mix, ragged, sliding_min, text_buffer, window_hashes,
+    blocks, byte_values, columns, from_columns, mix, ragged, sliding_min, text_buffer, tidy, tidy_group, tidy_pair, window_hashes,
 )
 from shotweave.llm.groups import BLOBS, blob_rows, fresh, group_count
 
@@ -313,12 +313,12 @@ def remove_repeats(
                 np.add.at(cover, begin + stop[hit] + (length - 1), -1)
         return removed_columns(docs_table.select(names), raw, offsets, np.cumsum(cover[:-1]) > 0, (kept, spans))
 
-    noted = brief.mapInArrow(grams, BLOBS).groupBy("bucket").applyInArrow(met, BLOBS)
+    noted = brief.mapInArrow(tidy(grams), BLOBS).groupBy("bucket").applyInArrow(tidy_group(met), BLOBS)
     # Both cogroups read one exchange of the texts.
-    sent = docs.groupBy(own_bucket).cogroup(noted.groupBy("bucket")).applyInArrow(send, BLOBS)
-    judged = sent.groupBy("bucket").applyInArrow(judge, BLOBS)
+    sent = docs.groupBy(own_bucket).cogroup(noted.groupBy("bucket")).applyInArrow(tidy_pair(send), BLOBS)
+    judged = sent.groupBy("bucket").applyInArrow(tidy_group(judge), BLOBS)
     schema = T.StructType([*df.schema.fields, T.StructField(kept, T.BinaryType()), T.StructField(spans, SPANS)])
-    return docs.groupBy(own_bucket).cogroup(judged.groupBy("bucket")).applyInArrow(cut_out, schema)
+    return docs.groupBy(own_bucket).cogroup(judged.groupBy("bucket")).applyInArrow(tidy_pair(cut_out), schema)
 
 
 def removed_columns(
