@@ -14,7 +14,7 @@ from shotweave.operators.metrics import (
     accuracy, evaluate_classification, evaluate_regression, pr_auc, r2, rmse, roc_auc,
 )
 from shotweave.operators.scoring import (
-    finite_only, invalid_count, predict, resolve_label, resolve_value, with_true_label,
+    ModelFactory, finite_only, invalid_count, predict, resolve_label, resolve_value, with_true_label,
     with_true_value,
 )
 from shotweave.operators.sft import pad_batches, sft_concat, sft_padded

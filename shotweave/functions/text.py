@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,24 +57,48 @@ def label_text(label) -> Column:
     return F.when(as_column(label) == 1, F.lit("Yes")).otherwise(F.lit("No"))
 
 
-def _scaled(value: Column, digits: int) -> Column:
-    """|value| times 10^digits as a whole number, ties of the exact value to even.
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once, so that expressions stay small."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _scaled(value: Column, digits: int, then: Callable[[Column], Column]) -> Column:
+    """``then`` of |value| times 10^digits as a whole number, ties of the exact value to even.
 
     The value is cut in two halves whose products with the power of ten are
     exact, so a tie is one in the binary value and not in its shortest decimal.
     """
     power = F.lit(float(10**digits))
-    size = F.abs(value)
-    spread = size * F.lit(134217729.0)
-    high = spread - (spread - size)
-    whole = F.floor(high * power)
-    one, two = high * power - whole, (size - high) * power
-    rest = one + two
-    part = rest - one
-    lost = (one - (rest - part)) + (two - part)  # what adding the two has rounded away
-    base, left = whole + F.floor(rest), rest - F.floor(rest)
-    up = (left > 0.5) | ((left == 0.5) & ((lost > 0) | ((lost == 0) & (base % 2 == 1))))
-    return base + up.cast("bigint")
+
+    def cut(size: Column) -> Column:
+        return _bound(size * F.lit(134217729.0), lambda wide: halves(size, wide - (wide - size)))
+
+    def halves(size: Column, high: Column) -> Column:
+        return _bound(
+            F.struct((high * power).alias("high"), ((size - high) * power).alias("low")),
+            lambda x: _bound(F.floor(x["high"]), lambda whole: add(whole, x["high"] - whole, x["low"])),
+        )
+
+    def add(whole: Column, one: Column, two: Column) -> Column:
+        return _bound(
+            F.struct(whole.alias("whole"), one.alias("one"), two.alias("two")),
+            lambda x: _bound(x["one"] + x["two"], lambda rest: settle(x["whole"], x["one"], x["two"], rest)),
+        )
+
+    def settle(whole: Column, one: Column, two: Column, rest: Column) -> Column:
+        part = rest - one
+        lost = (one - (rest - part)) + (two - part)  # what adding the two has rounded away
+        return _bound(
+            F.struct((whole + F.floor(rest)).alias("base"), (rest - F.floor(rest)).alias("left"), lost.alias("lost")),
+            lambda x: _bound(
+                x["base"] + (
+                    (x["left"] > 0.5) | ((x["left"] == 0.5) & ((x["lost"] > 0) | ((x["lost"] == 0) & (x["base"] % 2 == 1))))
+                ).cast("bigint"),
+                then,
+            ),
+        )
+
+    return _bound(F.abs(value), cut)
 
 
 #: Beyond this a double has no decimals to round.
@@ -81,21 +107,27 @@ _NO_DECIMALS = 1e11
 
 def decimal_text(value, digits: int) -> Column:
     """A number with so many decimals, as ``%.nf`` of its exact binary value."""
-    value = as_column(value).cast("double")
-    scaled = _scaled(value, digits)
     power = F.lit(10**digits)
-    text = F.concat(
-        F.when(value < 0, F.lit("-")).otherwise(F.lit("")), F.floor(scaled / power).cast("string"), F.lit("."),
-        F.lpad((scaled % power).cast("string"), digits, "0"),
-    )
-    return F.when(F.abs(value) < _NO_DECIMALS, text).otherwise(F.format_string(f"%.{digits}f", value))
+
+    def shown(number: Column) -> Column:
+        text = _scaled(number, digits, lambda scaled: F.concat(
+            F.when(number < 0, F.lit("-")).otherwise(F.lit("")), F.floor(scaled / power).cast("string"), F.lit("."),
+            F.lpad((scaled % power).cast("string"), digits, "0"),
+        ))
+        return F.when(F.abs(number) < _NO_DECIMALS, text).otherwise(F.format_string(f"%.{digits}f", number))
+
+    return _bound(as_column(value).cast("double"), shown)
 
 
 def rounded(value, digits: int) -> Column:
     """A number rounded to so many decimals, ties of the exact value to even."""
-    value = as_column(value).cast("double")
-    size = _scaled(value, digits) / F.lit(float(10**digits))
-    return F.when(F.abs(value) < _NO_DECIMALS, F.when(value < 0, -size).otherwise(size)).otherwise(value)
+
+    def near(number: Column) -> Column:
+        sign = F.when(number < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+        size = _scaled(number, digits, lambda scaled: sign * scaled / F.lit(float(10**digits)))
+        return F.when(F.abs(number) < _NO_DECIMALS, size).otherwise(number)
+
+    return _bound(as_column(value).cast("double"), near)
 
 
 def format_label(value) -> Column:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,13 +32,60 @@ PREDICTION_FIELDS = [
 ]
 
 
-def predict(df: DataFrame, model: Callable[[pd.Series], pd.DataFrame], prompt: str = "instruction") -> DataFrame:
+Model = Callable[[pd.Series], pd.DataFrame]
+
+#: Characters of prompts that a model gets at once.
+BATCH_CHARS = 1 << 18
+
+
+@dataclass(frozen=True)
+class ModelFactory:
+    """How a worker gets its model: ``load()`` runs once in each worker process.
+
+    Only the name and the function travel to the tasks.  The name tells models
+    apart; a worker that meets it again, in whatever job, keeps the model it has.
+    """
+
+    name: str
+    load: Callable[[], Model]
+
+
+_MODELS: dict[str, Model] = {}
+
+
+def model_of(model: Model | ModelFactory) -> Model:
+    """The model itself, loaded where this worker does not have it yet."""
+    if not isinstance(model, ModelFactory):
+        return model
+    if model.name not in _MODELS:
+        _MODELS[model.name] = model.load()
+    return _MODELS[model.name]
+
+
+def _stretches(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of prompts of about ``most`` characters; a longer prompt stands alone."""
+    begin = size = 0
+    for at, length in enumerate(lengths):
+        if at > begin and size + length > most:
+            yield begin, at
+            begin, size = at, 0
+        size += length
+    if begin < len(lengths):
+        yield begin, len(lengths)
+
+
+def predict(
+    df: DataFrame, model: Model | ModelFactory, prompt: str = "instruction", batch_chars: int = BATCH_CHARS
+) -> DataFrame:
     """Add a model's answers: ``model_output``, ``p_yes``, ``p_no``, ``failed``.
 
     ``model`` maps a batch of prompts to a frame with ``model_output`` and,
-    where known, the two probabilities.  A batch that fails is halved until
-    the prompts that fail stand alone; those get an empty answer.  A probability
-    that is None, or whose column the model leaves out, is NULL; NaN stays NaN.
+    where known, the two probabilities; a :class:`ModelFactory` loads it on the
+    workers, and an error there is no failed prompt but ends the job.  A batch has
+    prompts of at most ``batch_chars`` characters in all, or one.  A batch that
+    fails is halved until the prompts that fail stand alone; those get an empty
+    answer.  A probability that is None, or whose column the model leaves out, is
+    NULL; NaN stays NaN.
     """
     schema = T.StructType(df.schema.fields + PREDICTION_FIELDS)
     place = df.columns.index(prompt)
@@ -44,8 +93,8 @@ def predict(df: DataFrame, model: Callable[[pd.Series], pd.DataFrame], prompt: s
     def number(value) -> float | None:
         return None if value is None or value is pd.NA else float(value)
 
-    def ask(prompts: pd.Series) -> list[tuple]:
-        answers = model(prompts)
+    def ask(answer: Model, prompts: pd.Series) -> list[tuple]:
+        answers = answer(prompts)
         if len(answers) != len(prompts):
             raise ValueError("a model must answer every prompt")
         known = answers.reindex(columns=["model_output"]).astype(object)
@@ -55,23 +104,25 @@ def predict(df: DataFrame, model: Callable[[pd.Series], pd.DataFrame], prompt: s
         ]
         return list(zip(texts, *numbers, [False] * len(texts)))
 
-    def ask_all(prompts: pd.Series) -> list[tuple]:
+    def ask_all(answer: Model, prompts: pd.Series) -> list[tuple]:
         try:
-            return ask(prompts)
+            return ask(answer, prompts)
         except Exception:
             if len(prompts) == 1:
                 return [("", None, None, True)]
             half = len(prompts) // 2
-            return ask_all(prompts[:half]) + ask_all(prompts[half:])
+            return ask_all(answer, prompts[:half]) + ask_all(answer, prompts[half:])
 
     kinds = [pa.string(), pa.float64(), pa.float64(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                answers = zip(*ask_all(batch.column(place).to_pandas()))
+            lengths = pc.fill_null(pc.utf8_length(batch.column(place)), 0).to_pylist()
+            for begin, end in _stretches(lengths, batch_chars):
+                part = batch.slice(begin, end - begin)
+                answers = zip(*ask_all(model_of(model), part.column(place).to_pandas()))
                 added = [pa.array(values, kind) for values, kind in zip(answers, kinds)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns, *added], names=schema.names)
 
     return df.mapInArrow(run, schema)
 

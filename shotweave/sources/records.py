@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shotweave.storage import materialise
+from shotweave.storage import fits_broadcast, materialise, replace_folders
 
 RECORD_SCHEMA = T.StructType(
     [
@@ -128,7 +128,9 @@ def read_records(
     starts = sizes.select(
         "pattern", "path", F.coalesce(F.sum(F.col("last") + 1).over(earlier), F.lit(0)).alias("start")
     )
-    good = elements.where(F.col("element").isNotNull()).join(F.broadcast(starts), ["pattern", "path"])
+    starts = materialise(starts, "starts")
+    starts = F.broadcast(starts) if fits_broadcast(starts) else starts
+    good = elements.where(F.col("element").isNotNull()).join(starts, ["pattern", "path"])
     records = good.select(*_parsed(F.col("element"), schema), (F.col("start") + F.col("position")).alias("row_id"))
     bad = elements.where(F.col("element").isNull()).select("path", "position", "reason")
     return records, bad
@@ -160,13 +162,17 @@ def read_record_lines(
 
 
 def write_records(df: DataFrame, path: str, by: tuple[str, ...] = ("task", "split")) -> None:
-    """JSON Lines, one directory per task and split; an empty split has none."""
-    df.write.partitionBy(*by).json(path)
+    """JSON Lines, one directory per task and split; an empty split has none.
+
+    Writing a task again replaces its directories, also those of splits that it
+    no longer has, and no others.
+    """
+    replace_folders(df, path, list(by))
 
 
 def write_results(df: DataFrame, path: str) -> None:
-    """All scored rows, one directory per task and strategy."""
-    df.write.partitionBy(*[c for c in ("task", "strategy") if c in df.columns]).json(path)
+    """All scored rows, one directory per task and strategy; a task written again is replaced."""
+    replace_folders(df, path, [c for c in ("task", "strategy") if c in df.columns])
 
 
 def write_metrics(df: DataFrame, path: str) -> None:

@@ -79,6 +79,32 @@ def write_file(spark: SparkSession, path: str, text: str) -> None:
         stream.close()
 
 
+def replace_folders(df: DataFrame, path: str, by: list[str]) -> None:
+    """Write JSON Lines, one folder per value of ``by``; what was there for the first column's values goes.
+
+    Everything is written beside the target first; then each folder of the first
+    level takes the place of the one of the same name.  Folders of other values
+    stay, so one task can be written again without touching the rest.
+    """
+    if not by:
+        df.write.mode("overwrite").json(path)
+        return
+    spark = df.sparkSession
+    staged = f"{path.rstrip('/')}/_staged-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    files = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        df.write.partitionBy(*by).json(staged)
+        for found in files.listStatus(place(staged)):
+            if found.isDirectory():
+                target = place(path, found.getPath().getName())
+                files.delete(target, True)
+                if not files.rename(found.getPath(), target):
+                    raise OSError(f"could not move {found.getPath()} to {target}")
+    finally:
+        files.delete(place(staged), True)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate; for a written table the size of its files."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

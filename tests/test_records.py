@@ -75,6 +75,27 @@ def test_records_are_written_per_task_and_split(spark, tmp_path):
     assert (tmp_path / "res_metrics" / "task=a" / "strategy=s").is_dir()
 
 
+def test_a_task_written_again_replaces_its_folders_only(spark, tmp_path):
+    schema, out = "task string, split string, instruction string", tmp_path / "out"
+    write_records(spark.createDataFrame([("a", "train", "1"), ("a", "test", "2"), ("b/ü", "train", "3"), (None, "x", "4")], schema), str(out))
+    other = {p: p.read_bytes() for p in out.rglob("*.json") if "task=a" not in str(p)}
+    write_records(spark.createDataFrame([("a", "train", "5")], schema), str(out))
+    assert [p.name for p in (out / "task=a").iterdir()] == ["split=train"]
+    assert {p: p.read_bytes() for p in out.rglob("*.json") if "task=a" not in str(p)} == other and len(other) == 2
+    found = {(r["task"], r["instruction"]) for r in spark.read.schema(schema).json(str(out)).collect()}
+    assert found == {("a", "5"), ("b/ü", "3"), (None, "4")}
+    assert not [p for p in out.iterdir() if p.name.startswith("_staged")]
+    write_records(spark.createDataFrame([], schema), str(out))
+    assert spark.read.schema(schema).json(str(out)).count() == 3
+
+
+def test_metrics_can_be_written_again(spark, tmp_path):
+    for value in (0.5, 0.75):
+        df = spark.createDataFrame([("a", "s", "ACC", value)], "task string, strategy string, metric string, value double")
+        write_metrics(df, str(tmp_path / "res"))
+    assert [r["value"] for r in spark.read.json(str(tmp_path / "res_metrics")).collect()] == [0.75]
+
+
 @pytest.mark.parametrize("multiline", [True, False])
 def test_task_table(spark, tmp_path, multiline):
     lines = ["smiles,label,other"] + [f'"C,{i}",{i % 2},{w}' for i, w in enumerate(MISSING_WORDS)]

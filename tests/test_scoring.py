@@ -1,4 +1,6 @@
+import os
 import random
+import uuid
 
 import pandas as pd
 import pytest
@@ -8,7 +10,9 @@ from shotweave.functions.parsing import parse_number, parse_yes_no
 from shotweave.operators.metrics import (
     evaluate_classification, evaluate_regression, pr_auc, r2, rmse, roc_auc,
 )
-from shotweave.operators.scoring import finite_only, invalid_count, predict, resolve_label
+from shotweave.operators.scoring import (
+    ModelFactory, finite_only, invalid_count, predict, resolve_label,
+)
 from shotweave.plans.scoring import (
     CLASSIFY, CLASSIFY_STRATEGIES, REGRESS, REGRESS_STRATEGIES, score, scoring_prompts,
 )
@@ -182,3 +186,39 @@ def test_scoring_end_to_end(spark):
     scored = score(rows, number, REGRESS, "task_b")
     assert [r["predicted_value"] for r in scored.results.collect()] == [2.0, 2.0]
     assert {r["metric"]: r["value"] for r in scored.metrics.collect()} == {"RMSE": 1.0, "R2": 0.0}
+
+
+def test_a_model_is_loaded_once_per_worker(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def load():
+        with open(f"{folder}/{os.getpid()}-{uuid.uuid4().hex}", "w"):
+            pass
+        return lambda prompts: pd.DataFrame({"model_output": prompts.str.upper()})
+
+    factory = ModelFactory(uuid.uuid4().hex, load)
+    df = spark.range(400).select(F.concat(F.lit("p"), "id").alias("instruction")).repartition(16)
+    for _ in range(2):
+        assert {r["model_output"] for r in predict(df, factory).collect()} == {f"P{i}" for i in range(400)}
+    loads = [name.split("-")[0] for name in os.listdir(folder)]
+    assert len(loads) == len(set(loads)) > 0
+
+
+def test_a_model_that_does_not_load_ends_the_job(spark):
+    def load():
+        raise OSError("no weights")
+
+    df = spark.createDataFrame([("p",)], "instruction string")
+    with pytest.raises(Exception, match="no weights"):
+        predict(df, ModelFactory(uuid.uuid4().hex, load)).collect()
+
+
+def test_batches_are_bounded_by_their_text(spark):
+    def model(prompts):
+        seen = int(prompts.fillna("").str.len().sum())
+        return pd.DataFrame({"model_output": [f"{len(prompts)} {seen}"] * len(prompts)})
+
+    lengths = [5, 90, 10, 300, 1, 1, 98, 100]
+    df = spark.createDataFrame([("x" * n,) for n in lengths] + [(None,)], "instruction string").coalesce(1)
+    found = [r["model_output"] for r in predict(df, model, batch_chars=100).collect()]
+    assert found == ["2 95"] * 2 + ["1 10"] + ["1 300"] + ["3 100"] * 3 + ["2 100"] * 2
