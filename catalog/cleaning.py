@@ -16,7 +16,9 @@ from shotweave.operators.cleaning import (
 )
 from shotweave.operators.prefix import global_ordinal
 from shotweave.operators.split import group_split, with_group_key
-from shotweave.plans.records import clean_classification, prepare_classification
+from shotweave.plans.records import (
+    clean_classification, prepare_classification, prepare_classification_tasks,
+)
 from shotweave.sources.records import (
     read_record_lines, read_records, write_records,
 )
@@ -30,6 +32,14 @@ def split_report(spark, sf):
     return split.groupBy("split", "label").agg(F.count("*").alias("n"))
 
 
+def split_tasks(spark, sf):
+    """Every language a task of its own, all cleaned and split in the same jobs."""
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("row_id"), F.col("quality").alias("label"))
+    rows = documents(spark, sf).select("row_id", "text", "source", "lang").join(labels, "row_id")
+    split = prepare_classification_tasks(rows, "lang", "text", "label", "source")
+    return split.select("row_id", "lang", "label", "split")
+
+
 def read_task_csv(spark, sf):
     path = scratch_path(spark, "csv")
     source = documents(spark, sf).select(F.col("row_id").alias("doc_id"), "text", "lang").orderBy("doc_id")
@@ -185,6 +195,7 @@ rotated AS (
 
 QUERIES: dict[str, Query] = {
     "split_report": split_report,
+    "split_tasks": split_tasks,
     "read_task_csv": read_task_csv,
     "read_corpus": corpus,
     "read_records": record_lists,
@@ -212,6 +223,24 @@ _RECORDS_SQL = """SELECT 'Q ' || doc_id AS instruction, text AS input, lang AS o
 
 ORACLES: dict[str, str] = {
     "split_report": f"WITH {SPLIT} SELECT split, label, count(*) AS n FROM split_rows GROUP BY 1, 2",
+    "split_tasks": f"""WITH rows AS (
+      SELECT d.doc_id AS row_id, d.text, d.source, d.lang, l.quality::BIGINT AS label
+      FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+    first_rows AS (
+      SELECT *, count(*) OVER (PARTITION BY lang) AS c FROM (
+        SELECT *, row_number() OVER (PARTITION BY lang, {key('text')} ORDER BY row_id) AS k
+        FROM rows WHERE {key('text')} IS NOT NULL AND lang IS NOT NULL) WHERE k = 1),
+    sizes AS (
+      SELECT lang, source, count(*) AS size, min(row_id) AS first_row FROM first_rows WHERE c >= 20 GROUP BY 1, 2),
+    placed AS (
+      SELECT *, coalesce(sum(size) OVER (PARTITION BY lang ORDER BY size DESC, first_row
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+        sum(size) OVER (PARTITION BY lang) AS n FROM sizes),
+    filled AS (
+      SELECT *, sum(CASE WHEN before / n < 0.1 THEN size ELSE 0 END) OVER (PARTITION BY lang) AS v FROM placed)
+    SELECT r.row_id, r.lang, r.label, CASE WHEN before / n < 0.1 THEN 'validation'
+      WHEN (before - v) / n < 0.1 THEN 'test' ELSE 'train' END AS split
+    FROM first_rows r JOIN filled f ON r.lang = f.lang AND r.source = f.source""",
     "read_task_csv": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_id, doc_id, text, lang FROM documents",
     "read_corpus": "SELECT text FROM documents WHERE text IS NOT NULL",
     "read_records": f"{_RECORDS_SQL} FROM documents UNION ALL {_RECORDS_SQL} FROM documents",

@@ -17,6 +17,7 @@ from shotweave.functions.prompts import (
 from shotweave.functions.text import lossless_words
 from shotweave.operators.masking import mask_token
 from shotweave.operators.merge import merge_shuffle
+from shotweave.operators.bpe import bpe_encoded, bpe_train, word_counts
 from shotweave.operators.sft import pad_batches, sft_concat, sft_padded
 from shotweave.plans.records import (
     RecordConfig, build_classification, build_regression, prepare_classification, value_range,
@@ -180,6 +181,13 @@ def concat_arrays(spark, sf):
     return _joined(sft_concat(conversation_records(spark, sf), word_ids, CONCAT_LENGTH), "input_ids", "labels")
 
 
+def concat_arrays_bpe(spark, sf):
+    """The same with a tokenizer learnt from the conversations themselves."""
+    trained = bpe_train(word_counts(table(spark, sf, "conversations"), "text"))
+    rows = conversation_records(spark, sf)
+    return _joined(sft_concat(rows, lambda text: bpe_encoded(text, trained)["ids"], CONCAT_LENGTH), "input_ids", "labels")
+
+
 def padded_arrays(spark, sf):
     rows = sft_padded(
         conversation_records(spark, sf), word_ids, 1, F.array(F.lit(2)), PADDED_LENGTH
@@ -216,6 +224,7 @@ QUERIES: dict[str, Query] = {
     "scoring_from_files": scored_from_files,
     "score_classification": scored_end_to_end,
     "sft_concat": concat_arrays,
+    "sft_concat_bpe": concat_arrays_bpe,
     "sft_padded": padded_arrays,
     "pad_batches": padded_batches,
 }

@@ -25,7 +25,7 @@ from shotweave.operators.similarity import build_index, candidate_pool, knn, nei
 from shotweave.operators.split import group_split, with_group_key
 from shotweave.plans.records import (
     Masking, RecordConfig, build_classification, build_regression, prepare_classification,
-    value_range,
+    prepare_classification_tasks, value_range,
 )
 from shotweave.plans.scoring import score, scoring_prompts
 from shotweave.sources.records import (

@@ -63,15 +63,57 @@ def group_split(
     train: float = TRAIN_SHARE,
     valid: float = VALIDATION_SHARE,
     test: float = TEST_SHARE,
+    task: str | None = None,
 ) -> DataFrame:
     """Every row with its ``split``.
 
     Rows and groups meet on a digest, because a group key can be a whole text.
-    Rows without a group form one.
+    Rows without a group form one.  With ``task`` the table holds many tasks and
+    each is split as if it were alone, all in the same jobs; rows without a task
+    form one.
     """
     if abs(train + valid + test - 1.0) >= 1e-9:
         raise ValueError("the three shares must add up to 1")
     digest = F.coalesce(F.sha2(F.col(group).cast("string"), 256), F.lit(""))
+    if task is not None:
+        digest = F.sha2(F.concat(task_key(task), F.lit("\0"), digest), 256)
     keyed = df.withColumn("__group", digest)
-    groups = materialise(split_groups(keyed, "__group", order, valid, test), "groups")
-    return attach_by_key(keyed, groups, "__group", "size").drop("__group")
+    if task is None:
+        groups = split_groups(keyed, "__group", order, valid, test)
+    else:
+        groups = split_groups_by_task(keyed.withColumn("__task", task_key(task)), "__task", "__group", order, valid, test)
+    return attach_by_key(keyed, materialise(groups, "groups"), "__group", "size").drop("__group")
+
+
+def task_key(task: str) -> Column:
+    """A task's name as a key that also stands for rows without one."""
+    return F.coalesce(F.concat(F.lit("="), F.col(task).cast("string")), F.lit("-"))
+
+
+def split_groups_by_task(
+    df: DataFrame, task: str, group: str, order: str, valid: float = VALIDATION_SHARE, test: float = TEST_SHARE
+) -> DataFrame:
+    """(group, size, split) for the groups of every task; a group lies in one task.
+
+    One running sum goes over the groups of all tasks, in order of task.  What
+    stands at a task's first group is taken off, so a task with most of the groups
+    is spread over many partitions like any other.
+    """
+    sizes = df.groupBy(task, group).agg(F.count("*").alias("size"), F.min(order).alias("first_row"))
+    placed = materialise(
+        global_prefix_sum(sizes, [F.col(task), F.col("size").desc(), F.col("first_row").asc()], {"size": "before"}), "placed"
+    )
+    totals = placed.groupBy(task).agg(
+        F.sum("size").alias("__n"), F.min("before").alias("__start"), F.count("*").alias("__groups")
+    )
+    placed = attach_by_key(placed, materialise(totals, "totals"), task, "__groups").withColumn(
+        "before", F.col("before") - F.col("__start")
+    )
+    in_valid = F.col("before") / F.col("__n") < F.lit(valid)
+    filled = placed.groupBy(task).agg(
+        F.coalesce(F.sum(F.when(in_valid, F.col("size"))), F.lit(0)).alias("__valid"), F.count("*").alias("__groups")
+    )
+    judged = attach_by_key(placed, materialise(filled, "filled"), task, "__groups")
+    in_test = (F.col("before") - F.col("__valid")) / F.col("__n") < F.lit(test)
+    split = F.when(in_valid, F.lit("validation")).when(in_test, F.lit("test")).otherwise(F.lit("train"))
+    return judged.select(group, "size", split.alias("split"))

@@ -17,7 +17,7 @@ from shotweave.functions.prompts import (
     regression_prompt,
 )
 from shotweave.functions.text import format_label, label_text, lossless_words
-from shotweave.operators.balance import IMBALANCE_RATIO, oversample_minority
+from shotweave.operators.balance import IMBALANCE_RATIO, oversample_by_task, oversample_minority
 from shotweave.operators.bpe import Tokenizer, bpe_join, bpe_tokens
 from shotweave.operators.cleaning import (
     coerce_label,
@@ -25,6 +25,7 @@ from shotweave.operators.cleaning import (
     dedup_keep_first,
     drop_missing,
     has_min_rows,
+    keep_large_tasks,
     with_canonical_key,
 )
 from shotweave.operators.masking import MASK, join_pieces, masked
@@ -105,6 +106,31 @@ def prepare_classification(
     return train.unionByName(rest)
 
 
+def prepare_classification_tasks(
+    df: DataFrame, task: str, text: str, label: str, group: Column | str, key: Column | None = None,
+    augment: bool = False, ratio: int = IMBALANCE_RATIO, order: str = "row_id", **balance,
+) -> DataFrame:
+    """:func:`prepare_classification` for a table of many tasks, in the same few jobs.
+
+    Every task comes out as it would alone: its own duplicates, split and balance.
+    Tasks that are too small, and rows without a task, leave no rows.
+    """
+    numeric = coerce_label(drop_missing(df, task, text, label), label)
+    cleaned = with_canonical_key(numeric, text, "__key", expression=key)
+    both = F.struct(F.col(task).cast("string"), F.col("__key").cast("string"))
+    first = dedup_keep_first(cleaned.withColumn("__both", F.to_json(both)).drop("__key"), "__both", order)
+    large = keep_large_tasks(materialise(first, "cleaned"), task)
+    split = group_split(with_group_key(large, group, text), order=order, task=task)
+    if not augment:
+        return split.withColumn("is_augmented", F.lit(False))
+    split = materialise(split, "split")
+    train = oversample_by_task(
+        split.where(F.col("split") == "train"), task, label, text, order=order, ratio=ratio, **balance
+    )
+    rest = split.where(F.col("split") != "train").withColumn("is_augmented", F.lit(False))
+    return train.unionByName(rest)
+
+
 def build_classification(df: DataFrame, config: RecordConfig) -> DataFrame:
     """Records of a split table (row_id, text, label, split).
 
