@@ -58,7 +58,7 @@ def word_numbers(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return np.array([known.setdefault(data[a:b], len(known)) for a, b in zip(starts.tolist(), ends.tolist())], np.int64)
 
 
-def _sorted_by(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+def sorted_by(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     """The order by two small keys; in one machine word where they fit."""
     n = len(high)
     at, below = max(n - 1, 1).bit_length(), int(low.max(initial=0)).bit_length()
@@ -69,7 +69,7 @@ def _sorted_by(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     return packed & ((1 << at) - 1)
 
 
-def _group_starts(*keys: np.ndarray) -> np.ndarray:
+def group_starts(*keys: np.ndarray) -> np.ndarray:
     """For sorted keys, the place where the group of each entry begins."""
     new = np.zeros(len(keys[0]), bool)
     new[:1] = True
@@ -94,9 +94,9 @@ class SuffixArray:
         n, lengths = len(numbers), np.diff(firsts)
         end = np.repeat(firsts[1:], lengths)
         owner = np.repeat(np.arange(len(lengths)), lengths)
-        order = _sorted_by(owner, numbers)
+        order = sorted_by(owner, numbers)
         rank = np.full(n + 1, -1, np.int32)
-        rank[order] = _group_starts(owner[order], numbers[order])
+        rank[order] = group_starts(owner[order], numbers[order])
         levels, step = [rank], 1
         size = np.bincount(rank[:n], minlength=n)
         open_ = np.flatnonzero(size[rank[:n]] > 1)
@@ -104,11 +104,11 @@ class SuffixArray:
             group = rank[open_].astype(np.int64)
             after = open_ + step
             second = np.where(after < end[open_], rank[np.minimum(after, n)].astype(np.int64) + 1, 0)
-            by = _sorted_by(group, second)
+            by = sorted_by(group, second)
             open_, group, second = open_[by], group[by], second[by]
-            refined = _group_starts(group, second)
+            refined = group_starts(group, second)
             rank = rank.copy()
-            rank[open_] = group + refined - _group_starts(group)
+            rank[open_] = group + refined - group_starts(group)
             levels.append(rank)
             size = np.bincount(refined, minlength=len(open_))
             open_ = open_[size[refined] > 1]
@@ -174,10 +174,10 @@ def _small_children(depth: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         return
     low, high = _nearest_smaller(depth, points, -1), _nearest_smaller(depth, points, 1)
     # An interval is known by its lower bound and depth; its borders come in order.
-    by = _sorted_by(low, depth[points])
+    by = sorted_by(low, depth[points])
     points, low, high = points[by], low[by], high[by]
     of = depth[points]
-    begin = _group_starts(low, of)
+    begin = group_starts(low, of)
     first = begin == np.arange(len(points))
     heads = np.flatnonzero(first)
     after = np.append(points[1:], 0)
@@ -232,7 +232,7 @@ def find_runs(numbers: np.ndarray, firsts: np.ndarray, least: int, times: int) -
     # The same stretch with a multiple of its period is no run of its own.
     by = np.lexsort((d, end, start))
     start, end, d = start[by], end[by], d[by]
-    own = _group_starts(start, end) == np.arange(len(start))
+    own = group_starts(start, end) == np.arange(len(start))
     start, end, d = start[own], end[own], d[own]
     by = np.lexsort((d, start))
     return start[by], end[by], d[by]

@@ -6,12 +6,10 @@ sends it: neighbouring windows share that gram, so they travel together as one
 context, about one context for every 35 bytes.  Contexts whose gram is met
 nowhere else cannot repeat and are never sent.
 
-Where contexts meet, suffixes are grouped by hash, which replaces refinement by
-bucket pointers: a rolling hash of half the length is made once for every
-position from two of a quarter; suffixes are sorted by it at offset 0 and, within
-a group, at the second half.  Members left alone leave the sort.  Groups are in
-the order of hashes, not of suffixes.  A last group is checked byte by byte; its
-earliest member stays, its equals are repeats.
+Where contexts meet, suffixes are sorted by bucket-pointer refinement: buckets of
+q-grams first, then every bucket is sorted by the buckets that a later offset
+points to, and the refined buckets are written back for the next round.  The
+earliest member of a last bucket stays, the others are repeats.
 """
 
 from __future__ import annotations
@@ -25,14 +23,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shotweave.llm.arrays import (
-    blocks, byte_values, columns, from_columns, mix, ragged, sliding_min, text_buffer, tidy, tidy_group, tidy_pair, window_hashes,
+    blocks, byte_values, columns, from_columns, ragged, sliding_min, text_buffer, tidy, tidy_group, tidy_pair, window_hashes,
 )
 from shotweave.llm.groups import BLOBS, blob_rows, fresh, group_count
+from shotweave.llm.runs import group_starts, sorted_by
 
-#: Bytes of the grams that route contexts.
+#: Bytes of the grams that route contexts, at most.
 GRAM = 32
+#: Bytes of the first buckets.
+GRAM_KEY = 4
 #: Suffixes sorted at once; contexts of one gram stay together.
-SORTED = 1 << 19
+SORTED = 1 << 17
 
 _POSITION = np.uint64((1 << 24) - 1)
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))
@@ -40,12 +41,13 @@ SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.Struct
 
 def contexts(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Text row, first window and number of windows of each context, and its gram's hash."""
-    grams = window_hashes(byte_values()[raw], GRAM)
+    gram = min(GRAM, (length + 1) // 2)
+    grams = window_hashes(byte_values()[raw], gram)
     if len(raw) < length:
         empty = np.zeros(0, np.int64)
         return empty, empty, empty, empty.astype(np.uint64)
     at = np.arange(len(grams), dtype=np.uint64)
-    least = sliding_min((grams & ~_POSITION) | at, length - GRAM + 1) & _POSITION
+    least = sliding_min((grams & ~_POSITION) | at, length - gram + 1) & _POSITION
     sizes = np.diff(offsets)
     ends = np.repeat(offsets[1:], sizes)[: len(least)]
     inside = np.arange(len(least)) + length <= ends
@@ -86,61 +88,44 @@ def repeats(
     ``data`` has the contexts one after the other in their order of precedence;
     context i offers the ``counts[i]`` suffixes from ``starts[i]`` on.  Returns
     a flag for each suffix.
+
+    ``pointer`` has the bucket of every position: the place of the first of the
+    positions that agree as deep as buckets have been refined.  Buckets begin as
+    those of q-grams.  A round sorts the members of each bucket by the buckets
+    that their later offset points to and writes the refined ones back, where
+    the next round reads them; so the depth doubles, and the last round goes on to
+    ``length`` with the suffixes alone.
     """
-    q = length // 4
+    n, depth = len(data), min(GRAM_KEY, length)
     suffix = ragged(starts, counts)
+    padded = np.append(data, np.zeros(depth, np.uint8)).astype(np.int64)
+    key = padded[:n]
+    for i in range(1, depth):
+        key = key << 8 | padded[i : n + i]
+    order = sorted_by(key, np.zeros(n, np.int64))
+    pointer = np.zeros(n + 1, np.int64)
+    pointer[order] = group_starts(key[order]) + 1  # 0 is behind the end
+    members = order
+    while depth < length:
+        step = min(depth, length - depth)
+        if depth + step == length:
+            members = suffix
+        size = np.bincount(pointer[members], minlength=n + 2)
+        members = members[size[pointer[members]] > 1]
+        bucket, later = pointer[members], pointer[np.minimum(members + step, n)]
+        by = sorted_by(bucket, later)
+        members, bucket, later = members[by], bucket[by], later[by]
+        refined = group_starts(bucket, later)
+        pointer[members] = bucket + refined - group_starts(bucket)
+        depth += step
+    # Equal suffixes share a bucket; the one that comes first in the data stays.
+    order = sorted_by(pointer[suffix], suffix)
+    first = group_starts(pointer[suffix][order]) == np.arange(len(order))
     flags = np.zeros(len(suffix), bool)
-    pointer = window_hashes(byte_values()[data], q)  # q-gram buckets
-    depth = q
-    pointer = mix(pointer[:-depth] * np.uint64(0x9E3779B97F4A7C15) + pointer[depth:])  # reused at depth 2q
-    depth *= 2
-    active = np.arange(len(suffix))
-    bucket = np.zeros(len(suffix), np.uint64)
-    offset = 0
-    while len(active):
-        offset = min(offset, length - depth)
-        later = pointer[suffix[active] + offset]
-        order = np.argsort(mix(later + bucket * np.uint64(0x94D049BB133111EB)) if offset else later)
-        active, later, bucket = active[order], later[order], bucket[order]
-        change = np.ones(len(active), bool)
-        change[1:] = (later[1:] != later[:-1]) | (bucket[1:] != bucket[:-1])
-        number = np.cumsum(change) - 1
-        many = np.bincount(number)[number] > 1
-        active, bucket = active[many], number[many].astype(np.uint64)
-        if offset + depth >= length:
-            break
-        offset += depth
-    if not len(active):
-        return flags
-    heads = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-    earliest = np.minimum.reduceat(active, heads)
-    first = np.repeat(earliest, np.diff(np.append(heads, len(active))))
-    others = active != first
-    active, first = active[others], first[others]
-    same = _equal(data, suffix[active], suffix[first], length)
-    flags[active[same]] = True
-    if not same.all():
-        _settle(data, suffix, np.unique(np.concatenate([active[~same], first[~same]])), length, flags)
+    flags[order[~first]] = True
     return flags
 
 
-def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
-    words = np.lib.stride_tricks.sliding_window_view(data, 8)
-    word = np.ascontiguousarray(words).view(np.uint64).ravel()
-    same = np.ones(len(a), bool)
-    for step in [*range(0, length - 7, 8), length - 8]:
-        same &= word[a + step] == word[b + step]
-    return same
-
-
-def _settle(data: np.ndarray, suffix: np.ndarray, members: np.ndarray, length: int, flags: np.ndarray) -> None:
-    """Suffixes in a bucket that hashing mixed up, compared as they are."""
-    raw, seen = data.tobytes(), {}
-    for member in members.tolist():
-        string = raw[suffix[member] : suffix[member] + length]
-        flags[member] = seen.setdefault(string, member) != member
-
-
 def _by_bucket(bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
@@ -199,6 +184,8 @@ def remove_repeats(
     Equal contexts are combined in each group of documents before they are sent,
     so a passage in a third of all documents is one row per group.
     """
+    if length < 1:
+        raise ValueError("strings have at least one byte")
     df = df.drop(*[c for c in (kept, spans) if c in df.columns and c not in (doc_id, text)])
     own_id, own_copy, own_bucket = fresh(df, "id_of_text", "copy_of_text", "bucket_of_text")
     groups = group_count(df, text)
@@ -217,7 +204,7 @@ def remove_repeats(
             raw, offsets = text_buffer(batch.column(3))
             parts = []
             for row, first, count, key in _within(raw, offsets, length):
-                parts.append((key, ids[row], copies[row], bucket[row], (first - offsets[row]).astype(np.int32), count.astype(np.uint8)))
+                parts.append((key, ids[row], copies[row], bucket[row], (first - offsets[row]).astype(np.int32), count.astype(np.uint8 if length < 256 else np.int32)))
             if parts:
                 key, *rest = map(np.concatenate, zip(*parts))
                 yield blob_rows([(b, _packed(a)) for b, a in _by_bucket(key % np.uint64(groups), key, *rest)])

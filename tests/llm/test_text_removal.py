@@ -50,15 +50,26 @@ def test_repeats(spark, docs, rows):
     assert {k: next(iter(v))[0] for k, v in found.items()} == removed_by_brute_force(rows, 100)
 
 
-@pytest.mark.parametrize("length", [40, 64, 100])
+@pytest.mark.parametrize("length", [20, 31, 40, 100, 300, 1000])
 def test_repeats_in_random_text(spark, length):
     rng = random.Random(length)
     parts = ["".join(rng.choice("ab") for _ in range(rng.randint(20, 150))) for _ in range(12)]
-    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 6)))) for i in range(60)]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 6 + length // 50)))) for i in range(60)]
     found = result(suffix.remove_repeats(table(spark, rows, extra=False), "doc_id", "text", length))
     assert {k: next(iter(v))[0] for k, v in found.items()} == removed_by_brute_force(rows, length)
 
 
+def test_a_line_in_a_third_of_the_documents(spark):
+    """The line is shorter than a string, so what stands beside it decides."""
+    rng = random.Random(8)
+    line = "all rights reserved, see the terms of use and the notes"
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    around = [" ".join(word() for _ in range(12)) for _ in range(25)]
+    rows = [(i, f"{rng.choice(around)} {line} {rng.choice(around)}" if i % 3 == 0 else rng.choice(around)) for i in range(300)]
+    found = result(suffix.remove_repeats(table(spark, rows, extra=False), "doc_id", "text"))
+    assert {k: next(iter(v))[0] for k, v in found.items()} == removed_by_brute_force(rows, 100)
+
+
 def test_null_ids_and_rows_of_one_id(spark):
     rng = random.Random(1)
     long = "".join(rng.choice("abcdef") for _ in range(300))
@@ -68,12 +79,21 @@ def test_null_ids_and_rows_of_one_id(spark):
     assert found[5] == {(b"", ((0, 300),)), (b"z", ((1, 300),))}
 
 
-def test_hash_collisions_are_settled_by_bytes(monkeypatch):
-    data = np.frombuffer(bytes(range(200)) * 2, np.uint8)
-    starts, counts = np.array([0, 200]), np.array([101, 101])
-    monkeypatch.setattr(suffix, "mix", lambda x: np.asarray(x).astype(np.uint64) * np.uint64(0))
-    flags = suffix.repeats(data, starts, counts, 100)
-    assert not flags[:101].any() and flags[101:].all()
+@pytest.mark.parametrize("length", [1, 3, 4, 5, 31, 100])
+def test_bucket_refinement(length):
+    rng = random.Random(length)
+    for _ in range(60):
+        contexts = [bytes(rng.choice(b"ab") for _ in range(length + rng.randint(0, 30))) for _ in range(rng.randint(1, 8))]
+        contexts += rng.choices(contexts, k=3)
+        data = np.frombuffer(b"".join(contexts), np.uint8)
+        sizes = np.array([len(c) for c in contexts])
+        starts, counts = np.cumsum(sizes) - sizes, sizes - length + 1
+        seen, want = set(), []
+        for c in contexts:
+            for i in range(len(c) - length + 1):
+                want.append(c[i : i + length] in seen)
+                seen.add(c[i : i + length])
+        assert suffix.repeats(data, starts, counts, length).tolist() == want
 
 
 def test_long_texts_in_parts(monkeypatch):
