@@ -26,6 +26,9 @@ NODE = 1 << 17
 FAN = 8
 #: A sequence with fewer free tokens than one in so many is nearly full.
 NEARLY = 64
+#: Pieces that the tokenizer gets at once, and bytes of text that are cut into pieces at once.
+PIECES_AT_ONCE = 1 << 12
+SMALL_BLOCK = 1 << 20
 #: Emptiest sequences that a node hands up; what it keeps is final, not lost.
 CARRY = 4096
 
@@ -68,8 +71,10 @@ def _encoder(key: str, shared) -> PieceEncoder:
     tokenizer.encode_special_tokens = True
 
     def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
-        ids = [e.ids for e in found]
+        ids = []
+        for a in range(0, len(pieces), PIECES_AT_ONCE):
+            some = [p.decode() for p in pieces[a : a + PIECES_AT_ONCE]]
+            ids += [e.ids for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter((i for part in ids for i in part), np.uint32, int(counts.sum())), counts
 
@@ -110,7 +115,7 @@ def pack(
         for batch in batches:
             raw, offsets = text_buffer(batch.column(1))
             names = batch.column(0).to_pylist()
-            for a, b in blocks(offsets):
+            for a, b in blocks(offsets, SMALL_BLOCK):
                 ids, at = encoder(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 at = at.tolist()
                 for row in range(b - a):
