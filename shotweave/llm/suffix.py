@@ -272,7 +272,7 @@ def remove_repeats(
             ordered = key[order]
             last = np.append(ordered[1:] != ordered[:-1], True)
             running = np.cumsum(count[order])
-            cut, ends = 0, np.flatnonzero(last) + 1
+            cut, ends, runs = 0, np.flatnonzero(last) + 1, []
             while cut < len(order):
                 base = running[cut - 1] if cut else 0
                 i = int(np.searchsorted(running[ends - 1], base + SORTED, "right")) - 1
@@ -285,7 +285,9 @@ def remove_repeats(
                 data = body[ragged(begin[part], sizes[part])]
                 at = np.cumsum(sizes[part]) - sizes[part]
                 flags = repeats(data, at, count[part], length)
-                out += _runs(flags, part, ids, copies, bucket, first, count)
+                runs.append(_runs(flags, part, ids, copies, bucket, first, count))
+            if runs:
+                out += [(b, columns(*a)) for b, a in _by_bucket(*map(np.concatenate, zip(*runs)))]
         return pa.Table.from_batches([blob_rows(out)])
 
     def cut_out(docs_table: pa.Table, blobs: pa.Table) -> pa.Table:
@@ -363,8 +365,8 @@ def _rows_of(own_ids, own_copies, ids: np.ndarray, copies: np.ndarray) -> Iterat
         yield np.where(at < high, order[np.minimum(at, len(order) - 1)], -1)[inverse]
 
 
-def _runs(flags, part, ids, copies, bucket, first, count) -> list[tuple[int, bytes]]:
-    """Runs of repeated windows as (id, copy, first, stop), by group of documents."""
+def _runs(flags, part, ids, copies, bucket, first, count) -> tuple[np.ndarray, ...]:
+    """Runs of repeated windows: group of documents, id, copy, first, stop."""
     sizes = count[part]
     context = np.repeat(np.arange(len(part)), sizes)
     head = np.zeros(len(flags), bool)
@@ -376,7 +378,4 @@ def _runs(flags, part, ids, copies, bucket, first, count) -> list[tuple[int, byt
     start, end = np.flatnonzero(start), np.flatnonzero(end)
     owner = part[context[start]]
     shift = first[owner] - (np.cumsum(sizes) - sizes)[context[start]]
-    return [
-        (b, columns(*a))
-        for b, a in _by_bucket(bucket[owner], ids[owner], copies[owner], start + shift, end + 1 + shift)
-    ]
+    return bucket[owner], ids[owner], copies[owner], start + shift, end + 1 + shift
