@@ -15,11 +15,15 @@ GROUP_BYTES = 8 << 20
 BLOBS = "bucket int, blob binary"
 
 
-def group_count(df: DataFrame, text: str) -> int:
-    """How many groups keep a group's text near ``GROUP_BYTES``."""
-    total = df.agg(F.sum(F.octet_length(df[text]))).first()[0] or 0
+def group_count(df: DataFrame, text: str, least: int = 1) -> int:
+    """How many groups keep a group's text near ``GROUP_BYTES``.
+
+    Small tables are dealt out over all partitions, but not into groups of less than
+    ``least`` bytes: every group may send a blob to every other.
+    """
+    total = int(df.agg(F.sum(F.octet_length(df[text]))).first()[0] or 0)
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(-(-int(total) // GROUP_BYTES), 2 * partitions)
+    return max(-(-total // GROUP_BYTES), min(2 * partitions, -(-total // least)), 1)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -32,6 +32,8 @@ from shotweave.llm.runs import group_starts, sorted_by
 GRAM = 32
 #: Bytes of the first buckets.
 GRAM_KEY = 4
+#: Bytes of text that a group of documents has at least, where there are so many.
+LEAST_GROUP = 1 << 19
 #: Suffixes sorted at once; contexts of one gram stay together.
 SORTED = 1 << 17
 
@@ -188,7 +190,7 @@ def remove_repeats(
         raise ValueError("strings have at least one byte")
     df = df.drop(*[c for c in (kept, spans) if c in df.columns and c not in (doc_id, text)])
     own_id, own_copy, own_bucket = fresh(df, "id_of_text", "copy_of_text", "bucket_of_text")
-    groups = group_count(df, text)
+    groups = group_count(df, text, LEAST_GROUP)
     content, names = F.coalesce(df[text], F.lit("")), df.columns
     docs = df.select(
         *[df[c] for c in df.columns],
