@@ -29,13 +29,17 @@ NEARLY = 64
 #: Pieces that the tokenizer gets at once, and bytes of text that are cut into pieces at once.
 PIECES_AT_ONCE = 1 << 12
 SMALL_BLOCK = 1 << 20
-#: Emptiest sequences that a node hands up; what it keeps is final, not lost.
-CARRY = 4096
+#: Bits of the number of a sequence in its partition: sequences are numbered by level, node and place.
+ROOM = 36
 
 _PIECES = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("doc_id", "piece", "start", "length", "ids_crc32")]
-    + [T.StructField("bin", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("fill", T.LongType())]
+    + [T.StructField(n, T.LongType()) for n in ("bin", "offset", "fill", "rank")]
 )
+#: Sequences number ``first`` to ``last`` - 1 of a node's with ``fill`` tokens go, in this order, into
+#: the sequences from ``to_first`` of those with ``to_fill`` tokens in the node above, ``shift`` tokens
+#: in; ``bin`` is the first one's number, and ``open`` tells that they go further up.
+_MOVES = "node bigint, fill bigint, first bigint, last bigint, up bigint, to_fill bigint, to_first bigint, shift bigint, bin bigint, open boolean"
 
 
 def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int], list[int]]:
@@ -65,6 +69,48 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int], l
     return bins, offsets, fills
 
 
+def best_fit_counts(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Best fit, longest first, of ``counts[length]`` items of each length.
+
+    Bins that are filled alike are one entry: how many, and for each place in them
+    the length and the number of the first bin's item among those of its length;
+    the next bin has the next item.  So there are few entries however many items.
+    """
+    done: list[tuple[int, list[tuple[int, int]]]] = []
+    free: dict[int, list[tuple[int, list[tuple[int, int]]]]] = {}
+    mask = 0  # bit r is set where a group of bins has r tokens free
+
+    def put(room: int, many: int, places: list[tuple[int, int]]) -> None:
+        nonlocal mask
+        if many and room:
+            free.setdefault(room, []).append((many, places))
+            mask |= 1 << room
+        elif many:
+            done.append((many, places))
+
+    for length in sorted(counts, reverse=True):
+        left, item = counts[length], 0
+        while left:
+            fitting = mask >> length
+            if fitting:
+                room = length + (fitting & -fitting).bit_length() - 1
+                many, places = free[room].pop()
+                if not free[room]:
+                    mask ^= 1 << room
+            else:
+                room, many, places = capacity, left, []
+            # The bin that has just got an item is the tightest one for the next of its length.
+            each = room // length
+            for some, more in ((min(many, left // each), each), (1, left % each)):
+                if some and more and many and left >= some * more:
+                    put(room - more * length, some, places + [(length, item + j * some) for j in range(more)])
+                    item, left, many = item + some * more, left - some * more, many - some
+                    places = [(size, first + some) for size, first in places]
+            if places:
+                put(room, many, places)
+    return done + [group for room in free.values() for group in room]
+
+
 @lru_cache(maxsize=1)
 def _encoder(key: str, shared) -> PieceEncoder:
     tokenizer = Tokenizer.from_str(shared.value)
@@ -98,9 +144,10 @@ def pack(
 
     A partition packs its pieces by best fit and is done with nearly full
     sequences.  The others go up a tree, ``FAN`` nodes into one, as items that
-    best fit puts together again, until one node is left; every node holds at
-    most ``FAN * CARRY`` of them.  Pieces follow their sequence by joins on its
-    number.  Repeated rows are packed as often as they come; an empty table
+    best fit puts together again, until one node is left.  A node sees how many
+    of them have each fill, at most ``capacity`` numbers from each node below,
+    and moves ranges of equal ones.  The moves of all levels are put together
+    and pieces follow them in one join.  Repeated rows are packed as often as they come; an empty table
     gives no rows; other columns are not looked at.
     """
     with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
@@ -125,13 +172,19 @@ def pack(
                         yield names[a + row], number, start, length, crc
 
     def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 40
+        number = TaskContext.get().partitionId() << ROOM
         held: list[tuple] = []
+        seen = [0] * (capacity + 1)
 
         def packed() -> pa.RecordBatch:
             nonlocal number, held
             bins, offsets, fills = best_fit([piece[3] for piece in held], capacity)
-            columns = [*map(list, zip(*held)), [number + b for b in bins], offsets, [fills[b] for b in bins]]
+            ranks = []
+            for fill in fills:
+                ranks.append(seen[fill])
+                seen[fill] += 1
+            columns = [*map(list, zip(*held)), [number + b for b in bins], offsets]
+            columns += [[fills[b] for b in bins], [ranks[b] for b in bins]]
             number, held = number + len(fills), []
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64()) for c in columns], names=_PIECES.names
@@ -145,54 +198,82 @@ def pack(
             yield packed()
 
     pieces = materialise(rows.mapInArrow(tidy(leaf), _PIECES), "pieces")
-    node = F.shiftright("bin", 40)
-    bins = (
-        pieces.where(F.col("fill") <= most)
-        .groupBy("bin").agg(F.first("fill").alias("fill"))
-        .select(node.alias("node"), "bin", "fill")
+    node = F.shiftright("bin", ROOM)
+    fills = pieces.where(F.col("fill") <= most).groupBy(node.alias("node"), "fill").agg((F.max("rank") + 1).alias("many"))
+    nodes, level, moves = (pieces.agg(F.max(node)).first()[0] or 0) + 1, 0, None
+    while nodes > 1:
+        nodes, level = -(-nodes // FAN), level + 1
+        steps = materialise(
+            fills.withColumn("up", F.floor(F.col("node") / FAN)).groupBy("up")
+            .applyInArrow(_merge(level, capacity, most), _MOVES),
+            "moves",
+        )
+        moves = steps if moves is None else materialise(_followed(moves, steps), "moves")
+        # A place at the start of a sequence stands for the sequence.
+        fills = (
+            steps.where("open AND shift = 0").groupBy(F.col("up").alias("node"), F.col("to_fill").alias("fill"))
+            .agg(F.sum(F.expr("last - first")).alias("many"))
+        )
+    columns = ("doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32")
+    if moves is None:
+        return pieces.select(*columns, F.col("bin").alias("sequence_id"), "offset")
+    moves = moves.select(
+        F.col("node").alias("from_node"), F.col("fill").alias("from_fill"), "first", "last", "shift", F.col("bin").alias("to_bin")
+    )
+    moves = F.broadcast(moves) if fits_broadcast(moves) else moves
+    here = (node == F.col("from_node")) & (F.col("fill") == F.col("from_fill"))
+    here &= (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last"))
+    return pieces.join(moves, here, "left").select(
+        *columns,
+        F.coalesce(F.col("to_bin") + F.col("rank") - F.col("first"), "bin").alias("sequence_id"),
+        (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"),
     )
-    merged_schema = "node bigint, bin bigint, target bigint, shift bigint, fill bigint, open boolean"
+
+
+def _merge(level: int, capacity: int, most: int):
+    """Best fit of the open sequences of the nodes below one, as moves of them."""
+    span, base = FAN**level << ROOM, level << 58
 
     def merge(table: pa.Table) -> pa.Table:
-        numbers, lengths = table["bin"].to_pylist(), table["fill"].to_pylist()
-        order = sorted(range(len(numbers)), key=lambda i: (lengths[i], numbers[i]))
-        order = order[: FAN * CARRY]
-        put, offsets, fills = best_fit([lengths[i] for i in order], capacity)
-        name = {}
-        for where, i in zip(put, order, strict=True):
-            name[where] = min(name.get(where, numbers[i]), numbers[i])
-        above = sorted((f, b) for b, f in enumerate(fills) if f <= most)[:CARRY]
-        handed = {b for _, b in above}
-        return pa.table(
-            {
-                "node": pa.array([table["node"][0].as_py()] * len(order), pa.int64()),
-                "bin": pa.array([numbers[i] for i in order], pa.int64()),
-                "target": pa.array([name[b] for b in put], pa.int64()),
-                "shift": pa.array(offsets, pa.int64()),
-                "fill": pa.array([fills[b] for b in put], pa.int64()),
-                "open": pa.array([b in handed for b in put], pa.bool_()),
-            }
-        )
+        up = table["up"][0].as_py()
+        below: dict[int, list[tuple[int, int, int]]] = {}
+        for node, fill, many in sorted(zip(*(table[c].to_pylist() for c in ("node", "fill", "many")))):
+            parts = below.setdefault(fill, [])
+            first = parts[-1][2] if parts else 0
+            parts.append((node, first, first + many))
+        groups = best_fit_counts({fill: parts[-1][2] for fill, parts in below.items()}, capacity)
+        number, ranks, out = base + up * span, [0] * (capacity + 1), []
+        for many, places in groups:
+            total, shift = sum(fill for fill, _ in places), 0
+            for fill, item in places:
+                for node, first, last in below[fill]:
+                    a, b = max(item, first), min(item + many, last)
+                    if a < b:
+                        at = a - item
+                        out.append((node, fill, a - first, b - first, up, total, ranks[total] + at, shift, number + at, total <= most))
+                shift += fill
+            ranks[total] += many
+            number += many
+        types = [pa.int64()] * 9 + [pa.bool_()]
+        names = [c.split()[0] for c in _MOVES.split(", ")]
+        return pa.table({n: pa.array(list(c), t) for n, c, t in zip(names, zip(*out), types, strict=True)})
 
-    moves = []
-    nodes = (pieces.agg(F.max(node)).first()[0] or 0) + 1
-    while nodes > 1:
-        nodes = -(-nodes // FAN)
-        merged = materialise(
-            bins.withColumn("node", F.floor(F.col("node") / FAN)).groupBy("node").applyInArrow(merge, merged_schema),
-            "merged",
-        )
-        moves.append(merged.where("bin != target OR shift != 0").select("bin", "target", "shift"))
-        bins = merged.where("open").select("node", F.col("target").alias("bin"), "fill").distinct()
-    placed = pieces.drop("fill")
-    for step in moves:
-        step = F.broadcast(step) if fits_broadcast(step) else step
-        placed = placed.join(step, "bin", "left").select(
-            *[c for c in placed.columns if c not in ("bin", "offset")],
-            F.coalesce("target", "bin").alias("bin"),
-            (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"),
-        )
-    return placed.select(
-        "doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32",
-        F.col("bin").alias("sequence_id"), "offset",
+    return merge
+
+
+def _followed(moves: DataFrame, steps: DataFrame) -> DataFrame:
+    """Moves up to a level and the steps from there as one: ranges are cut where either is."""
+    at, to = moves.where("open").alias("at"), steps.alias("to")
+    meet = F.expr(
+        "at.up = to.node AND at.to_fill = to.fill AND at.to_first < to.last "
+        "AND to.first < at.to_first + at.last - at.first"
+    )
+    both = at.join(to, meet).withColumn("cut", F.expr("greatest(to.first, at.to_first)")).withColumn(
+        "end", F.expr("least(to.last, at.to_first + at.last - at.first)")
+    )
+    further = both.selectExpr(
+        "at.node", "at.fill", "at.first + cut - at.to_first AS first", "at.first + end - at.to_first AS last",
+        "to.up", "to.to_fill", "to.to_first + cut - to.first AS to_first", "at.shift + to.shift AS shift",
+        "to.bin + cut - to.first AS bin", "to.open",
     )
+    return moves.where("NOT open").unionByName(further)

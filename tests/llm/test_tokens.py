@@ -109,6 +109,28 @@ def test_best_fit_is_best_fit(lengths):
     assert all(offsets[i] + lengths[i] <= fills[bins[i]] for i in range(len(lengths)))
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=120))
+def test_best_fit_of_counts(lengths):
+    groups = packing.best_fit_counts(dict(collections.Counter(lengths)), 40)
+    fills = [sum(length for length, _ in places) for many, places in groups for _ in range(many)]
+    assert sorted(fills) == sorted(packing.best_fit(lengths, 40)[2])
+    items = [(length, at + i) for many, places in groups for length, at in places for i in range(many)]
+    wanted = [(length, i) for length, many in collections.Counter(lengths).items() for i in range(many)]
+    assert sorted(items) == sorted(wanted)
+
+
+def test_counts_stay_few():
+    counts = {length: 10**9 + length for length in range(1, 1009)}
+    groups = packing.best_fit_counts(counts, 1024)
+    assert sum(len(places) for _, places in groups) < 20_000
+    held = collections.Counter()
+    for many, places in groups:
+        assert sum(length for length, _ in places) <= 1024
+        held.update({length: many * n for length, n in collections.Counter(length for length, _ in places).items()})
+    assert held == counts
+
+
 def check_packing(found, texts, capacity):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     tokenizer.encode_special_tokens = True
@@ -150,6 +172,17 @@ def test_packing_of_what_does_not_fit_together(spark):
     assert check_packing(found, rows, 1024)[0] <= 42
 
 
+def test_packing_through_many_levels(spark, monkeypatch):
+    monkeypatch.setattr(packing, "NODE", 7)
+    monkeypatch.setattr(packing, "FAN", 3)
+    rng = np.random.default_rng(6)
+    rows = [(i, " the" * int(n)) for i, n in enumerate(rng.choice([3, 60, 200, 341, 500, 700, 1100, 2500], 400))]
+    found = packing.pack(table(spark, rows).repartition(30), "doc_id", "text").collect()
+    sequences, tokens = check_packing(found, rows, 1024)
+    lengths = [r["length"] for r in found]
+    assert sequences <= len(packing.best_fit(lengths, 1024)[2]) * 1.05
+
+
 # --- language model -----------------------------------------------------------
 
 
