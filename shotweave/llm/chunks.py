@@ -17,7 +17,8 @@ from shotweave.llm.suffix import SPANS, _by_bucket, _joined, _rows_of, removed_c
 
 #: Shortest and longest chunk in bytes, and bits that are zero at its end.
 SHORTEST, LONGEST, BITS = 16, 128, 5
-#: Repeated chunks go only in runs of so many bytes; below that text repeats by chance.
+#: Repeated chunks go only in runs of so many bytes, or with their whole text; below that text
+#: repeats by chance.
 LEAST_RUN = 80
 
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -78,13 +79,35 @@ def chunk_ends(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.array(ends, np.int64), np.array(owner, np.int64)
 
 
-def remove_chunks(df: DataFrame, doc_id: str, text: str, kept: str = "kept", spans: str = "spans") -> DataFrame:
+def looked_up(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text of every stretch that is compared.
+
+    Those are the chunks, but a short one at a text's end only together with the
+    chunk before it, or alone where it is the whole text.
+    """
+    ends, row = chunk_ends(raw, offsets)
+    starts = np.append(0, ends[:-1]) if len(ends) else ends
+    first, short = starts == offsets[row], ends - starts < SHORTEST
+    tail = np.flatnonzero(short & ~first)
+    keep = ~short | first
+    return (
+        np.concatenate([starts[keep], starts[tail - 1]]),
+        np.concatenate([ends[keep], ends[tail]]),
+        np.concatenate([row[keep], row[tail]]),
+    )
+
+
+def remove_chunks(
+    df: DataFrame, doc_id: str, text: str, kept: str = "kept", spans: str = "spans", least_run: int = LEAST_RUN
+) -> DataFrame:
     """Cut chunks that an earlier text, or the same one, has had already.
 
     Returns the rows and columns of ``df`` with ``kept``, the bytes that stay,
     and ``spans``, the removed runs as (start, length) in bytes.  A chunk is a
     repeat if a chunk with the same 128-bit digest starts earlier, by id and
-    then by place; runs of repeats of ``LEAST_RUN`` bytes or more go.
+    then by place; a text's end of less than ``SHORTEST`` bytes is one with the
+    chunk before it.  Runs of repeats of ``least_run`` bytes or more go, and
+    texts, however short, that consist of repeats only.
 
     Digests are dealt out in blobs by hash.  A batch sends the earliest chunk of
     each digest only and settles the others itself, so a chunk that a third of
@@ -112,17 +135,14 @@ def remove_chunks(df: DataFrame, doc_id: str, text: str, kept: str = "kept", spa
             parts = []
             for a, b in blocks(offsets):
                 part, at = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                ends, row = chunk_ends(part, at)
-                starts = np.append(0, ends[:-1]) if len(ends) else ends
+                starts, ends, row = looked_up(part, at)
                 data = memoryview(part.tobytes())
                 digest = b"".join(
                     [hashlib.blake2b(data[x:y], digest_size=16).digest() for x, y in zip(starts.tolist(), ends.tolist())]
                 )
-                long = ends - starts >= SHORTEST
-                pair = np.frombuffer(digest, np.uint64).reshape(-1, 2)[long]
-                row, begin = row[long], (starts - at[row])[long]
-                row = row + a
-                parts.append((pair[:, 0], pair[:, 1], ids[row], copies[row], own[row], begin, (ends - starts)[long]))
+                pair = np.frombuffer(digest, np.uint64).reshape(-1, 2)
+                begin, row = starts - at[row], row + a
+                parts.append((pair[:, 0], pair[:, 1], ids[row], copies[row], own[row], begin, ends - starts))
             if not parts:
                 continue
             low, high, name, copy, bucket, begin, size = map(np.concatenate, zip(*parts))
@@ -168,7 +188,7 @@ def remove_chunks(df: DataFrame, doc_id: str, text: str, kept: str = "kept", spa
                 np.add.at(cover, at, 1)
                 np.add.at(cover, at + size[hit], -1)
         gone = np.cumsum(cover[:-1]) > 0
-        return removed_columns(docs_table.select(names), raw, offsets, gone, (kept, spans), LEAST_RUN)
+        return removed_columns(docs_table.select(names), raw, offsets, gone, (kept, spans), least_run)
 
     brief = docs.select(own_id, own_copy, own_bucket, df[text])
     judged = brief.mapInArrow(send, BLOBS).groupBy("bucket").applyInArrow(judge, BLOBS)

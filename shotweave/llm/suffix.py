@@ -316,7 +316,7 @@ def removed_columns(
     table: pa.Table, raw: np.ndarray, offsets: np.ndarray, gone: np.ndarray, names: tuple[str, str],
     least: int = 1,
 ) -> pa.Table:
-    """Add the kept bytes and the spans of the bytes marked as gone, in runs of ``least`` or more."""
+    """Add the kept bytes and the spans of the bytes marked as gone, in runs of ``least`` or more, or a whole text."""
     edge = np.zeros(len(raw) + 1, bool)
     edge[offsets] = True
     start, end = gone.copy(), gone.copy()
@@ -324,7 +324,8 @@ def removed_columns(
     end[:-1] &= ~gone[1:] | edge[1:-1]
     start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
     if least > 1:
-        short = end - start < least
+        owner = np.searchsorted(offsets, start, "right") - 1
+        short = end - start < np.minimum(least, np.diff(offsets)[owner])
         gone[ragged(start[short], (end - start)[short])] = False
         start, end = start[~short], end[~short]
     owner = np.searchsorted(offsets, start, "right") - 1

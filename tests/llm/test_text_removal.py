@@ -122,15 +122,16 @@ def chunks_by_brute_force(rows):
                 begin = i + 1
         if begin < len(data):
             cuts.append((begin, len(data)))
+        if len(cuts) > 1 and cuts[-1][1] - cuts[-1][0] < chunks.SHORTEST:
+            cuts[-1] = (cuts[-2][0], len(data))  # the end together with the chunk before it
         gone = np.zeros(len(data), bool)
         for a, b in cuts:
-            if b - a >= chunks.SHORTEST:
-                if data[a:b] in seen:
-                    gone[a:b] = True
-                seen[data[a:b]] = True
+            if data[a:b] in seen:
+                gone[a:b] = True
+            seen[data[a:b]] = True
         edges = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]])))
         for a, b in edges.reshape(-1, 2):
-            if b - a < chunks.LEAST_RUN:
+            if b - a < min(chunks.LEAST_RUN, len(data)):
                 gone[a:b] = False
         out[doc_id] = bytes(np.frombuffer(data, np.uint8)[~gone])
     return out
@@ -144,6 +145,18 @@ def test_chunks(spark, docs, rows):
     assert {k: next(iter(v))[0] for k, v in found.items()} == chunks_by_brute_force(rows)
 
 
+def test_chunks_of_short_copies_and_tails(spark):
+    rng = random.Random(7)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    lengths = [1, 5, 15, 16, 17, 31, 40, 79, 80, 81, 100, 131, 150, 260, 777]
+    texts = [text(n) for n in lengths]
+    rows = [(i, t) for i, t in enumerate(texts + texts[::-1])]
+    found = result(chunks.remove_chunks(table(spark, rows), "doc_id", "text"))
+    assert {k: next(iter(v))[0] for k, v in found.items()} == chunks_by_brute_force(rows)
+    assert all(next(iter(found[i]))[0] == b"" for i in range(len(texts), len(rows)))
+    assert all(next(iter(found[i]))[0] == t.encode() for i, t in enumerate(texts))
+
+
 def test_chunks_resist_shifts(spark):
     rng = random.Random(2)
     passage = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60))
