@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -292,6 +293,69 @@ def test_sparse_sites_are_drawn_to_the_prior(spark):
     assert found[1000]["path_prior"] < found[2000]["path_prior"] < found[0]["path_prior"]
 
 
+def test_posteriors_by_brute_force(spark):
+    """Moments, shrinking and posteriors again by loops over documents, with nulls and repeated rows."""
+    rng = random.Random(11)
+    good, bad = "plain words that make a sentence of some length and sense".split(), "!! ## BUY buy || 99 %% now".split()
+    rows = []
+    for i in range(160):
+        share = rng.random()
+        text = " ".join(rng.choice(good if rng.random() < share else bad) for _ in range(rng.randint(1, 40)))
+        host = rng.choice(["a", "a", "a", "b", "c", None, f"only-{i}"])
+        rows.append((i, None if i % 41 == 0 else text, host, rng.choice(["x", "y", None])))
+    rows += rows[:9]
+    labels = [(i, int(i % 3 > 0)) for i in range(0, 160, 2)] + [(0, 1), (4, None), (None, 1), (999, 0)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string").repartition(5)
+    known = spark.createDataFrame(labels, "doc_id bigint, quality int")
+    found = quality.site_quality(frame, known, "doc_id", "text", "source", ["lang"]).collect()
+    assert sorted(r["doc_id"] for r in found) == sorted(r[0] for r in rows)
+
+    def described(text):
+        data = (text or "").encode()
+        return quality.features(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0]
+
+    lowest = {}
+    for i, label in labels:
+        if i is not None and label is not None:
+            lowest[i] = min(label, lowest.get(i, label))
+    x = np.array([described(r[1]) for r in rows])
+    fitted = [n for n, r in enumerate(rows) if r[0] in lowest]
+    y = np.array([float(lowest[rows[n][0]]) for n in fitted])
+    middle, scale = x[fitted].mean(axis=0), x[fitted].std(axis=0) + 1e-9
+    weights = quality.fit_logistic((x[fitted] - middle) / scale, y)
+    prior = math.log(y.mean() / (1 - y.mean()))
+    evidence = [max(-30.0, min(30.0, float(weights[:-1] @ ((v - middle) / scale) + weights[-1] - prior))) for v in x]
+    likely = [1 / (1 + math.exp(-e - prior)) for e in evidence]
+    mean = sum(likely) / len(likely)
+    within = sum((p - mean) ** 2 for p in likely) / len(likely)
+
+    def shrunk(site_of, above):
+        members = {}
+        for row, p in zip(rows, likely):
+            members.setdefault(site_of(row), []).append(p)
+        between = sum(len(m) * (sum(m) / len(m) - above(site)) ** 2 for site, m in members.items())
+        n = len(rows)
+        room = n - sum(len(m) ** 2 for m in members.values()) / n
+        spread = max(0.0, (between - (len(members) - 1) * within) / room)
+        out = {}
+        for site, m in members.items():
+            pull = len(m) * spread / (len(m) * spread + within)
+            out[site] = above(site) + pull * (sum(m) / len(m) - above(site))
+        return out
+
+    hosts = shrunk(lambda r: r[2], lambda site: mean)
+    paths = shrunk(lambda r: (r[2], r[3]), lambda site: hosts[site[0]])
+    wanted = {}
+    for row, e in zip(rows, evidence):
+        path = min(max(paths[row[2:]], 1e-6), 1 - 1e-6)
+        value = 1 / (1 + math.exp(-e - math.log(path / (1 - path))))
+        wanted[row[0]] = (value, e, hosts[row[2]], paths[row[2:]])
+    for r in found:
+        got = (r["quality"], r["evidence"], r["host_prior"], r["path_prior"])
+        assert got == pytest.approx(wanted[r["doc_id"]], rel=1e-5, abs=1e-6)
+        assert r["kept"] == (r["quality"] >= 0.5)
+
+
 def test_quality_without_labels(spark, docs, empty, rows):
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     assert all(r["kept"] for r in quality.site_quality(docs, none, "doc_id", "text", "id", ["node"]).collect())
