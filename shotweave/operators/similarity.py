@@ -10,11 +10,14 @@ query with one block of similar size and so finds a similarity that its k-th
 neighbour has at least.  The second pass visits only the blocks whose bound
 reaches it.  Both passes are one shuffle on the block number; each task holds
 one block and streams the queries past it.
+
+A table of many tasks is searched in the same few jobs: every task has blocks of
+its own, numbered through over all tasks, and its queries visit only those.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +28,8 @@ from pyspark.sql import types as T
 
 from shotweave.functions.fingerprints import N_BITS, fingerprint, pack_bits, packed_size
 from shotweave.operators.joins import attach_by_key, attach_counted
+from shotweave.operators.prefix import global_prefix_sum
+from shotweave.operators.split import task_key
 from shotweave.storage import materialise
 
 #: Index rows per block, and queries per copy of a block.
@@ -84,9 +89,9 @@ def _lay_out(histogram: dict[int, int], block_rows: int) -> _Layout:
     return _Layout(first, last, block + 1)
 
 
-def _distinct(df: DataFrame, row_id: str) -> DataFrame:
-    """One row per fingerprint with its number of rows and its first row."""
-    counted = df.groupBy("packed").agg(
+def _distinct(df: DataFrame, row_id: str, *task: str) -> DataFrame:
+    """One row per fingerprint (of a task) with its number of rows and its first row."""
+    counted = df.groupBy("packed", *task).agg(
         F.count("*").alias("size"), F.min(row_id).alias("first_row")
     )
     return materialise(counted.withColumn("bits", packed_size(F.col("packed"))), "distinct")
@@ -176,15 +181,16 @@ _FOUND = T.StructType(
 def _visit(queries: DataFrame, index: DataFrame, blocks: int, copies: int, k: int) -> DataFrame:
     """Best k of each visited block for every query.
 
-    ``queries`` carry ``block`` and ``floor``; ``index`` carries ``block``.
+    ``queries`` carry ``block`` and ``floor``; ``index`` carries ``block``; both
+    carry the ``copies`` of their blocks, at most the number given.
     """
     columns = ["packed", "bits", "first_row"]
-    copy = F.pmod(F.xxhash64("first_row"), F.lit(copies))
+    copy = F.pmod(F.xxhash64("first_row"), F.col("copies"))
     asking = queries.select(
         (F.col("block") * copies + copy).alias("place"),
         F.lit(True).alias("is_query"), "floor", *columns,
     )
-    every_copy = F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy")
+    every_copy = F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)).alias("copy")
     offered = index.select("block", every_copy, *columns).select(
         (F.col("block") * copies + F.col("copy")).cast("bigint").alias("place"),
         F.lit(False).alias("is_query"), F.lit(0.0).alias("floor"), *columns,
@@ -211,37 +217,90 @@ def _literal(numbers: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<int>")
 
 
+def _block_size(rows: int, cores: int, k: int, block_rows: int) -> int:
+    return max(k, min(block_rows, max(MIN_BLOCK_ROWS, rows // (2 * cores) + 1)))
+
+
 def _search(queries: DataFrame, index: DataFrame, k: int, block_rows: int) -> DataFrame:
     """(query, candidate, similarity): first k distinct fingerprints per query."""
     # At most one row per possible bit count.
     histogram = {r["bits"]: r["n"] for r in index.groupBy("bits").agg(F.count("*").alias("n")).collect()}
-    total = sum(histogram.values())
     cores = queries.sparkSession.sparkContext.defaultParallelism
-    block_rows = max(k, min(block_rows, max(MIN_BLOCK_ROWS, total // (2 * cores) + 1)))
-    layout = _lay_out(histogram, block_rows)
+    layout = _lay_out(histogram, _block_size(sum(histogram.values()), cores, k, block_rows))
     copies = max(1, -(-queries.count() // QUERIES_PER_COPY))
+    known = {"first": _literal(layout.first), "last": _literal(layout.last), "copies": F.lit(copies)}
 
-    first, last = _literal(layout.first), _literal(layout.last)
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.withColumns(known)
 
-    def spread(bits):
-        low, high = F.get(first, bits), F.get(last, bits)
-        return low + F.pmod(F.xxhash64("first_row"), (high - low + 1)).cast("int")
+    return _passes(queries, index, k, placed, layout.blocks, copies, layout.blocks == 1)
 
-    placed = index.withColumn("block", spread(F.col("bits")))
-    home = queries.withColumn("home", spread(F.col("bits")))
-    seeds = materialise(
-        _visit(
-            home.withColumns({"block": F.col("home"), "floor": F.lit(0.0)}),
-            placed, layout.blocks, copies, k,
+
+_LAYOUT = "task string, first array<bigint>, last array<bigint>, blocks bigint"
+
+
+def _search_by_task(queries: DataFrame, index: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """The same within each ``task``.
+
+    A task's layout is one row of at most two numbers per possible bit count; it
+    is worked out where the task's bit counts meet, and joined to its rows.
+    """
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    size = _block_size(index.count(), cores, k, block_rows)
+
+    def lay_out(counts: pa.Table) -> pa.Table:
+        layout = _lay_out(dict(zip(counts["bits"].to_pylist(), counts["n"].to_pylist())), size)
+        return pa.table(
+            {
+                "task": counts["task"].slice(0, 1), "first": pa.array([layout.first], pa.list_(pa.int64())),
+                "last": pa.array([layout.last], pa.list_(pa.int64())), "blocks": pa.array([layout.blocks], pa.int64()),
+            }
+        )
+
+    counts = index.groupBy("task", "bits").agg(F.count("*").alias("n"))
+    own = global_prefix_sum(counts.groupBy("task").applyInArrow(lay_out, _LAYOUT), [F.col("task")], {"blocks": "before"})
+    asked = queries.groupBy("task").agg(F.ceil(F.count("*") / QUERIES_PER_COPY).alias("copies"))
+    layouts = materialise(
+        own.join(asked, "task").select(
+            "task", "blocks", "copies",
+            *[F.transform(side, lambda block: block + F.col("before")).alias(side) for side in ("first", "last")],
         ),
-        "seeds",
+        "layouts",
     )
-    if layout.blocks == 1:
+    # Blocks keep the numbers they have over all tasks, so some may be nobody's.
+    total = layouts.agg(
+        F.coalesce(F.max(F.element_at("last", -1)) + 1, F.lit(0)), F.coalesce(F.max("copies"), F.lit(1)),
+        F.coalesce(F.max("blocks"), F.lit(0)),
+    ).first()
+    layouts = layouts.drop("blocks")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return attach_counted(rows, layouts, "task", row_bytes=16 * (N_BITS + 1))
+
+    return _passes(queries, index, k, placed, max(total[0], 1), total[1], total[2] <= 1)
+
+
+def _passes(
+    queries: DataFrame, index: DataFrame, k: int, placed: Callable[[DataFrame], DataFrame],
+    blocks: int, copies: int, home_only: bool,
+) -> DataFrame:
+    """Both passes; ``placed`` adds the ``first`` and ``last`` block of every bit count."""
+
+    def spread(rows: DataFrame, name: str) -> DataFrame:
+        low, high = F.get("first", F.col("bits")), F.get("last", F.col("bits"))
+        block = low + F.pmod(F.xxhash64("first_row"), high - low + 1)
+        return placed(rows).withColumn(name, block.cast("bigint")).drop("first", "last")
+
+    offered, home = spread(index, "block"), spread(queries, "home")
+    seeds = materialise(
+        _visit(home.withColumns({"block": F.col("home"), "floor": F.lit(0.0)}), offered, blocks, copies, k), "seeds"
+    )
+    if home_only:
         return seeds
     floors = seeds.groupBy("query").agg(
         F.when(F.count("*") >= k, F.min("similarity")).otherwise(F.lit(0.0)).alias("floor")
     )
-    known = home.join(floors, F.col("first_row") == F.col("query"), "left").withColumn(
+    known = home.drop("copies").join(floors, F.col("first_row") == F.col("query"), "left").withColumn(
         "floor", F.coalesce("floor", F.lit(0.0))
     )
     # min(a, b) / max(a, b) >= floor, widened a little against rounding.
@@ -250,9 +309,9 @@ def _search(queries: DataFrame, index: DataFrame, k: int, block_rows: int) -> Da
         F.col("floor") > 0,
         F.least(F.floor(F.col("bits") / F.col("floor") + 1e-6), F.lit(N_BITS)),
     ).otherwise(F.lit(N_BITS)).cast("int")
-    reach = F.sequence(F.get(first, fewest), F.get(last, most))
-    others = known.withColumn("block", F.explode(reach)).where(F.col("block") != F.col("home"))
-    rest = _visit(others, placed, layout.blocks, copies, k)
+    reach = F.sequence(F.get("first", fewest), F.get("last", most))
+    others = placed(known).withColumn("block", F.explode(reach)).where(F.col("block") != F.col("home"))
+    rest = _visit(others, offered, blocks, copies, k)
     return _first_k(seeds.unionByName(rest), k)
 
 
@@ -264,6 +323,7 @@ def knn(
     index_id: str = "row_id",
     exclude_self: bool = False,
     block_rows: int = BLOCK_ROWS,
+    task: str | None = None,
 ) -> DataFrame:
     """(query_id, neighbours): the k most similar index rows of every query row.
 
@@ -271,24 +331,33 @@ def knn(
     in order of ``index_id``; rows that share nothing count as similarity 0
     and fill the list up.  With ``exclude_self`` a row is not its own
     neighbour, but its copies are.
+
+    ``task`` names a column of both sides: every query finds neighbours of its
+    own task only, as if each task were searched alone, and rows without a task
+    are one.  Ids must then be unique over all tasks.  A query whose task has no
+    index rows gives no row, as with an empty index.
     """
     wanted = k + 1 if exclude_self else k
     has_fp = F.col("packed").isNotNull()
-    asked = queries.where(has_fp).select(F.col(query_id).alias("row_id"), "packed")
-    offered = index.where(has_fp).select(F.col(index_id).alias("row_id"), "packed")
-    distinct_queries = _distinct(asked, "row_id")
+    # A packed fingerprint has a fixed length, so with its task it is one key.
+    of_task = [] if task is None else [task_key(task).alias("task")]
+    asked = queries.where(has_fp).select(F.col(query_id).alias("row_id"), "packed", *of_task)
+    offered = index.where(has_fp).select(F.col(index_id).alias("row_id"), "packed", *of_task)
+    by = [] if task is None else ["task"]
+    distinct_queries = _distinct(asked, "row_id", *by)
     same = queries is index and query_id == index_id
-    distinct_index = distinct_queries if same else _distinct(offered, "row_id")
-    near = _search(distinct_queries, distinct_index, wanted, block_rows)
+    distinct_index = distinct_queries if same else _distinct(offered, "row_id", *by)
+    search = _search if task is None else _search_by_task
+    near = search(distinct_queries, distinct_index, wanted, block_rows)
 
     # The first rows of every fingerprint; each task keeps only that many.
-    by_row = Window.partitionBy("packed").orderBy("row_id")
+    by_row = Window.partitionBy("packed", *by).orderBy("row_id")
     members = materialise(
         offered.withColumn("n", F.row_number().over(by_row))
         .where(F.col("n") <= wanted)
-        .groupBy("packed")
+        .groupBy("packed", *by)
         .agg(F.min("row_id").alias("candidate"), F.sort_array(F.collect_list("row_id")).alias("rows"))
-        .drop("packed"),
+        .drop("packed", *by),
         "members",
     )
     # At most k lists of k rows per query: nearest first, then in row order.
@@ -305,9 +374,10 @@ def knn(
             ).alias("neighbours"),
         )
     )
-    per_fp = distinct_queries.select("packed", "size", "first_row").join(listed, "first_row")
+    own = F.concat("packed", F.encode("task", "utf-8")) if by else F.col("packed")
+    per_fp = distinct_queries.withColumn("own", own).select("own", "size", "first_row").join(listed, "first_row")
     answered = attach_by_key(
-        asked, materialise(per_fp.drop("first_row"), "neighbours"), "packed", "size"
+        asked.withColumn("own", own), materialise(per_fp.drop("first_row"), "neighbours"), "own", "size"
     )
     neighbours = F.col("neighbours")
     if exclude_self:

@@ -152,3 +152,48 @@ def test_shortfall_policies(spark):
     }
     with pytest.raises(ValueError, match="unknown policy"):
         apply_shortfall(df, 2, "other")
+
+
+def task_texts(spark, first_id):
+    """Three tasks, one with most rows, a hot text in all of them, and rows without a task."""
+    rng = random.Random(first_id)
+    rows = []
+    for i in range(260):
+        task = rng.choice(["big"] * 8 + ["small", None]) if i < 250 else "only here" if first_id else "only there"
+        text = "one hot text" if rng.random() < 0.33 else " ".join(rng.sample(WORDS, rng.randint(1, 30)))
+        rows.append((first_id + i, task, None if i % 50 == 7 else text))
+    return spark.createDataFrame(rows, "row_id long, task string, text string")
+
+
+@pytest.mark.parametrize("broadcast_below", [0, 2**24])
+@pytest.mark.parametrize("k, block_rows, per_copy", [(3, 16, 10), (3, 8192, 10**6), (50, 16, 10**6)])
+def test_tasks_are_searched_apart(spark, monkeypatch, k, block_rows, per_copy, broadcast_below):
+    monkeypatch.setattr("shotweave.operators.similarity.MIN_BLOCK_ROWS", 8)
+    monkeypatch.setattr("shotweave.operators.similarity.QUERIES_PER_COPY", per_copy)
+    monkeypatch.setattr("shotweave.storage.BROADCAST_BELOW", broadcast_below)
+    q, c = task_texts(spark, 1000), task_texts(spark, 0)
+    found = answers(knn(build_index(q, "text"), build_index(c, "text"), k, block_rows=block_rows, task="task"))
+    expected, q_bits, c_bits = {}, *[{r["row_id"]: (r["task"], set(r["fp"])) for r in
+        with_fingerprint(side, "text").where("fp IS NOT NULL").collect()} for side in (q, c)]
+    for task in ("big", "small", None):
+        of_task = [{i: fp for i, (t, fp) in side.items() if t == task} for side in (q_bits, c_bits)]
+        expected |= brute_force(*of_task, k, False)
+    assert found == expected and len(found) > 200
+
+
+def test_task_without_itself(spark, monkeypatch):
+    monkeypatch.setattr("shotweave.operators.similarity.MIN_BLOCK_ROWS", 8)
+    rows = task_texts(spark, 0)
+    index = build_index(rows, "text")
+    found = answers(knn(index, index, 4, exclude_self=True, block_rows=20, task="task"))
+    for task in ("big", "small", "only there", None):
+        alone = build_index(rows.where(F.col("task").eqNullSafe(F.lit(task))), "text")
+        own = answers(knn(alone, alone, 4, exclude_self=True, block_rows=20))
+        assert own and {q: found[q] for q in own} == own
+    assert len(found) == index.count()
+
+
+def test_no_tasks_at_all(spark):
+    none = build_index(spark.createDataFrame([], "row_id long, task string, text string"), "text")
+    some = build_index(task_texts(spark, 0), "text")
+    assert knn(none, some, 3, task="task").count() == 0 and knn(some, none, 3, task="task").count() == 0
