@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.common import (
-    CONVERSATIONS, PARTS, Query, TASK_TEXT, conversation_records, documents, h, ids, labelled,
+    CONVERSATIONS, PARTS, Query, TASK_TEXT, conversation_records, documents, fp, h, ids, labelled,
     parts, quote, strip, table, word_ids, word_mask,
 )
+from catalog.cleaning import ORACLES as CLEANING
 from catalog.models import stub_model
 from catalog.similarity import FP, PART_NEAR, neighbours
 from shotweave.functions.prompts import (
@@ -20,7 +21,8 @@ from shotweave.operators.merge import merge_shuffle
 from shotweave.operators.bpe import bpe_encoded, bpe_train, word_counts
 from shotweave.operators.sft import pad_batches, sft_concat, sft_padded
 from shotweave.plans.records import (
-    RecordConfig, build_classification, build_regression, prepare_classification, value_range,
+    RecordConfig, build_classification, build_classification_tasks, build_regression,
+    build_regression_tasks, prepare_classification, prepare_classification_tasks, value_range,
 )
 from shotweave.operators.prefix import global_ordinal
 from shotweave.plans.scoring import (
@@ -33,6 +35,7 @@ from shotweave.storage import materialise, scratch_path
 CONCAT_LENGTH, PADDED_LENGTH = 1024, 512
 
 PRICE_TEXT = "predict the retail price"
+SPLIT_TASKS = CLEANING["split_tasks"]
 
 
 def masked_words(spark, sf):
@@ -85,6 +88,27 @@ def _class_records(spark, sf, shots=3):
     return build_classification(split, config)
 
 
+def task_records(spark, sf):
+    """Every language a task of its own: split, searched and written out in the same jobs."""
+    rows = documents(spark, sf).select("row_id", "text", "source", "lang")
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("row_id"), F.col("quality").alias("label"))
+    split = prepare_classification_tasks(rows.join(labels, "row_id"), "lang", "text", "label", "source")
+    about = F.concat(F.lit(TASK_TEXT), F.lit(" of "), F.col("lang"))
+    return build_classification_tasks(split, "lang", about, RecordConfig("", "", shots=3))
+
+
+def priced_task_records(spark, sf):
+    """Every manufacturer a task with a price range of its own."""
+    rows = parts(spark, sf).withColumn("maker", maker(F.col("text")))
+    about = F.concat(F.lit(PRICE_TEXT), F.lit(" by "), F.col("maker"))
+    return build_regression_tasks(rows, "maker", about, RecordConfig("", "", shots=2))
+
+
+def maker(text):
+    """The first digit of the brand, which a part's text ends with."""
+    return F.regexp_extract(text, r"#(\d)\d$", 1)
+
+
 def classification_records(spark, sf):
     return _class_records(spark, sf)
 
@@ -212,6 +236,8 @@ QUERIES: dict[str, Query] = {
     "prompt_regression": number_prompts,
     "records_classification": classification_records,
     "records_regression": regression_records,
+    "records_classification_tasks": task_records,
+    "records_regression_tasks": priced_task_records,
     "scoring_prompts_tagged": _scored_classes(CLASSIFY, 3),
     "scoring_prompts_diversity": _scored_classes(CLASSIFY_STRATEGIES, 4, "diversity"),
     "scoring_prompts_similarity": _scored_classes(CLASSIFY_STRATEGIES, 2),
@@ -276,6 +302,15 @@ _CLASS_SHOTS = f"""WITH {FP}, train AS (SELECT * FROM fps WHERE split = 'train')
     FROM near n JOIN train t ON t.row_id = n.neighbour_id GROUP BY query_id),
   shown AS (SELECT s.*, {_MASKED} AS input FROM fps s)"""
 
+_TASK_SHOTS = f"""WITH tasked AS ({SPLIT_TASKS}),
+  fps AS (SELECT t.*, d.text, {fp('d.text')} AS fp, CASE WHEN t.label = 1 THEN 'Yes' ELSE 'No' END AS output
+    FROM tasked t JOIN documents d ON d.doc_id = t.row_id),
+  train AS (SELECT * FROM fps WHERE split = 'train'),
+  {neighbours('fps', 'train', 3, 'q.row_id <> c.row_id AND q.lang = c.lang')},
+  shots AS (SELECT query_id, string_agg({example_sql(CLASSIFICATION, _FRESH, 't.output')}, '' ORDER BY rank) AS examples
+    FROM near n JOIN train t ON t.row_id = n.neighbour_id GROUP BY query_id),
+  shown AS (SELECT s.*, {_MASKED} AS input FROM fps s)"""
+
 _PRICE_RANGE = {
     **_PRICE,
     "low": "(SELECT printf('%.2f', min(label)) FROM parts)",
@@ -287,6 +322,17 @@ _PRICE_SHOTS = f"""WITH {PART_NEAR},
     FROM near JOIN parts p ON p.row_id = neighbour_id WHERE rank <= 2 GROUP BY query_id),
   shown AS (SELECT p.*, {_MASKED} AS input FROM parts p)"""
 
+_MAKER = r"regexp_extract(text, '#(\d)\d$', 1)"
+_MADE_SHOTS = f"""WITH {PARTS},
+  made AS (SELECT *, {fp('text')} AS fp, {_MAKER} AS maker FROM parts),
+  ranges AS (SELECT maker, printf('%.2f', min(label)) AS low, printf('%.2f', max(label)) AS high FROM made GROUP BY 1),
+  {neighbours('made', 'made', 2, 'q.row_id <> c.row_id AND q.maker = c.maker')},
+  shots AS (SELECT query_id,
+      string_agg({example_sql(REGRESSION, 'p.text', "printf('%.4f', p.label)")}, '' ORDER BY rank) AS examples
+    FROM near JOIN made p ON p.row_id = neighbour_id GROUP BY query_id HAVING count(*) >= 2),
+  shown AS (SELECT p.*, r.low, r.high, {_MASKED} AS input FROM made p JOIN ranges r USING (maker)
+    WHERE p.row_id IN (SELECT query_id FROM shots))"""
+
 _STORED = f"""{FP}, records AS (SELECT *, {_MASKED} AS input FROM fps),
   train AS (SELECT * FROM records WHERE split = 'train'), asked AS (SELECT * FROM records WHERE split = 'test')"""
 
@@ -382,6 +428,15 @@ ORACLES: dict[str, str] = {
         _PRICE_SHOTS, "shown", prompt_sql(REGRESSION, "input", "examples", _PRICE_RANGE),
         "printf('%.4f', label)", "'price' AS task, text AS original_text,",
     ),
+    "records_classification_tasks": _from_shots(
+        _TASK_SHOTS, "shown", prompt_sql(CLASSIFICATION, "input", "examples", {"task": f"{quote(TASK_TEXT + ' of ')} || s.lang"}),
+        "s.output", "s.lang AS task, split, text AS original_text,",
+    ),
+    "records_regression_tasks": _from_shots(
+        _MADE_SHOTS, "shown",
+        prompt_sql(REGRESSION, "input", "examples", {"task": f"{quote(PRICE_TEXT + ' by ')} || maker", "low": "low", "high": "high"}),
+        "printf('%.4f', label)", "maker AS task, text AS original_text,",
+    ),
     "scoring_prompts_tagged": _TAGGED_SQL,
     "scoring_from_files": f"SELECT instruction, input, output FROM ({_TAGGED_SQL})",
     "score_classification": f"""WITH asked AS ({_TAGGED_SQL}),

@@ -24,8 +24,9 @@ from shotweave.operators.shots import (
 from shotweave.operators.similarity import build_index, candidate_pool, knn, neighbour_rows
 from shotweave.operators.split import group_split, with_group_key
 from shotweave.plans.records import (
-    Masking, RecordConfig, build_classification, build_regression, prepare_classification,
-    prepare_classification_tasks, value_range,
+    Masking, RecordConfig, build_classification, build_classification_tasks, build_regression,
+    build_regression_tasks, prepare_classification, prepare_classification_tasks, value_range,
+    value_range_by_task,
 )
 from shotweave.plans.scoring import score, scoring_prompts
 from shotweave.sources.records import (

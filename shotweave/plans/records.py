@@ -16,6 +16,7 @@ from shotweave.functions.prompts import (
     no_shots,
     regression_prompt,
 )
+from shotweave.functions.hashing import as_column
 from shotweave.functions.text import format_label, label_text, lossless_words
 from shotweave.operators.balance import IMBALANCE_RATIO, oversample_by_task, oversample_minority
 from shotweave.operators.bpe import Tokenizer, bpe_join, bpe_tokens
@@ -28,10 +29,12 @@ from shotweave.operators.cleaning import (
     keep_large_tasks,
     with_canonical_key,
 )
+from shotweave.operators.joins import attach_counted
 from shotweave.operators.masking import MASK, join_pieces, masked
+from shotweave.operators.prefix import global_ordinal
 from shotweave.operators.shots import apply_shortfall, shots_array
 from shotweave.operators.similarity import build_index, knn, neighbour_rows
-from shotweave.operators.split import group_split, with_group_key
+from shotweave.operators.split import group_split, task_key, with_group_key
 from shotweave.storage import materialise
 
 
@@ -205,3 +208,100 @@ def build_regression(
         "row_id", F.lit(config.task).alias("task"), prompt.alias("instruction"), "input",
         format_label(F.col("label")).alias("output"), text.alias("original_text"),
     )
+
+
+def _numbered(df: DataFrame, task: str) -> DataFrame:
+    """Rows with a ``number`` that is unique over all tasks and in row order within each."""
+    keyed = df.withColumn("__task", task_key(task))
+    return global_ordinal(keyed, [F.col("__task"), F.col("row_id")], "number").drop("__task")
+
+
+def _shots_by_task(
+    base: DataFrame, index: DataFrame, config: RecordConfig, text: Column, label: Column
+) -> DataFrame:
+    """``base`` with the examples of every row, found in the rows of its own task.
+
+    ``text`` is an expression over the example's row and the asking row's ``asked``.
+    """
+    near = knn(
+        base, index, config.shots, "number", "number", exclude_self=config.exclude_self, task="task"
+    )
+    asked = base.select(F.col("number").alias("query_id"), F.col("row_id").alias("asked"))
+    chosen = neighbour_rows(near, "number").select("query_id", "rank", "neighbour_id").join(asked, "query_id")
+    shots = shots_array(chosen, index, text, label, "number")
+    return base.join(shots.withColumnRenamed("query_id", "number"), "number", "left")
+
+
+def build_classification_tasks(
+    df: DataFrame, task: str, task_text: Column | str, config: RecordConfig
+) -> DataFrame:
+    """:func:`build_classification` for a split table of many tasks, in the same few jobs.
+
+    ``task`` names the column of tasks and ``task_text`` (a column, or an
+    expression over a row) says what each is about; those of ``config`` are not
+    read.  Every task comes out as it would alone: its examples are its own train
+    rows, masked by its own row ids, which need to be unique within a task only.
+    Rows without a task are one task.
+    """
+    text, masking = F.col("text"), config.masking
+    base = df.select(
+        "row_id", F.col(task).alias("task"), as_column(task_text).alias("task_text"), "text", "label", "split"
+    ).withColumn("tokens", masking.tokenise(text))
+    if config.shots > 0:
+        base = build_index(_numbered(base, "task"), "text", keep_all=True, **config.fingerprint)
+        train = base.where(F.col("split") == "train")
+        fresh = masking.apply(text, F.col("asked"), "shot", F.col("row_id"))
+        joined = _shots_by_task(base, train, config, fresh, label_text(F.col("label")))
+        base = apply_shortfall(joined, config.shots, "use_what_is_there")
+    else:
+        base = base.withColumn("shots", no_shots())
+    shown = base.withColumn("input", masking.apply(text, F.col("row_id"), "query"))
+    prompt = classification_prompt(
+        F.col("input"), F.col("task_text"), F.col("shots"), config.wording or CLASSIFICATION
+    )
+    return shown.select(
+        "row_id", "task", "split", prompt.alias("instruction"), "input",
+        label_text(F.col("label")).alias("output"), text.alias("original_text"),
+    )
+
+
+def value_range_by_task(df: DataFrame, task: str, label: str) -> DataFrame:
+    """(task, low, high): smallest and largest label of every task, (0, 0) without any."""
+    zero = F.lit(0.0)
+    return df.groupBy(task).agg(
+        F.coalesce(F.min(label), zero).alias("low"), F.coalesce(F.max(label), zero).alias("high")
+    )
+
+
+def build_regression_tasks(
+    df: DataFrame, task: str, task_text: Column | str, config: RecordConfig
+) -> DataFrame:
+    """:func:`build_regression` for a table of many tasks, in the same few jobs.
+
+    Arguments as in :func:`build_classification_tasks`; every task has its own
+    value range.
+    """
+    text, masking = F.col("text"), config.masking
+    rows = df.select(
+        "row_id", F.col(task).alias("task"), as_column(task_text).alias("task_text"), "text", "label"
+    )
+    base = coerce_numeric(drop_missing(rows, "text", "label"), "label").withColumn("__task", task_key("task"))
+    ranges = materialise(value_range_by_task(base, "__task", "label"), "ranges")
+    base = base.withColumn("tokens", masking.tokenise(text))
+    if config.shots > 0:
+        base = build_index(_numbered(base.drop("__task"), "task"), "text", **config.fingerprint)
+        joined = _shots_by_task(base, base, config, text, format_label(F.col("label")))
+        base = apply_shortfall(joined, config.shots, "drop_query").withColumn("__task", task_key("task"))
+    else:
+        base = base.withColumn("shots", no_shots())
+    ranged = attach_counted(
+        base.withColumn("input", masking.apply(text, F.col("row_id"), "query")), ranges, "__task"
+    )
+    prompt = regression_prompt(
+        F.col("input"), F.col("task_text"), F.col("low"), F.col("high"), F.col("shots"),
+        config.wording or REGRESSION,
+    )
+    return ranged.select(
+        "row_id", "task", prompt.alias("instruction"), "input",
+        format_label(F.col("label")).alias("output"), text.alias("original_text"),
+    )

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from catalog import records
 from shotweave.operators.balance import oversample_by_task, oversample_minority
 from shotweave.operators.split import group_split
-from shotweave.plans.records import prepare_classification, prepare_classification_tasks
+from shotweave.plans.records import (
+    RecordConfig, build_classification, build_classification_tasks, build_regression, build_regression_tasks,
+    prepare_classification, prepare_classification_tasks,
+)
 
 
 def task_rows():
@@ -84,3 +87,39 @@ def test_arrays_of_the_learnt_tokenizer(spark):
         target = other.encode(of["output"].strip()).ids[: max(records.CONCAT_LENGTH - 1 - len(prompt), 0)]
         assert row["input_ids"] == ",".join(map(str, prompt + target))
         assert row["labels"] == ",".join(map(str, [-100] * len(prompt) + target))
+
+
+@pytest.mark.parametrize("shots, names", [(0, ("even", "rare")), (2, ("big", "one class", "rare"))])
+def test_records_of_many_tasks(spark, tasks, shots, names):
+    split = prepare_classification_tasks(tasks, "task", "text", "label", "source").cache()
+    columns = ("row_id", "task", "split", "instruction", "input", "output", "original_text")
+    about = F.concat(F.lit("say which "), F.col("task"))
+    found = seen(build_classification_tasks(split, "task", about, RecordConfig("", "", shots)), *columns)
+    expected = []
+    for task in names:
+        config = RecordConfig(task, f"say which {task}", shots)
+        expected += seen(build_classification(split.where(F.col("task") == task), config), *columns)
+    assert [r for r in found if r[1] in names] == sorted(expected, key=str) and len(found) == split.count()
+
+
+@pytest.mark.parametrize("shots, names", [(0, ("even", "rare")), (2, ("big", "small", "rare"))])
+def test_numbers_of_many_tasks(spark, tasks, shots, names):
+    rows = tasks.withColumn("label", F.col("row_id") / 7 + F.length("text")).withColumn(
+        "label", F.when(F.col("row_id") % 11 > 0, F.col("label"))
+    )
+    columns = ("row_id", "task", "instruction", "input", "output", "original_text")
+    about = F.coalesce(F.concat(F.lit("say how "), F.col("task")), F.lit("say"))
+    found = seen(build_regression_tasks(rows, "task", about, RecordConfig("", "", shots)), *columns)
+    expected = []
+    for task in names:
+        config = RecordConfig(task, f"say how {task}", shots)
+        expected += seen(build_regression(rows.where(F.col("task") == task), config), *columns)
+    assert [r for r in found if r[1] in names] == sorted(expected, key=str)
+    assert any(r[1] is None for r in found)
+
+
+def test_records_of_no_tasks(spark):
+    empty = spark.createDataFrame([], SCHEMA).withColumn("split", F.lit("train"))
+    config = RecordConfig("", "", 2)
+    assert build_classification_tasks(empty, "task", F.lit("x"), config).count() == 0
+    assert build_regression_tasks(empty, "task", F.lit("x"), config).count() == 0
