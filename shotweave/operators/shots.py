@@ -108,15 +108,19 @@ def random_shots(
 
 
 def shots_array(chosen: DataFrame, index: DataFrame, text: Column | str, label: Column | str,
-                row_id: str = "row_id") -> DataFrame:
+                row_id: str = "row_id", tokens: Column | None = None) -> DataFrame:
     """(query_id, shots): ordered examples with the text form asked for.
 
     ``text`` is a column of the index: the original, a stored masked text, or
     an expression over the index row and ``query_id`` that masks it afresh.
+    ``tokens`` is worked out beside the examples, so that the index need not
+    carry them through a shuffle.
     """
     text = F.col(text) if isinstance(text, str) else text
     label = F.col(label) if isinstance(label, str) else label
     examples = attach_counted(chosen, index.withColumnRenamed(row_id, "neighbour_id"), "neighbour_id")
+    if tokens is not None:
+        examples = examples.withColumn("tokens", tokens)
     one = F.struct("rank", text.alias("text"), label.alias("label"))
     return examples.groupBy("query_id").agg(
         F.transform(

@@ -35,7 +35,7 @@ from shotweave.operators.prefix import global_ordinal
 from shotweave.operators.shots import apply_shortfall, shots_array
 from shotweave.operators.similarity import build_index, knn, neighbour_rows
 from shotweave.operators.split import group_split, task_key, with_group_key
-from shotweave.storage import materialise
+from shotweave.storage import fits_broadcast, materialise
 
 
 @dataclass(frozen=True)
@@ -212,8 +212,10 @@ def build_regression(
 
 def _numbered(df: DataFrame, task: str) -> DataFrame:
     """Rows with a ``number`` that is unique over all tasks and in row order within each."""
-    keyed = df.withColumn("__task", task_key(task))
-    return global_ordinal(keyed, [F.col("__task"), F.col("row_id")], "number").drop("__task")
+    keyed, both = df.withColumn("__task", task_key(task)), ["__task", "row_id"]
+    # Only ids are put in order; texts stay where they are if the numbers are few.
+    numbers = materialise(global_ordinal(keyed.select(*both), [F.col(c) for c in both], "number"), "numbers")
+    return keyed.join(F.broadcast(numbers) if fits_broadcast(numbers) else numbers, both).drop("__task")
 
 
 def _shots_by_task(
@@ -228,7 +230,8 @@ def _shots_by_task(
     )
     asked = base.select(F.col("number").alias("query_id"), F.col("row_id").alias("asked"))
     chosen = neighbour_rows(near, "number").select("query_id", "rank", "neighbour_id").join(asked, "query_id")
-    shots = shots_array(chosen, index, text, label, "number")
+    offered = index.select("number", "row_id", "text", "label")
+    shots = shots_array(chosen, offered, text, label, "number", config.masking.tokenise(F.col("text")))
     return base.join(shots.withColumnRenamed("query_id", "number"), "number", "left")
 
 
@@ -246,7 +249,7 @@ def build_classification_tasks(
     text, masking = F.col("text"), config.masking
     base = df.select(
         "row_id", F.col(task).alias("task"), as_column(task_text).alias("task_text"), "text", "label", "split"
-    ).withColumn("tokens", masking.tokenise(text))
+    )
     if config.shots > 0:
         base = build_index(_numbered(base, "task"), "text", keep_all=True, **config.fingerprint)
         train = base.where(F.col("split") == "train")
@@ -255,7 +258,8 @@ def build_classification_tasks(
         base = apply_shortfall(joined, config.shots, "use_what_is_there")
     else:
         base = base.withColumn("shots", no_shots())
-    shown = base.withColumn("input", masking.apply(text, F.col("row_id"), "query"))
+    tokens = masking.tokenise(text)
+    shown = base.withColumn("tokens", tokens).withColumn("input", masking.apply(text, F.col("row_id"), "query"))
     prompt = classification_prompt(
         F.col("input"), F.col("task_text"), F.col("shots"), config.wording or CLASSIFICATION
     )
@@ -287,16 +291,16 @@ def build_regression_tasks(
     )
     base = coerce_numeric(drop_missing(rows, "text", "label"), "label").withColumn("__task", task_key("task"))
     ranges = materialise(value_range_by_task(base, "__task", "label"), "ranges")
-    base = base.withColumn("tokens", masking.tokenise(text))
     if config.shots > 0:
         base = build_index(_numbered(base.drop("__task"), "task"), "text", **config.fingerprint)
         joined = _shots_by_task(base, base, config, text, format_label(F.col("label")))
         base = apply_shortfall(joined, config.shots, "drop_query").withColumn("__task", task_key("task"))
     else:
         base = base.withColumn("shots", no_shots())
-    ranged = attach_counted(
-        base.withColumn("input", masking.apply(text, F.col("row_id"), "query")), ranges, "__task"
+    shown = base.withColumn("tokens", masking.tokenise(text)).withColumn(
+        "input", masking.apply(text, F.col("row_id"), "query")
     )
+    ranged = attach_counted(shown.drop("tokens"), ranges, "__task")
     prompt = regression_prompt(
         F.col("input"), F.col("task_text"), F.col("low"), F.col("high"), F.col("shots"),
         config.wording or REGRESSION,
