@@ -33,11 +33,15 @@ from shotweave.operators.split import task_key
 from shotweave.storage import materialise
 
 #: Index rows per block, and queries per copy of a block.
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 32768
 MIN_BLOCK_ROWS = 512
-QUERIES_PER_COPY = 1_000_000
-#: Query-by-block similarities held at once by a task.
-CELLS = 2_000_000
+QUERIES_PER_COPY = 65_536
+#: Query-by-block similarities held at once by a task, and worked out by one task.
+CELLS = 4_000_000
+CELLS_PER_TASK = 2**31
+#: Fingerprints held by one float32, and the bits of it that each one's count gets.
+#: A float32 holds whole numbers below 2**24 exactly, whatever the order of summing.
+FORMS = ((3, 8), (2, 12))
 
 NEIGHBOURS_TYPE = "array<struct<row_id:bigint,similarity:double>>"
 
@@ -97,6 +101,48 @@ def _distinct(df: DataFrame, row_id: str, *task: str) -> DataFrame:
     return materialise(counted.withColumn("bits", packed_size(F.col("packed"))), "distinct")
 
 
+def _unpack(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
+
+
+class _Block:
+    """Fingerprints that many queries are compared with, by matrix products.
+
+    The counts of two or three rows share the digits of one float, so one product
+    serves them all: three where no count can pass eight bits, which a query or a
+    block of at most 255 bits rules out, else two.
+    """
+
+    def __init__(self, fps: np.ndarray, bits: np.ndarray, rows: np.ndarray):
+        self.fps, self.bits, self.rows = fps, bits, rows
+        self._forms: dict[int, np.ndarray] = {}
+
+    def _form(self, per: int, width: int) -> np.ndarray:
+        if per not in self._forms:
+            groups = -(-len(self.fps) // per)
+            form = np.zeros((groups, 8 * self.fps.shape[1]), dtype=np.float32)
+            for part in range(per):
+                held = self.fps[part * groups : (part + 1) * groups]
+                for start in range(0, len(held), 1024):
+                    dense = np.unpackbits(held[start : start + 1024], axis=1)
+                    form[start : start + len(dense)] += dense * np.float32(2 ** (width * part))
+            self._forms[per] = form
+        return self._forms[per]
+
+    def shared(self, fps: np.ndarray, most: int) -> np.ndarray:
+        """Common bits of every query with every row; no query has more than ``most``."""
+        most = min(most, int(self.bits.max()))
+        per, width = next(form for form in FORMS if most < 2 ** form[1])
+        form = self._form(per, width)
+        found = (np.unpackbits(fps, axis=1).astype(np.float32) @ form.T).astype(np.int32)
+        counts = np.empty((len(fps), len(self.fps)), dtype=np.float32)
+        for part in range(per):
+            place = slice(part * len(form), min((part + 1) * len(form), len(self.fps)))
+            digits = found >> (width * part) & (2**width - 1)
+            counts[:, place] = digits[:, : max(0, place.stop - place.start)]
+        return counts
+
+
 def _best_in_block(k: int):
     """Compare streamed queries with the block that precedes them."""
 
@@ -104,46 +150,43 @@ def _best_in_block(k: int):
         place, fps, bits, rows = None, [], [], []
         block = None
 
-        def similarities(q_fp: np.ndarray, q_bits: np.ndarray) -> np.ndarray:
-            c_fp, c_bits, _ = block
-            shared = np.zeros((len(q_fp), len(c_fp)), dtype=np.uint16)
-            for word in range(q_fp.shape[1]):
-                shared += np.bitwise_count(q_fp[:, word, None] & c_fp[None, :, word])
-            return shared / (q_bits[:, None] + c_bits[None, :] - shared)
-
-        def unpack(column: pa.Array) -> np.ndarray:
-            joined = b"".join(column.to_pylist())
-            return np.frombuffer(joined, dtype=np.uint64).reshape(len(column), -1)
+        def best(q_fp: np.ndarray, q_bits: np.ndarray, q_row: np.ndarray, floor: np.ndarray) -> pa.RecordBatch:
+            shared = block.shared(q_fp, int(q_bits.max()))
+            sims = np.add(q_bits[:, None], block.bits[None, :], dtype=np.float32)
+            sims -= shared
+            np.divide(shared, sims, out=sims)
+            # Rounding keeps the order; one step down, lest the floor was rounded up.
+            limit = np.nextafter(floor.astype(np.float32), np.float32(-1))[:, None]
+            hits = sims >= limit
+            if len(block.rows) > k and np.count_nonzero(hits) > 4 * k * len(q_row):
+                kth = np.partition(sims, len(block.rows) - k, axis=1)[:, len(block.rows) - k]
+                hits = sims >= np.maximum(limit, kth[:, None])
+            hit_q, hit_c = np.nonzero(hits)
+            common = shared[hit_q, hit_c].astype(np.float64)
+            value = common / (q_bits[hit_q] + block.bits[hit_c] - common)
+            # The block is in row order, so equal similarities stay in it.
+            order = np.lexsort((hit_c, -value, hit_q))
+            hit_q, hit_c, value = hit_q[order], hit_c[order], value[order]
+            starts = np.searchsorted(hit_q, hit_q, side="left")
+            keep = np.arange(len(hit_q)) - starts < k
+            return pa.RecordBatch.from_arrays(
+                [pa.array(q_row[hit_q[keep]]), pa.array(block.rows[hit_c[keep]]), pa.array(value[keep])],
+                names=["query", "candidate", "similarity"],
+            )
 
         def answer(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            q_fp = unpack(batch.column("packed"))
+            q_fp = _unpack(batch.column("packed"))
             q_bits = batch.column("bits").to_numpy().astype(np.int64)
             q_row = batch.column("first_row").to_numpy()
             floor = batch.column("floor").to_numpy()
-            c_row = block[2]
-            step = max(1, CELLS // len(c_row))
-            for start in range(0, len(q_row), step):
-                part = slice(start, start + step)
-                sims = similarities(q_fp[part], q_bits[part])
-                limit = floor[part, None]
-                if len(c_row) > k:
-                    kth = np.partition(sims, len(c_row) - k, axis=1)[:, len(c_row) - k]
-                    limit = np.maximum(limit, kth[:, None])
-                hit_q, hit_c = np.nonzero(sims >= limit)
-                value = sims[hit_q, hit_c]
-                # The block is in row order, so equal similarities stay in it.
-                order = np.lexsort((hit_c, -value, hit_q))
-                hit_q, hit_c, value = hit_q[order], hit_c[order], value[order]
-                starts = np.searchsorted(hit_q, hit_q, side="left")
-                keep = np.arange(len(hit_q)) - starts < k
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(q_row[part][hit_q[keep]]),
-                        pa.array(c_row[hit_c[keep]]),
-                        pa.array(value[keep]),
-                    ],
-                    names=["query", "candidate", "similarity"],
-                )
+            step = max(1, CELLS // len(block.rows))
+            # Queries of few bits first: they are compared three rows at a time.
+            order = np.argsort(q_bits, kind="stable")
+            few = int(np.searchsorted(q_bits[order], 256))
+            for side in (order[:few], order[few:]):
+                for start in range(0, len(side), step):
+                    part = side[start : start + step]
+                    yield best(q_fp[part], q_bits[part], q_row[part], floor[part])
 
         for batch in batches:
             places = batch.column("place").to_numpy()
@@ -157,13 +200,13 @@ def _best_in_block(k: int):
                     place, block = places[piece_start], None
                     fps, bits, rows = [], [], []
                 if not asks[piece_start]:
-                    fps.append(unpack(piece.column("packed")))
+                    fps.append(_unpack(piece.column("packed")))
                     bits.append(piece.column("bits").to_numpy().astype(np.int64))
                     rows.append(piece.column("first_row").to_numpy())
                     block = None
                 elif fps:
                     if block is None:
-                        block = tuple(np.concatenate(x) for x in (fps, bits, rows))
+                        block = _Block(*(np.concatenate(x) for x in (fps, bits, rows)))
                     yield from answer(piece)
 
     return compare
@@ -178,11 +221,12 @@ _FOUND = T.StructType(
 )
 
 
-def _visit(queries: DataFrame, index: DataFrame, blocks: int, copies: int, k: int) -> DataFrame:
+def _visit(queries: DataFrame, index: DataFrame, blocks: int, copies: int, cells: int, k: int) -> DataFrame:
     """Best k of each visited block for every query.
 
     ``queries`` carry ``block`` and ``floor``; ``index`` carries ``block``; both
-    carry the ``copies`` of their blocks, at most the number given.
+    carry the ``copies`` of their blocks, at most the number given.  ``cells`` is
+    the number of comparisons, which decides the number of tasks.
     """
     columns = ["packed", "bits", "first_row"]
     copy = F.pmod(F.xxhash64("first_row"), F.col("copies"))
@@ -198,7 +242,7 @@ def _visit(queries: DataFrame, index: DataFrame, blocks: int, copies: int, k: in
     session = queries.sparkSession
     wide = int(session.conf.get("spark.sql.shuffle.partitions"))
     wide = max(wide, 4 * session.sparkContext.defaultParallelism)
-    tasks = min(blocks * copies, wide)
+    tasks = min(blocks * copies, max(wide, cells // CELLS_PER_TASK))
     return (
         offered.unionByName(asking)
         .repartition(tasks, "place")
@@ -227,13 +271,15 @@ def _search(queries: DataFrame, index: DataFrame, k: int, block_rows: int) -> Da
     histogram = {r["bits"]: r["n"] for r in index.groupBy("bits").agg(F.count("*").alias("n")).collect()}
     cores = queries.sparkSession.sparkContext.defaultParallelism
     layout = _lay_out(histogram, _block_size(sum(histogram.values()), cores, k, block_rows))
-    copies = max(1, -(-queries.count() // QUERIES_PER_COPY))
+    asked = queries.count()
+    copies = max(1, -(-asked // QUERIES_PER_COPY))
     known = {"first": _literal(layout.first), "last": _literal(layout.last), "copies": F.lit(copies)}
 
     def placed(rows: DataFrame) -> DataFrame:
         return rows.withColumns(known)
 
-    return _passes(queries, index, k, placed, layout.blocks, copies, layout.blocks == 1)
+    cells = asked * sum(histogram.values())
+    return _passes(queries, index, k, placed, layout.blocks, copies, cells, layout.blocks == 1)
 
 
 _LAYOUT = "task string, first array<bigint>, last array<bigint>, blocks bigint"
@@ -259,10 +305,12 @@ def _search_by_task(queries: DataFrame, index: DataFrame, k: int, block_rows: in
 
     counts = index.groupBy("task", "bits").agg(F.count("*").alias("n"))
     own = global_prefix_sum(counts.groupBy("task").applyInArrow(lay_out, _LAYOUT), [F.col("task")], {"blocks": "before"})
-    asked = queries.groupBy("task").agg(F.ceil(F.count("*") / QUERIES_PER_COPY).alias("copies"))
+    asked = queries.groupBy("task").agg(
+        F.ceil(F.count("*") / QUERIES_PER_COPY).alias("copies"), F.count("*").alias("asked")
+    )
     layouts = materialise(
         own.join(asked, "task").select(
-            "task", "blocks", "copies",
+            "task", "blocks", "copies", "asked",
             *[F.transform(side, lambda block: block + F.col("before")).alias(side) for side in ("first", "last")],
         ),
         "layouts",
@@ -270,19 +318,19 @@ def _search_by_task(queries: DataFrame, index: DataFrame, k: int, block_rows: in
     # Blocks keep the numbers they have over all tasks, so some may be nobody's.
     total = layouts.agg(
         F.coalesce(F.max(F.element_at("last", -1)) + 1, F.lit(0)), F.coalesce(F.max("copies"), F.lit(1)),
-        F.coalesce(F.max("blocks"), F.lit(0)),
+        F.coalesce(F.max("blocks"), F.lit(0)), F.coalesce(F.sum(F.col("asked") * F.col("blocks")), F.lit(0)),
     ).first()
-    layouts = layouts.drop("blocks")
+    layouts = layouts.drop("blocks", "asked")
 
     def placed(rows: DataFrame) -> DataFrame:
         return attach_counted(rows, layouts, "task", row_bytes=16 * (N_BITS + 1))
 
-    return _passes(queries, index, k, placed, max(total[0], 1), total[1], total[2] <= 1)
+    return _passes(queries, index, k, placed, max(total[0], 1), total[1], total[3] * size, total[2] <= 1)
 
 
 def _passes(
     queries: DataFrame, index: DataFrame, k: int, placed: Callable[[DataFrame], DataFrame],
-    blocks: int, copies: int, home_only: bool,
+    blocks: int, copies: int, cells: int, home_only: bool,
 ) -> DataFrame:
     """Both passes; ``placed`` adds the ``first`` and ``last`` block of every bit count."""
 
@@ -293,7 +341,10 @@ def _passes(
 
     offered, home = spread(index, "block"), spread(queries, "home")
     seeds = materialise(
-        _visit(home.withColumns({"block": F.col("home"), "floor": F.lit(0.0)}), offered, blocks, copies, k), "seeds"
+        _visit(
+            home.withColumns({"block": F.col("home"), "floor": F.lit(0.0)}), offered, blocks, copies, cells // blocks, k
+        ),
+        "seeds",
     )
     if home_only:
         return seeds
@@ -311,7 +362,7 @@ def _passes(
     ).otherwise(F.lit(N_BITS)).cast("int")
     reach = F.sequence(F.get("first", fewest), F.get("last", most))
     others = placed(known).withColumn("block", F.explode(reach)).where(F.col("block") != F.col("home"))
-    rest = _visit(others, offered, blocks, copies, k)
+    rest = _visit(others, offered, blocks, copies, cells, k)
     return _first_k(seeds.unionByName(rest), k)
 
 

@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shotweave.operators import similarity
 from shotweave.functions.fingerprints import fingerprint, pack_bits, packed_size, tanimoto
 from shotweave.operators.shots import apply_shortfall, random_shots, select_shots, shots_array
 from shotweave.operators.similarity import build_index, knn, neighbour_rows, with_fingerprint
@@ -197,3 +199,36 @@ def test_no_tasks_at_all(spark):
     none = build_index(spark.createDataFrame([], "row_id long, task string, text string"), "text")
     some = build_index(task_texts(spark, 0), "text")
     assert knn(none, some, 3, task="task").count() == 0 and knn(some, none, 3, task="task").count() == 0
+
+
+@pytest.mark.parametrize("rows,most", [(1, 2048), (2, 255), (7, 256), (2050, 2048), (3001, 200)])
+def test_counts_in_one_float_are_exact(rows, most):
+    rng = np.random.default_rng(rows)
+    sizes = np.concatenate([[most], rng.integers(1, most + 1, rows + 20)])
+    dense = np.zeros((len(sizes), 2048), dtype=np.uint8)
+    for row, size in zip(dense, sizes):
+        row[rng.permutation(2048)[:size]] = 1
+    dense[-1] = dense[0]
+    fps = np.packbits(dense, axis=1)
+    block = similarity._Block(fps[:rows], sizes[:rows].astype(np.int64), np.arange(rows))
+    found = block.shared(fps[rows:], int(dense[rows:].sum(1).max()))
+    assert (found == dense[rows:].astype(np.int64) @ dense[:rows].astype(np.int64).T).all()
+
+
+def test_tasks_of_a_search_grow_with_its_comparisons(spark, monkeypatch):
+    """Beside the shuffle partitions, or the longest task grows with the square of the input."""
+    shown, visit = [], similarity._visit
+
+    def seen(*args):
+        found = visit(*args)
+        shown.append(found.rdd.getNumPartitions())
+        return found
+
+    monkeypatch.setattr(similarity, "MIN_BLOCK_ROWS", 8)
+    monkeypatch.setattr(similarity, "QUERIES_PER_COPY", 4)
+    monkeypatch.setattr(similarity, "CELLS_PER_TASK", 16)
+    monkeypatch.setattr(similarity, "_visit", seen)
+    q, c = texts(spark, 90, 1, 1000), texts(spark, 160, 2)
+    found = knn(build_index(q, "text"), build_index(c, "text"), 3, block_rows=16)
+    assert answers(found) == brute_force(bit_sets(q), bit_sets(c), 3, False)
+    assert shown[-1] > 4 * spark.sparkContext.defaultParallelism
