@@ -67,7 +67,7 @@ def group_split(
 ) -> DataFrame:
     """Every row with its ``split``.
 
-    Rows and groups meet on a digest, because a group key can be a whole text.
+    Rows and groups meet on a digest of 16 bytes, because a group key can be a whole text.
     Rows without a group form one.  With ``task`` the table holds many tasks and
     each is split as if it were alone, all in the same jobs; rows without a task
     form one.
@@ -77,7 +77,7 @@ def group_split(
     digest = F.coalesce(F.sha2(F.col(group).cast("string"), 256), F.lit(""))
     if task is not None:
         digest = F.sha2(F.concat(task_key(task), F.lit("\0"), digest), 256)
-    keyed = df.withColumn("__group", digest)
+    keyed = df.withColumn("__group", F.unhex(F.substring(digest, 1, 32)))
     if task is None:
         groups = split_groups(keyed, "__group", order, valid, test)
     else:

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from shotweave.operators import split
 from shotweave.functions.text import label_text, rotations
 from shotweave.operators.balance import oversample_minority
 from shotweave.operators.cleaning import (
@@ -88,6 +89,22 @@ def test_hot_and_cold_groups_are_both_joined(spark, monkeypatch, broadcast_below
     assert counts == {"validation": 2000, "test": 600, "train": 3400}
 
 
+@pytest.mark.parametrize("task", [None, "task"])
+def test_groups_meet_on_sixteen_bytes(spark, monkeypatch, task):
+    """A digest as 64 characters was most of what a split of short keys shuffled."""
+    seen, attach = [], split.attach_by_key
+
+    def attached(rows, keyed, key, size, *rest):
+        if key == "__group":
+            seen.append({n for r in rows.select(F.octet_length(key).alias("n")).collect() for n in r})
+        return attach(rows, keyed, key, size, *rest)
+
+    monkeypatch.setattr(split, "attach_by_key", attached)
+    df = spark.range(60).select(F.col("id").alias("row_id"), (F.col("id") % 7).alias("group_key"), F.lit("t").alias("task"))
+    assert split.group_split(df, task=task).count() == 60
+    assert seen == [{16}]
+
+
 def test_rows_without_a_group_are_kept(spark):
     df = spark.createDataFrame([(1, None), (2, "a"), (3, None)], "row_id long, group_key string")
     rows = {r["row_id"]: r["split"] for r in group_split(df).collect()}
