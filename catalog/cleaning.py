@@ -20,7 +20,7 @@ from shotweave.plans.records import (
     clean_classification, prepare_classification, prepare_classification_tasks,
 )
 from shotweave.sources.records import (
-    read_record_lines, read_records, write_records,
+    read_record_lines, read_records, write_record_lists, write_records,
 )
 from shotweave.sources.tables import read_corpus, read_task
 from shotweave.storage import scratch_path
@@ -54,21 +54,23 @@ def corpus(spark, sf):
     return read_corpus(spark, f"{sf}/documents.parquet", "text")
 
 
-def _records(spark, sf):
-    return documents(spark, sf).select(
-        "row_id", F.col("lang").alias("task"), F.col("source").alias("split"),
+def _record_fields():
+    return [
         F.concat(F.lit("Q "), F.col("row_id")).alias("instruction"), F.col("text").alias("input"),
         F.col("lang").alias("output"), F.col("text").alias("original_text"),
+    ]
+
+
+def _records(spark, sf):
+    return documents(spark, sf).select(
+        "row_id", F.col("lang").alias("task"), F.col("source").alias("split"), *_record_fields()
     )
 
 
 def record_lists(spark, sf):
     """Lists of at most 500 records, one file each, read through two patterns."""
     path = scratch_path(spark, "lists")
-    numbered = global_ordinal(_records(spark, sf), [F.col("row_id")])
-    one = F.struct("instruction", "input", "output", "original_text")
-    lists = numbered.groupBy(F.expr("ordinal div 500")).agg(F.to_json(F.collect_list(one)).alias("value"))
-    lists.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    write_record_lists(documents(spark, sf).select("row_id", "text", "lang"), path, "row_id", _record_fields())
     records, _ = read_records(spark, [f"{path}/*.txt", f"{path}/part-*"])
     return records.drop("other", "row_id")
 

@@ -28,7 +28,7 @@ from shotweave.operators.prefix import global_ordinal
 from shotweave.plans.scoring import (
     CLASSIFY, CLASSIFY_STRATEGIES, REGRESS, REGRESS_STRATEGIES, score, scoring_prompts,
 )
-from shotweave.sources.records import read_records
+from shotweave.sources.records import read_records, write_record_lists
 from shotweave.storage import materialise, scratch_path
 
 # Default lengths of the two forms of fine-tuning arrays.
@@ -146,13 +146,7 @@ def _scored_prices(style, shots: int, strategy: str = "similarity") -> Query:
 def _list_files(df, *columns: str) -> str:
     """Write rows as JSON lists of at most 500, files in the order of row_id."""
     path = scratch_path(df.sparkSession, "lists")
-    numbered = global_ordinal(df, [F.col("row_id")])
-    entry = F.struct("ordinal", F.struct(*columns).alias("record"))
-    lists = numbered.groupBy(F.expr("ordinal div 500").alias("number")).agg(
-        F.to_json(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["record"])).alias("value")
-    )
-    ordered = lists.repartitionByRange("number").sortWithinPartitions("number")
-    ordered.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    write_record_lists(df.select("row_id", *columns), path, "row_id", [F.col(c) for c in columns])
     return f"{path}/part-*"
 
 

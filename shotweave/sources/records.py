@@ -7,7 +7,7 @@ import warnings
 from collections.abc import Iterator
 from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -108,19 +108,26 @@ def read_records(
     for part in parts[1:]:
         files = files.unionByName(part)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A batch is as it came from the JVM; only one file of it is held as Python objects.
         for batch in batches:
-            for value, path, pattern in batch.itertuples(index=False):
-                for found in _chunks(_elements(value)):
-                    rows = pd.DataFrame(found, columns=["position", "element", "reason"], dtype=object)
-                    bad = rows["reason"].dropna()
-                    if on_bad == "fail" and len(bad):
-                        raise ValueError(f"not a JSON list of objects: {path}: {bad.iloc[0]}")
-                    yield rows.assign(path=path, pattern=pattern)
+            for value, path, pattern in zip(*(batch.column(c) for c in ("value", "path", "pattern"))):
+                for found in _chunks(_elements(value.as_py())):
+                    position, element, reason = zip(*found)
+                    bad = next((r for r in reason if r is not None), None)
+                    if on_bad == "fail" and bad is not None:
+                        raise ValueError(f"not a JSON list of objects: {path.as_py()}: {bad}")
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(position, pa.int32()), pa.array(element, pa.string()), pa.array(reason, pa.string()),
+                            pa.array([path.as_py()] * len(found), pa.string()), pa.array([pattern.as_py()] * len(found), pa.int32()),
+                        ],
+                        names=["position", "element", "reason", "path", "pattern"],
+                    )
 
     # Written once: both frames and the numbers come from one reading.
     elements = materialise(
-        files.mapInPandas(read, "position int, element string, reason string, path string, pattern int"), "elements"
+        files.mapInArrow(read, "position int, element string, reason string, path string, pattern int"), "elements"
     )
     sizes = elements.groupBy("pattern", "path").agg(F.count("element").alias("records"), F.max("position").alias("last"))
     # One row per file, so one task can hold them all.
@@ -136,7 +143,7 @@ def read_records(
     return records, bad
 
 
-def _chunks(rows: Iterator[tuple], size: int = 10_000) -> Iterator[list[tuple]]:
+def _chunks(rows: Iterator[tuple], size: int = 500) -> Iterator[list[tuple]]:
     rows = iter(rows)
     while chunk := list(islice(rows, size)):
         yield chunk
@@ -170,6 +177,33 @@ def write_records(df: DataFrame, path: str, by: tuple[str, ...] = ("task", "spli
     replace_folders(df, path, list(by))
 
 
+def write_record_lists(df: DataFrame, path: str, order: str, columns: list[Column], size: int = 500) -> None:
+    """JSON lists of at most ``size`` records, one file each, files and records in ascending ``order``.
+
+    One range shuffle moves the rows as they are; the fields (``columns``) are
+    worked out behind it, so that a text shown in two fields is moved once.  A
+    file has one record a line; the last of a partition may have fewer.
+    """
+
+    def bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines, number = [], 0
+        for batch in batches:
+            for record in batch.column(0):
+                if lines and number % size == 0:
+                    lines[-1] += "]"
+                    yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+                    lines = []
+                lines.append(("," if number % size else "[") + record.as_py())
+                number += 1
+        if lines:
+            lines[-1] += "]"
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+
+    ordered = df.repartitionByRange(F.col(order)).sortWithinPartitions(order)
+    lines = ordered.select(F.to_json(F.struct(*columns)).alias("value")).mapInArrow(bracketed, "value string")
+    lines.write.option("maxRecordsPerFile", size).text(path)
+
+
 def write_results(df: DataFrame, path: str) -> None:
     """All scored rows, one directory per task and strategy; a task written again is replaced."""
     replace_folders(df, path, [c for c in ("task", "strategy") if c in df.columns])

@@ -2,6 +2,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from shotweave.functions.prompts import (
     CLASSIFICATION, CLASSIFICATION_SCORING, REGRESSION, classification_prompt, no_shots, regression_prompt,
@@ -13,7 +14,7 @@ from shotweave.plans.records import (
     RecordConfig, build_classification, build_regression, prepare_classification, value_range,
 )
 from shotweave.sources.records import (
-    RECORD_SCHEMA, read_record_lines, read_records, write_metrics, write_records,
+    RECORD_SCHEMA, read_record_lines, read_records, write_metrics, write_record_lists, write_records,
 )
 from shotweave.sources.tables import MISSING_WORDS, read_corpus, read_task
 
@@ -229,3 +230,28 @@ def test_batches_are_padded_to_their_longest(spark, label_pad, expected):
     padded = pad_batches(df, 2, 0, label_pad=label_pad).orderBy("row_id").collect()
     assert [r["batch_id"] for r in padded] == [0, 0, 1, 1]
     assert padded[0]["input_ids"] == [7, 0, 0] and padded[2]["labels"] == [8, 8] + [expected] * 3
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 4, 9])
+def test_record_lists_are_in_order_and_whole(spark, tmp_path, n):
+    path = str(tmp_path / "lists")
+    df = spark.createDataFrame([(n - i, None if i == 2 else f"a\n\"{i}") for i in range(n)], "row_id long, text string")
+    write_record_lists(df.repartition(3), path, "row_id", [F.col("text").alias("input"), F.col("text").alias("original_text")], 4)
+    files = sorted((tmp_path / "lists").glob("part-*"))
+    lists = [json.loads(f.read_text()) for f in files if f.stat().st_size]
+    assert all(1 <= len(found) <= 4 for found in lists)
+    expected = [None if i == 2 else f"a\n\"{i}" for i in reversed(range(n))]
+    assert [r.get("original_text") for found in lists for r in found] == expected
+    if n:
+        records = read_records(spark, [f"{path}/part-*"], on_bad="fail")[0].orderBy("row_id").collect()
+        assert [(r["row_id"], r["input"]) for r in records] == list(enumerate(expected))
+
+
+def test_texts_of_record_lists_are_shuffled_once(spark, tmp_path, monkeypatch):
+    """Numbered and then grouped, they were moved twice, and a text in two fields twice again."""
+    shuffled = []
+    by_range = DataFrame.repartitionByRange
+    monkeypatch.setattr(type(spark.range(1)), "repartitionByRange", lambda df, *c: shuffled.append(df.columns) or by_range(df, *c))
+    df = spark.range(50).select(F.col("id").alias("row_id"), F.col("id").cast("string").alias("text"))
+    write_record_lists(df, str(tmp_path / "lists"), "row_id", [F.col("text").alias("a"), F.col("text").alias("b")])
+    assert shuffled == [["row_id", "text"]]
