@@ -14,7 +14,6 @@ from shotweave.operators.cleaning import (
     coerce_label, coerce_numeric, dedup_keep_first, drop_missing, keep_large_tasks,
     sample_exact, sample_fraction, with_canonical_key,
 )
-from shotweave.operators.prefix import global_ordinal
 from shotweave.operators.split import group_split, with_group_key
 from shotweave.plans.records import (
     clean_classification, prepare_classification, prepare_classification_tasks,

@@ -24,7 +24,6 @@ from shotweave.plans.records import (
     RecordConfig, build_classification, build_classification_tasks, build_regression,
     build_regression_tasks, prepare_classification, prepare_classification_tasks, value_range,
 )
-from shotweave.operators.prefix import global_ordinal
 from shotweave.plans.scoring import (
     CLASSIFY, CLASSIFY_STRATEGIES, REGRESS, REGRESS_STRATEGIES, score, scoring_prompts,
 )
