@@ -18,7 +18,7 @@ from shotweave.functions.prompts import (
 from shotweave.functions.text import lossless_words
 from shotweave.operators.masking import mask_token
 from shotweave.operators.merge import merge_shuffle
-from shotweave.operators.bpe import bpe_encoded, bpe_train, word_counts
+from shotweave.operators.bpe import bpe_ids, bpe_train, word_counts
 from shotweave.operators.sft import pad_batches, sft_concat, sft_padded
 from shotweave.plans.records import (
     RecordConfig, build_classification, build_classification_tasks, build_regression,
@@ -202,7 +202,7 @@ def concat_arrays_bpe(spark, sf):
     """The same with a tokenizer learnt from the conversations themselves."""
     trained = bpe_train(word_counts(table(spark, sf, "conversations"), "text"))
     rows = conversation_records(spark, sf)
-    return _joined(sft_concat(rows, lambda text: bpe_encoded(text, trained)["ids"], CONCAT_LENGTH), "input_ids", "labels")
+    return _joined(sft_concat(rows, lambda text: bpe_ids(text, trained), CONCAT_LENGTH), "input_ids", "labels")
 
 
 def padded_arrays(spark, sf):

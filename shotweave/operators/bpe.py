@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import heapq
+import json
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from shotweave.functions.bytelevel import (
     BYTE_CHARS,
@@ -21,7 +20,7 @@ from shotweave.functions.bytelevel import (
     to_byte_level,
 )
 from shotweave.functions.hashing import as_column
-from shotweave.operators.bpe_rounds import learn_in_rounds
+from shotweave.operators.bpe_rounds import _ragged, learn_in_rounds
 from shotweave.operators.masking import MASK
 
 # Fixed values.
@@ -129,8 +128,12 @@ def bpe_train(
     return Tokenizer(tuple(tokens), tuple(merges))
 
 
-#: Words whose ids a worker remembers; beyond that it starts again.
-REMEMBERED = 200_000
+#: Bytes from which a word is merged by itself, in n log n.
+LONG = 64
+#: Such words whose ids a worker remembers; beyond that it starts again.
+REMEMBERED = 10_000
+#: Words of a batch that are laid out at once; a longer text is taken whole.
+WORDS_AT_ONCE = 1 << 18
 
 
 def merge_symbols(symbols: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
@@ -168,74 +171,179 @@ def merge_symbols(symbols: list[int], pairs: dict[tuple[int, int], tuple[int, in
     return [x for x in ids if x >= 0]
 
 
+def merge_words(
+    symbols: np.ndarray, lengths: np.ndarray, keys: np.ndarray, ranks: np.ndarray, results: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """``merge_symbols`` of many words side by side, one merge of each at a time.
+
+    ``keys`` are the pairs as one number, ascending, with their ``ranks``; ``results``
+    has what each rank gives.  No word is empty.  Returns the ids and their number by word.
+    """
+    none = np.int64(len(results))
+
+    def rank_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pair = left.astype(np.int64) << 32 | right
+        place = np.minimum(np.searchsorted(keys, pair), max(len(keys) - 1, 0))
+        return np.where(keys[place] == pair, ranks[place], none) if len(keys) else np.full(len(pair), none)
+
+    sym, lengths, word = symbols.astype(np.int32), lengths.astype(np.int64), np.arange(len(lengths))
+    # Equal pairs are looked up once: at first there are few.
+    pair, which = np.unique(sym[:-1].astype(np.int64) << 32 | sym[1:], return_inverse=True)
+    rank = np.append(rank_of(pair >> 32, pair & 0xFFFFFFFF)[which], none)
+    starts = np.cumsum(lengths) - lengths
+    rank[starts + lengths - 1] = none
+    finished: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    while len(word):
+        best = np.minimum.reduceat(rank << 32 | np.arange(len(rank)), starts)
+        busy = best >> 32 < none
+        if not busy.all():
+            # Words without a pair are laid aside.
+            of_busy = np.repeat(busy, lengths)
+            finished.append((word[~busy], lengths[~busy], sym[~of_busy]))
+            moved = np.cumsum(of_busy) - 1
+            best = best[busy]
+            at = moved[best & 0xFFFFFFFF]
+            sym, rank, word, lengths = sym[of_busy], rank[of_busy], word[busy], lengths[busy]
+            starts = np.cumsum(lengths) - lengths
+        else:
+            at = best & 0xFFFFFFFF
+        sym[at] = results[best >> 32]
+        last = starts + lengths - 1
+        inner, begun = at + 1 < last, at > starts
+        rank[at] = none
+        rank[at[inner]] = rank_of(sym[at[inner]], sym[at[inner] + 2])
+        rank[at[begun] - 1] = rank_of(sym[at[begun] - 1], sym[at[begun]])
+        left = np.ones(len(sym), bool)
+        left[at + 1] = False
+        sym, rank, lengths = sym[left], rank[left], lengths - 1
+        starts = np.cumsum(lengths) - lengths
+    word, lengths, sym = (np.concatenate(x) for x in zip(*finished)) if finished else (word, lengths, sym)
+    order = np.argsort(word)
+    return sym[_ragged((np.cumsum(lengths) - lengths)[order], lengths[order])], lengths[order]
+
+
 class _WordEncoder:
-    """Ids of words shown as byte-level characters; each distinct word is merged once."""
+    """Ids of words; each distinct word of a batch is merged once."""
 
     def __init__(self, tokens: tuple[str, ...], merges: tuple[tuple[str, str], ...]) -> None:
-        self.ids = {token: i for i, token in enumerate(tokens)}
+        ids = {token: i for i, token in enumerate(tokens)}
+        self.first = np.array([ids[c] for c in BYTE_CHARS], np.int32)
         self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (left, right) in enumerate(merges):
-            self.pairs[self.ids[left], self.ids[right]] = rank, self.ids[left + right]
+            self.pairs[ids[left], ids[right]] = rank, ids[left + right]
+        ranked = sorted((left << 32 | right, rank) for (left, right), (rank, _) in self.pairs.items())
+        self.keys, self.ranks = (np.array([x[i] for x in ranked], np.int64) for i in (0, 1))
+        self.results = np.array([ids[left + right] for left, right in merges], np.int32)
         self.tokens = pa.array(tokens, pa.string())
         self.known: dict[str, np.ndarray] = {}
 
-    def word(self, shown: str) -> np.ndarray:
-        found = self.known.get(shown)
+    def word(self, word: str) -> np.ndarray:
+        """Ids of a long word; those met are remembered."""
+        found = self.known.get(word)
         if found is None:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            found = np.array(merge_symbols([self.ids[c] for c in shown], self.pairs), np.int32)
-            self.known[shown] = found
+            found = np.array(merge_symbols(self.first[list(word.encode())].tolist(), self.pairs), np.int32)
+            self.known[word] = found
         return found
 
-    def __call__(self, words: pa.ListArray) -> pa.StructArray:
+    def distinct(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of some words, and where each word's begin and how many they are."""
+        column = words.cast(pa.large_binary())
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+        bytes_of = np.diff(offsets)
+        sizes = np.zeros(len(words), np.int64)
+        short = np.flatnonzero((bytes_of > 0) & (bytes_of <= LONG))
+        found, sizes[short] = merge_words(
+            self.first[raw[_ragged(offsets[short], bytes_of[short])]], bytes_of[short], self.keys, self.ranks, self.results
+        )
+        starts = np.zeros(len(words), np.int64)
+        starts[short] = np.cumsum(sizes[short]) - sizes[short]
+        parts, at = [found], len(found)
+        for i in np.flatnonzero(bytes_of > LONG).tolist():
+            parts.append(self.word(words[i].as_py()))
+            starts[i], sizes[i] = at, len(parts[-1])
+            at += len(parts[-1])
+        return np.concatenate(parts), starts, sizes
+
+    def ids(self, words: pa.ListArray) -> pa.ListArray:
         flat = words.flatten().dictionary_encode()
-        parts = [self.word(shown) for shown in flat.dictionary.to_pylist()]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        starts = np.cumsum(sizes) - sizes
-        which = np.asarray(flat.indices).astype(np.int64)
+        found, starts, sizes = self.distinct(flat.dictionary)
+        which = np.asarray(flat.indices)
         lengths = sizes[which]
-        ends = np.cumsum(lengths)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[which] - (ends - lengths), lengths)
-        ids = pa.array(np.concatenate([*parts, np.zeros(0, np.int32)])[at], pa.int32())
         rows = np.append(0, np.cumsum(np.asarray(words.value_lengths())))
-        offsets = pa.array(np.append(0, ends)[rows], pa.int32())
-        return pa.StructArray.from_arrays(
-            [pa.ListArray.from_arrays(offsets, self.tokens.take(ids)), pa.ListArray.from_arrays(offsets, ids)], ["tokens", "ids"]
+        return pa.ListArray.from_arrays(
+            pa.array(np.append(0, np.cumsum(lengths))[rows], pa.int32()), pa.array(found[_ragged(starts[which], lengths)], pa.int32())
         )
 
+    def shown(self, ids: pa.ListArray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(ids.offsets, self.tokens.take(ids.values))
+
+    def __call__(self, words: pa.ListArray, wanted: str) -> pa.Array:
+        """Ids, tokens or both of a batch, ``WORDS_AT_ONCE`` words of it at a time."""
+        ends, done = np.cumsum(np.asarray(words.value_lengths())), []
+        first = 0
+        while first < len(words) or not done:
+            base = ends[first - 1] if first else 0
+            stop = max(int(np.searchsorted(ends, base + WORDS_AT_ONCE, "right")), first + 1)
+            ids = self.ids(words[first:stop])
+            done.append(ids if wanted == "ids" else self.shown(ids) if wanted == "tokens" else pa.StructArray.from_arrays([self.shown(ids), ids], ["tokens", "ids"]))
+            first = stop
+        return pa.concat_arrays(done)
+
 
 @lru_cache(maxsize=4)
 def _encoder(tokens: tuple[str, ...], merges: tuple[tuple[str, str], ...]) -> _WordEncoder:
     return _WordEncoder(tokens, merges)
 
 
+_WANTED = {"ids": "array<int>", "tokens": "array<string>", "both": "struct<tokens:array<string>,ids:array<int>>"}
+
+
+def _encode(text, tokenizer: Tokenizer, wanted: str) -> Column:
+    tokens, merges = tokenizer.tokens, tokenizer.merges
+
+    @F.arrow_udf(_WANTED[wanted])
+    def encode(words: pa.Array) -> pa.Array:
+        return _encoder(tokens, merges)(words, wanted)
+
+    words = F.coalesce(split_words(text), F.array().cast("array<string>"))
+    return F.when(as_column(text).isNotNull(), encode(words))
+
+
 def bpe_encoded(text, tokenizer: Tokenizer) -> Column:
     """Tokens and ids of a text, as a struct of two arrays; NULL of NULL.
 
-    Splitting and byte mapping stay in the JVM.  One pass through Arrow takes a batch
-    of words, merges those it has not met before and lays out both arrays from the
-    positions of distinct words.  No shuffle.
+    Splitting stays in the JVM.  One pass through Arrow takes a batch of words,
+    merges those it has not met before and lays out both arrays from the positions
+    of distinct words.  No shuffle.
     """
-    tokens, merges = tokenizer.tokens, tokenizer.merges
+    return _encode(text, tokenizer, "both")
 
-    @F.arrow_udf("struct<tokens:array<string>,ids:array<int>>")
-    def encode(words: pa.Array) -> pa.Array:
-        return _encoder(tokens, merges)(words)
 
-    shown = F.transform(split_words(text), to_byte_level)
-    return F.when(as_column(text).isNotNull(), encode(F.coalesce(shown, F.array().cast("array<string>"))))
+def bpe_ids(text, tokenizer: Tokenizer) -> Column:
+    """Ids of a text; tokens are not laid out."""
+    return _encode(text, tokenizer, "ids")
 
 
 def bpe_tokens(text, tokenizer: Tokenizer) -> Column:
-    """Tokens of a text."""
-    return bpe_encoded(text, tokenizer)["tokens"]
+    """Tokens of a text; ids are not sent back."""
+    return _encode(text, tokenizer, "tokens")
+
+
+def _tokens_of(ids: Column, tokenizer: Tokenizer) -> Column:
+    """Tokens of an id array, looked up in the JVM; an id that is none is an error."""
+    table = F.from_json(F.lit(json.dumps(tokenizer.tokens)), "array<string>")
+    unknown = F.raise_error(F.lit("an id outside the vocabulary"))
+    return F.transform(ids, lambda i: F.coalesce(F.get(table, i), unknown))
 
 
 def bpe_encode(df: DataFrame, text: str, tokenizer: Tokenizer) -> DataFrame:
-    """Add ``tokens`` and ``ids`` of a text column, both from one pass."""
-    both = df.withColumn("__encoded", bpe_encoded(F.col(text), tokenizer))
-    return both.withColumns({"tokens": F.col("__encoded.tokens"), "ids": F.col("__encoded.ids")}).drop("__encoded")
+    """Add ``tokens`` and ``ids`` of a text column; tokens are looked up by id, where they are used."""
+    return df.withColumn("ids", bpe_ids(F.col(text), tokenizer)).select(
+        *[c for c in df.columns if c not in ("tokens", "ids")], _tokens_of(F.col("ids"), tokenizer).alias("tokens"), "ids"
+    )
 
 
 def bpe_join(tokens) -> Column:
@@ -245,13 +353,7 @@ def bpe_join(tokens) -> Column:
 
 def bpe_decode(df: DataFrame, ids: str, tokenizer: Tokenizer, name: str = "decoded") -> DataFrame:
     """Add the text of an id array; the mask token is kept, not dropped."""
-    tokens = list(tokenizer.tokens)
-
-    @pandas_udf("string")
-    def look_up(batches: pd.Series) -> pd.Series:
-        return batches.map(lambda row: None if row is None else "".join(tokens[i] for i in row))
-
-    return df.withColumn(name, from_byte_level(look_up(F.col(ids))))
+    return df.withColumn(name, bpe_join(_tokens_of(F.col(ids), tokenizer)))
 
 
 def tokenizer_stats(tokenizer: Tokenizer, spark: SparkSession) -> DataFrame:

@@ -17,7 +17,7 @@ CONCAT_LENGTH = 1024
 PADDED_LENGTH = 512
 PROMPT_PATTERN = ("Instruction:\n", "\n\nInput:\n", "\n\nOutput:\n")
 
-#: Turns a text into ids: ``lambda text: bpe_encoded(text, tok)["ids"]``.
+#: Turns a text into ids: ``lambda text: bpe_ids(text, tok)``.
 Encoder = Callable[[Column], Column]
 
 

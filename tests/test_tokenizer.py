@@ -2,6 +2,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -164,6 +165,72 @@ def test_merging_with_a_heap(symbols, ranked):
     assert bpe.merge_symbols(symbols, pairs) == slow_merge(symbols, pairs)
 
 
+@settings(max_examples=300, deadline=None)
+@given(
+    st.lists(st.lists(st.integers(0, 6), min_size=1, max_size=14), max_size=8),
+    st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), unique=True, max_size=20),
+)
+def test_words_merged_side_by_side(words, ranked):
+    pairs = {pair: (rank, 7 + rank % 6) for rank, pair in enumerate(ranked)}
+    order = sorted((left << 32 | right, rank) for (left, right), (rank, _) in pairs.items())
+    keys, ranks = (np.array([x[i] for x in order], np.int64) for i in (0, 1))
+    if words:
+        found, sizes = bpe.merge_words(
+            np.array([x for w in words for x in w], np.int32), np.array([len(w) for w in words]), keys, ranks,
+            np.array([7 + rank % 6 for rank in range(len(ranked))], np.int32),
+        )
+        assert [x.tolist() for x in np.split(found, np.cumsum(sizes)[:-1])] == [slow_merge(w, pairs) for w in words]
+
+
+def test_a_batch_is_laid_out_in_parts(monkeypatch):
+    """Memory beside a batch is that of some words, not of all."""
+    model = Tokenizer((*SPECIAL_TOKENS, *sorted(BYTE_CHARS), "ab"), (("a", "b"),))
+    encoder, laid_out = bpe._WordEncoder(model.tokens, model.merges), []
+    inner = encoder.ids
+    encoder.ids = lambda words: laid_out.append(len(words.flatten())) or inner(words)
+    monkeypatch.setattr(bpe, "WORDS_AT_ONCE", 5)
+    monkeypatch.setattr(bpe, "LONG", 6)
+    rows = [["ab"] * 3, ["é"], [], ["cab", "b" * 9], ["ab"] * 8, [], ["abababab", "ab"]]
+    expected = [[encoder.shown(encoder.ids(pa.array([r], pa.list_(pa.string())))).to_pylist()[0] for r in rows]]
+    laid_out.clear()
+    batch = pa.array(rows, pa.list_(pa.string()))
+    assert encoder(batch, "tokens").to_pylist() == expected[0]
+    assert expected[0][4] == ["ab"] * 8 and expected[0][6] == ["ab"] * 5
+    assert max(laid_out) == 8 and len(laid_out) > 2
+    assert encoder(batch.slice(0, 0), "ids").to_pylist() == []
+    assert encoder(batch.slice(3), "both").to_pylist()[0]["tokens"] == expected[0][3]
+
+
+def test_ids_without_a_token_are_an_error(spark):
+    model = Tokenizer((*SPECIAL_TOKENS, *sorted(BYTE_CHARS)), ())
+    df = spark.createDataFrame([([70, 71],), (None,)], "ids array<int>")
+    assert [r["decoded"] for r in bpe_decode(df, "ids", model).collect()] == [model.tokens[70] + model.tokens[71], None]
+    with pytest.raises(Exception, match="outside the vocabulary"):
+        bpe_decode(spark.createDataFrame([([999],)], "ids array<int>"), "ids", model).collect()
+
+
+def test_blobs_of_a_batch_are_read_one_by_one():
+    words = bpe_rounds.Words(np.arange(6, dtype=np.int32), np.array([2, 4]), np.array([1, 1]))
+    batch, read = bpe_rounds._batch([words.row(), words.row()]), []
+
+    class Column:
+        def __init__(self, name):
+            self.column = batch.column(name)
+
+        def __getitem__(self, i):
+            read.append(i)
+            return self.column[i]
+
+    class Batch:
+        num_rows, column = batch.num_rows, staticmethod(Column)
+
+    found = []
+    for blob in bpe_rounds._blobs(Batch()):
+        found.append(blob)
+        assert read == [i for i in range(len(found)) for _ in range(3)]
+    assert len(found) == 2 and all(np.array_equal(x.symbols, words.symbols) and np.array_equal(x.lengths, words.lengths) for x in found)
+
+
 def test_all_documents_encode_as_in_the_common_library(spark):
     """The whole default vocabulary, whole texts, and a word of 20,000 letters."""
     library = pytest.importorskip("tokenizers")
