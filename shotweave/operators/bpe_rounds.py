@@ -69,10 +69,6 @@ class Words:
     def __init__(self, symbols: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> None:
         self.symbols, self.lengths, self.counts = symbols, lengths, counts
 
-    @classmethod
-    def of_row(cls, row: dict) -> Words:
-        return cls(*(np.frombuffer(row[c], t) for c, t in (("symbols", np.int32), ("lengths", np.int64), ("n", np.int64))))
-
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Each neighbouring pair as one number, and which word it is in; none across words."""
         inside = np.ones(len(self.symbols), bool)
@@ -130,6 +126,13 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in kinds], names=[c for c, _ in kinds])
 
 
+def _blobs(batch: pa.RecordBatch) -> Iterator[Words]:
+    """The words of each row, one row at a time: a batch may be 64 MB."""
+    parts = [batch.column(name) for name in ("symbols", "lengths", "n")]
+    for i in range(batch.num_rows):
+        yield Words(*(np.frombuffer(part[i].as_buffer(), t) for part, t in zip(parts, (np.int32, np.int64, np.int64))))
+
+
 def _packed(counts: DataFrame, id_of_byte: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,8 +151,7 @@ def _packed(counts: DataFrame, id_of_byte: np.ndarray) -> DataFrame:
 def _fragments(state: DataFrame, frequent: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                words = Words.of_row(row)
+            for words in _blobs(batch):
                 starts, lengths = words.segments(frequent)
                 weight = words.counts[np.searchsorted(np.cumsum(words.lengths), starts, "right")]
                 for some, rows, number in words.fragments(starts, lengths):
@@ -168,8 +170,8 @@ def _merged(state: DataFrame, frequent: np.ndarray, results: dict[bytes, bytes])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                words = Words.of_row(row).replaced(frequent, shared.value)
+            for words in _blobs(batch):
+                words = words.replaced(frequent, shared.value)
                 if len(words.counts):
                     yield _batch([words.row()])
 
