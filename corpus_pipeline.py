@@ -39,12 +39,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     @F.pandas_udf("string")
     def whole_characters(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda data: data.decode("utf-8", "ignore"))
+        return kept.map(lambda data: data.decode("utf-8", "ignore"), na_action="ignore")
 
     kept, spans = fresh(docs, "kept", "spans")
     cut = suffix.remove_repeats(docs, "doc_id", "text", length=100, kept=kept, spans=spans)
     changed = F.size(spans) > 0
-    text = F.when(changed, whole_characters(kept)).otherwise(F.col("text"))
+    # Only texts that were cut go through Python.
+    text = F.when(changed, whole_characters(F.when(changed, F.col(kept)))).otherwise(F.col("text"))
     count = F.when(changed, F.char_length(text).cast("bigint")).otherwise(F.col("n_chars"))
     return cut.withColumns({"text": text, "n_chars": count}).select(docs.columns)
 

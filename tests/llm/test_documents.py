@@ -395,3 +395,15 @@ def test_stages_take_odd_rows(spark, rows):
         found = stage(spark, docs, SF)
         assert n == 4 or found.columns == docs.columns
         assert found.count() > 0
+
+
+def test_uncut_texts_do_not_pass_through_python(spark, tmp_path):
+    """Only what was cut is decoded; a null text and one that stays are as they were."""
+    line = "é".join(map(str, range(40)))
+    docs = spark.createDataFrame(
+        [(1, line, len(line)), (2, "x" + line, len(line) + 1), (3, None, 0), (4, "short", 5)], "doc_id bigint, text string, n_chars bigint"
+    )
+    cut = corpus_pipeline.cut_repeats(spark, docs, str(tmp_path))
+    assert "whole_characters(CASE WHEN" in cut._jdf.queryExecution().analyzed().toString()
+    rows = {r["doc_id"]: (r["text"], r["n_chars"]) for r in cut.collect()}
+    assert rows == {1: (line, len(line)), 2: ("x", 1), 3: (None, 0), 4: ("short", 5)}

@@ -169,3 +169,12 @@ def test_chunks_resist_shifts(spark):
 def test_no_rows(empty):
     assert suffix.remove_repeats(empty, "doc_id", "text").collect() == []
     assert chunks.remove_chunks(empty, "doc_id", "text").collect() == []
+
+
+def test_columns_of_blobs_are_joined_and_given_up():
+    """What has been joined is not held a second time."""
+    parts = [[np.arange(3), np.full(2, 7)], [np.arange(2), np.full(1, 8)]]
+    again = list(parts)
+    first, second = suffix._joined_columns(parts)
+    assert first.tolist() == [0, 1, 2, 0, 1] and second.tolist() == [7, 7, 8]
+    assert parts == [] and again == [[None, None], [None, None]]
