@@ -41,12 +41,16 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def whole_characters(kept: pd.Series) -> pd.Series:
         return kept.map(lambda data: data.decode("utf-8", "ignore"), na_action="ignore")
 
-    kept, spans = fresh(docs, "kept", "spans")
+    kept, spans, changed = fresh(docs, "kept", "spans", "changed")
     cut = suffix.remove_repeats(docs, "doc_id", "text", length=100, kept=kept, spans=spans)
-    changed = F.size(spans) > 0
+    cut = cut.withColumn(changed, F.size(spans) > 0).drop(spans)
+    # Written first, each text once: a task that cuts and decodes would hold two Python workers.
+    cut = materialise(
+        cut.withColumns({"text": F.when(~F.col(changed), F.col("text")), kept: F.when(F.col(changed), F.col(kept))}), "cut"
+    )
     # Only texts that were cut go through Python.
-    text = F.when(changed, whole_characters(F.when(changed, F.col(kept)))).otherwise(F.col("text"))
-    count = F.when(changed, F.char_length(text).cast("bigint")).otherwise(F.col("n_chars"))
+    text = F.when(F.col(changed), whole_characters(F.when(F.col(changed), F.col(kept)))).otherwise(F.col("text"))
+    count = F.when(F.col(changed), F.char_length(text).cast("bigint")).otherwise(F.col("n_chars"))
     return cut.withColumns({"text": text, "n_chars": count}).select(docs.columns)
 
 

@@ -58,19 +58,23 @@ def byte_values() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 
 
-@lru_cache(maxsize=2)
-def _short_powers(base: int) -> np.ndarray:
-    return _powers(BLOCK, base)
+#: Powers by base, as many as were asked for so far; ``give_back`` drops them.
+_KNOWN_POWERS: dict[int, np.ndarray] = {}
 
 
 def _powers(length: int, base: int) -> np.ndarray:
     powers = np.full(length, base, np.uint64)
     powers[:1] = 1
-    return np.multiply.accumulate(powers)
+    return np.multiply.accumulate(powers, out=powers)
 
 
 def _powers_to(length: int, base: int) -> np.ndarray:
-    return _short_powers(base)[:length] if length <= BLOCK else _powers(length, base)
+    if length > BLOCK:
+        return _powers(length, base)
+    known = _KNOWN_POWERS.get(base)
+    if known is None or len(known) < length:
+        known = _KNOWN_POWERS[base] = _powers(1 << max(length - 1, 0).bit_length(), base)
+    return known[:length]
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -148,6 +152,7 @@ def from_columns(blob: bytes) -> list[np.ndarray]:
 
 def give_back() -> None:
     """Return freed memory to the machine: workers are used again, by other stages too."""
+    _KNOWN_POWERS.clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:

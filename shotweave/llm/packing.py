@@ -28,7 +28,7 @@ FAN = 8
 NEARLY = 64
 #: Pieces that the tokenizer gets at once, and bytes of text that are cut into pieces at once.
 PIECES_AT_ONCE = 1 << 12
-SMALL_BLOCK = 1 << 20
+SMALL_BLOCK = 1 << 18
 #: Bits of the number of a sequence in its partition: sequences are numbered by level, node and place.
 ROOM = 36
 

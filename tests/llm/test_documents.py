@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from shotweave.llm import exact, near, order_minhash, quality, shards
+from shotweave.llm import arrays, exact, near, order_minhash, quality, shards
 from shotweave.llm.components import components
 from shotweave.llm.filters import without
 from tests.llm.conftest import table
@@ -407,3 +407,22 @@ def test_uncut_texts_do_not_pass_through_python(spark, tmp_path):
     assert "whole_characters(CASE WHEN" in cut._jdf.queryExecution().analyzed().toString()
     rows = {r["doc_id"]: (r["text"], r["n_chars"]) for r in cut.collect()}
     assert rows == {1: (line, len(line)), 2: ("x", 1), 3: (None, 0), 4: ("short", 5)}
+
+
+def test_cutting_and_decoding_are_not_in_one_task(spark, tmp_path):
+    """Two Python functions in one stage would need two workers for each task."""
+    line = "é".join(map(str, range(40)))
+    docs = spark.createDataFrame([(1, line, len(line)), (2, "x" + line, len(line) + 1)], "doc_id bigint, text string, n_chars bigint")
+    cut = corpus_pipeline.cut_repeats(spark, docs, str(tmp_path))
+    assert "FlatMapCoGroups" not in cut._jdf.queryExecution().analyzed().toString()
+    assert sorted(map(tuple, cut.collect())) == [(1, line, len(line)), (2, "x", 1)]
+
+
+def test_powers_are_no_larger_than_asked_for():
+    """A worker keeps no tables of two million powers for texts of a few thousand bytes."""
+    arrays.give_back()
+    values = arrays.byte_values()[np.arange(5000) % 256]
+    arrays.span_hashes(values, np.array([0]), np.array([5000]))
+    assert 0 < sum(known.nbytes for known in arrays._KNOWN_POWERS.values()) <= 2 * 8 * 8192
+    arrays.give_back()
+    assert not arrays._KNOWN_POWERS
