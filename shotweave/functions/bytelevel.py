@@ -46,3 +46,31 @@ def split_lines(text) -> Column:
     """Lines of a text, each with its line end; the last gets one as well."""
     ended = F.concat(as_column(text), F.lit("\n"))
     return F.regexp_extract_all(ended, F.lit(r"[^\n]*\n"), F.lit(0))
+
+
+#: Splits on it need no regular expression; texts that have it themselves are cut by one.
+_CUT = "\x01"
+# All white space but the blank and the line end.
+_RARE_SPACE = r"(?U)[\s&&[^ \n]]"
+
+
+def split_units(text) -> Column:
+    """A text cut into words or into whole runs of them, line ends included.
+
+    Cutting the units into words gives the words of the text's lines: no word goes on
+    after a blank between two other characters, and what is on either side has no say
+    in how the other is cut.  Lines with other white space, or with several blanks in
+    a row, are cut into words at once.
+    """
+    ended = F.concat(as_column(text), F.lit("\n"))
+    lines = F.when(F.contains(ended, F.lit(_CUT)), split_lines(text)).otherwise(
+        F.split(F.replace(ended, F.lit("\n"), F.lit("\n" + _CUT)), _CUT)
+    )
+
+    def units(line: Column) -> Column:
+        odd = F.rlike(line, F.lit(_RARE_SPACE))
+        for found in (_CUT, "  ", " \n"):
+            odd = F.contains(line, F.lit(found)) | odd
+        return F.when(odd, split_words(line)).otherwise(F.split(F.replace(line, F.lit(" "), F.lit(_CUT + " ")), _CUT))
+
+    return F.flatten(F.transform(lines, units))

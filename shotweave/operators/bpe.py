@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from shotweave.functions.bytelevel import (
     BYTE_CHARS,
     from_byte_level,
-    split_lines,
+    split_units,
     split_words,
     to_byte_level,
 )
@@ -60,10 +60,14 @@ class Tokenizer:
 
 
 def word_counts(df: DataFrame, text: str) -> DataFrame:
-    """(word, n) over a corpus read line by line, line ends included."""
-    lines = df.select(F.explode(split_lines(F.col(text))).alias("line"))
-    found = lines.select(F.explode(split_words(F.col("line"))).alias("word"))
-    return found.groupBy("word").agg(F.count("*").alias("n"))
+    """(word, n) over a corpus read line by line, line ends included.
+
+    Blank-separated units are counted first, so only distinct ones are cut into words.
+    """
+    units = df.select(F.explode(split_units(F.col(text))).alias("unit"))
+    counted = units.groupBy("unit").agg(F.count("*").alias("n"))
+    found = counted.select(F.explode(split_words(F.col("unit"))).alias("word"), "n")
+    return found.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 # Words are kept as a string of symbol ids, ",12,,45,,7,", so that a merge is a

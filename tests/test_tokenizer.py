@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from catalog import tokenizer
-from shotweave.functions.bytelevel import BYTE_CHARS, from_byte_level, split_words, to_byte_level
+from shotweave.functions.bytelevel import BYTE_CHARS, from_byte_level, split_lines, split_units, split_words, to_byte_level
 from shotweave.operators import bpe, bpe_rounds
 from shotweave.operators.bpe import (
     SPECIAL_TOKENS, Tokenizer, bpe_decode, bpe_encode, bpe_train, word_counts,
@@ -323,3 +323,17 @@ def test_without_mask_token_the_text_stays(spark):
     df = spark.createDataFrame([("a b c d", ["a", "b", "c", "d"])], "text string, tokens array<string>")
     row = df.select(masked(F.col("text"), F.col("tokens"), 1, has_mask=False).alias("m")).first()["m"]
     assert tuple(row) == ("a b c d", "Mask_Token_Not_Found")
+
+
+def test_units_are_counted_before_words_are_cut(spark):
+    """The regular expression sees distinct units, and the words are those of whole lines."""
+    rng = random.Random(3)
+    signs = [" ", " ", " ", "  ", "\n", "\t", "\x01", "\u00a0", "\u3000", "\r", "\x1c", "'", "'s", "'ll", "a", "Ü", "7", "?", "é", "中"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 30))) for _ in range(400)]
+    texts += [*LINES, None, "", " ", "\n", " a b ", "a 's b'll  c", "x " * 50]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    one = df.select(F.explode(split_lines(F.col("text"))).alias("line")).select(F.explode(split_words(F.col("line"))).alias("word"))
+    expected = {r["word"]: r["count"] for r in one.groupBy("word").count().collect()}
+    assert {r["word"]: r["n"] for r in word_counts(df, "text").collect()} == expected
+    plain = spark.createDataFrame([("it's so, so 12 x\nso it",)], "text string").select(split_units(F.col("text")).alias("u")).first()["u"]
+    assert [u for u in plain if u] == ["it's", " so,", " so", " 12", " x\n", "so", " it\n"]
