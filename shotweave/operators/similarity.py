@@ -221,31 +221,33 @@ _FOUND = T.StructType(
 )
 
 
-def _visit(queries: DataFrame, index: DataFrame, blocks: int, copies: int, cells: int, k: int) -> DataFrame:
+def _visit(queries: DataFrame, index: DataFrame, places: int, cells: int, k: int) -> DataFrame:
     """Best k of each visited block for every query.
 
     ``queries`` carry ``block`` and ``floor``; ``index`` carries ``block``; both
-    carry the ``copies`` of their blocks, at most the number given.  ``cells`` is
-    the number of comparisons, which decides the number of tasks.
+    carry the ``copies`` of their blocks and the ``shift`` that numbers all copies
+    of all blocks without gaps, ``places`` in all.  ``cells`` is the number of
+    comparisons, which decides the number of tasks.  Places are dealt out in
+    turn: by hash, several large ones would meet in one task.
     """
     columns = ["packed", "bits", "first_row"]
-    copy = F.pmod(F.xxhash64("first_row"), F.col("copies"))
+    own = F.col("block") * F.col("copies") + F.col("shift")
     asking = queries.select(
-        (F.col("block") * copies + copy).alias("place"),
+        (own + F.pmod(F.xxhash64("first_row"), F.col("copies"))).alias("place"),
         F.lit(True).alias("is_query"), "floor", *columns,
     )
     every_copy = F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)).alias("copy")
-    offered = index.select("block", every_copy, *columns).select(
-        (F.col("block") * copies + F.col("copy")).cast("bigint").alias("place"),
+    offered = index.select(own.alias("own"), every_copy, *columns).select(
+        (F.col("own") + F.col("copy")).cast("bigint").alias("place"),
         F.lit(False).alias("is_query"), F.lit(0.0).alias("floor"), *columns,
     )
     session = queries.sparkSession
     wide = int(session.conf.get("spark.sql.shuffle.partitions"))
     wide = max(wide, 4 * session.sparkContext.defaultParallelism)
-    tasks = min(blocks * copies, max(wide, cells // CELLS_PER_TASK))
+    tasks = min(places, max(wide, cells // CELLS_PER_TASK))
     return (
         offered.unionByName(asking)
-        .repartition(tasks, "place")
+        .repartitionById(tasks, F.pmod("place", F.lit(tasks)).cast("int"))
         .sortWithinPartitions("place", "is_query", "first_row")
         .mapInArrow(_best_in_block(k), _FOUND)
     )
@@ -272,14 +274,18 @@ def _search(queries: DataFrame, index: DataFrame, k: int, block_rows: int) -> Da
     cores = queries.sparkSession.sparkContext.defaultParallelism
     layout = _lay_out(histogram, _block_size(sum(histogram.values()), cores, k, block_rows))
     asked = queries.count()
-    copies = max(1, -(-asked // QUERIES_PER_COPY))
-    known = {"first": _literal(layout.first), "last": _literal(layout.last), "copies": F.lit(copies)}
+    cells = asked * sum(histogram.values())
+    # Few blocks are copied until they are work for all cores.
+    worth = min(4 * cores // layout.blocks, cells // layout.blocks // CELLS)
+    copies = max(1, -(-asked // QUERIES_PER_COPY), worth)
+    known = {
+        "first": _literal(layout.first), "last": _literal(layout.last), "copies": F.lit(copies), "shift": F.lit(0),
+    }
 
     def placed(rows: DataFrame) -> DataFrame:
         return rows.withColumns(known)
 
-    cells = asked * sum(histogram.values())
-    return _passes(queries, index, k, placed, layout.blocks, copies, cells, layout.blocks == 1)
+    return _passes(queries, index, k, placed, layout.blocks, layout.blocks * copies, cells, layout.blocks == 1)
 
 
 _LAYOUT = "task string, first array<bigint>, last array<bigint>, blocks bigint"
@@ -304,33 +310,37 @@ def _search_by_task(queries: DataFrame, index: DataFrame, k: int, block_rows: in
         )
 
     counts = index.groupBy("task", "bits").agg(F.count("*").alias("n"))
-    own = global_prefix_sum(counts.groupBy("task").applyInArrow(lay_out, _LAYOUT), [F.col("task")], {"blocks": "before"})
     asked = queries.groupBy("task").agg(
         F.ceil(F.count("*") / QUERIES_PER_COPY).alias("copies"), F.count("*").alias("asked")
     )
+    laid = counts.groupBy("task").applyInArrow(lay_out, _LAYOUT).join(asked, "task")
+    own = global_prefix_sum(
+        laid.withColumn("places", F.col("blocks") * F.col("copies")), [F.col("task")],
+        {"blocks": "before", "places": "places_before"},
+    )
     layouts = materialise(
-        own.join(asked, "task").select(
-            "task", "blocks", "copies", "asked",
+        own.select(
+            "task", "blocks", "copies", "asked", "places",
+            (F.col("places_before") - F.col("before") * F.col("copies")).alias("shift"),
             *[F.transform(side, lambda block: block + F.col("before")).alias(side) for side in ("first", "last")],
         ),
         "layouts",
     )
-    # Blocks keep the numbers they have over all tasks, so some may be nobody's.
     total = layouts.agg(
-        F.coalesce(F.max(F.element_at("last", -1)) + 1, F.lit(0)), F.coalesce(F.max("copies"), F.lit(1)),
+        F.coalesce(F.sum("blocks"), F.lit(0)), F.coalesce(F.sum("places"), F.lit(0)),
         F.coalesce(F.max("blocks"), F.lit(0)), F.coalesce(F.sum(F.col("asked") * F.col("blocks")), F.lit(0)),
     ).first()
-    layouts = layouts.drop("blocks", "asked")
+    layouts = layouts.drop("blocks", "asked", "places")
 
     def placed(rows: DataFrame) -> DataFrame:
         return attach_counted(rows, layouts, "task", row_bytes=16 * (N_BITS + 1))
 
-    return _passes(queries, index, k, placed, max(total[0], 1), total[1], total[3] * size, total[2] <= 1)
+    return _passes(queries, index, k, placed, max(total[0], 1), max(total[1], 1), total[3] * size, total[2] <= 1)
 
 
 def _passes(
     queries: DataFrame, index: DataFrame, k: int, placed: Callable[[DataFrame], DataFrame],
-    blocks: int, copies: int, cells: int, home_only: bool,
+    blocks: int, places: int, cells: int, home_only: bool,
 ) -> DataFrame:
     """Both passes; ``placed`` adds the ``first`` and ``last`` block of every bit count."""
 
@@ -342,7 +352,7 @@ def _passes(
     offered, home = spread(index, "block"), spread(queries, "home")
     seeds = materialise(
         _visit(
-            home.withColumns({"block": F.col("home"), "floor": F.lit(0.0)}), offered, blocks, copies, cells // blocks, k
+            home.withColumns({"block": F.col("home"), "floor": F.lit(0.0)}), offered, places, cells // blocks, k
         ),
         "seeds",
     )
@@ -351,7 +361,7 @@ def _passes(
     floors = seeds.groupBy("query").agg(
         F.when(F.count("*") >= k, F.min("similarity")).otherwise(F.lit(0.0)).alias("floor")
     )
-    known = home.drop("copies").join(floors, F.col("first_row") == F.col("query"), "left").withColumn(
+    known = home.drop("copies", "shift").join(floors, F.col("first_row") == F.col("query"), "left").withColumn(
         "floor", F.coalesce("floor", F.lit(0.0))
     )
     # min(a, b) / max(a, b) >= floor, widened a little against rounding.
@@ -362,7 +372,7 @@ def _passes(
     ).otherwise(F.lit(N_BITS)).cast("int")
     reach = F.sequence(F.get("first", fewest), F.get("last", most))
     others = placed(known).withColumn("block", F.explode(reach)).where(F.col("block") != F.col("home"))
-    rest = _visit(others, offered, blocks, copies, cells, k)
+    rest = _visit(others, offered, places, cells, k)
     return _first_k(seeds.unionByName(rest), k)
 
 

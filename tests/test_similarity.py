@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from shotweave.operators import similarity
@@ -232,3 +234,32 @@ def test_tasks_of_a_search_grow_with_its_comparisons(spark, monkeypatch):
     found = knn(build_index(q, "text"), build_index(c, "text"), 3, block_rows=16)
     assert answers(found) == brute_force(bit_sets(q), bit_sets(c), 3, False)
     assert shown[-1] > 4 * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("task", [None, "task"])
+def test_places_are_dealt_out_evenly(spark, monkeypatch, task):
+    """By hash, several blocks met in one task while others had none."""
+    dealt, visit = [], similarity._visit
+
+    def seen(queries, index, *args):
+        monkeypatch.setattr(similarity, "_best_in_block", lambda k: places)
+        rows = visit(queries, index, *args).groupBy("query").agg(F.countDistinct("candidate").alias("n")).collect()
+        dealt.append([r["n"] for r in rows])
+        monkeypatch.setattr(similarity, "_best_in_block", best)
+        return visit(queries, index, *args)
+
+    def places(batches):
+        for batch in batches:
+            part = pa.array(np.full(batch.num_rows, TaskContext.get().partitionId()), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [part, batch.column("place"), batch.column("floor")], names=["query", "candidate", "similarity"]
+            )
+
+    best = similarity._best_in_block
+    monkeypatch.setattr(similarity, "MIN_BLOCK_ROWS", 8)
+    monkeypatch.setattr(similarity, "QUERIES_PER_COPY", 30)
+    monkeypatch.setattr(similarity, "_visit", seen)
+    make = texts if task is None else task_texts
+    index = build_index(make(spark, 160, 2) if task is None else make(spark, 160), "text")
+    found = answers(knn(index, index, 3, block_rows=16, task=task))
+    assert len(found) and all(max(n) - min(n) <= 1 for n in dealt)
