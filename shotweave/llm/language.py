@@ -27,6 +27,8 @@ STATE = 16
 WINDOW = 24
 ROUNDS = 2
 LANES, SCORED = 64, 512
+#: Rows of classes that scoring looks at at once: they stay in a core's cache.
+ROWS = 1024
 _END = np.uint64(0xE17D)
 
 
@@ -87,75 +89,115 @@ def new_weights(class_share: np.ndarray) -> list[np.ndarray]:
     ]
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.tanh(x * 0.5) * 0.5 + 0.5
+def _roll(weights, x: np.ndarray, h: np.ndarray, mask: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """States before and after every step, both gates, fresh states and their recurrent parts.
 
-
-def _cell(given: np.ndarray, recurrent: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """New state, both gates, fresh state and its recurrent part from what the inputs give."""
-    inner = h @ recurrent
-    gates = _sigmoid(given[:, : 2 * STATE] + inner[:, : 2 * STATE])
-    old = inner[:, 2 * STATE :]
-    fresh = np.tanh(given[:, 2 * STATE :] + gates[:, STATE:] * old)
-    return fresh + gates[:, :STATE] * (h - fresh), gates, fresh, old
+    Where ``mask`` is false the state stays.  All arrays are made once and filled
+    step by step; a gate is (tanh(x / 2) + 1) / 2, and the weights are halved before.
+    """
+    table, recurrent = weights[:2]
+    steps, lanes = x.shape
+    two, half = 2 * STATE, table.dtype.type(0.5)
+    by_gates, by_fresh = recurrent[:, :two] * half, np.ascontiguousarray(recurrent[:, two:])
+    gates, fresh = (table[:, :two] * half).take(x, axis=0), np.ascontiguousarray(table[:, two:]).take(x, axis=0)
+    old, states = np.empty_like(fresh), np.empty((steps + 1, lanes, STATE), table.dtype)
+    states[0], inner = h, np.empty((lanes, two), table.dtype)
+    stays = np.zeros(steps, bool) if mask is None else ~mask.all(axis=1)
+    for t in range(steps):
+        h, new, gate, made, part = states[t], states[t + 1], gates[t], fresh[t], old[t]
+        gate += np.matmul(h, by_gates, out=inner)
+        np.tanh(gate, out=gate)
+        gate *= half
+        gate += half
+        np.matmul(h, by_fresh, out=part)
+        made += np.multiply(gate[:, STATE:], part, out=new)
+        np.tanh(made, out=made)
+        np.subtract(h, made, out=new)
+        new *= gate[:, :STATE]
+        new += made
+        if stays[t]:
+            np.copyto(new, h, where=~mask[t][:, None])
+    return states, gates, fresh, old
 
 
 def _step(weights, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    return _cell(weights[0][x], weights[1], h)
+    states, *rest = (a[-1] for a in _roll(weights, x[None], h))
+    return states, *rest
+
+
+def _with_one(hidden: np.ndarray) -> np.ndarray:
+    """A last column of ones, which the bias belongs to."""
+    both = np.ones((len(hidden), STATE + 1), hidden.dtype)
+    both[:, :STATE] = hidden
+    return both
+
+
+def _likely(hidden: np.ndarray, weights, y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Log-likelihood (nats) of the targets; exponentials of all classes and their sums.
+
+    ``hidden`` has its column of ones.  States are below one, so the weights say
+    how far from zero a row can get; only beyond what exp can take are its maxima
+    taken off.
+    """
+    out = np.vstack([weights[2], weights[3]])
+    error = hidden @ out
+    if np.abs(out).sum(axis=0).max() > 60:
+        error -= error.max(axis=1, keepdims=True)
+    likely = error[np.arange(len(error)), y]
+    np.exp(error, out=error)
+    total = error @ np.ones(CLASSES, error.dtype)
+    return likely - np.log(total), error, total
+
+
+def _by_class(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each class."""
+    sums, size = np.zeros((CLASSES, rows.shape[1]), rows.dtype), np.bincount(x, minlength=CLASSES)
+    order = np.argsort(x.astype(np.uint8), kind="stable")
+    there = np.flatnonzero(size)
+    sums[there] = np.add.reduceat(rows.take(order, axis=0), (np.cumsum(size) - size)[there], axis=0)
+    return sums
 
 
 def window_loss(weights, x: np.ndarray, y: np.ndarray, mask: np.ndarray, h: np.ndarray):
     """Log-likelihood (nats), gradients and last state of one (steps, lanes) window."""
-    table, recurrent, out, bias = weights
+    recurrent, out = weights[1:3]
     steps, lanes = x.shape
-    given, full = table[x], mask.all(axis=1)
-    states, saved = [h], []
-    for t in range(steps):
-        new, *rest = _cell(given[t], recurrent, h)
-        h = new if full[t] else np.where(mask[t][:, None], new, h)
-        states.append(h)
-        saved.append(rest)
-    states = np.stack(states)
-    hidden = states[1:].reshape(steps * lanes, STATE)
-    error = hidden @ out
-    error += bias
-    error -= error.max(axis=1, keepdims=True)
-    flat, at = mask.ravel(), np.arange(steps * lanes)
-    likely = error[at, y.ravel()]
-    np.exp(error, out=error)
-    total = error.sum(axis=1)
-    likely = float(((likely - np.log(total)) * flat).sum())
-    of_each = flat / max(int(flat.sum()), 1)
-    error *= (of_each / total).astype(error.dtype)[:, None]
-    error[at, y.ravel()] -= of_each.astype(error.dtype)
-    from_out = (error @ out.T).reshape(steps, lanes, STATE)
+    states, gates, fresh, old = _roll(weights, x, h, mask)
+    hidden, flat = _with_one(states[1:].reshape(steps * lanes, STATE)), mask.ravel()
+    likely, error, total = _likely(hidden, weights, y.ravel())
+    likely = float((likely * flat).sum())
+    # Rows are divided by their sums where they are narrow.
+    error[np.arange(steps * lanes), y.ravel()] -= total
+    share = (flat / (total * max(int(flat.sum()), 1))).astype(error.dtype)[:, None]
+    from_out = ((error @ out.T) * share).reshape(steps, lanes, STATE)
+    to_out = (error.T @ (hidden * share)).T
     # What does not depend on later steps is taken for all steps at once.
-    gates, fresh, old = (np.stack(v) for v in zip(*saved))
     keep, reset = gates[:, :, :STATE], gates[:, :, STATE:]
-    to_fresh = (1 - keep) * (1 - fresh * fresh)
-    to_keep = (states[:-1] - fresh) * keep * (1 - keep)
-    to_reset = to_fresh * old * reset * (1 - reset)
     # Per step: the parts for keep, reset and the recurrent part of fresh.
-    factors = np.stack([to_keep, to_reset, to_fresh * reset], axis=2)
+    factors = np.empty((steps, lanes, 3, STATE), error.dtype)
+    to_fresh = (1 - keep) * (1 - fresh * fresh)
+    np.multiply((states[:-1] - fresh) * keep, 1 - keep, out=factors[:, :, 0])
+    np.multiply(to_fresh, reset, out=factors[:, :, 2])
+    np.multiply(factors[:, :, 2] * old, 1 - reset, out=factors[:, :, 1])
+    full = mask.all(axis=1)
     heres, later = np.empty_like(from_out), np.zeros((lanes, STATE), from_out.dtype)
+    back, part = np.ascontiguousarray(recurrent.T), np.empty((lanes, 3, STATE), error.dtype)
     for t in reversed(range(steps)):
-        here = later + from_out[t]
+        here = np.add(later, from_out[t], out=heres[t])
         passed = None
         if not full[t]:
             passed = np.where(mask[t][:, None], 0, here)
-            here = np.where(mask[t][:, None], here, 0)
-        heres[t] = here
-        later = (factors[t] * here[:, None, :]).reshape(lanes, 3 * STATE) @ recurrent.T
+            here *= mask[t][:, None]
+        np.multiply(factors[t], here[:, None, :], out=part)
+        np.matmul(part.reshape(lanes, 3 * STATE), back, out=later)
         later += here * keep[t]
         if passed is not None:
             later += passed
-    inner = (factors * heres[:, :, None, :]).reshape(steps * lanes, 3 * STATE)
-    delta = inner.copy()
-    delta[:, 2 * STATE :] = (heres * to_fresh).reshape(steps * lanes, STATE)
-    one_hot = np.zeros((CLASSES, len(delta)), np.float32)
-    one_hot[x.ravel(), at] = 1
-    before = states[:-1].reshape(steps * lanes, STATE)
-    return likely, [one_hot @ delta, before.T @ inner, hidden.T @ error, error.sum(axis=0)], h
+    factors *= heres[:, :, None, :]
+    inner = factors.reshape(steps * lanes, 3 * STATE)
+    to_recurrent = states[:-1].reshape(steps * lanes, STATE).T @ inner
+    np.multiply(heres, to_fresh, out=factors[:, :, 2])
+    return likely, [_by_class(x.ravel(), inner), to_recurrent, to_out[:STATE], to_out[STATE]], states[-1]
 
 
 class Adam:
@@ -214,7 +256,6 @@ def train(weights: list[np.ndarray], texts: list[np.ndarray], order_seed: int, r
 
 def score(weights: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
     """Log10-likelihood of the classes of whole texts, state carried throughout."""
-    out, bias = weights[2], weights[3]
     scores = np.zeros(len(texts))
     order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
     for a in range(0, len(order), SCORED):
@@ -225,15 +266,11 @@ def score(weights: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
             lanes, state = lanes[alive:], state[alive:]
             steps = min(WINDOW, longest - begin)
             x, y, mask = _windows([texts[i] for i in lanes], begin, steps)
-            hidden = []
-            for t in range(steps):
-                state = _step(weights, x[t], state)[0]
-                hidden.append(state)
-            logits = np.concatenate(hidden) @ out
-            logits += bias
-            logits -= logits.max(axis=1, keepdims=True)
-            likely = logits[np.arange(len(logits)), y.ravel()]
-            likely -= np.log(np.exp(logits, out=logits).sum(axis=1))
+            states = _roll(weights, x, state)[0]
+            hidden, state = _with_one(states[1:].reshape(-1, STATE)), states[-1]
+            likely = np.empty(len(hidden), hidden.dtype)
+            for i in range(0, len(hidden), ROWS):
+                likely[i : i + ROWS] = _likely(hidden[i : i + ROWS], weights, y.ravel()[i : i + ROWS])[0]
             scores[lanes] += np.where(mask, likely.reshape(mask.shape), 0).sum(axis=0, dtype=np.float64)
             begin += steps
     return scores / np.log(10)

@@ -204,6 +204,28 @@ def test_gradients():
             assert -(likely[0] - likely[1]) / (2 * step) / mask.sum() == pytest.approx(g.flat[at], abs=1e-6)
 
 
+def test_large_weights_do_not_overflow():
+    rng = np.random.default_rng(8)
+    weights = language.new_weights(np.full(language.CLASSES, 1 / language.CLASSES))
+    weights[3][:] = rng.permutation(language.CLASSES) * 4
+    x, y = rng.integers(0, language.CLASSES, (2, 30, 3))
+    likely, grads, _ = language.window_loss(weights, x, y, np.ones(x.shape, bool), np.zeros((3, language.STATE), np.float32))
+    assert np.isfinite(likely) and all(np.isfinite(g).all() for g in grads)
+    assert np.isfinite(language.score(weights, [y[:, 0].astype(np.uint8)])).all()
+
+
+@pytest.mark.parametrize("lanes", [1, 64])
+def test_exponentials_are_gone_over_once(lanes):
+    """The wide rows (128 classes a token) are neither scaled nor searched for maxima: it took a quarter of training."""
+    weights = language.new_weights(np.full(language.CLASSES, 1 / language.CLASSES))
+    x, y = np.random.default_rng(9).integers(0, language.CLASSES, (2, language.WINDOW, lanes))
+    hidden = language._roll(weights, x, np.zeros((lanes, language.STATE), np.float32))[0][1:].reshape(-1, language.STATE)
+    likely, error, total = language._likely(language._with_one(hidden), weights, y.ravel())
+    logits = hidden.astype(np.float64) @ weights[2] + weights[3]
+    assert np.allclose(error, np.exp(logits), rtol=1e-5) and np.allclose(total, np.exp(logits).sum(axis=1), rtol=1e-5)
+    assert np.allclose(likely, (logits - np.log(np.exp(logits).sum(axis=1))[:, None])[np.arange(len(logits)), y.ravel()], atol=1e-5)
+
+
 def test_state_is_carried_through_whole_texts(monkeypatch):
     rng = np.random.default_rng(4)
     weights = language.new_weights(np.full(language.CLASSES, 1 / language.CLASSES))
