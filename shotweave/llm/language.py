@@ -27,8 +27,8 @@ STATE = 16
 WINDOW = 24
 ROUNDS = 2
 LANES, SCORED = 64, 512
-#: Rows of classes that scoring looks at at once: they stay in a core's cache.
-ROWS = 1024
+#: Rows of classes looked at at once: they stay in a core's cache.
+ROWS = 512
 _END = np.uint64(0xE17D)
 
 
@@ -164,24 +164,29 @@ def window_loss(weights, x: np.ndarray, y: np.ndarray, mask: np.ndarray, h: np.n
     steps, lanes = x.shape
     states, gates, fresh, old = _roll(weights, x, h, mask)
     hidden, flat = _with_one(states[1:].reshape(steps * lanes, STATE)), mask.ravel()
-    likely, error, total = _likely(hidden, weights, y.ravel())
-    likely = float((likely * flat).sum())
-    # Rows are divided by their sums where they are narrow.
-    error[np.arange(steps * lanes), y.ravel()] -= total
-    share = (flat / (total * max(int(flat.sum()), 1))).astype(error.dtype)[:, None]
-    from_out = ((error @ out.T) * share).reshape(steps, lanes, STATE)
-    to_out = (error.T @ (hidden * share)).T
+    likely, counted = 0.0, max(int(flat.sum()), 1)
+    from_out, to_out = np.empty((len(hidden), STATE), hidden.dtype), np.zeros((STATE + 1, CLASSES), hidden.dtype)
+    for i in range(0, len(hidden), ROWS):
+        rows, some = slice(i, i + ROWS), hidden[i : i + ROWS]
+        of_each, error, total = _likely(some, weights, y.ravel()[rows])
+        likely += float((of_each * flat[rows]).sum())
+        # Rows are divided by their sums where they are narrow.
+        error[np.arange(len(some)), y.ravel()[rows]] -= total
+        share = (flat[rows] / (total * counted)).astype(error.dtype)[:, None]
+        np.multiply(error @ out.T, share, out=from_out[rows])
+        to_out += (error.T @ (some * share)).T
+    from_out = from_out.reshape(steps, lanes, STATE)
     # What does not depend on later steps is taken for all steps at once.
     keep, reset = gates[:, :, :STATE], gates[:, :, STATE:]
     # Per step: the parts for keep, reset and the recurrent part of fresh.
-    factors = np.empty((steps, lanes, 3, STATE), error.dtype)
+    factors = np.empty((steps, lanes, 3, STATE), hidden.dtype)
     to_fresh = (1 - keep) * (1 - fresh * fresh)
     np.multiply((states[:-1] - fresh) * keep, 1 - keep, out=factors[:, :, 0])
     np.multiply(to_fresh, reset, out=factors[:, :, 2])
     np.multiply(factors[:, :, 2] * old, 1 - reset, out=factors[:, :, 1])
     full = mask.all(axis=1)
     heres, later = np.empty_like(from_out), np.zeros((lanes, STATE), from_out.dtype)
-    back, part = np.ascontiguousarray(recurrent.T), np.empty((lanes, 3, STATE), error.dtype)
+    back, part = np.ascontiguousarray(recurrent.T), np.empty((lanes, 3, STATE), hidden.dtype)
     for t in reversed(range(steps)):
         here = np.add(later, from_out[t], out=heres[t])
         passed = None
