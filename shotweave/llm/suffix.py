@@ -26,7 +26,6 @@ from shotweave.llm.arrays import (
     blocks, byte_values, columns, from_columns, ragged, sliding_min, text_buffer, tidy, tidy_group, tidy_pair, window_hashes,
 )
 from shotweave.llm.groups import BLOBS, blob_rows, fresh, group_count
-from shotweave.llm.runs import group_starts, sorted_by
 
 #: Bytes of the grams that route contexts, at most.
 GRAM = 32
@@ -35,7 +34,7 @@ GRAM_KEY = 4
 #: Bytes of text that a group of documents has at least, where there are so many.
 LEAST_GROUP = 1 << 19
 #: Suffixes sorted at once; contexts of one gram stay together.
-SORTED = 1 << 17
+SORTED = 1 << 15
 
 _POSITION = np.uint64((1 << 24) - 1)
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))
@@ -104,28 +103,54 @@ def repeats(
     key = padded[:n]
     for i in range(1, depth):
         key = key << 8 | padded[i : n + i]
-    order = sorted_by(key, np.zeros(n, np.int64))
-    pointer = np.zeros(n + 1, np.int64)
-    pointer[order] = group_starts(key[order]) + 1  # 0 is behind the end
-    members = order
+    wanted = np.zeros(n, bool)
+    wanted[suffix] = True
+    key, members = _sorted(key, np.arange(n), n)
+    pointer = np.zeros(n + 1, np.int64)  # 0 is behind the end
+    size = _sizes(key)
+    bucket = np.repeat(np.cumsum(size) - size + 1, size)
+    pointer[members] = bucket
     while depth < length:
         step = min(depth, length - depth)
+        keep = np.repeat(size > 1, size)
         if depth + step == length:
-            members = suffix
-        size = np.bincount(pointer[members], minlength=n + 2)
-        members = members[size[pointer[members]] > 1]
-        bucket, later = pointer[members], pointer[np.minimum(members + step, n)]
-        by = sorted_by(bucket, later)
-        members, bucket, later = members[by], bucket[by], later[by]
-        refined = group_starts(bucket, later)
-        pointer[members] = bucket + refined - group_starts(bucket)
+            keep &= wanted[members]
+        members, bucket = members[keep], bucket[keep]
+        key, members = _sorted(bucket * (n + 1) + pointer[np.minimum(members + step, n)], members, n)
+        # A refined bucket begins as far behind the old one as its members do.
+        size = _sizes(key)
+        first = np.cumsum(size) - size
+        old = key[first] // (n + 1)
+        alike = _sizes(old)
+        bucket = np.repeat(old + first - np.repeat(first[np.cumsum(alike) - alike], alike), size)
+        pointer[members] = bucket
         depth += step
+    if length <= GRAM_KEY:
+        members, size = members[wanted[members]], _sizes(bucket[wanted[members]])
     # Equal suffixes share a bucket; the one that comes first in the data stays.
-    order = sorted_by(pointer[suffix], suffix)
-    first = group_starts(pointer[suffix][order]) == np.arange(len(order))
-    flags = np.zeros(len(suffix), bool)
-    flags[order[~first]] = True
-    return flags
+    again = np.ones(len(members), bool)
+    again[np.cumsum(size) - size] = False
+    wanted[:] = False
+    wanted[members[again]] = True
+    return wanted[suffix]
+
+
+def _sorted(key: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order and with them their positions below ``n``, which settle ties."""
+    width = n.bit_length()
+    if int(key.max(initial=0)).bit_length() + width > 63:
+        order = np.lexsort((at, key))
+        return key[order], at[order]
+    packed = key << width | at
+    packed.sort()
+    return packed >> width, packed & ((1 << width) - 1)
+
+
+def _sizes(key: np.ndarray) -> np.ndarray:
+    """How often each of some sorted keys occurs."""
+    new = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    return np.diff(np.flatnonzero(new), append=len(key))
 
 
 def _by_bucket(bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -284,6 +309,11 @@ def remove_repeats(
             begin = np.cumsum(sizes) - sizes
             order = np.lexsort((first, copies, ids, key))
             ordered = key[order]
+            # Windows of one context have the same gram at different places, so none
+            # equals another: what is alone with its gram has no repeats.
+            same = ordered[1:] == ordered[:-1]
+            met_here = np.append(same, False) | np.append(False, same)
+            order, ordered = order[met_here], ordered[met_here]
             last = np.append(ordered[1:] != ordered[:-1], True)
             running = np.cumsum(count[order])
             cut, ends, runs = 0, np.flatnonzero(last) + 1, []

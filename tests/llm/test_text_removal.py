@@ -96,6 +96,17 @@ def test_bucket_refinement(length):
         assert suffix.repeats(data, starts, counts, length).tolist() == want
 
 
+def test_rounds_leave_out_what_is_alone(monkeypatch):
+    """The last round sorts suffixes only, and every round only members that are not alone."""
+    rng, sizes, sort = np.random.default_rng(3), [], suffix._sorted
+    monkeypatch.setattr(suffix, "_sorted", lambda key, at, n: sizes.append(len(at)) or sort(key, at, n))
+    data = rng.integers(0, 256, 40_000, np.uint8)
+    data[30_000:30_150] = data[:150]
+    flags = suffix.repeats(data, np.array([0, 20_000]), np.array([19_901, 19_901]), 100)
+    assert np.flatnonzero(flags).tolist() == list(range(29_901, 29_952))
+    assert sizes[0] == 40_000 and max(sizes[1:]) < 400 and sizes[-1] == 2 * 87
+
+
 def test_long_texts_in_parts(monkeypatch):
     rng = np.random.default_rng(0)
     raw = rng.integers(97, 101, 6 << 20).astype(np.uint8)
