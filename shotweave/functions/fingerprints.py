@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 from shotweave.functions.hashing import as_column, portable_hash
 from shotweave.functions.text import canonical_key, words
@@ -64,6 +68,32 @@ def pack_bits(bits, width: int = N_BITS) -> Column:
     return pack(as_column(bits))
 
 
+def packed_fingerprint(
+    text, bits: int = N_BITS, size: int = 1, unit: str = "word", width: int = N_BITS
+) -> Column:
+    """:func:`pack_bits` of :func:`fingerprint`; a word is hashed once per batch of texts."""
+    # Single words are cut out of the key where they are hashed, as ``words`` does.
+    whole = unit == "word" and size == 1
+
+    @arrow_udf("binary")
+    def pack(column: pa.Array) -> pa.Array:
+        if whole:
+            column = pc.split_pattern(column, " ")
+        words = column.flatten().dictionary_encode()
+        # The same as portable_hash, which joins nothing to a single part.
+        hashes = [md5(w or b"").digest()[:4] for w in words.dictionary.cast(pa.binary()).to_pylist()]
+        places = np.frombuffer(b"".join(hashes), dtype=">u4").astype(np.int64) % bits
+        lengths = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+        dense = np.zeros((len(column), width), dtype=np.uint8)
+        if len(places):
+            dense[np.repeat(np.arange(len(column)), lengths), places[words.indices.to_numpy()]] = 1
+        rows = np.packbits(dense, axis=1)
+        empty = column.is_null().to_numpy(zero_copy_only=False)
+        return pa.array([None if none else row.tobytes() for none, row in zip(empty, rows)], pa.binary())
+
+    return pack(canonical_key(text) if whole else shingles(text, size, unit))
+
+
 def packed_size(packed, width: int = N_BITS) -> Column:
     """Number of set bits of a packed fingerprint."""
     digits = F.hex(as_column(packed))

@@ -9,7 +9,7 @@ bits have at most min(a, b) / max(a, b) in common.  A first pass compares every
 query with one block of similar size and so finds a similarity that its k-th
 neighbour has at least.  The second pass visits only the blocks whose bound
 reaches it.  Both passes are one shuffle on the block number; each task holds
-one block and streams the queries past it.
+one block and streams the queries past it (:mod:`shotweave.operators.blocks`).
 
 A table of many tasks is searched in the same few jobs: every task has blocks of
 its own, numbered through over all tasks, and its queries visit only those.
@@ -26,7 +26,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shotweave.functions.fingerprints import N_BITS, fingerprint, pack_bits, packed_size
+from shotweave.functions.fingerprints import N_BITS, fingerprint, packed_fingerprint, packed_size
+from shotweave.operators.blocks import CELLS, Block as _Block, Queries, best, unpack
 from shotweave.operators.joins import attach_by_key, attach_counted
 from shotweave.operators.prefix import global_prefix_sum
 from shotweave.operators.split import task_key
@@ -36,12 +37,8 @@ from shotweave.storage import materialise
 BLOCK_ROWS = 32768
 MIN_BLOCK_ROWS = 512
 QUERIES_PER_COPY = 65_536
-#: Query-by-block similarities held at once by a task, and worked out by one task.
-CELLS = 4_000_000
+#: Query-by-block similarities worked out by one task.
 CELLS_PER_TASK = 2**31
-#: Fingerprints held by one float32, and the bits of it that each one's count gets.
-#: A float32 holds whole numbers below 2**24 exactly, whatever the order of summing.
-FORMS = ((3, 8), (2, 12))
 
 NEIGHBOURS_TYPE = "array<struct<row_id:bigint,similarity:double>>"
 
@@ -58,10 +55,8 @@ def build_index(df: DataFrame, text: str, keep_all: bool = False, **options) ->
     """
     # Filtered only after writing: before it, the optimizer would move the
     # fingerprint into the filter and compute it twice.
-    packed = with_fingerprint(df, text, "__fp", **options).withColumn(
-        "packed", pack_bits(F.col("__fp"))
-    )
-    written = materialise(packed.drop("__fp"), "index")
+    packed = df.withColumn("packed", packed_fingerprint(F.col(text), **options))
+    written = materialise(packed, "index")
     return written if keep_all else written.where(F.col("packed").isNotNull())
 
 
@@ -101,93 +96,12 @@ def _distinct(df: DataFrame, row_id: str, *task: str) -> DataFrame:
     return materialise(counted.withColumn("bits", packed_size(F.col("packed"))), "distinct")
 
 
-def _unpack(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
-
-
-class _Block:
-    """Fingerprints that many queries are compared with, by matrix products.
-
-    The counts of two or three rows share the digits of one float, so one product
-    serves them all: three where no count can pass eight bits, which a query or a
-    block of at most 255 bits rules out, else two.
-    """
-
-    def __init__(self, fps: np.ndarray, bits: np.ndarray, rows: np.ndarray):
-        self.fps, self.bits, self.rows = fps, bits, rows
-        self._forms: dict[int, np.ndarray] = {}
-
-    def _form(self, per: int, width: int) -> np.ndarray:
-        if per not in self._forms:
-            groups = -(-len(self.fps) // per)
-            form = np.zeros((groups, 8 * self.fps.shape[1]), dtype=np.float32)
-            for part in range(per):
-                held = self.fps[part * groups : (part + 1) * groups]
-                for start in range(0, len(held), 1024):
-                    dense = np.unpackbits(held[start : start + 1024], axis=1)
-                    form[start : start + len(dense)] += dense * np.float32(2 ** (width * part))
-            self._forms[per] = form
-        return self._forms[per]
-
-    def shared(self, fps: np.ndarray, most: int) -> np.ndarray:
-        """Common bits of every query with every row; no query has more than ``most``."""
-        most = min(most, int(self.bits.max()))
-        per, width = next(form for form in FORMS if most < 2 ** form[1])
-        form = self._form(per, width)
-        found = (np.unpackbits(fps, axis=1).astype(np.float32) @ form.T).astype(np.int32)
-        counts = np.empty((len(fps), len(self.fps)), dtype=np.float32)
-        for part in range(per):
-            place = slice(part * len(form), min((part + 1) * len(form), len(self.fps)))
-            digits = found >> (width * part) & (2**width - 1)
-            counts[:, place] = digits[:, : max(0, place.stop - place.start)]
-        return counts
-
-
 def _best_in_block(k: int):
     """Compare streamed queries with the block that precedes them."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, fps, bits, rows = None, [], [], []
         block = None
-
-        def best(q_fp: np.ndarray, q_bits: np.ndarray, q_row: np.ndarray, floor: np.ndarray) -> pa.RecordBatch:
-            shared = block.shared(q_fp, int(q_bits.max()))
-            sims = np.add(q_bits[:, None], block.bits[None, :], dtype=np.float32)
-            sims -= shared
-            np.divide(shared, sims, out=sims)
-            # Rounding keeps the order; one step down, lest the floor was rounded up.
-            limit = np.nextafter(floor.astype(np.float32), np.float32(-1))[:, None]
-            hits = sims >= limit
-            if len(block.rows) > k and np.count_nonzero(hits) > 4 * k * len(q_row):
-                kth = np.partition(sims, len(block.rows) - k, axis=1)[:, len(block.rows) - k]
-                hits = sims >= np.maximum(limit, kth[:, None])
-            hit_q, hit_c = np.nonzero(hits)
-            common = shared[hit_q, hit_c].astype(np.float64)
-            value = common / (q_bits[hit_q] + block.bits[hit_c] - common)
-            # The block is in row order, so equal similarities stay in it.
-            order = np.lexsort((hit_c, -value, hit_q))
-            hit_q, hit_c, value = hit_q[order], hit_c[order], value[order]
-            starts = np.searchsorted(hit_q, hit_q, side="left")
-            keep = np.arange(len(hit_q)) - starts < k
-            return pa.RecordBatch.from_arrays(
-                [pa.array(q_row[hit_q[keep]]), pa.array(block.rows[hit_c[keep]]), pa.array(value[keep])],
-                names=["query", "candidate", "similarity"],
-            )
-
-        def answer(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            q_fp = _unpack(batch.column("packed"))
-            q_bits = batch.column("bits").to_numpy().astype(np.int64)
-            q_row = batch.column("first_row").to_numpy()
-            floor = batch.column("floor").to_numpy()
-            step = max(1, CELLS // len(block.rows))
-            # Queries of few bits first: they are compared three rows at a time.
-            order = np.argsort(q_bits, kind="stable")
-            few = int(np.searchsorted(q_bits[order], 256))
-            for side in (order[:few], order[few:]):
-                for start in range(0, len(side), step):
-                    part = side[start : start + step]
-                    yield best(q_fp[part], q_bits[part], q_row[part], floor[part])
-
         for batch in batches:
             places = batch.column("place").to_numpy()
             asks = batch.column("is_query").to_numpy(zero_copy_only=False)
@@ -199,15 +113,20 @@ def _best_in_block(k: int):
                 if places[piece_start] != place:
                     place, block = places[piece_start], None
                     fps, bits, rows = [], [], []
+                held = unpack(piece.column("packed"))
+                own_bits = piece.column("bits").to_numpy().astype(np.int64)
+                own_rows = piece.column("first_row").to_numpy()
                 if not asks[piece_start]:
-                    fps.append(_unpack(piece.column("packed")))
-                    bits.append(piece.column("bits").to_numpy().astype(np.int64))
-                    rows.append(piece.column("first_row").to_numpy())
+                    fps.append(held)
+                    bits.append(own_bits)
+                    rows.append(own_rows)
                     block = None
                 elif fps:
                     if block is None:
-                        block = _Block(*(np.concatenate(x) for x in (fps, bits, rows)))
-                    yield from answer(piece)
+                        offered = [np.concatenate(x) for x in (fps, bits, rows)]
+                        order = np.argsort(offered[1], kind="stable")
+                        block = _Block(*(x[order] for x in offered))
+                    yield from best(Queries(held, own_bits, own_rows, piece.column("floor").to_numpy()), block, k)
 
     return compare
 

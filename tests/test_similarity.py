@@ -6,8 +6,8 @@ import pytest
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from shotweave.operators import similarity
-from shotweave.functions.fingerprints import fingerprint, pack_bits, packed_size, tanimoto
+from shotweave.operators import blocks, similarity
+from shotweave.functions.fingerprints import fingerprint, pack_bits, packed_fingerprint, packed_size, tanimoto
 from shotweave.operators.shots import apply_shortfall, random_shots, select_shots, shots_array
 from shotweave.operators.similarity import build_index, knn, neighbour_rows, with_fingerprint
 
@@ -263,3 +263,72 @@ def test_places_are_dealt_out_evenly(spark, monkeypatch, task):
     index = build_index(make(spark, 160, 2) if task is None else make(spark, 160), "text")
     found = answers(knn(index, index, 3, block_rows=16, task=task))
     assert len(found) and all(max(n) - min(n) <= 1 for n in dealt)
+
+
+def random_sets(rng, sizes, crowded=0):
+    """Bit sets; rows after the first ``crowded`` ones share half of an earlier row's bits."""
+    dense = np.zeros((len(sizes), 2048), dtype=np.uint8)
+    for i, size in enumerate(sizes):
+        taken = np.flatnonzero(dense[rng.integers(crowded)])[: size // 2] if i >= crowded > 0 else []
+        dense[i, taken] = 1
+        dense[i, rng.permutation(2048)[: size - len(taken)]] = 1
+    return np.packbits(dense, axis=1), dense.sum(1).astype(np.int64)
+
+
+@pytest.mark.parametrize("low,high,floats", [(5, 60, 8), (20, 130, 64), (100, 480, 8), (300, 800, 32), (900, 2048, 8)])
+@pytest.mark.parametrize("known", [False, True])
+def test_comparing_with_a_block_equals_brute_force(monkeypatch, low, high, floats, known):
+    rng = np.random.default_rng(low)
+    fps, bits = random_sets(rng, rng.integers(low, high + 1, 560), 40)
+    held = np.argsort(bits[:400], kind="stable")
+    block = blocks.Block(fps[held], bits[held], held)
+    dense = np.unpackbits(fps, axis=1).astype(np.int64)
+    common = dense[400:] @ dense[:400].T
+    value = common / (bits[400:, None] + bits[None, :400] - common)
+    order = np.array([np.lexsort((np.arange(400), -row))[:3] for row in value])
+    third = value[np.arange(160), order[:, 2]]
+    floor = third if known else np.zeros(160)
+    seen, whole, products = set(), blocks._whole, blocks.Block.products
+
+    def watched(self, dense, per, width, start, fold=1, parts=1):
+        seen.add((per, fold, parts))
+        return products(self, dense, per, width, start, fold, parts)
+
+    def not_known(queries, *rest):
+        assert not known
+        return whole(queries, *rest)
+
+    monkeypatch.setattr(blocks.Block, "products", watched)
+    monkeypatch.setattr(blocks, "_whole", not_known)
+    for name, size in {"QUERIES": 50, "FLOATS": floats, "SAMPLE": 60, "TRIED": 10, "COUNTED": 7}.items():
+        monkeypatch.setattr(blocks, name, size)
+    queries = blocks.Queries(fps[400:], bits[400:], np.arange(160), floor)
+    found = {}
+    for batch in blocks.best(queries, block, 3):
+        for q, c, s in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            found.setdefault(q, []).append((c, s))
+    assert found == {q: [(c, value[q, c]) for c in order[q]] for q in range(160)}
+    # Few bits: columns go together.  Many: they are taken in parts, three rows to a float.
+    if known:
+        assert max(fold for _, fold, _ in seen) > 1 if high < 256 else max(parts for *_, parts in seen) > 1 or low == 900
+
+
+def test_a_block_of_equal_rows_is_compared_as_a_whole(monkeypatch):
+    """Where nearly all rows reach the floor, what is held stays bounded."""
+    fps, bits = random_sets(np.random.default_rng(1), [50] * 2)
+    block = blocks.Block(np.repeat(fps[:1], 300, axis=0), np.repeat(bits[:1], 300), np.arange(300))
+    monkeypatch.setattr(blocks, "CELLS", 1000)
+    queries = blocks.Queries(fps[:1], bits[:1], np.array([7]), np.array([0.5]))
+    (batch,) = blocks.best(queries, block, 4)
+    assert batch.column("candidate").to_pylist() == [0, 1, 2, 3] and batch.column("similarity").to_pylist() == [1.0] * 4
+
+
+@pytest.mark.parametrize("options", [{}, {"bits": 512}, {"size": 2}, {"size": 3, "unit": "char"}])
+def test_packed_at_once(spark, options):
+    """The words of a batch are hashed once each, with the same bits."""
+    rows = [("a B a",), ("",), (None,), (" \t",), ("\u00c4 \u00df\u0085x a",), ("x y  z\t\n q\u3000r",), ("\u65e5\u672c \u8a9e",)]
+    df = spark.createDataFrame(rows, "text string")
+    both = df.select(
+        pack_bits(fingerprint(F.col("text"), **options)).alias("a"), packed_fingerprint(F.col("text"), **options).alias("b")
+    ).collect()
+    assert [r["a"] for r in both] == [r["b"] for r in both] and sum(r["b"] is None for r in both) == 3
