@@ -121,10 +121,13 @@ def shots_array(chosen: DataFrame, index: DataFrame, text: Column | str, label:
     examples = attach_counted(chosen, index.withColumnRenamed(row_id, "neighbour_id"), "neighbour_id")
     if tokens is not None:
         examples = examples.withColumn("tokens", tokens)
-    one = F.struct("rank", text.alias("text"), label.alias("label"))
-    return examples.groupBy("query_id").agg(
+    one = F.struct("rank", text.alias("text"), label.alias("label")).alias("one")
+    # A query's examples come from different places: collecting them before the
+    # shuffle as well would sort all texts there and merge none.
+    together = examples.select("query_id", one).repartition("query_id")
+    return together.groupBy("query_id").agg(
         F.transform(
-            F.sort_array(F.collect_list(one)),
+            F.sort_array(F.collect_list("one")),
             lambda x: F.struct(x["text"].alias("text"), x["label"].alias("label")),
         ).cast(SHOTS_TYPE).alias("shots")
     )

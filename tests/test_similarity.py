@@ -332,3 +332,16 @@ def test_packed_at_once(spark, options):
         pack_bits(fingerprint(F.col("text"), **options)).alias("a"), packed_fingerprint(F.col("text"), **options).alias("b")
     ).collect()
     assert [r["a"] for r in both] == [r["b"] for r in both] and sum(r["b"] is None for r in both) == 3
+
+
+def test_examples_are_collected_once(spark):
+    """Before the shuffle nothing of a query meets, so texts are shuffled first and not sorted there."""
+    chosen = spark.createDataFrame([(1, 1, 7), (1, 2, 5), (2, 1, 7)], "query_id long, rank int, neighbour_id long")
+    index = spark.createDataFrame([(5, "a", "Yes"), (7, "b", "No")], "row_id long, text string, label string")
+    listed = shots_array(chosen, index, "text", "label")
+    plan = listed._jdf.queryExecution().executedPlan().toString().splitlines()
+    collected = [i for i, line in enumerate(plan) if "collect_list" in line]
+    shuffled = [i for i, line in enumerate(plan) if "Exchange hashpartitioning(query_id" in line]
+    assert collected and len(shuffled) == 1 and max(collected) < shuffled[0]
+    shown = {r["query_id"]: [tuple(s) for s in r["shots"]] for r in listed.collect()}
+    assert shown == {1: [("b", "No"), ("a", "Yes")], 2: [("b", "No")]}
