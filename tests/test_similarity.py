@@ -6,7 +6,7 @@ import pytest
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from shotweave.operators import blocks, similarity
+from shotweave.operators import blocks, joins, similarity
 from shotweave.functions.fingerprints import fingerprint, pack_bits, packed_fingerprint, packed_size, tanimoto
 from shotweave.operators.shots import apply_shortfall, random_shots, select_shots, shots_array
 from shotweave.operators.similarity import build_index, knn, neighbour_rows, with_fingerprint
@@ -345,3 +345,22 @@ def test_examples_are_collected_once(spark):
     assert collected and len(shuffled) == 1 and max(collected) < shuffled[0]
     shown = {r["query_id"]: [tuple(s) for s in r["shots"]] for r in listed.collect()}
     assert shown == {1: [("b", "No"), ("a", "Yes")], 2: [("b", "No")]}
+
+
+def test_only_hot_rows_are_written_again(spark, monkeypatch):
+    written, write = [], joins.materialise
+
+    def seen(df, label):
+        written.append((label, df.columns))
+        return write(df, label)
+
+    monkeypatch.setattr("shotweave.storage.BROADCAST_BELOW", 0)
+    monkeypatch.setattr(joins, "materialise", seen)
+    monkeypatch.setattr(joins, "HOT_SHARE", 3)
+    rows = spark.createDataFrame([(i, 7 if i < 20 else i) for i in range(40)], "query_id long, neighbour_id long")
+    keyed = spark.range(100).select(F.col("id").alias("neighbour_id"), F.concat(F.lit("t"), "id").alias("text"))
+    found = joins.attach_counted(rows, keyed, "neighbour_id")
+    texts_of = {r["query_id"]: r["text"] for r in found.collect()}
+    assert texts_of == {i: "t7" if i < 20 else f"t{i}" for i in range(40)} and found.count() == 40
+    with_text = [label for label, columns in written if "text" in columns]
+    assert with_text == ["hot"]
